@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import apportionment, chat_grammar, compression_rules, qgram_decontam, simhash_ball, wavelet_tokens
+from . import apportionment, chat_grammar, compression_rules, language_tree, line_spread, qgram_decontam, simhash_ball, wavelet_tokens
 
 QUERIES = {
     "op1_wavelet": wavelet_tokens.op1_wavelet,
     "op3_compression_bands": compression_rules.op3_compression_bands,
+    "op4_language_tree": language_tree.op4_language_tree,
     "op5_chat_grammar": chat_grammar.op5_chat_grammar,
     "op6_apportionment": apportionment.op6_apportionment,
     "op7_qgram_lemma": qgram_decontam.op7_qgram_lemma,
     "op9_simhash": simhash_ball.op9_simhash,
+    "op10_line_spread": line_spread.op10_line_spread,
 }
-ORACLES = {"op5_chat_grammar": chat_grammar.ORACLE_SQL}
+ORACLES = {"op5_chat_grammar": chat_grammar.ORACLE_SQL, "op10_line_spread": line_spread.ORACLE_SQL}
