@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import apportionment, chat_grammar, compression_rules, language_tree, line_spread, qgram_decontam, simhash_ball, wavelet_tokens
+from . import apportionment, chat_grammar, compression_rules, language_tree, line_spread, qgram_decontam, simhash_ball, substring_buckets, wavelet_tokens
 
 QUERIES = {
     "op1_wavelet": wavelet_tokens.op1_wavelet,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_chat_grammar": chat_grammar.op5_chat_grammar,
     "op6_apportionment": apportionment.op6_apportionment,
     "op7_qgram_lemma": qgram_decontam.op7_qgram_lemma,
+    "op8_bucket_pointer": substring_buckets.op8_bucket_pointer,
     "op9_simhash": simhash_ball.op9_simhash,
     "op10_line_spread": line_spread.op10_line_spread,
 }
