@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import apportionment, chat_grammar, compression_rules, language_tree, line_spread, qgram_decontam, simhash_ball, substring_buckets, wavelet_tokens
+from . import apportionment, chat_grammar, compression_rules, context_mixing, language_tree, line_spread, qgram_decontam, simhash_ball, substring_buckets, wavelet_tokens
 
 QUERIES = {
     "op1_wavelet": wavelet_tokens.op1_wavelet,
+    "op2_context_mixing": context_mixing.op2_context_mixing,
     "op3_compression_bands": compression_rules.op3_compression_bands,
     "op4_language_tree": language_tree.op4_language_tree,
     "op5_chat_grammar": chat_grammar.op5_chat_grammar,
