@@ -29,11 +29,29 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/lodestone/{tag}-{uuid.uuid4().hex}"
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` into the shared folder and read it back: cuts the lineage, survives lost executors."""
-    path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` into the shared folder and read it back: cuts the lineage, survives lost executors.
+    The shuffle files of the write go when it ends, as nothing reads them again."""
+    spark = df.sparkSession
+    path, was = new_path(spark, tag), spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, was)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete tables that ``materialise`` wrote and nothing will read again."""
+    for df in written:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_key(text: Column) -> Column:

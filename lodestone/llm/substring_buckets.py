@@ -11,8 +11,10 @@ which buckets hold more than one place. Buckets with one place leave at each lev
 2. A shared bucket is split by the whole stretch its strings cover. Places with an equal stretch
    repeat each other: all their strings are repeated. If all places of a bucket fall in one such
    class, nothing else can match and it is done.
-3. Only where a bucket holds several classes (the edges of copied passages) is each string taken
-   at full depth, one member for each class, and equal 128-bit identifiers are counted.
+3. Where a bucket holds several classes (the edges of copied passages), one member for each class is
+   taken apart into runs of 16 starts. A run's bucket is the 185 bytes all its strings share, its
+   class their whole stretch; it is refined as in 2.
+4. What is left is taken apart into single strings, whose bucket is all their 200 bytes.
 
 Copies, however many, cost a row for each place and never a pair; the counts combine before they
 are shuffled, and the joins are plain equi-joins that Spark can split where a key is hot.
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_texts, materialise, row_key, slices, table
+from .common import byte_texts, discard, materialise, row_key, slices, table
 
 LENGTH, GRAM = 200, 64
 WINDOW = LENGTH - GRAM + 1
@@ -59,12 +61,6 @@ def levels(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return short, ids
 
 
-def deep_ids(short: np.ndarray, long: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent identifiers of the 200-byte strings at s."""
-    other = join_ids(join_ids(short[s], short[s + 64]), join_ids(short[s + 128], short[s + 136]))
-    return join_ids(long[s], long[s + 72]), other
-
-
 def places(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     """(document, first start, last start, place, bucket, stretch id) of each place; ``raw`` holds
     documents on end, ``ends`` where each stops. Starts of a place are consecutive."""
@@ -114,7 +110,9 @@ def _runs(texts: list[bytes]) -> Iterator[tuple[list[int], list[int], np.ndarray
         yield docs, offsets, np.frombuffer(b"".join(held), np.uint8), np.cumsum([len(x) for x in held])
 
 
-PLACES = "k1 long, k2 long, a int, b int, bucket long, stretch long"
+PLACES = "k1 long, k2 long, a int, b int, p int, bucket long, stretch long"
+PARTS = "k1 long, k2 long, a int, b int, p int, core1 long, core2 long, whole long"
+RUN = 16
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,31 +120,52 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batch):
             k1, k2 = (part.column(c).to_numpy() for c in ("k1", "k2"))
             for docs, offsets, raw, ends in _runs(byte_texts(part.column("text"))):
-                doc, a, b, _, bucket, stretch = places(raw, ends)
+                doc, a, b, p, bucket, stretch = places(raw, ends)
                 row = np.array(docs)[doc]
                 shift = (np.array(offsets) - np.concatenate([[0], ends[:-1]]))[doc]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(k1[row]), pa.array(k2[row]), pa.array((a + shift).astype(np.int32)), pa.array((b + shift).astype(np.int32)), pa.array(bucket.view(np.int64)), pa.array(stretch.view(np.int64))],
-                    ["k1", "k2", "a", "b", "bucket", "stretch"],
+                    [pa.array(k1[row]), pa.array(k2[row]), pa.array((a + shift).astype(np.int32)), pa.array((b + shift).astype(np.int32)), pa.array((p + shift).astype(np.int32)), pa.array(bucket.view(np.int64)), pa.array(stretch.view(np.int64))],
+                    ["k1", "k2", "a", "b", "p", "bucket", "stretch"],
                 )
 
 
-def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Full-depth identifiers of the strings that start in the given ranges of each text."""
-    for batch in batches:
-        for part in slices(batch):
-            k1, k2 = (part.column(c).to_numpy() for c in ("k1", "k2"))
-            for i, (t, ranges) in enumerate(zip(byte_texts(part.column("text")), part.column("ranges").to_pylist(), strict=True)):
-                wanted = np.unique(np.concatenate([np.arange(r["a"], r["b"] + 1) for r in ranges]))
-                raw = np.frombuffer(t, np.uint8)
-                for at in range(0, len(raw) - LENGTH + 1, STRETCH - LENGTH + 1):
-                    s = wanted[(wanted >= at) & (wanted < at + STRETCH - LENGTH + 1)]
-                    if not len(s):
-                        continue
-                    one, two = deep_ids(*levels(raw[at : at + STRETCH]), s - at)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(s), k1[i])), pa.array(np.full(len(s), k2[i])), pa.array(s.astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["k1", "k2", "s", "one", "two"]
-                    )
+def parts(short: np.ndarray, long: np.ndarray, a: np.ndarray, b: np.ndarray, p: np.ndarray, run: int) -> tuple[np.ndarray, ...]:
+    """Starts a..b of places p in runs of at most ``run`` by their distance to the place: first and last start,
+    which range, two independent identifiers of the bytes a full run shares, one of the run's stretch."""
+    low, high = (p - b) // run, (p - a) // run
+    of = np.repeat(np.arange(len(a)), high - low + 1)
+    block = low[of] + np.arange(len(of)) - np.repeat(np.cumsum(high - low + 1) - (high - low + 1), high - low + 1)
+    first, last, core = np.maximum(a[of], p[of] - run * block - run + 1), np.minimum(b[of], p[of] - run * block), p[of] - run * block
+    size = LENGTH - run + 1
+    one = join_ids(long[core], long[core + size - 128])
+    two = join_ids(join_ids(short[core], short[core + 64]), join_ids(short[core + size - 128], short[core + size - 64]))
+    whole = join_ids(join_ids(long[first], long[first + 72]), join_ids(long[last + 72], ((core - first) << 8 | (core - last)).astype(np.uint64)))
+    return first, last, of, one, two, whole
+
+
+def _parts(run: int):
+    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                k1, k2 = (part.column(c).to_numpy() for c in ("k1", "k2"))
+                for i, (t, ranges) in enumerate(zip(byte_texts(part.column("text")), part.column("ranges").to_pylist(), strict=True)):
+                    a, b, p = np.unique(np.array([(r["a"], r["b"], r["p"]) for r in ranges], np.int64), axis=0).T
+                    raw = np.frombuffer(t, np.uint8)
+                    for at in range(0, len(raw) - LENGTH + 1, STRETCH - 2 * LENGTH):
+                        some = (a >= at) & (a < at + STRETCH - 2 * LENGTH)
+                        if not some.any():
+                            continue
+                        first, last, of, one, two, whole = parts(*levels(raw[at : at + STRETCH]), a[some] - at, b[some] - at, p[some] - at, run)
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                *(pa.array(np.full(len(first), k[i])) for k in (k1, k2)),
+                                *(pa.array((x + at).astype(np.int32)) for x in (first, last, (p[some] - at)[of])),
+                                *(pa.array(x.view(np.int64)) for x in (one, two, whole)),
+                            ],
+                            [c.split()[0] for c in PARTS.split(", ")],
+                        )
+
+    return apart
 
 
 def keep_mask(n: int, spans: list[tuple[int, int]]) -> tuple[np.ndarray, int]:
@@ -174,22 +193,30 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
+def refine(held: DataFrame, core: list[str], whole: list[str], tag: str) -> tuple[DataFrame, DataFrame]:
+    """(ranges of starts that are repeated as a whole, one member of each class of cores that have several classes)."""
+    member = F.struct("k1", "k2", "a", "b", "p")
+    classes = materialise(held.groupBy(*core, *whole).agg(F.count("*").alias("n"), F.min(member).alias("one")), tag)
+    copied = held.join(classes.where("n > 1").select(*core, *whole), [*core, *whole], "left_semi").select("k1", "k2", "a", (F.col("b") + LENGTH).alias("b"))
+    several = classes.groupBy(*core).count().where("count > 1").select(*core)
+    return copied, classes.join(several, core, "left_semi").select("one.*")
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(k1, k2, a, b): byte ranges covered by strings of LENGTH bytes that start at two places or more."""
-    rows = docs.select(*row_key(docs["doc_id"], docs["text"]), "text")
-    found = materialise(rows.where(F.octet_length("text") >= LENGTH).mapInArrow(_places, PLACES), "places")
+    """(k1, k2, spans): byte ranges covered by strings of LENGTH bytes that start at two places or more."""
+    rows = docs.select(*row_key(docs["doc_id"], docs["text"]), "text").where(F.octet_length("text") >= LENGTH)
+    found = materialise(rows.mapInArrow(_places, PLACES), "places")
     again = materialise(found.groupBy("bucket").count().where("count > 1").select("bucket"), "buckets")
-    shared = materialise(found.join(again, "bucket", "left_semi"), "shared")
-    member = F.struct("k1", "k2", "a", "b")
-    classes = materialise(shared.groupBy("bucket", "stretch").agg(F.count("*").alias("n"), F.min(member).alias("one")), "classes")
-    copied = shared.join(classes.where("n > 1").select("bucket", "stretch"), ["bucket", "stretch"], "left_semi")
-    spans = copied.select("k1", "k2", "a", (F.col("b") + LENGTH).alias("b"))
-    several = classes.groupBy("bucket").count().where("count > 1").select("bucket")
-    edge = classes.join(several, "bucket", "left_semi").select("one.*").groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
-    starts = materialise(rows.join(edge, ["k1", "k2"]).mapInArrow(_starts, "k1 long, k2 long, s int, one long, two long"), "starts")
-    twice = materialise(starts.groupBy("one", "two").count().where("count > 1").select("one", "two"), "twice")
-    equal = starts.join(twice, ["one", "two"], "left_semi")
-    return spans.union(equal.select("k1", "k2", F.col("s"), (F.col("s") + LENGTH)))
+    held = materialise(found.join(again, "bucket", "left_semi"), "shared")
+    discard(found, again)
+    copied, edge = refine(held, ["bucket"], ["stretch"], "classes")
+    spans = materialise(copied, "spans")
+    for run in (RUN, 1):
+        ranges = edge.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b", "p")).alias("ranges"))
+        apart = materialise(rows.join(ranges, ["k1", "k2"]).mapInArrow(_parts(run), PARTS), "parts")
+        copied, edge = refine(apart, ["core1", "core2"], ["whole"], "classes")
+        spans = spans.union(materialise(copied, "spans"))
+    return materialise(spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -198,7 +225,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     Null counts as empty; shorter texts stay whole; a repeated row repeats all its strings, so both
     lose them; an empty table gives no rows. kept may end inside a character."""
-    spans = repeated_spans(docs).groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    spans = repeated_spans(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_key(docs["doc_id"], docs["text"]), "text")
     both = rows.join(spans, ["k1", "k2"], "left").select("doc_id", "text", "spans")
     return both.mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
