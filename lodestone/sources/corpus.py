@@ -15,7 +15,7 @@ LABEL_COLUMNS = ("id", "document_id", "query", "expected_answer", "evidence_text
 
 def scan_folder(spark: SparkSession, path: str) -> DataFrame:
     """(id, source, content) of all .md, .txt and .markdown files below a folder; id is the file's name."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select("value", F.col("_metadata.file_path").alias("source"))
+    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select("value", F.col("_metadata.file_path").alias("source"))
     return raw.where(F.lower("source").rlike(r"\.(md|txt|markdown)$")).select(F.element_at(F.split("source", "/"), -1).alias("id"), "source", F.col("value").alias("content"))
 
 
