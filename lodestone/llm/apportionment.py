@@ -81,9 +81,17 @@ def sainte_lague(weights: Sequence[float], seats: int, caps: Sequence[int]) -> l
     return got
 
 
+#: Rows of a per-source or per-shard table that are sent to every task; larger ones are joined by a shuffle.
+SMALL_ROWS = 100_000
+
+
+def small(rows: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(rows) if n <= SMALL_ROWS else rows
+
+
 def with_shards(sized: DataFrame, stats: DataFrame, max_shards: int) -> DataFrame:
     """``sized`` with the shard of each row; ``stats``: (src, rows, ...) of each source."""
-    total = stats.agg(F.sum("rows")).first()[0] or 1
+    total = stats.agg(F.sum("rows")).first()[0] or 1  # a local table
     per = max(DOCS_PER_SHARD, -(-total // max_shards))
     by = stats.select("src", F.ceil(F.col("rows") / per).cast("long").alias("shards"))
     return sized.join(by, "src").withColumn("shard", F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.col("shards"))).drop("shards")
@@ -95,7 +103,7 @@ def plan(sized: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP, block_words=BL
     found = sized.groupBy("src").agg(F.count("*").alias("rows"), F.sum("size").alias("size")).collect()
     sizes = {r["src"]: r["size"] for r in found}
     aim = targets(sizes, weights, share, cap)
-    stats = spark.createDataFrame([(r["src"], r["rows"], r["size"], aim[r["src"]]) for r in found], "src string, rows long, source_size long, target double")
+    stats = small(spark.createDataFrame([(r["src"], r["rows"], r["size"], aim[r["src"]]) for r in found], "src string, rows long, source_size long, target double"), len(found))
     shards = with_shards(sized, stats, max_shards).groupBy("src", "shard").agg(F.sum("size").alias("size")).collect()
     by: dict[str, list[tuple[int, int, int]]] = {}
     for r in sorted(shards, key=lambda r: (r["src"], r["shard"])):
@@ -107,14 +115,15 @@ def plan(sized: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP, block_words=BL
     for k, quota in zip(names, blocks, strict=True):
         for (shard, _, n), q in zip(by[k], sainte_lague([s for _, s, _ in by[k]], quota, [cap * n for *_, n in by[k]]), strict=True):
             rows.append((k, shard, n, q, random.Random(f"{SEED}/{k}/{shard}").randrange(n) if n else 0))
-    return stats, spark.createDataFrame(rows, "src string, shard long, blocks long, quota long, offset long")
+    return stats, small(spark.createDataFrame(rows, "src string, shard long, blocks long, quota long, offset long"), len(rows))
 
 
 def place(sized: DataFrame, stats: DataFrame, quotas: DataFrame, block_words=BLOCK_WORDS, max_shards=MAX_SHARDS) -> DataFrame:
     """``sized`` (doc_id, src, size, tie and any others) with source_size, target, start, taken and the
     draw (base, extra, blocks, offset) of its shard. ``tie``: orders rows equal in id and size."""
     order = Window.partitionBy("src", "shard").orderBy(F.xxhash64(F.lit(SEED + 1), "doc_id"), "doc_id", "size", "tie")
-    rows = with_shards(sized, stats, max_shards).withColumn("end", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    # dealt by shard: the window would else be content with a deal by source, and a hot source with one task
+    rows = with_shards(sized, stats, max_shards).repartition("src", "shard").withColumn("end", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.withColumn("start", F.col("end") - F.col("size"))
     rows = rows.join(quotas, ["src", "shard"]).join(stats.select("src", "source_size", "target"), "src")
     rows = rows.withColumn("base", F.expr("if(blocks = 0, 0L, quota div blocks)")).withColumn("extra", F.expr("if(blocks = 0, 0L, quota % blocks)"))
@@ -159,7 +168,8 @@ def mix_texts(docs: DataFrame, **how) -> DataFrame:
     passes = passes.withColumn("pieces", F.when(some, pieces)).where(~some | (F.size("pieces") > 0))
     text = F.col("r.text")
     tokens = F.regexp_extract_all(text, F.lit(rf"{WORD}\s*"), F.lit(0))
-    cut = F.array_join(F.transform("pieces", lambda x: F.array_join(F.slice(tokens, (x["lo"] + 1).cast("int"), (x["hi"] - x["lo"]).cast("int")), "")), "")
+    # through an array of one, so that the words are found once, not for each piece
+    cut = F.transform(F.array(tokens), lambda t: F.array_join(F.transform("pieces", lambda x: F.array_join(F.slice(t, (x["lo"] + 1).cast("int"), (x["hi"] - x["lo"]).cast("int")), "")), ""))[0]
     whole = ~some | (F.aggregate("pieces", F.lit(0).cast("long"), lambda s, x: s + x["hi"] - x["lo"]) == F.col("size"))
     passes = passes.withColumn("cut", F.when(whole, text).otherwise(cut))
     return passes.select(*[F.col("cut").alias("text") if c == "text" else F.col(f"r.`{c}`").alias(c) for c in names])
