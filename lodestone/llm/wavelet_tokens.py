@@ -31,10 +31,10 @@ from pyspark.sql import functions as F
 from .common import new_path, slices, table
 
 MAGIC, END_ID = b"WVM1", 0
-SHARD_TOKENS = 1 << 22
+SHARD_TOKENS = 1 << 21
 BLOCK_BITS = 1 << 16
 #: Pieces whose ids a worker remembers; beyond it they are forgotten together.
-REMEMBER = 1_000_000
+REMEMBER = 500_000
 
 # Encoding -------------------------------------------------------------------------------------
 
@@ -306,7 +306,7 @@ def _write(folder: str, path: str, shard_tokens: int):
             return row
 
         for batch in batches:
-            for some in slices(batch, most=16 << 20):
+            for some in slices(batch, most=8 << 20):
                 found = own.encode(some.column("text").to_pylist())
                 for doc, ids in zip(some.column("doc_id").to_pylist(), found, strict=True):
                     docs.append(doc)
