@@ -47,10 +47,11 @@ def bm25(units: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     wanted = terms.select("term").distinct()
     hits = cut.select("unit_id", "len", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
     postings = hits.groupBy("unit_id", "len", "term").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    weights = terms.join(df, "term").crossJoin(F.broadcast(totals))
-    part = F.col("qtf") * idf(F.col("n"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg")))
-    scored = postings.join(weights, "term").groupBy("query_id", "unit_id").agg(F.round(F.sum(part), DIGITS).alias("score"))
+    df = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(totals))
+    # a posting's weight doesn't depend on the query: it is worked out once, before queries multiply the rows
+    part = idf(F.col("n"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg")))
+    weighted = postings.join(df, "term").select("unit_id", "term", part.alias("w"))
+    scored = weighted.join(terms, "term").groupBy("query_id", "unit_id").agg(F.round(F.sum(F.col("qtf") * F.col("w")), DIGITS).alias("score"))
     return top(scored.where("score > 0"), k, F.desc("score"), F.col("unit_id"))
 
 
