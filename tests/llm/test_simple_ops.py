@@ -59,6 +59,49 @@ def test_quality_bands():
     assert not compression_rules.judge(" ".join(f"{i % 3} tick" for i in range(4000)))[6]
 
 
+def random_words(rng, alphabet, size):
+    out = ""
+    while len(out) < size:
+        out += "".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 8))) + " "
+    return out[:size]
+
+
+def test_quality_bands_decide(spark):
+    """In each band repetition and noise go that the word rules let pass; texts labelled good stay."""
+    rng = random.Random(7)
+    printable = [chr(c) for c in range(33, 127)]
+    for size in (90, 120, 180, 250, 380, 500, 1000, 2000, 4000, 16000, 60000, 200000):
+        noise = compression_rules.judge(random_words(rng, printable, size))
+        assert not noise[6] and not compression_rules.in_band(noise[7], noise[8]) and noise[5] == (noise[0] < 20)
+        # a few words in turn, a new one often enough that few windows of words repeat
+        few, text = ["aba", "abab"], ""
+        while len(text) < size:
+            text += f"{rng.choice(few)} " * rng.randrange(1, 4)
+        again = compression_rules.judge(text[:size])
+        assert not again[6] and not compression_rules.in_band(again[7], again[8]), size
+    for size in (45, 75):  # repetition is told where noise cannot be
+        again = compression_rules.judge(("a b " * size)[:size])
+        assert not compression_rules.in_band(again[7], again[8])
+    sf = "/root/testdata/sf0.01"
+    good = spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1"), "doc_id")
+    got = [r for r in compression_rules.quality(good).collect() if not r["base_failed"]]
+    assert len(got) > 100 and all(r["kept"] for r in got)
+
+
+def test_quality_few_bad_chunks():
+    """A third of bad chunks is enough to reject, where the whole text is within its band."""
+    rng = random.Random(8)
+    letters = [c for c in "etaoinshrdlu" for _ in range(3)] + list("cmfgypwbvkxjqz")
+    stems = [random_words(rng, letters, rng.randrange(3, 9)).replace(" ", "") for _ in range(1500)]
+    prose = ""
+    while len(prose) < 8192:
+        prose += rng.choice(stems) + " "
+    filler = " ".join(f"{i} tick" for i in range(10000, 10400))[:4096]
+    got = compression_rules.judge(prose[:8192] + filler)
+    assert compression_rules.judge(prose[:8192])[6] and got[9] == 3 and got[10] == 1
+    assert not got[5] and compression_rules.in_band(got[7], got[8]) and not got[6]
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], DOCS)
     assert compression_rules.quality(none).count() == 0
