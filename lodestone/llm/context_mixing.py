@@ -1,9 +1,10 @@
 """Language-model scoring by online logistic context mixing.
 
 A text is a run of tokens (words, then an end). Each token is coded bit by bit: the bytes of the
-word, then an end mark. Predictors of a bit are counts kept in fixed-size hashed tables, one for
-each context: the last 1, 2, 3, 4 and 6 bytes within the word, and the whole prefix together with
-the kind of token before it. Their logits are combined with weights picked by a gate (the longest
+word, then an end mark. Predictors of a bit are counts, one for each context: the last 1, 2, 3, 4
+and 6 bytes within the word, and the whole prefix together with the kind of token before it. Those of
+the last 1 to 3 bytes lie in hashed tables of fixed size; the longer ones, whose number grows with
+the corpus, are kept exactly: cells by a 64-bit key, summed by ranges of keys. Their logits are combined with weights picked by a gate (the longest
 context seen, how often, how long it has been right), learned online; an adaptive map from the mixed
 logit to the observed rate refines the result. A token's probability from its bits and its plain
 relative frequency are averaged, with the share that foretells left-out occurrences best. All
@@ -14,8 +15,9 @@ Within a token nothing depends on the document, so each distinct (token, kind be
 once, with its count: training and scoring cost what the vocabulary costs, not what the text does.
 A token's own occurrence is taken out of the counts while weights are learned.
 
-Spark moves: token counts (combined before the shuffle); partial tables by block; rare tokens of
-documents joined to their scores. Broadcast: the tables (fixed size), the weights, and at most
+Spark moves: token counts (combined before the shuffle); partial tables by block; cells of long
+contexts to their range of keys and their totals back to each part of the vocabulary that meets them;
+rare tokens of documents joined to their scores. Broadcast: the tables of fixed size, the weights, and at most
 ``FREQUENT`` scored tokens; all others take the join.
 """
 
@@ -34,15 +36,19 @@ from pyspark.sql import functions as F
 
 from .common import materialise, slices, table
 
-#: Bits of each table's size: last 1, 2, 3, 4, 6 bytes; whole prefix with the kind before.
-TABLE_BITS = (16, 19, 20, 21, 20, 20)
+#: Bits of the size of the tables for the last 1, 2 and 3 bytes.
+TABLE_BITS = (16, 20, 21)
 ORDERS = (1, 2, 3, 4, 6)
-#: The two longest contexts take the most frequent tokens, at most so many: tables of fixed size hold no more.
-LONG_WORDS = 100_000
+#: Contexts: those of ORDERS and the whole prefix with the kind before; all without a table are kept by key.
+CONTEXTS = len(ORDERS) + 1
+DENSE = len(TABLE_BITS)
+#: Words coded together with the cells of their long contexts in memory.
+PART_WORDS = 12_500
 KINDS = 5  # before a token: start, sentence end, other punctuation, other; 4: the middle of a long word
 WORDS_AT_ONCE = 150_000
 PIECE = 64  # bytes of a word coded at once; longer words go on in a further piece
 LANES = 16384
+LEARN_LANES = 4096
 FREQUENT = 150_000
 BLOCK = 1 << 16
 GATES, STEPS = 6 * 4 * 4, 33
@@ -153,9 +159,9 @@ class Contexts:
         self.last = np.full(len(raw), 32, np.uint64)
         self.whole = (kind.astype(np.uint64) + np.uint64(77)) * _B
 
-    def at(self, first: int) -> np.ndarray:
-        """Contexts by lanes from ``first`` on: the place of each in its table, before the decision's own part."""
-        z = np.empty((len(TABLE_BITS), len(self.raw) - first), np.uint64)
+    def at(self, first: int) -> tuple[np.ndarray, np.ndarray]:
+        """Contexts by lanes from ``first`` on, before the decision's own part: places in the tables, and keys of the long ones."""
+        z = np.empty((CONTEXTS, len(self.raw) - first), np.uint64)
         for k, order in enumerate(ORDERS):
             np.bitwise_and(self.last[first:], np.uint64((1 << 8 * order) - 1), out=z[k])
             z[k] += np.uint64((order << 56) + 1)
@@ -164,8 +170,7 @@ class Contexts:
         z *= _A
         z ^= z >> np.uint64(29)
         z *= _B
-        z >>= _SHIFT[:, None]
-        return z.astype(np.int64) + _BEGIN[:, None]
+        return (z[:DENSE] >> _SHIFT[:, None]).astype(np.int64) + _BEGIN[:, None], z[DENSE:]
 
     def take(self, byte: int, first: int) -> None:
         new = self.raw[first:, byte].astype(np.uint64)
@@ -197,6 +202,9 @@ class Code:
             for j, (node, bit) in enumerate(path):
                 self.node[j, i], self.bit[j, i] = node, bit
         self.place = self._places()
+        self.mark = (self.node.astype(np.uint64) + np.uint64(1)) * _A
+        self.mark ^= self.mark >> np.uint64(29)
+        self.mark *= _B
 
     def _places(self) -> np.ndarray:
         """What a decision adds to the place of a context, by table, depth and byte value. Three decisions
@@ -213,12 +221,12 @@ class Code:
         return out
 
 
-def bits(code: Code, raw: np.ndarray, symbols: np.ndarray, kind: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(lanes, the bit of each, contexts by lanes: place of their counts) for each decision in turn; lanes are in order of symbols."""
+def bits(code: Code, raw: np.ndarray, symbols: np.ndarray, kind: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(lanes, the bit of each, places in the tables, contexts before the decision's part, that part) for each decision in turn; lanes are in order of symbols."""
     contexts = Contexts(raw, kind)
     for at in range(raw.shape[1]):
         first = int(np.searchsorted(symbols, at, side="right"))
-        context, byte = contexts.at(first), raw[first:, at]
+        (context, long), byte = contexts.at(first), raw[first:, at]
         live = np.arange(first, len(raw))
         for j in range(len(code.node)):
             if j:
@@ -226,11 +234,50 @@ def bits(code: Code, raw: np.ndarray, symbols: np.ndarray, kind: np.ndarray) ->
                 if not len(some):
                     break
                 if len(some) < len(byte):
-                    live, byte, context = live[some], byte[some], context.take(some, axis=1)
-            yield live, code.bit[j][byte], context ^ code.place[:, j].take(byte, axis=1)
+                    live, byte, context, long = live[some], byte[some], context.take(some, axis=1), long.take(some, axis=1)
+            yield live, code.bit[j][byte], context ^ code.place[:, j].take(byte, axis=1), long, code.mark[j].take(byte)
         contexts.take(at, first)
 
 
+_TABLE = np.arange(CONTEXTS - DENSE, dtype=np.uint64)[:, None]
+
+
+def cells(code: Code, lanes: Lanes, lanes_at_once: int, add: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """(keys in order, which of them each decision meets, with ``add`` sums of the weights of its zeros and ones by key).
+    A key is the hash of a long context and a decision; its last two bits say which context."""
+    keys, bit_of, weight_of = [], [], []
+    for raw, symbols, some in lanes.runs(lanes_at_once):
+        weight = lanes.weight[some]
+        for live, bit, _, long, mark in bits(code, raw, symbols, lanes.kind[some]):
+            keys.append(((long ^ mark) & np.uint64(2**64 - 4) | _TABLE).ravel())
+            if add:
+                bit_of.append(np.tile(bit.astype(np.int8), len(long)))
+                weight_of.append(np.tile(weight[live], len(long)))
+    if not keys:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros((0, 2))
+    keys = np.concatenate(keys)
+    found, which = np.unique(keys, return_inverse=True)
+    del keys
+    which = which.astype(np.int32)
+    sums = np.bincount(2 * which + np.concatenate(bit_of), np.concatenate(weight_of), 2 * len(found)).reshape(-1, 2) if add else None
+    return found, which, sums
+
+
+def ranges(keys: np.ndarray, n: int) -> np.ndarray:
+    """Where each of ``n`` equal ranges of keys begins, and the end."""
+    return np.searchsorted(keys, np.array([i * 2**64 // n for i in range(n)], np.uint64)).tolist() + [len(keys)]
+
+
+def pack(x: np.ndarray) -> bytes:
+    """Numbers by their first bytes, then their second ones and so on: neighbours alike compress."""
+    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes(), 1)
+
+
+def unpack(x: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(x), np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
 def gathered(batches: Iterator[pa.RecordBatch], rows: int = WORDS_AT_ONCE) -> Iterator[pa.RecordBatch]:
     """Batches of about ``rows`` rows: a step costs a call for each array operation, so lanes should be many."""
     held, size = [], 0
@@ -252,24 +299,20 @@ def _pairs(batch: pa.RecordBatch, train: bool) -> tuple[np.ndarray, np.ndarray,
     return owner, kind, counts[owner, kind]
 
 
-def _tables(code: Code, least: int):
+def _tables(code: Code):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Counts of the bits after each context, for this task's part of the vocabulary, by block."""
+        """Counts of the bits after each short context, for this task's part of the vocabulary, by block."""
         counts = np.zeros(2 * int(_STARTS[-1]), np.float32)
         for batch in gathered(batches):
             owner, kind, weight = _pairs(batch, True)
             if not len(owner):
                 continue
             lanes = Lanes(batch.column("word"), kind, owner, weight)
-            often = batch.column("seen").to_numpy()[owner][lanes.pair] >= least
             for raw, symbols, some in lanes.runs():
-                weight, long = lanes.weight[some].astype(np.float32), often[some]
-                for live, bit, at in bits(code, raw, symbols, lanes.kind[some]):
-                    w, deep, cell = weight[live], np.flatnonzero(long[live]), 2 * at + bit
-                    for k in range(4):
-                        np.add.at(counts, cell[k], w)
-                    for k in range(4, len(cell)):
-                        np.add.at(counts, cell[k][deep], w[deep])
+                weight = lanes.weight[some].astype(np.float32)
+                for live, bit, at, _, _ in bits(code, raw, symbols, lanes.kind[some]):
+                    for cell in 2 * at + bit:
+                        np.add.at(counts, cell, weight[live])
         for block in range(-(-len(counts) // (2 * BLOCK))):
             part = counts[2 * block * BLOCK : 2 * (block + 1) * BLOCK]
             if part.any():
@@ -278,18 +321,82 @@ def _tables(code: Code, least: int):
     return run
 
 
+_CELLS = "part int, block int, keys binary, zeros binary, ones binary"
+_TOTALS = "part int, block int, counts binary"
+
+
+def _one(table: pa.Table) -> pa.RecordBatch:
+    """A part of the vocabulary in the order of its words, however its rows arrived."""
+    return table.sort_by("word").combine_chunks().to_batches()[0]
+
+
+def _dealt(borders: list[str]):
+    borders = np.array([w.encode() for w in borders], object)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = np.array(batch.column("word").cast(pa.binary()).to_pylist(), object)
+            yield batch.append_column("part", pa.array(np.searchsorted(borders, words, side="right"), pa.int32()))
+
+    return run
+
+
+def deal(vocab: DataFrame) -> tuple[DataFrame, int]:
+    """``vocab`` with its part, and the number of parts: ranges of about PART_WORDS words, the same whatever the session's settings
+    and the order of rows are, as the borders are drawn by hash."""
+    parts = max(1, -(-vocab.count() // PART_WORDS))
+    drawn = sorted((r["word"] for r in vocab.select("word").orderBy(F.xxhash64("word"), "word").limit(32 * parts).collect()), key=str.encode)
+    borders = drawn[32::32] if parts > 1 else []
+    columns = "word string, t0 long, t1 long, t2 long, t3 long, seen long, used long, part int"
+    return vocab.select(*[c.split()[0] for c in columns.split(", ")[:-1]]).mapInArrow(_dealt(borders), columns), parts
+
+
+def _cells(code: Code, blocks: int):
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        """The cells that a part of the vocabulary meets, and what it adds to each, by range of keys."""
+        batch = _one(rows)
+        owner, kind, weight = _pairs(batch, False)
+        keys, _, sums = cells(code, Lanes(batch.column("word"), kind, owner, weight), LEARN_LANES, True)
+        cut = ranges(keys, blocks)
+        out = [(b, x, y) for b, (x, y) in enumerate(zip(cut, cut[1:], strict=False)) if y > x]
+        return pa.table({
+            "part": pa.array([key[0].as_py()] * len(out), pa.int32()),
+            "block": pa.array([b for b, *_ in out], pa.int32()),
+            "keys": pa.array([pack(np.diff(keys[x:y], prepend=np.uint64(0))) for _, x, y in out], pa.binary()),
+            "zeros": pa.array([pack(sums[x:y, 0].astype(np.int64)) for _, x, y in out], pa.binary()),
+            "ones": pa.array([pack(sums[x:y, 1].astype(np.int64)) for _, x, y in out], pa.binary()),
+        })
+
+    return run
+
+
+def _totals(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+    """Totals of the cells in a range of keys, for each part in the order of its keys; pairs as two 16-bit numbers in proportion."""
+    keys = [np.cumsum(unpack(x, "<u8"), dtype=np.uint64) for x in rows.column("keys").to_pylist()]
+    found, which = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.stack([np.bincount(which, np.concatenate([unpack(x, "<i8") for x in rows.column(c).to_pylist()]), len(found)) for c in ("zeros", "ones")], axis=1)
+    kept = packed(total)
+    ends = np.cumsum([len(x) for x in keys])[:-1]
+    return pa.table({"part": rows.column("part"), "block": rows.column("block"), "counts": pa.array([pack(kept[x]) for x in np.split(which, ends)], pa.binary())})
+
+
+def packed(total: np.ndarray) -> np.ndarray:
+    """Pairs of counts as one 32-bit number each: two 16-bit ones in proportion, the zeros lowest."""
+    kept = np.minimum(np.ceil(total * np.minimum(1.0, 65535 / np.maximum(total.max(axis=1), 1))[:, None]), 65535)
+    return np.ascontiguousarray(kept.astype("<u2")).view("<u4").ravel()
+
+
 def _merged(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
     """One block, each pair of counts as two 16-bit numbers in proportion."""
     total = sum(np.frombuffer(zstandard.decompress(x), np.float32).astype(np.float64) for x in rows.column("counts").to_pylist()).reshape(-1, 2)
-    kept = np.minimum(np.ceil(total * np.minimum(1.0, 65535 / np.maximum(total.max(axis=1), 1))[:, None]), 65535).astype("<u2")
-    return pa.table({"block": pa.array([key[0].as_py()]), "counts": pa.array([zstandard.compress(kept.tobytes(), 1)], pa.binary())})
+    return pa.table({"block": pa.array([key[0].as_py()]), "counts": pa.array([zstandard.compress(packed(total).tobytes(), 1)], pa.binary())})
 
 
 class Mixer:
     """Gated weights and the adaptive map."""
 
     def __init__(self) -> None:
-        k = len(TABLE_BITS)
+        k = CONTEXTS
         self.weights = np.zeros((k, GATES // k, k + 1))
         for i in range(k):  # the longest context seen leads at first
             self.weights[i, :, :i] = 0.3 / max(1, i)
@@ -312,24 +419,33 @@ class Mixer:
 _LOG = np.log(np.arange(65536) + PRIOR).astype(np.float32)
 
 
-def facts(counts: np.ndarray, less: int | None = None, out: np.ndarray | None = None) -> np.ndarray:
-    """What a model reads of each pair of counts (16-bit numbers, the zeros lowest): the logit as 32-bit float,
-    whose last 8 bits say instead which context it is (3), how often it was seen (2) and which way it leans (2: zeros
-    alone, 1: ones alone); all zero for one not seen. less: a bit that is taken out once."""
-    out = np.empty(len(counts), np.uint32) if out is None else out
+def fact(pair: np.ndarray, k: int | np.ndarray, less: int | None = None) -> np.ndarray:
+    """What a model reads of each pair of counts (16-bit numbers, the zeros lowest) of context k: the logit as 32-bit
+    float, whose last 8 bits say instead which context it is (3), how often it was seen (2) and which way it leans (2:
+    zeros alone, 1: ones alone); all zero for one not seen. less: a bit that is taken out once."""
+    n = [pair & np.uint32(0xFFFF), pair >> np.uint32(16)]
+    if less is not None:
+        n[less] -= n[less] > 0
+    logit, total = _LOG[n[1]] - _LOG[n[0]], n[0] + n[1]
+    logit[np.abs(logit) < 1e-6] = 1e-6
+    told = (k * 16 + ((total > 1) * 4 + (total > 3) * 4 + (total > 20) * 4 + (n[0] == 0) + (n[1] == 0) * 2)).astype(np.uint32)
+    return np.where(total > 0, logit.view(np.uint32) & np.uint32(0xFFFFFF00) | told, np.uint32(0))
+
+
+def facts(counts: np.ndarray, less: int | None = None) -> np.ndarray:
+    """``fact`` of all tables."""
+    out = np.empty(len(counts), np.uint32)
     for k, begin in enumerate(_BEGIN):
         for at in range(begin, begin + (1 << TABLE_BITS[k]), BLOCK):
-            pair = counts[at : at + BLOCK]
-            n = [pair & np.uint32(0xFFFF), pair >> np.uint32(16)]
-            if less is not None:
-                n[less] -= n[less] > 0
-            logit, total = _LOG[n[1]] - _LOG[n[0]], n[0] + n[1]
-            logit[np.abs(logit) < 1e-6] = 1e-6
-            told = k * 16 + ((total > 1) * 4 + (total > 3) * 4 + (total > 20) * 4 + (n[0] == 0) + (n[1] == 0) * 2).astype(np.uint32)
-            out[at : at + len(pair)] = np.where(total > 0, logit.view(np.uint32) & np.uint32(0xFFFFFF00) | told, 0)
+            out[at : at + BLOCK] = fact(counts[at : min(at + BLOCK, begin + (1 << TABLE_BITS[k]))], k, less)
     return out
 
 
+def long_facts(keys: np.ndarray, counts: np.ndarray, less: int | None = None) -> np.ndarray:
+    """``fact`` of cells by key, and at the end one that was never seen."""
+    return np.append(fact(counts, (keys & np.uint64(3)).astype(np.int64) + DENSE, less), np.uint32(0))
+
+
 def inputs(known: np.ndarray, at: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Logits (contexts by lanes), gates, and which way the longest context seen leans (as in ``facts``).
     run: bits for which that was right."""
@@ -367,25 +483,39 @@ def follow(run: np.ndarray, live: np.ndarray, lean: np.ndarray, bit: np.ndarray)
     run[live] = (run[live] + np.int16(1)) * (lean == 2 - bit)
 
 
-def without_own(counts: np.ndarray) -> np.ndarray:
-    """Facts with a zero taken out, with a one taken out, and as they are, end to end."""
-    out = np.empty((3, len(counts)), np.uint32)
-    for less, part in zip((0, 1, None), out, strict=True):
-        facts(counts, less, part)
-    return out.ravel()
+def without_own(short: list[np.ndarray], keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Facts with a zero taken out, with a one taken out, and as they are, end to end. short: those of the tables."""
+    return np.concatenate([x for less, part in zip((0, 1, None), short, strict=True) for x in (part, long_facts(keys, counts, less))])
 
 
-def learn(mixer: Mixer, code: Code, known: np.ndarray, words: pa.Array, owner: np.ndarray, kind: np.ndarray, weight: np.ndarray, often: np.ndarray, lanes_at_once: int = LANES) -> np.ndarray:
-    """Online pass over pairs: weights follow the error of each bit, the map counts what came.
-    known: from ``without_own``; a pair that isn't often has no own part in the two longest contexts. Gives the log10 probability each pair got before it was learned from."""
-    lanes = Lanes(words, kind, owner, weight)
-    often, counts = often[lanes.pair], known[: len(known) // 3]
-    out, cells = np.zeros(len(owner)), GATES * STEPS
-    for raw, symbols, some in lanes.runs(lanes_at_once):
-        weight, long, run, got = lanes.weight[some].astype(np.float64), often[some], np.zeros(len(raw), np.int16), np.zeros(len(raw))
-        for live, bit, at in bits(code, raw, symbols, lanes.kind[some]):
-            at += len(counts) * bit
-            at[4:] += len(counts) * (2 - bit) * ~long[live]
+class Places:
+    """Places of all contexts of the decisions in turn: in the tables, then in the cells behind them."""
+
+    def __init__(self, which: np.ndarray | None):
+        self.which, self.next = which, 0
+
+    def at(self, short: np.ndarray) -> np.ndarray:
+        out = np.empty((CONTEXTS, short.shape[1]), np.int64)
+        out[:DENSE] = short
+        if self.which is None:  # no cells: the one that was never seen
+            out[DENSE:] = _STARTS[-1]
+        else:
+            n = (CONTEXTS - DENSE) * short.shape[1]
+            out[DENSE:] = self.which[self.next : self.next + n].reshape(CONTEXTS - DENSE, -1) + _STARTS[-1]
+            self.next += n
+        return out
+
+
+def learn(mixer: Mixer, code: Code, known: np.ndarray, lanes: Lanes, which: np.ndarray, n: int) -> np.ndarray:
+    """Online pass over lanes of ``n`` pairs: weights follow the error of each bit, the map counts what came.
+    known: from ``without_own``; which: from ``cells``. Gives the log10 probability each pair got before it was learned from."""
+    size, places = len(known) // 3, Places(which)
+    out, width = np.zeros(n), GATES * STEPS
+    for raw, symbols, some in lanes.runs(LEARN_LANES):
+        weight, run, got = lanes.weight[some].astype(np.float64), np.zeros(len(raw), np.int16), np.zeros(len(raw))
+        for live, bit, short, _, _ in bits(code, raw, symbols, lanes.kind[some]):
+            at = places.at(short)
+            at += size * bit
             x, gate, lean = inputs(known, at, run[live])
             logit, step = mixed(mixer, x, gate)
             w = weight[live]
@@ -399,8 +529,8 @@ def learn(mixer: Mixer, code: Code, known: np.ndarray, words: pa.Array, owner: n
             for i in range(len(x)):
                 push[:, i] = np.add.reduceat(x[i].take(order) * wrong, first)
             push[:, -1] = CONSTANT * np.add.reduceat(wrong, first)
-            mixer.weights[there] += RATE * push / total[:, None]
-            came = np.bincount((gate.astype(np.int64) * STEPS + step) * 2 + bit, w, 2 * cells).reshape(GATES, STEPS, 2)
+            mixer.weights[there] += RATE * push / np.maximum(total, 1e-9)[:, None]
+            came = np.bincount((gate.astype(np.int64) * STEPS + step) * 2 + bit, w, 2 * width).reshape(GATES, STEPS, 2)
             mixer.hits += came.sum(axis=2)
             mixer.ones += came[:, :, 1]
             follow(run, live, lean, bit)
@@ -409,17 +539,17 @@ def learn(mixer: Mixer, code: Code, known: np.ndarray, words: pa.Array, owner: n
 
 
 def score(mixer: Mixer, code: Code, counts: np.ndarray, words: pa.Array, owner: np.ndarray, kind: np.ndarray) -> np.ndarray:
-    """log10 probability of each pair from its bits."""
-    return score_known(refinement(mixer), mixer, code, facts(counts), words, owner, kind)
+    """log10 probability of each pair from its bits, by the tables alone."""
+    known = np.append(facts(counts), np.uint32(0))
+    return score_known(refinement(mixer), mixer, code, known, Lanes(words, kind, owner, np.ones(len(owner))), None, len(owner))
 
 
-def score_known(rate: np.ndarray, mixer: Mixer, code: Code, known: np.ndarray, words: pa.Array, owner: np.ndarray, kind: np.ndarray) -> np.ndarray:
-    lanes = Lanes(words, kind, owner, np.ones(len(owner)))
-    out = np.zeros(len(owner))
-    for raw, symbols, some in lanes.runs():
+def score_known(rate: np.ndarray, mixer: Mixer, code: Code, known: np.ndarray, lanes: Lanes, which: np.ndarray | None, n: int) -> np.ndarray:
+    out, places = np.zeros(n), Places(which)
+    for raw, symbols, some in lanes.runs(LEARN_LANES):
         got, run = np.zeros(len(raw)), np.zeros(len(raw), np.int16)
-        for live, bit, at in bits(code, raw, symbols, lanes.kind[some]):
-            x, gate, lean = inputs(known, at, run[live])
+        for live, bit, short, _, _ in bits(code, raw, symbols, lanes.kind[some]):
+            x, gate, lean = inputs(known, places.at(short), run[live])
             p = refined(rate, *mixed(mixer, x, gate), gate)
             got[live] += np.log(np.where(bit, p, 1 - p))
             follow(run, live, lean, bit)
@@ -432,21 +562,30 @@ def average(plain: np.ndarray, coded: np.ndarray, share: float | np.ndarray) ->
     return np.log10(share * plain + (1 - share) * 10.0 ** np.maximum(coded, -280)) + np.minimum(coded + 280, 0) * (plain == 0)
 
 
-def _learned(model, code: Code, least: int, n: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer, seen, gain, known = Mixer(), 0, np.zeros(len(SHARES)), None
-        for batch in gathered(batches):
-            known = without_own(model.value) if known is None else known
-            owner, kind, weight = _pairs(batch, True)
-            if len(owner):
-                often = batch.column("seen").to_numpy()[owner] >= least
-                coded = learn(mixer, code, known, batch.column("word"), owner, kind, weight, often)
-                plain = (sum(batch.column(f"t{k}").to_numpy() for k in range(4))[owner] - 1) / max(1, n - 1)
-                gain += [(weight * average(plain, coded, a)).sum() for a in SHARES]
-                seen += int(weight.sum())
-        if seen:
-            state = np.concatenate([mixer.weights.ravel(), mixer.hits.ravel(), mixer.ones.ravel(), gain])
-            yield pa.RecordBatch.from_arrays([pa.array([float(seen)]), pa.array([state.tobytes()], pa.binary())], ["seen", "state"])
+def _met(code: Code, batch: pa.RecordBatch, totals: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, Lanes, np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of a part, their lanes, and the keys, places and totals of the cells they meet."""
+    owner, kind, weight = _pairs(batch, False)
+    lanes = Lanes(batch.column("word"), kind, owner, weight)
+    keys, which, _ = cells(code, lanes, LEARN_LANES, False)
+    held = sorted(zip(totals.column("block").to_pylist(), totals.column("counts").to_pylist(), strict=True))
+    counts = np.concatenate([np.zeros(0, "<u4"), *(unpack(x, "<u4") for _, x in held)])
+    return owner, kind, weight, lanes, keys, which, counts
+
+
+def _learned(model, code: Code, n: int):
+    short = []
+
+    def run(words: pa.Table, totals: pa.Table) -> pa.Table:
+        mixer, gain, batch = Mixer(), np.zeros(len(SHARES)), _one(words)
+        if not short:
+            short.extend(facts(model.value, less) for less in (0, 1, None))
+        owner, _, weight, lanes, keys, which, counts = _met(code, batch, totals)
+        coded = learn(mixer, code, without_own(short, keys, counts), lanes, which, len(owner))
+        plain = (sum(batch.column(f"t{k}").to_numpy() for k in range(4))[owner] - 1) / max(1, n - 1)
+        own = weight > 0
+        gain += [(weight[own] * average(plain[own], coded[own], a)).sum() for a in SHARES]
+        state = np.concatenate([mixer.weights.ravel(), mixer.hits.ravel(), mixer.ones.ravel(), gain])
+        return pa.table({"seen": pa.array([float(weight.sum())]), "state": pa.array([state.tobytes()], pa.binary())})
 
     return run
 
@@ -459,16 +598,18 @@ def _unpack(state: bytes) -> tuple[Mixer, np.ndarray]:
 
 
 def _scored(model, code: Code, mixer: Mixer, share: float, n: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rate = None, refinement(mixer)
-        for batch in gathered(batches):
-            known = facts(model.value) if known is None else known
-            owner, kind, _ = _pairs(batch, False)
-            grid = np.zeros((batch.num_rows, 4))
-            c = sum(batch.column(f"t{k}").to_numpy() for k in range(4))
-            if len(owner):
-                grid[owner, kind] = average(c[owner] / max(1, n), score_known(rate, mixer, code, known, batch.column("word"), owner, kind), share)
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("seen"), pa.array(c), *(pa.array(grid[:, k]) for k in range(4))], ["word", "seen", "c", "p0", "p1", "p2", "p3"])
+    short, rate = [], refinement(mixer)
+
+    def run(words: pa.Table, totals: pa.Table) -> pa.Table:
+        batch = _one(words)
+        if not short:
+            short.append(facts(model.value))
+        owner, kind, _, lanes, keys, which, counts = _met(code, batch, totals)
+        known = np.concatenate([short[0], long_facts(keys, counts)])
+        grid = np.zeros((batch.num_rows, 4))
+        c = sum(batch.column(f"t{k}").to_numpy() for k in range(4))
+        grid[owner, kind] = average(c[owner] / max(1, n), score_known(rate, mixer, code, known, lanes, which, len(owner)), share)
+        return pa.table([batch.column("word"), batch.column("seen"), pa.array(c), *(pa.array(grid[:, k]) for k in range(4))], ["word", "seen", "c", "p0", "p1", "p2", "p3"])
 
     return run
 
@@ -489,19 +630,15 @@ def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def scored_vocabulary(vocab: DataFrame, n: int) -> DataFrame:
     """(word, seen, c, p0..p3): training count and log10 probability after each kind of token met; n: training tokens.
 
-    Words are dealt by range and coded in order: neighbours share their first contexts, so the
-    tables are read where they have just been read."""
+    Words are dealt by range and coded in order: neighbours share their contexts, so that the cells
+    of a part are few. Their number follows the vocabulary alone, not the session's settings."""
     spark = vocab.sparkSession
-    size = vocab.count()
-    least = least_seen(vocab, LONG_WORDS)
-    # a task's tables are of fixed size whatever it counts: no more tasks than keep them busy
-    tasks = max(1, min(-(-size // WORDS_AT_ONCE), int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    learned = vocab.where("t0 + t1 + t2 + t3 > 0")
+    dealt, parts = deal(vocab)
     times = np.zeros(256, np.int64)
     for r in vocab.mapInArrow(_bytes, "times binary").collect():
         times += np.frombuffer(r["times"], np.int64)
     code = Code(times)
-    partial = learned.repartitionByRange(tasks, "word").sortWithinPartitions("word").mapInArrow(_tables(code, least), "block long, counts binary")
+    partial = dealt.mapInArrow(_tables(code), "block long, counts binary")
     blocks = partial.groupBy("block").applyInArrow(_merged, "block long, counts binary").collect()
     counts = np.zeros(int(_STARTS[-1]), np.uint32)
     for r in blocks:
@@ -509,12 +646,14 @@ def scored_vocabulary(vocab: DataFrame, n: int) -> DataFrame:
         counts[r["block"] * BLOCK : r["block"] * BLOCK + len(part)] = part
     del blocks
     model = spark.sparkContext.broadcast(counts)
-    states = learned.repartitionByRange(tasks, "word").sortWithinPartitions("word").mapInArrow(_learned(model, code, least, n), "seen double, state binary").collect()
-    parts = [(r["seen"], *_unpack(bytes(r["state"]))) for r in sorted(states, key=lambda r: bytes(r["state"]))]
-    mixer = Mixer.mean([(seen, m) for seen, m, _ in parts])
-    share = float(SHARES[int(np.argmax(sum(g for *_, g in parts)))]) if parts else 0.0
-    ordered = vocab.repartitionByRange(tasks, "word").sortWithinPartitions("word")
-    return ordered.mapInArrow(_scored(model, code, mixer, share, n), "word string, seen long, c long, p0 double, p1 double, p2 double, p3 double")
+    met = dealt.groupBy("part").applyInArrow(_cells(code, parts), _CELLS)
+    totals = materialise(met.groupBy("block").applyInArrow(_totals, _TOTALS), "totals").groupBy("part")
+    words = dealt.groupBy("part")
+    states = words.cogroup(totals).applyInArrow(_learned(model, code, n), "seen double, state binary").collect()
+    learned = [(r["seen"], *_unpack(bytes(r["state"]))) for r in sorted(states, key=lambda r: bytes(r["state"])) if r["seen"]]
+    mixer = Mixer.mean([(seen, m) for seen, m, _ in learned])
+    share = float(SHARES[int(np.argmax(sum(g for *_, g in learned)))]) if learned else 0.0
+    return words.cogroup(totals).applyInArrow(_scored(model, code, mixer, share, n), "word string, seen long, c long, p0 double, p1 double, p2 double, p3 double")
 
 
 # Documents --------------------------------------------------------------------------------------

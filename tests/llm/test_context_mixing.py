@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 
 from lodestone.llm import context_mixing as cm
 from lodestone.llm.common import slices
@@ -91,3 +92,44 @@ def test_long_words_and_odd_rows(spark):
     assert by[6]["score"] == by[7]["score"]
     assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in got)
     assert cm.score_documents(docs.where("false")).count() == 0
+
+
+def test_every_long_context_counts():
+    """Cells of long contexts over parts of a vocabulary: every word's counts, rare ones too, none dropped or mixed up."""
+    rng = random.Random(4)
+    vocab = sorted({"".join(rng.choice("abcdeé") for _ in range(rng.randrange(14))) for _ in range(3000)} | {"x" * 70})
+    seen = [1 + (i % 900 == 0) * 10**5 for i in range(len(vocab))]
+    code = cm.Code(np.array([rng.randrange(999) for _ in range(256)]))
+    # counts by (context, byte decision), by hand: pieces of 64 bytes, the last six bytes, the prefix with its kind
+    want = Counter()
+    for w, n in zip(vocab, seen, strict=True):
+        raw = w.encode()
+        for at in range(0, len(raw) + 1, cm.PIECE):
+            piece = raw[at : at + cm.PIECE] + (b" " if len(raw) < at + cm.PIECE else b"")
+            for i, byte in enumerate(piece):
+                last = (b" " * 6 + piece[:i])
+                for context in ((4, last[-4:]), (6, last[-6:]), (9, at > 0, piece[:i])):
+                    for j in range(code.size[byte]):
+                        want[(*context, code.node[j, byte], code.bit[j, byte])] += n
+    none = pa.array([0] * len(vocab))
+    table = pa.table({"word": vocab, "t0": none, "t1": none, "t2": none, "t3": seen, "seen": seen, "used": [8] * len(vocab)})
+    parts = [table.slice(0, 1100), table.slice(1100)]
+    met = [cm._cells(code, 3)((pa.scalar(i),), t) for i, t in enumerate(parts)]
+    every = pa.concat_tables(met)
+    totals = pa.concat_tables([cm._totals((pa.scalar(b),), every.filter(pa.compute.equal(every.column("block"), b))) for b in range(3)])
+    exact, got = {}, {}
+    for i, part in enumerate(parts):
+        *_, keys, _, counts = cm._met(code, part.combine_chunks().to_batches()[0], totals.filter(pa.compute.equal(totals.column("part"), i)))
+        assert len(keys) == len(counts)
+        got.update(zip(keys.tolist(), counts.tolist(), strict=True))
+        own = Counter()
+        for row in met[i].to_pylist():
+            for k, z, o in zip(np.cumsum(cm.unpack(row["keys"], "<u8"), dtype=np.uint64).tolist(), cm.unpack(row["zeros"], "<i8").tolist(), cm.unpack(row["ones"], "<i8").tolist(), strict=True):
+                exact[k] = tuple(np.add(exact.get(k, (0, 0)), (z, o)).tolist())
+                own[k] += 1
+        assert max(own.values()) == 1
+    pairs = {}
+    for key, n in want.items():
+        pairs.setdefault(key[:-1], [0, 0])[key[-1]] += n
+    assert Counter(exact.values()) == Counter(map(tuple, pairs.values()))
+    assert got == {k: int(cm.packed(np.array([v]))[0]) for k, v in exact.items()}
