@@ -1,74 +1,58 @@
 """Language-model scoring by online logistic context mixing.
 
-A text is a run of tokens (words, then an end). Each token is coded bit by bit: the bytes of the
-word, then an end mark. Predictors of a bit are counts, one for each context: the last 1, 2, 3, 4
-and 6 bytes within the word, and the whole prefix together with the kind of token before it. Those of
-the last 1 to 3 bytes lie in hashed tables of fixed size; the longer ones, whose number grows with
-the corpus, are kept exactly: cells by a 64-bit key, summed by ranges of keys. Their logits are combined with weights picked by a gate (the longest
-context seen, how often, how long it has been right), learned online; an adaptive map from the mixed
-logit to the observed rate refines the result. A token's probability from its bits and its plain
-relative frequency are averaged, with the share that foretells left-out occurrences best. All
-tokens' probabilities sum to one, spelled-out unknown words included, so the score is the log
-probability of the whole text, and total bits per byte follow.
-
-Within a token nothing depends on the document, so each distinct (token, kind before it) is coded
-once, with its count: training and scoring cost what the vocabulary costs, not what the text does.
-A token's own occurrence is taken out of the counts while weights are learned.
-
-Spark moves: token counts (combined before the shuffle); partial tables by block; cells of long
-contexts to their range of keys and their totals back to each part of the vocabulary that meets them;
-rare tokens of documents joined to their scores. Broadcast: the tables of fixed size, the weights, and at most
-``FREQUENT`` scored tokens; all others take the join.
+A text is a run of tokens (words, then an end). A token is coded bit by bit: whether it is new to the
+corpus, then for a known one the 12 leading bits of its hash, for a new one the eight bits of each of
+its letters. Each bit is predicted from several hashed contexts: for known words no context, the word
+before, and the two words before; for letters the last 2, 4 and 6 of the word. The predictors' logits
+are combined with weights picked by a gate (how often each context was seen, whether it ever went both
+ways, how long the text has been following known triples of words), learned online; an adaptive map
+from the mixed logit to the observed rate refines the result. Words that share the 12 bits are told
+apart by averaging the contexts' shares, and the text's own words so far, counted as it is read, are
+averaged in. Every step is a distribution, so the score is a true log probability, and total bits per
+byte follow.
+
+Counts of a context are those of all training text, held as sorted 64-bit keys: context first, then
+the leading bits of what followed it, so a bit's counts are those of a stretch of neighbouring keys.
+Nothing has a fixed size: keys grow with the corpus. Words and contexts are told apart by 64 and 44
+bits of hash; two that meet share their counts.
+
+Spark moves: rows are dealt by hash to slices of about ``SLICE_BYTES``, so what a slice holds (and learns
+from, on its own, before weights are averaged) follows from the rows, not from how the session cuts
+them. A slice sends its distinct keys with their counts to ranges of keys, at most ``FAN`` lists to a
+task (more are merged level by level), and gets back one byte for each bit to be predicted. Only the
+weights and the totals of 4,096 buckets are sent to every task.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, slices, table
-
-#: Bits of the size of the tables for the last 1, 2 and 3 bytes.
-TABLE_BITS = (16, 20, 21)
-ORDERS = (1, 2, 3, 4, 6)
-#: Contexts: those of ORDERS and the whole prefix with the kind before; all without a table are kept by key.
-CONTEXTS = len(ORDERS) + 1
-DENSE = len(TABLE_BITS)
-#: Words coded together with the cells of their long contexts in memory.
-PART_WORDS = 12_500
-KINDS = 5  # before a token: start, sentence end, other punctuation, other; 4: the middle of a long word
-WORDS_AT_ONCE = 150_000
-PIECE = 64  # bytes of a word coded at once; longer words go on in a further piece
-LANES = 16384
-LEARN_LANES = 4096
-FREQUENT = 150_000
-BLOCK = 1 << 16
-GATES, STEPS = 6 * 4 * 4, 33
-SHARES = np.arange(0.05, 1.0, 0.05)
-RATE, PRIOR, CONSTANT = 0.02, 0.4, 0.3
+from .common import discard, materialise, table
+
+SLICE_BYTES, RANGE_BYTES, FAN = 8 << 20, 16 << 20, 128
+#: Bits mixed for a known word, and bits that tell it apart within a context; bits of a letter.
+DEPTH, CODE, LETTER = 12, 20, 8
+#: Letters before, for each context of a letter.
+LETTERS = (2, 4, 6)
+CHUNK = 1 << 15
+PRIOR, STEPS = 0.4, 33
+GATES = 8 * 8 * 4  # of the longer context, the shorter, and the run of known triples
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-#: Tables end to end, the largest first, so that each begins at a multiple of its size.
-_PLACED = sorted(range(len(TABLE_BITS)), key=lambda k: -TABLE_BITS[k])
-_STARTS = np.concatenate([[0], np.cumsum([1 << TABLE_BITS[k] for k in _PLACED])])
-_BEGIN = np.array([_STARTS[_PLACED.index(k)] for k in range(len(TABLE_BITS))])
-_SHIFT = np.array([64 - b for b in TABLE_BITS], np.uint64)
-_KIND = np.full(256, 3, np.int64)
-_KIND[list(b".!?")] = 1
-_KIND[list(b",;:")] = 2
+_LOW = np.uint64((1 << CODE) - 1)
 
 # Tokens -----------------------------------------------------------------------------------------
 
 
-def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """Tokens of all texts in order (the end is the empty string), the row of each, and the kind before it."""
+def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Tokens of all texts in order (the end is the empty string) and the row of each; null counts as empty."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     words = pc.ascii_split_whitespace(pc.ascii_lower(texts))
     row = pc.list_parent_indices(words).to_numpy(zero_copy_only=False)
@@ -76,196 +60,86 @@ def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     real = pc.greater(pc.binary_length(flat), 0)
     row, flat = row[real.to_numpy(zero_copy_only=False)], flat.filter(real)
     counts = np.bincount(row, minlength=len(texts))
-    ends = np.cumsum(counts + 1) - 1
     source = np.full(int(counts.sum()) + len(texts), len(flat))
     mine = np.ones(len(source), bool)
-    mine[ends] = False
+    mine[np.cumsum(counts + 1) - 1] = False
     source[mine] = np.arange(len(flat))
     out = pa.concat_arrays([flat, pa.array([""], pa.large_string())]).take(pa.array(source))
-    rows = np.repeat(np.arange(len(texts)), counts + 1)
-    stops = np.frombuffer(flat.buffers()[1], np.int64)[flat.offset : flat.offset + len(flat) + 1] if len(flat) else np.zeros(1, np.int64)
-    data = np.frombuffer(flat.buffers()[2], np.uint8) if len(flat) and flat.buffers()[2] else np.zeros(1, np.uint8)
-    kind = np.zeros(len(source), np.int64)
-    last = np.full(len(source), -1)
-    last[mine] = data[stops[1:] - 1] if len(flat) else 0
-    before = last[:-1]
-    kind[1:] = np.where(before >= 0, _KIND[np.maximum(before, 0)], 0)
-    return out, rows, kind
+    return out, np.repeat(np.arange(len(texts)), counts + 1)
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 1, F.lit(False))
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch):
-            words, rows, kind = tokens(part.column("text"))
-            coded = words.dictionary_encode()
-            at = coded.indices.to_numpy() * 4 + kind
-            n = 4 * len(coded.dictionary)
-            learn = ~part.column("held_out").to_numpy(zero_copy_only=False)[rows]
-            seen = np.bincount(at, minlength=n).reshape(-1, 4)
-            train = np.bincount(at[learn], minlength=n).reshape(-1, 4)
-            used = ((seen > 0) << np.arange(4)).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([coded.dictionary.cast(pa.string()), *(pa.array(train[:, k]) for k in range(4)), pa.array(seen.sum(axis=1)), pa.array(used)], ["word", "t0", "t1", "t2", "t3", "seen", "used"])
-
-
-def vocabulary(rows: DataFrame) -> DataFrame:
-    """(word, t0..t3, seen, used): training counts after each kind of token, all occurrences, and a bit for each kind met."""
-    counted = rows.select("text", "held_out").mapInArrow(_counted, "word string, t0 long, t1 long, t2 long, t3 long, seen long, used long")
-    return counted.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("t0", "t1", "t2", "t3", "seen")], F.bit_or("used").alias("used"))
-
-
-# The bit model ----------------------------------------------------------------------------------
-
-
-class Lanes:
-    """Pieces of words side by side: bytes with the end mark (a blank), lengths, kind before, weight, owner."""
-
-    def __init__(self, words: pa.Array, kind: np.ndarray, owner: np.ndarray, weight: np.ndarray):
-        """words: distinct words; kind, owner (index of a word), weight: of each pair to code."""
-        words = words.cast(pa.large_binary())
-        stops = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
-        data = np.frombuffer(words.buffers()[2], np.uint8) if words.buffers()[2] else np.zeros(1, np.uint8)
-        size = np.diff(stops)[owner]
-        parts = size // PIECE + 1
-        pair = np.repeat(np.arange(len(owner)), parts)
-        nth = np.arange(len(pair)) - np.repeat(np.cumsum(parts) - parts, parts)
-        length = np.minimum(size[pair] - nth * PIECE, PIECE)
-        ends = length < PIECE
-        order = np.argsort(length + ends, kind="stable")
-        self.pair, self.first, self.length, self.ends = pair[order], (stops[owner[pair]] + nth * PIECE)[order], length[order], ends[order]
-        self.kind = np.where(nth == 0, kind[pair], 4)[order]
-        self.weight = weight[pair][order]
-        self.data = data
-
-    def runs(self, lanes: int = LANES) -> Iterator[tuple[np.ndarray, np.ndarray, slice]]:
-        """(bytes, symbols of each, which) of runs of lanes, the longest last."""
-        for at in range(0, len(self.pair), lanes):
-            some = slice(at, min(at + lanes, len(self.pair)))
-            length, ends = self.length[some], self.ends[some]
-            wide = int((length + ends).max(initial=0))
-            grid = np.arange(wide)[None, :]
-            raw = np.where(grid < length[:, None], self.data[np.minimum(self.first[some][:, None] + grid, len(self.data) - 1)], 32).astype(np.uint8)
-            yield raw, length + ends, some
-
-
-class Contexts:
-    """Places of the contexts of each byte in turn: its last bytes and the whole prefix, carried along."""
-
-    def __init__(self, raw: np.ndarray, kind: np.ndarray):
-        self.raw = raw
-        self.last = np.full(len(raw), 32, np.uint64)
-        self.whole = (kind.astype(np.uint64) + np.uint64(77)) * _B
-
-    def at(self, first: int) -> tuple[np.ndarray, np.ndarray]:
-        """Contexts by lanes from ``first`` on, before the decision's own part: places in the tables, and keys of the long ones."""
-        z = np.empty((CONTEXTS, len(self.raw) - first), np.uint64)
-        for k, order in enumerate(ORDERS):
-            np.bitwise_and(self.last[first:], np.uint64((1 << 8 * order) - 1), out=z[k])
-            z[k] += np.uint64((order << 56) + 1)
-        z[-1] = self.whole[first:]
-        z ^= z >> np.uint64(31)
-        z *= _A
-        z ^= z >> np.uint64(29)
-        z *= _B
-        return (z[:DENSE] >> _SHIFT[:, None]).astype(np.int64) + _BEGIN[:, None], z[DENSE:]
-
-    def take(self, byte: int, first: int) -> None:
-        new = self.raw[first:, byte].astype(np.uint64)
-        self.last[first:] = self.last[first:] << np.uint64(8) | new
-        self.whole[first:] = (self.whole[first:] + new + np.uint64(1)) * _A
-
-
-class Code:
-    """Huffman code of the byte values: frequent ones take fewer bits, so fewer decisions to predict."""
-
-    def __init__(self, times: np.ndarray):
-        heap = [(int(t) + 1, i, i) for i, t in enumerate(times)]  # each value can occur
-        heapq.heapify(heap)
-        up = {}
-        for node in range(256, 511):
-            (a, _, x), (b, _, y) = heapq.heappop(heap), heapq.heappop(heap)
-            up[x], up[y] = (node, 0), (node, 1)
-            heapq.heappush(heap, (a + b, node, node))
-        paths = []
-        for i in range(256):
-            path = []
-            while i in up:
-                path.append(up[i])
-                i = up[i][0]
-            paths.append(path[::-1])
-        self.size = np.array([len(x) for x in paths])
-        self.node, self.bit = np.zeros((2, int(self.size.max()), 256), np.int64)
-        for i, path in enumerate(paths):
-            for j, (node, bit) in enumerate(path):
-                self.node[j, i], self.bit[j, i] = node, bit
-        self.place = self._places()
-        self.mark = (self.node.astype(np.uint64) + np.uint64(1)) * _A
-        self.mark ^= self.mark >> np.uint64(29)
-        self.mark *= _B
-
-    def _places(self) -> np.ndarray:
-        """What a decision adds to the place of a context, by table, depth and byte value. Three decisions
-        in turn lie within eight neighbouring counts, so that they are met in one read of memory."""
-        out = np.zeros((len(TABLE_BITS), *self.node.shape), np.int64)
-        near, group = np.ones(256, np.int64), np.zeros(256, np.uint64)
-        for j in range(len(self.node)):
-            if j % 3 == 0:
-                near[:], group = 1, (self.node[j].astype(np.uint64) + np.uint64(1)) * _A
-                group ^= group >> np.uint64(32)
-                group *= _B
-            out[:, j] = (group >> _SHIFT[:, None]).astype(np.int64) ^ near
-            near = 2 * near + self.bit[j]
-        return out
-
-
-def bits(code: Code, raw: np.ndarray, symbols: np.ndarray, kind: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(lanes, the bit of each, places in the tables, contexts before the decision's part, that part) for each decision in turn; lanes are in order of symbols."""
-    contexts = Contexts(raw, kind)
-    for at in range(raw.shape[1]):
-        first = int(np.searchsorted(symbols, at, side="right"))
-        (context, long), byte = contexts.at(first), raw[first:, at]
-        live = np.arange(first, len(raw))
-        for j in range(len(code.node)):
-            if j:
-                some = np.flatnonzero(code.size[byte] > j)
-                if not len(some):
-                    break
-                if len(some) < len(byte):
-                    live, byte, context, long = live[some], byte[some], context.take(some, axis=1), long.take(some, axis=1)
-            yield live, code.bit[j][byte], context ^ code.place[:, j].take(byte, axis=1), long, code.mark[j].take(byte)
-        contexts.take(at, first)
-
-
-_TABLE = np.arange(CONTEXTS - DENSE, dtype=np.uint64)[:, None]
-
-
-def cells(code: Code, lanes: Lanes, lanes_at_once: int, add: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-    """(keys in order, which of them each decision meets, with ``add`` sums of the weights of its zeros and ones by key).
-    A key is the hash of a long context and a decision; its last two bits say which context."""
-    keys, bit_of, weight_of = [], [], []
-    for raw, symbols, some in lanes.runs(lanes_at_once):
-        weight = lanes.weight[some]
-        for live, bit, _, long, mark in bits(code, raw, symbols, lanes.kind[some]):
-            keys.append(((long ^ mark) & np.uint64(2**64 - 4) | _TABLE).ravel())
-            if add:
-                bit_of.append(np.tile(bit.astype(np.int8), len(long)))
-                weight_of.append(np.tile(weight[live], len(long)))
-    if not keys:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros((0, 2))
-    keys = np.concatenate(keys)
-    found, which = np.unique(keys, return_inverse=True)
-    del keys
-    which = which.astype(np.int32)
-    sums = np.bincount(2 * which + np.concatenate(bit_of), np.concatenate(weight_of), 2 * len(found)).reshape(-1, 2) if add else None
-    return found, which, sums
-
-
-def ranges(keys: np.ndarray, n: int) -> np.ndarray:
-    """Where each of ``n`` equal ranges of keys begins, and the end."""
-    return np.searchsorted(keys, np.array([i * 2**64 // n for i in range(n)], np.uint64)).tolist() + [len(keys)]
+def spread(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * _A
+    x = (x ^ (x >> np.uint64(29))) * _B
+    return x ^ (x >> np.uint64(32))
+
+
+class Slice:
+    """Rows of a slice in an order that follows from their content, their tokens, and keys by order of context:
+    0 words, 1 and 2 words after one and two words before, 3 to 5 letters after those of LETTERS."""
+
+    def __init__(self, rows: pa.Table):
+        rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
+        self.rows, self.n = rows, rows.num_rows
+        text = rows.column("text").combine_chunks() if isinstance(rows.column("text"), pa.ChunkedArray) else rows.column("text")
+        words, self.row = tokens(text)
+        coded = words.dictionary_encode()
+        self.word, self.words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.cast(pa.large_binary())
+        self.hash = np.array([xxhash.xxh64_intdigest(w, 7) for w in self.words.to_pylist()], np.uint64)
+        self.train = ~rows.column("held_out").to_numpy(zero_copy_only=False)[self.row]
+        self.first = np.flatnonzero(np.diff(self.row, prepend=-1))
+        self.at = np.arange(len(self.row)) - self.first[self.row]  # place in the text
+        self.trained = np.bincount(self.word[self.train], minlength=len(self.words))
+
+    def by_word(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.argsort(self.hash, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return self.hash[order], self.trained[order], place[self.word]
+
+    def by_words(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For contexts of one and two words: sorted keys, training counts, the key of each token."""
+        h = self.hash[self.word]
+        one = np.where(self.at > 0, np.roll(h, 1), np.uint64(1))
+        two = np.where(self.at > 1, np.roll(h, 2), np.uint64(2))
+        for context in (spread(one + np.uint64(11)), spread(one * _B + spread(two + np.uint64(23)))):
+            keys, which = np.unique((context & ~_LOW) | (h >> np.uint64(64 - CODE)), return_inverse=True)
+            yield keys, np.bincount(which[self.train], minlength=len(keys)), which
+
+    def by_letters(self) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
+        """For contexts of letters: sorted keys, how many training words of the slice have each, the key of each place
+        (longest context last); then the word of each place, and where the places of each word begin."""
+        stops = np.frombuffer(self.words.buffers()[1], np.int64)[self.words.offset : self.words.offset + len(self.words) + 1]
+        size = np.diff(stops)
+        begin = np.concatenate([[0], np.cumsum(size + 1)])
+        data = np.full(begin[-1], 32, np.uint64)
+        there = np.ones(begin[-1], bool)
+        there[begin[1:] - 1] = False
+        if stops[-1] > stops[0]:
+            data[there] = np.frombuffer(self.words.buffers()[2], np.uint8)[stops[0] : stops[-1]]
+        of = np.repeat(np.arange(len(size)), size + 1)
+        nth = np.arange(begin[-1]) - begin[of]
+        raw = data.copy()
+        for k in range(1, max(LETTERS) + 1):
+            raw |= np.where(nth >= k, np.roll(data, k), np.uint64(32)) << np.uint64(8 * k)
+        mine = (self.trained > 0)[of]
+        found, which = np.unique(raw, return_inverse=True)
+        seen = np.bincount(which[mine], minlength=len(found))
+        out = []
+        for k in reversed(LETTERS):
+            if out:  # a shorter context's keys come from the distinct keys of the longer one
+                found, merged = np.unique(found & np.uint64((1 << 8 * (k + 1)) - 1), return_inverse=True)
+                which, seen = merged[which], np.bincount(merged, seen, len(found)).astype(np.int64)
+            keys = (found >> np.uint64(8)) * _A << np.uint64(16) | (found & np.uint64(255)) << np.uint64(8)
+            order = np.argsort(keys)
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            out.append((keys[order], seen[order], place[which]))
+        return out[::-1], of, begin
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -278,474 +152,466 @@ def unpack(x: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.decompress(x), np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
-def gathered(batches: Iterator[pa.RecordBatch], rows: int = WORDS_AT_ONCE) -> Iterator[pa.RecordBatch]:
-    """Batches of about ``rows`` rows: a step costs a call for each array operation, so lanes should be many."""
-    held, size = [], 0
-    for batch in batches:
-        held.append(batch)
-        size += batch.num_rows
-        if size >= rows:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held, size = [], 0
-    if size:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-
-def _pairs(batch: pa.RecordBatch, train: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(owner, kind, weight) of the pairs of a vocabulary batch that have training counts, or that occur at all."""
-    counts = np.stack([batch.column(f"t{k}").to_numpy() for k in range(4)], axis=1)
-    there = counts > 0 if train else (batch.column("used").to_numpy()[:, None] >> np.arange(4) & 1).astype(bool)
-    owner, kind = np.nonzero(there)
-    return owner, kind, counts[owner, kind]
-
-
-def _tables(code: Code):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Counts of the bits after each short context, for this task's part of the vocabulary, by block."""
-        counts = np.zeros(2 * int(_STARTS[-1]), np.float32)
-        for batch in gathered(batches):
-            owner, kind, weight = _pairs(batch, True)
-            if not len(owner):
-                continue
-            lanes = Lanes(batch.column("word"), kind, owner, weight)
-            for raw, symbols, some in lanes.runs():
-                weight = lanes.weight[some].astype(np.float32)
-                for live, bit, at, _, _ in bits(code, raw, symbols, lanes.kind[some]):
-                    for cell in 2 * at + bit:
-                        np.add.at(counts, cell, weight[live])
-        for block in range(-(-len(counts) // (2 * BLOCK))):
-            part = counts[2 * block * BLOCK : 2 * (block + 1) * BLOCK]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([zstandard.compress(part.tobytes(), 1)], pa.binary())], ["block", "counts"])
-
-    return run
-
-
-_CELLS = "part int, block int, keys binary, zeros binary, ones binary"
-_TOTALS = "part int, block int, counts binary"
-
-
-def _one(table: pa.Table) -> pa.RecordBatch:
-    """A part of the vocabulary in the order of its words, however its rows arrived."""
-    return table.sort_by("word").combine_chunks().to_batches()[0]
-
+# Counts by key ----------------------------------------------------------------------------------
 
-def _dealt(borders: list[str]):
-    borders = np.array([w.encode() for w in borders], object)
+_LISTS = "ord int, rng int, id long, keys binary, counts binary"
+_TOTALS = "ord int, rng int, id long, data binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = np.array(batch.column("word").cast(pa.binary()).to_pylist(), object)
-            yield batch.append_column("part", pa.array(np.searchsorted(borders, words, side="right"), pa.int32()))
-
-    return run
-
-
-def deal(vocab: DataFrame) -> tuple[DataFrame, int]:
-    """``vocab`` with its part, and the number of parts: ranges of about PART_WORDS words, the same whatever the session's settings
-    and the order of rows are, as the borders are drawn by hash."""
-    parts = max(1, -(-vocab.count() // PART_WORDS))
-    drawn = sorted((r["word"] for r in vocab.select("word").orderBy(F.xxhash64("word"), "word").limit(32 * parts).collect()), key=str.encode)
-    borders = drawn[32::32] if parts > 1 else []
-    columns = "word string, t0 long, t1 long, t2 long, t3 long, seen long, used long, part int"
-    return vocab.select(*[c.split()[0] for c in columns.split(", ")[:-1]]).mapInArrow(_dealt(borders), columns), parts
 
+def _listed(ranges: int):
+    cuts = np.array([(i * 2**64 // ranges) & ~int(_LOW) for i in range(ranges)], np.uint64)
 
-def _cells(code: Code, blocks: int):
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        """The cells that a part of the vocabulary meets, and what it adds to each, by range of keys."""
-        batch = _one(rows)
-        owner, kind, weight = _pairs(batch, False)
-        keys, _, sums = cells(code, Lanes(batch.column("word"), kind, owner, weight), LEARN_LANES, True)
-        cut = ranges(keys, blocks)
-        out = [(b, x, y) for b, (x, y) in enumerate(zip(cut, cut[1:], strict=False)) if y > x]
-        return pa.table({
-            "part": pa.array([key[0].as_py()] * len(out), pa.int32()),
-            "block": pa.array([b for b, *_ in out], pa.int32()),
-            "keys": pa.array([pack(np.diff(keys[x:y], prepend=np.uint64(0))) for _, x, y in out], pa.binary()),
-            "zeros": pa.array([pack(sums[x:y, 0].astype(np.int64)) for _, x, y in out], pa.binary()),
-            "ones": pa.array([pack(sums[x:y, 1].astype(np.int64)) for _, x, y in out], pa.binary()),
-        })
+        """Distinct keys of a slice with their training counts, by range; a context's keys are in one range."""
+        own, out = Slice(rows), []
+        for o, (keys, counts, _) in enumerate([own.by_word(), *own.by_words(), *own.by_letters()[0]]):
+            at = [*np.searchsorted(keys, cuts).tolist(), len(keys)]
+            out += [(o, r, pack(np.diff(keys[a:b], prepend=np.uint64(0))), pack(counts[a:b].astype("<i8"))) for r, (a, b) in enumerate(zip(at, at[1:], strict=False)) if b > a]
+        o, r, k, c = zip(*out, strict=True)
+        return pa.table({"ord": pa.array(o, pa.int32()), "rng": pa.array(r, pa.int32()), "id": pa.array([key[0].as_py()] * len(o), pa.int64()), "keys": pa.array(k, pa.binary()), "counts": pa.array(c, pa.binary())})
 
     return run
 
 
-def _totals(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-    """Totals of the cells in a range of keys, for each part in the order of its keys; pairs as two 16-bit numbers in proportion."""
+def _joined(rows: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Lists in order of their ids, the keys of all, sums of their counts, and which key each list's are."""
+    rows = rows.sort_by("id")
     keys = [np.cumsum(unpack(x, "<u8"), dtype=np.uint64) for x in rows.column("keys").to_pylist()]
     found, which = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.stack([np.bincount(which, np.concatenate([unpack(x, "<i8") for x in rows.column(c).to_pylist()]), len(found)) for c in ("zeros", "ones")], axis=1)
-    kept = packed(total)
-    ends = np.cumsum([len(x) for x in keys])[:-1]
-    return pa.table({"part": rows.column("part"), "block": rows.column("block"), "counts": pa.array([pack(kept[x]) for x in np.split(which, ends)], pa.binary())})
-
-
-def packed(total: np.ndarray) -> np.ndarray:
-    """Pairs of counts as one 32-bit number each: two 16-bit ones in proportion, the zeros lowest."""
-    kept = np.minimum(np.ceil(total * np.minimum(1.0, 65535 / np.maximum(total.max(axis=1), 1))[:, None]), 65535)
-    return np.ascontiguousarray(kept.astype("<u2")).view("<u4").ravel()
+    total = np.bincount(which, np.concatenate([unpack(x, "<i8") for x in rows.column("counts").to_pylist()]), len(found)).astype(np.int64)
+    return rows, found, total, np.split(which, np.cumsum([len(x) for x in keys])[:-1])
 
 
 def _merged(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-    """One block, each pair of counts as two 16-bit numbers in proportion."""
-    total = sum(np.frombuffer(zstandard.decompress(x), np.float32).astype(np.float64) for x in rows.column("counts").to_pylist()).reshape(-1, 2)
-    return pa.table({"block": pa.array([key[0].as_py()]), "counts": pa.array([zstandard.compress(packed(total).tobytes(), 1)], pa.binary())})
+    _, found, total, _ = _joined(rows)
+    o, r, i = (k.as_py() for k in key)
+    return pa.table({"ord": pa.array([o], pa.int32()), "rng": pa.array([r], pa.int32()), "id": pa.array([i], pa.int64()), "keys": pa.array([pack(np.diff(found, prepend=np.uint64(0)))], pa.binary()), "counts": pa.array([pack(total)], pa.binary())})
+
+
+# What a predictor knows of a bit, in one byte: counts (seen, of them the way taken) up to SMALL exactly, above
+# that the logit, or that it always went one way. Both ways' bytes mirror each other, so they sum to one.
+SMALL = 16
+_SEEN = np.concatenate([np.full(a + 1, a) for a in range(SMALL + 1)])
+_TOOK = np.concatenate([np.arange(a + 1) for a in range(SMALL + 1)])
+_EXACT, _WIDE = len(_SEEN), 100
+_ALWAYS, _NEVER = _EXACT + _WIDE, _EXACT + _WIDE + 1
+
+
+def state(seen: np.ndarray, took: np.ndarray) -> np.ndarray:
+    small = seen <= SMALL
+    a = np.where(small, seen, 0)
+    with np.errstate(divide="ignore"):
+        logit = np.log((took + PRIOR) / (seen - took + PRIOR))
+    wide = np.where(took == seen, _ALWAYS, np.where(took == 0, _NEVER, _EXACT + np.clip(np.floor(logit * 5) + 50, 0, 99))).astype(np.int64)
+    return np.where(small, a * (a + 1) // 2 + np.where(small, took, 0), wide).astype(np.uint8)
+
+
+def share_state(seen: np.ndarray, took: np.ndarray) -> np.ndarray:
+    """The same for a share of a bucket: above SMALL rounded down, so that shares sum to one at most."""
+    small = seen <= SMALL
+    a = np.where(small, seen, 0)
+    wide = _EXACT + np.clip(np.ceil(-6 * np.log2(np.maximum(took, 1e-9) / np.maximum(seen, 1))), 0, 100)
+    return np.where(small, a * (a + 1) // 2 + np.where(small, took, 0), np.where(took == 0, 255, wide)).astype(np.uint8)
+
+
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Logit, class (for the gate), share and whether any, by state; the second 256 with one occurrence of the way taken left out."""
+    logit, kind, share = np.zeros(512, np.float32), np.zeros(512, np.uint8), np.zeros(512)
+    hits = np.zeros(512, bool)
+    for own in (0, 1):
+        a, b = np.maximum(_SEEN - own, 0), np.maximum(_TOOK - own, 0)
+        at = slice(256 * own, 256 * own + _EXACT)
+        logit[at] = np.log((b + PRIOR) / (a - b + PRIOR))
+        kind[at] = np.where(a == 0, 0, np.where(a == 1, 1, np.where(a < 4, 2, 4) + ((b > 0) & (b < a))))
+        share[at], hits[at] = b / np.maximum(a, 1), b > 0
+        wide = 256 * own + _EXACT
+        logit[wide : wide + _WIDE] = (np.arange(_WIDE) - 49.5) / 5
+        logit[wide + _WIDE : wide + _WIDE + 2] = 6, -6
+        kind[wide : wide + _WIDE], kind[wide + _WIDE : wide + _WIDE + 2] = 7, 6
+        share[wide : wide + 101] = 2.0 ** (-np.arange(101) / 6)
+        hits[wide : 256 * own + 255] = True
+    return logit, kind, share, hits
+
+
+_LOGIT, _CLASS, _SHARE, _HIT = _tables()
+
+
+def told(keys: np.ndarray, total: np.ndarray, code: int, depth: int, ends: bool) -> np.ndarray:
+    """States (bits by keys) of each sorted key's bits, from the stretches of keys that agree so far; with ``ends`` its share of the last stretch."""
+    levels = []
+    for j in range(depth + 1):
+        begins = np.flatnonzero(np.diff(keys >> np.uint64(code - j), prepend=keys[:1] >> np.uint64(code - j) ^ np.uint64(1)))
+        levels.append(np.repeat(np.add.reduceat(total, begins), np.diff(np.append(begins, len(keys)))))
+    out = [state(a, b) for a, b in zip(levels, levels[1:], strict=False)]
+    return np.stack([*out, share_state(levels[-1], total)] if ends else out)
+
+
+def _known(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+    """All lists of a range of keys: what each slice or group of them is told, in the order of its keys. Words
+    get their counts; a further row (id -1) has words and tokens by bucket."""
+    rows, found, total, which = _joined(rows)
+    o, r = (k.as_py() for k in key)
+    if o == 0:
+        data = [pack(total[w]) for w in which]
+    else:
+        states = told(found, total, CODE, DEPTH, True) if o < 3 else told(found, total, 16, LETTER, False)
+        data = [zstandard.compress(np.ascontiguousarray(states[:, w]).tobytes(), 1) for w in which]
+    ids = rows.column("id").to_pylist()
+    if o == 0:
+        bucket = (found >> np.uint64(64 - DEPTH)).astype(np.int64)
+        low = bucket[:1]
+        data.append(np.concatenate([low, np.bincount(bucket - low, total), np.bincount(bucket - low, total > 0)]).astype("<i8").tobytes())
+        ids.append(-1)
+    return pa.table({"ord": pa.array([o] * len(ids), pa.int32()), "rng": pa.array([r] * len(ids), pa.int32()), "id": pa.array(ids, pa.int64()), "data": pa.array(data, pa.binary())})
+
+
+def _handed(key: tuple[pa.Scalar, ...], rows: pa.Table, parent: pa.Table) -> pa.Table:
+    """What a group of lists was told, handed on to each of them."""
+    if not rows.num_rows:  # the buckets' row
+        return parent.select(["ord", "rng", "id", "data"])
+    rows, found, _, which = _joined(rows)
+    data, o = parent.column("data").to_pylist()[0], key[0].as_py()
+    if o == 0:
+        total = unpack(data, "<i8")
+        data = [pack(total[w]) for w in which]
+    else:
+        states = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(-1, len(found))
+        data = [zstandard.compress(np.ascontiguousarray(states[:, w]).tobytes(), 1) for w in which]
+    return pa.table({"ord": rows.column("ord"), "rng": rows.column("rng"), "id": rows.column("id"), "data": pa.array(data, pa.binary())})
+
+
+def exchange(lists: DataFrame, width: int, fan: int = FAN) -> DataFrame:
+    """(ord, rng, id, data) for each of ``lists``, whose ids are below ``width``; no task gets more than ``fan`` lists."""
+    if width <= fan:
+        return lists.groupBy("ord", "rng").applyInArrow(_known, _TOTALS)
+    node = F.expr(f"if(id < 0, id, id div {fan})")
+    up = materialise(lists.select("ord", "rng", node.alias("id"), "keys", "counts").groupBy("ord", "rng", "id").applyInArrow(_merged, _LISTS), "merged")
+    above = exchange(up, -(-width // fan), fan).withColumn("node", F.col("id"))
+    return lists.withColumn("node", node).groupBy("ord", "rng", "node").cogroup(above.groupBy("ord", "rng", "node")).applyInArrow(_handed, _TOTALS)
+
+
+# Mixing -----------------------------------------------------------------------------------------
 
 
 class Mixer:
-    """Gated weights and the adaptive map."""
+    """Gated weights of some predictors, and the adaptive map."""
+
+    def __init__(self, inputs: int, gates: int):
+        self.weights = np.full((inputs, gates), 0.4)
+        self.heat = np.full((inputs, gates), 40.0)
+        self.hits, self.ones = np.zeros((gates, STEPS)), np.zeros((gates, STEPS))
+
+    def parts(self) -> list[np.ndarray]:
+        return [self.weights * self.heat, self.heat, self.hits, self.ones]  # what can be summed
+
+    def take(self, parts: list[np.ndarray]) -> None:
+        product, self.heat, self.hits, self.ones = parts
+        self.weights = product / self.heat
+
+    def refinement(self) -> np.ndarray:
+        """By gate and step, what such logits turned out to be."""
+        centre = 1 / (1 + np.exp(-((np.arange(STEPS) * 24 / (STEPS - 1)) - 12)))
+        return ((self.ones + 20 * centre) / (self.hits + 20)).astype(np.float32).ravel()
+
+    def chances(self, x: list[np.ndarray], gate: np.ndarray, learn: bool, rate: np.ndarray | None = None) -> np.ndarray:
+        """Natural log of the probability of the way each bit went; x: logits of that way, by predictor.
+        With ``learn`` the weights follow the errors (steps get shorter as evidence grows) and the map counts."""
+        w = self.weights.astype(np.float32)
+        logit = w[0].take(gate) * x[0]
+        for i in range(1, len(x)):
+            logit += w[i].take(gate) * x[i]
+        np.clip(logit, -12, 12, out=logit)
+        p = 1 / (1 + np.exp(-logit))
+        step = ((logit + np.float32(12)) * np.float32((STEPS - 1) / 24) + np.float32(0.5)).astype(np.int64)
+        if learn:
+            wrong, curve, n = 1 - p, p * (1 - p), self.weights.shape[1]
+            for i in range(len(x)):
+                push = wrong * x[i]
+                self.heat[i] += np.bincount(gate, curve * x[i] * x[i], n)
+                self.weights[i] += np.bincount(gate, push, n) / self.heat[i]
+            # either way a bit might have gone, so that the map of one way mirrors that of the other
+            at = gate.astype(np.int64) * STEPS + step
+            came = np.bincount(at, minlength=self.hits.size).reshape(-1, STEPS)
+            self.ones += came
+            self.hits += came + came[:, ::-1]
+        if rate is not None:
+            p = np.float32(0.5) * (p + rate.take(gate.astype(np.int64) * STEPS + step))
+        return np.log(np.clip(p, np.float32(1e-6), np.float32(1 - 1e-6)))
+
+
+class Model:
+    """All that is learned: mixers for words' bits, for letters' bits and for new words; shares in averages."""
 
     def __init__(self) -> None:
-        k = CONTEXTS
-        self.weights = np.zeros((k, GATES // k, k + 1))
-        for i in range(k):  # the longest context seen leads at first
-            self.weights[i, :, :i] = 0.3 / max(1, i)
-            self.weights[i, :, i] = 0.7
-        self.weights = self.weights.reshape(GATES, k + 1)
-        self.hits, self.ones = np.zeros((GATES, STEPS)), np.zeros((GATES, STEPS))
-
-    @staticmethod
-    def mean(parts: list[tuple[float, Mixer]]) -> Mixer:
-        """Weights averaged by what each has learned from; map counts added."""
-        out, total = Mixer(), sum(n for n, _ in parts)
-        if total:
-            seen = np.array([m.hits.sum(axis=1) for _, m in parts]) + 1e-9
-            share = seen / seen.sum(axis=0)
-            out.weights = sum(s[:, None] * m.weights for s, (_, m) in zip(share, parts, strict=True))
-            out.hits, out.ones = sum(m.hits for _, m in parts), sum(m.ones for _, m in parts)
-        return out
-
-
-_LOG = np.log(np.arange(65536) + PRIOR).astype(np.float32)
-
+        self.word, self.letter, self.new = Mixer(3, GATES), Mixer(3, GATES), Mixer(3, 4)
+        self.rates = np.ones((64, 2))  # known, new, by classes of the contexts
+        self.among = np.ones((GATES, 3))  # shares of the contexts within a bucket
+        self.own = np.tile([1.0, 9.0], (GATES * 4, 1))  # the text's own words, the corpus
+        self.refined: list[np.ndarray] | None = None
 
-def fact(pair: np.ndarray, k: int | np.ndarray, less: int | None = None) -> np.ndarray:
-    """What a model reads of each pair of counts (16-bit numbers, the zeros lowest) of context k: the logit as 32-bit
-    float, whose last 8 bits say instead which context it is (3), how often it was seen (2) and which way it leans (2:
-    zeros alone, 1: ones alone); all zero for one not seen. less: a bit that is taken out once."""
-    n = [pair & np.uint32(0xFFFF), pair >> np.uint32(16)]
-    if less is not None:
-        n[less] -= n[less] > 0
-    logit, total = _LOG[n[1]] - _LOG[n[0]], n[0] + n[1]
-    logit[np.abs(logit) < 1e-6] = 1e-6
-    told = (k * 16 + ((total > 1) * 4 + (total > 3) * 4 + (total > 20) * 4 + (n[0] == 0) + (n[1] == 0) * 2)).astype(np.uint32)
-    return np.where(total > 0, logit.view(np.uint32) & np.uint32(0xFFFFFF00) | told, np.uint32(0))
+    def parts(self) -> list[np.ndarray]:
+        return [*self.word.parts(), *self.letter.parts(), *self.new.parts(), self.rates, self.among, self.own]
 
+    def pack(self) -> bytes:
+        return np.concatenate([x.ravel() for x in self.parts()]).tobytes()
 
-def facts(counts: np.ndarray, less: int | None = None) -> np.ndarray:
-    """``fact`` of all tables."""
-    out = np.empty(len(counts), np.uint32)
-    for k, begin in enumerate(_BEGIN):
-        for at in range(begin, begin + (1 << TABLE_BITS[k]), BLOCK):
-            out[at : at + BLOCK] = fact(counts[at : min(at + BLOCK, begin + (1 << TABLE_BITS[k]))], k, less)
-    return out
-
-
-def long_facts(keys: np.ndarray, counts: np.ndarray, less: int | None = None) -> np.ndarray:
-    """``fact`` of cells by key, and at the end one that was never seen."""
-    return np.append(fact(counts, (keys & np.uint64(3)).astype(np.int64) + DENSE, less), np.uint32(0))
-
-
-def inputs(known: np.ndarray, at: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Logits (contexts by lanes), gates, and which way the longest context seen leans (as in ``facts``).
-    run: bits for which that was right."""
-    both = known.take(at)
-    longest = both.astype(np.uint8).max(axis=0)
-    gate = (longest & np.uint8(0xFC)) + (run > 0) + (run > 7) + (run > 15)
-    return both.view(np.float32), gate, longest & np.uint8(3)
-
-
-def mixed(mixer: Mixer, x: np.ndarray, gate: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Mixed logit and its step in the adaptive map."""
-    weights = mixer.weights.astype(np.float32).T
-    logit = (weights[-1] * np.float32(CONSTANT)).take(gate)
-    for i in range(len(x)):
-        logit += weights[i].take(gate) * x[i]
-    np.clip(logit, -12, 12, out=logit)
-    return logit, ((logit + np.float32(12)) * np.float32((STEPS - 1) / 24) + np.float32(0.5)).astype(np.int64)
-
-
-def refinement(mixer: Mixer) -> np.ndarray:
-    """By gate and step, what such logits turned out to be."""
-    centre = 1 / (1 + np.exp(-((np.arange(STEPS) * 24 / (STEPS - 1)) - 12)))
-    return ((mixer.ones + 20 * centre) / (mixer.hits + 20)).astype(np.float32).ravel()
-
-
-def refined(rate: np.ndarray, logit: np.ndarray, step: np.ndarray, gate: np.ndarray) -> np.ndarray:
-    """Probability of a one: the mixed one and what such a logit turned out to be, half and half."""
-    p = 1 / (1 + np.exp(-logit))
-    p += rate.take(gate.astype(np.int64) * STEPS + step)
-    p *= np.float32(0.5)
-    return np.clip(p, np.float32(1e-6), np.float32(1 - 1e-6), out=p)
-
-
-def follow(run: np.ndarray, live: np.ndarray, lean: np.ndarray, bit: np.ndarray) -> None:
-    run[live] = (run[live] + np.int16(1)) * (lean == 2 - bit)
-
-
-def without_own(short: list[np.ndarray], keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Facts with a zero taken out, with a one taken out, and as they are, end to end. short: those of the tables."""
-    return np.concatenate([x for less, part in zip((0, 1, None), short, strict=True) for x in (part, long_facts(keys, counts, less))])
-
-
-class Places:
-    """Places of all contexts of the decisions in turn: in the tables, then in the cells behind them."""
+    @staticmethod
+    def of(state: bytes | None) -> Model:
+        """A model ready to score."""
+        out = Model()
+        if state is not None:
+            flat, at, parts = np.frombuffer(state), 0, []
+            for x in out.parts():
+                parts.append(flat[at : at + x.size].reshape(x.shape))
+                at += x.size
+            out.word.take(parts[:4])
+            out.letter.take(parts[4:8])
+            out.new.take(parts[8:12])
+            out.rates, out.among, out.own = parts[12:]
+        out.refined = [m.refinement() for m in (out.word, out.letter, out.new)]
+        return out
 
-    def __init__(self, which: np.ndarray | None):
-        self.which, self.next = which, 0
 
-    def at(self, short: np.ndarray) -> np.ndarray:
-        out = np.empty((CONTEXTS, short.shape[1]), np.int64)
-        out[:DENSE] = short
-        if self.which is None:  # no cells: the one that was never seen
-            out[DENSE:] = _STARTS[-1]
-        else:
-            n = (CONTEXTS - DENSE) * short.shape[1]
-            out[DENSE:] = self.which[self.next : self.next + n].reshape(CONTEXTS - DENSE, -1) + _STARTS[-1]
-            self.next += n
+def _bucketed(n: np.ndarray, *cuts: int) -> np.ndarray:
+    return np.searchsorted(np.array(cuts), n, side="right")
+
+
+class Told:
+    """A slice with what it was told of its keys."""
+
+    def __init__(self, own: Slice, totals: pa.Table):
+        self.own = own
+        held: dict[int, list] = {}
+        for o, r, d in zip(totals.column("ord").to_pylist(), totals.column("rng").to_pylist(), totals.column("data").to_pylist(), strict=True):
+            held.setdefault(o, []).append((r, d))
+        bytes_of = lambda o: [d for _, d in sorted(held.get(o, []))]
+        planes = lambda o, k: np.concatenate([np.frombuffer(zstandard.decompress(d), np.uint8).reshape(k, -1) for d in bytes_of(o)], axis=1)
+        _, _, at = own.by_word()
+        self.count = np.concatenate([unpack(d, "<i8") for d in bytes_of(0)])[at]
+        self.words = [(planes(o, DEPTH + 1), which) for o, (*_, which) in zip((1, 2), own.by_words(), strict=True)]
+        by, self.letter_word, self.letter_begin = own.by_letters()
+        self.letters = [(planes(3 + i, LETTER), which) for i, (*_, which) in enumerate(by)]
+        h = own.hash[own.word]
+        self.node = (h >> np.uint64(64 - DEPTH)).astype(np.int64)
+        # how often the text has had the word before
+        order = np.argsort(own.row * len(own.words) + own.word, kind="stable")
+        same = np.concatenate([[0], np.flatnonzero(np.diff((own.row * len(own.words) + own.word)[order])) + 1])
+        self.before = np.empty(len(order), np.int64)
+        self.before[order] = np.arange(len(order)) - np.repeat(same, np.diff(np.append(same, len(order))))
+
+    def run_of(self, hit: np.ndarray) -> np.ndarray:
+        """For each token, how many tokens of its text just before it were hits."""
+        n = np.arange(len(hit))
+        miss = np.maximum.accumulate(np.where(~hit, n, -1))
+        last = np.concatenate([[-1], miss[:-1]])
+        return n - 1 - np.maximum(last, n - self.own.at - 1)
+
+    def spelled(self, model: Model, words: np.ndarray, left_out: bool, learn: bool) -> np.ndarray:
+        """Natural log of the probability of each of ``words`` (indices) from its letters."""
+        begin, out = self.letter_begin, np.zeros(len(words))
+        size = begin[words + 1] - begin[words]
+        ends = np.cumsum(size)
+        rate = model.refined[1] if model.refined else None
+        at = 0
+        while at < len(words):
+            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK)))
+            some = size[at:upto]
+            owner = np.repeat(np.arange(at, upto), some)
+            place = np.repeat(begin[words[at:upto]] - (np.cumsum(some) - some), some) + np.arange(len(owner))
+            planes = [p[:, w[place]] for p, w in self.letters]
+            shift = 256 * left_out
+            got = np.zeros(len(owner), np.float32)
+            for j in range(LETTER):
+                states = [p[j].astype(np.int64) + shift for p in planes]
+                gate = (_CLASS.take(states[2]).astype(np.int64) * 8 + _CLASS.take(states[1])) * 4 + np.minimum(_CLASS.take(states[0]) >> 1, 3)
+                got += model.letter.chances([_LOGIT.take(s) for s in states], gate, learn, rate)
+            out += np.bincount(owner, got, len(words))
+            at = upto
         return out
 
+    def chances(self, model: Model, bottom: tuple[np.ndarray, np.ndarray], left_out: np.ndarray, which: np.ndarray, learn: bool) -> np.ndarray:
+        """Natural log of the probability of the tokens ``which``. left_out: tokens whose own occurrence is taken out of the
+        counts; bottom: logits by node of the tree of buckets, as they are and with one occurrence left out, then tokens by bucket."""
+        own, out = self.own, np.zeros(len(which))
+        count = self.count - left_out
+        fresh = count <= 0
+        shift_all = np.where(left_out, 256, 0)
+        two, at_two = self.words[1]
+        run = _bucketed(self.run_of(_HIT.take(two[DEPTH].take(at_two).astype(np.int64) + shift_all)), 1, 3, 16)
+        news = np.concatenate([[0], np.cumsum(fresh)])
+        new_so_far = (news[:-1] - news[own.first[own.row]]).astype(np.float32)
+        spell = np.full(len(own.words), -np.inf)
+        needed = np.unique(own.word[which[fresh[which]]])
+        if len(needed):
+            # a training word whose one occurrence is left out; those of held-out texts have none
+            mine = own.trained[needed] > 0
+            for part, less in ((needed[mine], True), (needed[~mine], False)):
+                spell[part] = self.spelled(model, part, less, learn and less)
+        refined = model.refined or [None] * 3
+        for a in range(0, len(which), CHUNK):
+            t = which[a : a + CHUNK]
+            shift, new = shift_all[t], fresh[t]
+            planes = [p[:, w[t]] for p, w in self.words]
+            seen = own.at[t]
+            kinds = [_CLASS.take(p[0].astype(np.int64) + shift).astype(np.int64) for p in planes]
+            # is the word new?
+            g1, g2 = kinds[0], 8 + kinds[1] * 4 + run[t]
+            odds = np.log(model.rates[:, 1] / model.rates[:, 0]).astype(np.float32)
+            doc = np.log((new_so_far[t] + 0.3) / (seen - new_so_far[t] + 1.5)).astype(np.float32)
+            sign = np.where(new, np.float32(1), np.float32(-1))
+            got = model.new.chances([odds.take(g1) * sign, odds.take(g2) * sign, doc * sign], _bucketed(seen, 8, 64, 512), learn, refined[2]).astype(np.float64)
+            if learn:
+                for g in (g1, g2):
+                    model.rates += np.bincount(g * 2 + new, minlength=128).reshape(64, 2)
+            # the bits of a known word
+            kept = np.flatnonzero(~new)
+            if len(kept):
+                s, node = shift[kept], self.node[t[kept]]
+                planes = [p[:, kept] for p in planes]
+                r = run[t[kept]]
+                bits = np.zeros(len(kept), np.float32)
+                less = left_out[t[kept]].astype(np.int64) * len(bottom[0]) // 2
+                for j in range(DEPTH):
+                    states = [p[j].astype(np.int64) + s for p in planes]
+                    gate = (_CLASS.take(states[1]).astype(np.int64) * 8 + _CLASS.take(states[0])) * 4 + r
+                    root = bottom[0].take(((1 << (j + 1)) | (node >> (DEPTH - 1 - j))) + less)
+                    bits += model.word.chances([root, *(_LOGIT.take(x) for x in states)], gate, learn, refined[0])
+                # among the words of the bucket
+                states = [p[DEPTH].astype(np.int64) + s for p in planes]
+                less = left_out[t[kept]]
+                parts = [np.minimum(1.0, count[t[kept]] / np.maximum(1, bottom[1][node] - less)), *(_SHARE.take(x) for x in states)]
+                # a context that never met the bucket has no say in it
+                there = [np.ones(len(kept)), *(_MET.take(x) for x in states)]
+                w = [model.among[:, i].take(gate) * x for i, x in enumerate(there)]
+                whole = sum(w)
+                within = [wi * pi / whole for wi, pi in zip(w, parts, strict=True)]
+                p = np.maximum(sum(within), 1e-300)
+                got[kept] += bits + np.log(p)
+                if learn:
+                    for i, x in enumerate(within):
+                        model.among[:, i] += np.bincount(gate, x / p, GATES)
+            bare = np.flatnonzero(new)
+            got[bare] += spell[own.word[t[bare]]]
+            # the text's own words
+            gate = ((kinds[1] * 8 + kinds[0]) * 4 + run[t]) * 4 + _bucketed(seen, 8, 64, 512)
+            mine = self.before[t] / np.maximum(seen, 1)
+            a1 = np.where(seen > 0, model.own[:, 0].take(gate) / model.own.sum(axis=1).take(gate), 0)
+            one, other = a1 * mine, (1 - a1) * np.exp(np.maximum(got, -600))
+            p = one + other
+            out[a : a + CHUNK] = np.where(p > 1e-250, np.log(np.maximum(p, 1e-250)), got + np.log1p(-a1))
+            if learn:
+                part = one / np.maximum(p, 1e-300)
+                model.own[:, 0] += np.bincount(gate, part, len(model.own))
+                model.own[:, 1] += np.bincount(gate, np.where(seen > 0, 1 - part, 0), len(model.own))
+        return out
 
-def learn(mixer: Mixer, code: Code, known: np.ndarray, lanes: Lanes, which: np.ndarray, n: int) -> np.ndarray:
-    """Online pass over lanes of ``n`` pairs: weights follow the error of each bit, the map counts what came.
-    known: from ``without_own``; which: from ``cells``. Gives the log10 probability each pair got before it was learned from."""
-    size, places = len(known) // 3, Places(which)
-    out, width = np.zeros(n), GATES * STEPS
-    for raw, symbols, some in lanes.runs(LEARN_LANES):
-        weight, run, got = lanes.weight[some].astype(np.float64), np.zeros(len(raw), np.int16), np.zeros(len(raw))
-        for live, bit, short, _, _ in bits(code, raw, symbols, lanes.kind[some]):
-            at = places.at(short)
-            at += size * bit
-            x, gate, lean = inputs(known, at, run[live])
-            logit, step = mixed(mixer, x, gate)
-            w = weight[live]
-            odds = np.exp(np.where(bit, -logit, logit))
-            got[live] -= np.log1p(odds)
-            wrong = w * np.where(bit, odds, -odds) / (1 + odds)
-            order = np.argsort(gate, kind="stable")
-            there, first = np.unique(gate[order], return_index=True)
-            push, total = np.empty((len(there), len(x) + 1)), np.add.reduceat(w[order], first)
-            wrong = wrong[order]
-            for i in range(len(x)):
-                push[:, i] = np.add.reduceat(x[i].take(order) * wrong, first)
-            push[:, -1] = CONSTANT * np.add.reduceat(wrong, first)
-            mixer.weights[there] += RATE * push / np.maximum(total, 1e-9)[:, None]
-            came = np.bincount((gate.astype(np.int64) * STEPS + step) * 2 + bit, w, 2 * width).reshape(GATES, STEPS, 2)
-            mixer.hits += came.sum(axis=2)
-            mixer.ones += came[:, :, 1]
-            follow(run, live, lean, bit)
-        np.add.at(out, lanes.pair[some], got / np.log(10))
-    return out
-
-
-def score(mixer: Mixer, code: Code, counts: np.ndarray, words: pa.Array, owner: np.ndarray, kind: np.ndarray) -> np.ndarray:
-    """log10 probability of each pair from its bits, by the tables alone."""
-    known = np.append(facts(counts), np.uint32(0))
-    return score_known(refinement(mixer), mixer, code, known, Lanes(words, kind, owner, np.ones(len(owner))), None, len(owner))
-
-
-def score_known(rate: np.ndarray, mixer: Mixer, code: Code, known: np.ndarray, lanes: Lanes, which: np.ndarray | None, n: int) -> np.ndarray:
-    out, places = np.zeros(n), Places(which)
-    for raw, symbols, some in lanes.runs(LEARN_LANES):
-        got, run = np.zeros(len(raw)), np.zeros(len(raw), np.int16)
-        for live, bit, short, _, _ in bits(code, raw, symbols, lanes.kind[some]):
-            x, gate, lean = inputs(known, places.at(short), run[live])
-            p = refined(rate, *mixed(mixer, x, gate), gate)
-            got[live] += np.log(np.where(bit, p, 1 - p))
-            follow(run, live, lean, bit)
-        np.add.at(out, lanes.pair[some], got / np.log(10))
-    return out
-
-
-def average(plain: np.ndarray, coded: np.ndarray, share: float | np.ndarray) -> np.ndarray:
-    """log10 of share * plain + (1 - share) * 10^coded."""
-    return np.log10(share * plain + (1 - share) * 10.0 ** np.maximum(coded, -280)) + np.minimum(coded + 280, 0) * (plain == 0)
-
-
-def _met(code: Code, batch: pa.RecordBatch, totals: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, Lanes, np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of a part, their lanes, and the keys, places and totals of the cells they meet."""
-    owner, kind, weight = _pairs(batch, False)
-    lanes = Lanes(batch.column("word"), kind, owner, weight)
-    keys, which, _ = cells(code, lanes, LEARN_LANES, False)
-    held = sorted(zip(totals.column("block").to_pylist(), totals.column("counts").to_pylist(), strict=True))
-    counts = np.concatenate([np.zeros(0, "<u4"), *(unpack(x, "<u4") for _, x in held)])
-    return owner, kind, weight, lanes, keys, which, counts
-
-
-def _learned(model, code: Code, n: int):
-    short = []
-
-    def run(words: pa.Table, totals: pa.Table) -> pa.Table:
-        mixer, gain, batch = Mixer(), np.zeros(len(SHARES)), _one(words)
-        if not short:
-            short.extend(facts(model.value, less) for less in (0, 1, None))
-        owner, _, weight, lanes, keys, which, counts = _met(code, batch, totals)
-        coded = learn(mixer, code, without_own(short, keys, counts), lanes, which, len(owner))
-        plain = (sum(batch.column(f"t{k}").to_numpy() for k in range(4))[owner] - 1) / max(1, n - 1)
-        own = weight > 0
-        gain += [(weight[own] * average(plain[own], coded[own], a)).sum() for a in SHARES]
-        state = np.concatenate([mixer.weights.ravel(), mixer.hits.ravel(), mixer.ones.ravel(), gain])
-        return pa.table({"seen": pa.array([float(weight.sum())]), "state": pa.array([state.tobytes()], pa.binary())})
-
-    return run
 
+#: Whether a context has counts left in the bucket, by the state of its share.
+_MET = np.concatenate([_SEEN > 0, np.ones(256 - _EXACT, bool), _SEEN > 1, np.ones(256 - _EXACT, bool)])
 
-def _unpack(state: bytes) -> tuple[Mixer, np.ndarray]:
-    flat, out = np.frombuffer(state), Mixer()
-    a, b = out.weights.size, out.hits.size
-    out.weights, out.hits, out.ones = flat[:a].reshape(out.weights.shape), flat[a : a + b].reshape(GATES, STEPS), flat[a + b : a + 2 * b].reshape(GATES, STEPS)
-    return out, flat[a + 2 * b :]
 
+def bottoms(buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Logits of the way to each node of the tree of buckets (node 1 is the root), as they are and then with one token of
+    that node left out; and tokens by bucket."""
+    heap = np.zeros(2 << DEPTH)
+    heap[1 << DEPTH :] = buckets
+    for i in range((1 << DEPTH) - 1, 0, -1):
+        heap[i] = heap[2 * i] + heap[2 * i + 1]
+    other = heap[np.arange(2 << DEPTH) ^ 1]
+    logits = [np.log((np.maximum(heap - less, 0) + PRIOR) / (other + PRIOR)) for less in (0, 1)]
+    return np.concatenate(logits).astype(np.float32), buckets
 
-def _scored(model, code: Code, mixer: Mixer, share: float, n: int):
-    short, rate = [], refinement(mixer)
 
-    def run(words: pa.Table, totals: pa.Table) -> pa.Table:
-        batch = _one(words)
-        if not short:
-            short.append(facts(model.value))
-        owner, kind, _, lanes, keys, which, counts = _met(code, batch, totals)
-        known = np.concatenate([short[0], long_facts(keys, counts)])
-        grid = np.zeros((batch.num_rows, 4))
-        c = sum(batch.column(f"t{k}").to_numpy() for k in range(4))
-        grid[owner, kind] = average(c[owner] / max(1, n), score_known(rate, mixer, code, known, lanes, which, len(owner)), share)
-        return pa.table([batch.column("word"), batch.column("seen"), pa.array(c), *(pa.array(grid[:, k]) for k in range(4))], ["word", "seen", "c", "p0", "p1", "p2", "p3"])
+def _learned(bottom):
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table, totals: pa.Table) -> pa.Table:
+        """What a slice's training texts teach, each token left out of the counts that foretell it."""
+        model = Model()
+        if rows.num_rows and totals.num_rows:
+            told_ = Told(Slice(rows), totals)
+            train = told_.own.train
+            told_.chances(model, bottom, train, np.flatnonzero(train), True)
+        return pa.table({"id": pa.array([key[0].as_py()], pa.int64()), "state": pa.array([model.pack()], pa.binary())})
 
     return run
 
 
-def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How often each byte is coded in this task's training tokens."""
-    times = np.zeros(256)
-    for batch in batches:
-        words = batch.column("word").cast(pa.large_binary())
-        weight = sum(batch.column(f"t{k}").to_numpy() for k in range(4)).astype(np.float64)
-        stops = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
-        if len(words) and stops[-1] > stops[0]:
-            times += np.bincount(np.frombuffer(words.buffers()[2], np.uint8)[stops[0] : stops[-1]], np.repeat(weight, np.diff(stops)), 256)
-        times[32] += weight.sum()
-    yield pa.RecordBatch.from_arrays([pa.array([times.astype(np.int64).tobytes()], pa.binary())], ["times"])
-
-
-def scored_vocabulary(vocab: DataFrame, n: int) -> DataFrame:
-    """(word, seen, c, p0..p3): training count and log10 probability after each kind of token met; n: training tokens.
-
-    Words are dealt by range and coded in order: neighbours share their contexts, so that the cells
-    of a part are few. Their number follows the vocabulary alone, not the session's settings."""
-    spark = vocab.sparkSession
-    dealt, parts = deal(vocab)
-    times = np.zeros(256, np.int64)
-    for r in vocab.mapInArrow(_bytes, "times binary").collect():
-        times += np.frombuffer(r["times"], np.int64)
-    code = Code(times)
-    partial = dealt.mapInArrow(_tables(code), "block long, counts binary")
-    blocks = partial.groupBy("block").applyInArrow(_merged, "block long, counts binary").collect()
-    counts = np.zeros(int(_STARTS[-1]), np.uint32)
-    for r in blocks:
-        part = np.frombuffer(zstandard.decompress(bytes(r["counts"])), "<u4")
-        counts[r["block"] * BLOCK : r["block"] * BLOCK + len(part)] = part
-    del blocks
-    model = spark.sparkContext.broadcast(counts)
-    met = dealt.groupBy("part").applyInArrow(_cells(code, parts), _CELLS)
-    totals = materialise(met.groupBy("block").applyInArrow(_totals, _TOTALS), "totals").groupBy("part")
-    words = dealt.groupBy("part")
-    states = words.cogroup(totals).applyInArrow(_learned(model, code, n), "seen double, state binary").collect()
-    learned = [(r["seen"], *_unpack(bytes(r["state"]))) for r in sorted(states, key=lambda r: bytes(r["state"])) if r["seen"]]
-    mixer = Mixer.mean([(seen, m) for seen, m, _ in learned])
-    share = float(SHARES[int(np.argmax(sum(g for *_, g in learned)))]) if learned else 0.0
-    return words.cogroup(totals).applyInArrow(_scored(model, code, mixer, share, n), "word string, seen long, c long, p0 double, p1 double, p2 double, p3 double")
-
-
-# Documents --------------------------------------------------------------------------------------
-
-_DOC = "rid long, doc_id long, held_out boolean, n_bytes long, n_tokens long, n_known long, base double, score double, word string, kind int, times long"
-
-
-def _summed(frequent, n: int, v: int):
-    """A row for each document with what its frequent tokens give, and one for each (rare token, kind) in it."""
-    down = np.log10(n + 0.5 * (v + 1))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, count, grid = frequent.value
-        names = pa.array(names, pa.large_string())
-        rid = TaskContext.get().partitionId() << 33
-        base_of = np.log10(count + 0.5) - down
-        for batch in batches:
-            for part in slices(batch):
-                words, rows, kind = tokens(part.column("text"))
-                coded = words.dictionary_encode()
-                where = pc.fill_null(pc.index_in(coded.dictionary, names), -1).to_numpy()[coded.indices.to_numpy()]
-                size = part.num_rows
-                own = np.arange(rid, rid + size)
-                rid += size
-                hit = where >= 0
-                r, f, k = rows[hit], where[hit], kind[hit]
-                total = lambda x: np.bincount(r, x, size)  # noqa: E731, B023
-                octets = pc.fill_null(pc.binary_length(part.column("text")), 0).cast(pa.int64())
-                none = pa.nulls(size, pa.string()), pa.nulls(size, pa.int32()), pa.nulls(size, pa.int64())
-                fields = [c.split()[0] for c in _DOC.split(", ")]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(own), part.column("doc_id"), part.column("held_out"), octets, pa.array(np.bincount(rows, minlength=size)), pa.array(total(count[f] > 0).astype(np.int64)), pa.array(total(base_of[f])), pa.array(total(grid[f, k])), *none], fields
-                )
-                code = coded.indices.to_numpy()[~hit].astype(np.int64) * 4 + kind[~hit]
-                pair, times = np.unique(rows[~hit] * (4 * len(coded.dictionary)) + code, return_counts=True)
-                r, code = pair // (4 * len(coded.dictionary)), pair % (4 * len(coded.dictionary))
-                blank = [pa.nulls(len(r), t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-                yield pa.RecordBatch.from_arrays([pa.array(own[r]), *blank, coded.dictionary.take(pa.array(code // 4)).cast(pa.string()), pa.array((code % 4).astype(np.int32)), pa.array(times)], fields)
+def _averaged(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+    """Sums of what is learned, in the order of ids."""
+    total = sum(np.frombuffer(x) for x in rows.sort_by("id").column("state").to_pylist())
+    return pa.table({"id": pa.array([key[0].as_py()], pa.int64()), "state": pa.array([total.tobytes()], pa.binary())})
+
+
+_DOC = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double, fresh_bits_per_byte double"
+
+
+def _scored(bottom, state: bytes | None, n: int, v: int):
+    ready: list[Model] = []
+
+    def run(rows: pa.Table, totals: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return pa.table({f.split()[0]: [] for f in _DOC.split(", ")})
+        if not ready:
+            ready.append(Model.of(state))
+        own = Slice(rows)
+        held = Told(own, totals)
+        every = np.arange(len(own.word))
+        per = lambda x: np.bincount(own.row, x, own.n)
+        none = np.zeros(len(every), bool)
+        got = held.chances(ready[0], bottom, none, every, False) / np.log(10)
+        apart = got.copy()
+        which = np.flatnonzero(own.train)
+        if len(which):
+            apart[which] = held.chances(ready[0], bottom, own.train, which, False) / np.log(10)
+        size = pc.fill_null(pc.binary_length(own.rows.column("text")), 0).to_numpy().astype(np.int64)
+        score, fresh = per(got), per(apart)
+        bits = lambda s: pa.array(-s * np.log2(10) / np.maximum(size, 1), mask=size == 0)
+        return pa.table([
+            own.rows.column("doc_id"), own.rows.column("held_out"), pa.array(np.bincount(own.row, minlength=own.n)), pa.array(per(held.count > 0).astype(np.int64)), pa.array(np.full(own.n, n)),
+            pa.array(per(np.log10(held.count + 0.5) - np.log10(n + 0.5 * (v + 1)))), pa.array(score), pa.array(size), bits(score), bits(fresh),
+        ], [f.split()[0] for f in _DOC.split(", ")])
 
     return run
 
 
-def least_seen(words: DataFrame, most: int) -> int:
-    """The least count that at most ``most`` words reach, from a histogram of counts."""
-    sizes = words.groupBy(F.floor(F.log2("seen") * 8).cast("long").alias("b")).agg(F.count("*").alias("n"), F.min("seen").alias("low")).collect()
-    least, held = 2**62, 0
-    for r in sorted(sizes, key=lambda r: -r["b"]):
-        held += r["n"]
-        if held > most:
-            break
-        least = r["low"]
-    return least
-
-
-def score_documents(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte) of each row.
+def score_documents(docs: DataFrame, slice_bytes: int = SLICE_BYTES, fan: int = FAN) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte, fresh_bits_per_byte) of each row.
 
     Learns from rows that aren't held out (crc32 of doc_id as text, mod 5, is not 1; a null doc_id is
-    learned from). Null text counts as empty: one token, the end. Repeated rows count and are answered
-    each. An empty table gives no rows. bits_per_byte is null for texts without bytes."""
+    learned from). bits_per_byte is the score's; fresh_bits_per_byte takes a training token's own occurrence
+    out of the counts, so that a text met once in training reads like a new one and a repeated one doesn't.
+    Null text counts as empty: one token, the end. Repeated rows count and are answered each; rows
+    without an id are dealt by their place as well, so that copies of one don't meet in a slice. Both are
+    null for texts without bytes. An empty table gives no rows."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("held_out", held_out(F.col("doc_id")))
-    vocab = materialise(vocabulary(rows), "vocabulary")
-    train = F.col("t0") + F.col("t1") + F.col("t2") + F.col("t3")
-    n, v = vocab.agg(F.coalesce(F.sum(train), F.lit(0)), F.count(F.when(train > 0, 1))).first()
-    scored = materialise(scored_vocabulary(vocab, n), "scored")
-    top = scored.where(F.col("seen") >= least_seen(scored, frequent)).toArrow()
-    grid = np.stack([top.column(f"p{k}").to_numpy() for k in range(4)], axis=1)
-    held = spark.sparkContext.broadcast((top.column("word").to_pylist(), top.column("c").to_numpy(), grid))
-    staged = materialise(rows.mapInArrow(_summed(held, n, v), _DOC), "tokens")
-    down = float(np.log10(n + 0.5 * (v + 1)))
-    rare = staged.where("word IS NOT NULL").select("rid", "word", "kind", "times").join(scored.drop("seen"), "word")
-    p = F.element_at(F.array("p0", "p1", "p2", "p3"), F.col("kind") + 1)
-    more = rare.groupBy("rid").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("k"),
-        F.sum(F.col("times") * (F.log10(F.col("c") + 0.5) - F.lit(down))).alias("b"),
-        F.sum(F.col("times") * p).alias("s"),
-    )
-    whole = staged.where("word IS NULL").drop("word", "kind", "times").join(more, "rid", "left")
-    zero = F.lit(0.0)
-    s = F.col("score") + F.coalesce("s", zero)
-    return whole.select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"),
-        F.lit(int(n)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("b", zero)).alias("base_score"),
-        s.alias("score"),
-        "n_bytes",
-        F.when(F.col("n_bytes") > 0, -s * float(np.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"),
-    )
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]
+    slices = max(1, -(-size // slice_bytes))
+    salt = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(0)
+    dealt = rows.withColumn("id", F.pmod(F.xxhash64("doc_id", "text", salt), F.lit(slices)))
+    lists = dealt.groupBy("id").applyInArrow(_listed(max(1, -(-size // RANGE_BYTES))), _LISTS)
+    if slices > fan:
+        lists = materialise(lists, "lists")
+    totals = materialise(exchange(lists, slices, fan), "totals")
+    if slices > fan:
+        discard(lists)
+    buckets, n, v = np.zeros(1 << DEPTH), 0, 0
+    for r in totals.where("id = -1").select("data").mapInArrow(_by_bucket, "bucket long, n long, v long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
+        buckets[r["bucket"]], n, v = r["n"], n + r["n"], v + r["v"]
+    bottom = bottoms(buckets)
+    pairs = lambda: dealt.groupBy("id").cogroup(totals.where("id >= 0").groupBy("id"))
+    states, left = materialise(pairs().applyInArrow(_learned(bottom), "id long, state binary"), "states"), slices
+    while left > 1:
+        states, left = states.groupBy(F.expr(f"id div {fan}").alias("node")).applyInArrow(_averaged, "id long, state binary"), -(-left // fan)
+    found = states.first()
+    return pairs().applyInArrow(_scored(bottom, bytes(found["state"]) if found else None, n, v), _DOC)
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for data in batch.column("data").to_pylist():
+            low, *rest = np.frombuffer(data, "<i8").tolist()
+            half = len(rest) // 2
+            yield pa.RecordBatch.from_arrays([pa.array(range(low, low + half), pa.int64()), pa.array(rest[:half], pa.int64()), pa.array(rest[half:], pa.int64())], ["bucket", "n", "v"])
 
 
 def op2_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Scores against plain counts, and the model as a probability that beats the base on held-out text."""
+"""Scores against plain counts and a plain scalar model; better than the base on training and held-out text."""
 
 import math
 import random
@@ -7,7 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pytest
 
 from lodestone.llm import context_mixing as cm
 from lodestone.llm.common import slices
@@ -17,119 +17,233 @@ def words(text):
     return [w.decode() for w in "".join(c.lower() if c.isascii() else c for c in (text or "")).encode().split()] + [""]
 
 
+def out(d):
+    return d is not None and zlib.crc32(str(d).encode()) % 5 == 1
+
+
 def test_tokens():
     rng = random.Random(1)
     texts = ["", None, " a", "B\x0bc\x1cd\x85 e\xa0f  ", "Ñ É x.", "\n"] + ["".join(rng.choice("aB é.,\n\t") for _ in range(rng.randrange(20))) for _ in range(200)]
-    got, rows, kind = cm.tokens(pa.array(texts))
+    got, rows = cm.tokens(pa.array(texts))
     by = [[] for _ in texts]
-    for w, r, k in zip(got.to_pylist(), rows, kind, strict=True):
-        by[r].append((w, k))
-    for t, found in zip(texts, by, strict=True):
-        want = words(t)
-        assert [w for w, _ in found] == want
-        for i, (_, k) in enumerate(found):
-            before = want[i - 1].encode()[-1:] if i else None
-            assert k == (0 if before is None else 1 if before in b".!?" else 2 if before in b",;:" else 3)
+    for w, r in zip(got.to_pylist(), rows, strict=True):
+        by[r].append(w)
+    assert by == [words(t) for t in texts]
 
 
 def test_tokens_of_later_slices():
     texts = [f"Número {i} É la{'à' * (i % 7)} x." for i in range(500)] + [None, ""]
     batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
-    got, seen = [], 0
+    got = []
     for part in slices(batch, most=1000):
-        found, rows, _ = cm.tokens(part.column("text"))
+        found, _ = cm.tokens(part.column("text"))
         found.validate(full=True)
         got += found.to_pylist()
-        seen += part.num_rows
-    assert seen == len(texts) and got == [w for t in texts for w in words(t)]
+    assert got == [w for t in texts for w in words(t)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
 
 
-def test_counts_and_base(spark, sf):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+def by_id(rows):
+    return {r["doc_id"]: r for r in rows}
+
+
+def test_counts_base_and_gain(docs):
+    """Counts and base exactly; the model is above the base on training and on held-out text, with own occurrences left out too."""
     texts = dict(docs.select("doc_id", "text").collect())
-    out = lambda d: zlib.crc32(str(d).encode()) % 5 == 1
     train = Counter(w for d, t in texts.items() if not out(d) for w in words(t))
     n, v = sum(train.values()), len(train)
-    few, many = cm.score_documents(docs, frequent=300).collect(), cm.score_documents(docs).collect()
-    assert len(few) == len(texts)
-    won = [0.0, 0.0]
-    close = {r["doc_id"]: r["score"] for r in many}
-    for r in few:
+    rows = cm.score_documents(docs).collect()
+    assert len(rows) == len(texts)
+    won = {False: [0.0, 0.0, 0.0], True: [0.0, 0.0, 0.0]}
+    for r in rows:
         own = words(texts[r["doc_id"]])
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (out(r["doc_id"]), len(own), sum(train[w] > 0 for w in own), n)
-        base = sum(math.log10((train[w] + 0.5) / (n + 0.5 * (v + 1))) for w in own)
-        assert math.isclose(r["base_score"], base, rel_tol=1e-9)
-        assert r["score"] < 0 and math.isclose(r["score"], close[r["doc_id"]], rel_tol=1e-6)
-        if r["held_out"]:
-            won[0] += r["score"]
-            won[1] += r["base_score"]
-    print("held-out log10: model", won[0], "base", won[1])
-    # the base gives all mass to known words; the model spells the unknown ones and must still stay near
-    assert won[0] > 1.15 * won[1]
-
-
-def test_words_sum_to_one():
-    """Over words of up to two letters of a small alphabet plus all that go on, each bit's two sides make one."""
-    rng = np.random.default_rng(3)
-    counts = rng.integers(0, 50, 2 * int(cm._STARTS[-1])).astype(np.uint16).view(np.uint32)
-    mixer, code = cm.Mixer(), cm.Code(rng.integers(0, 999, 256))
-    first = ["", *(chr(c) for c in range(1, 128) if chr(c) != " ")]
-    p = 10 ** cm.score(mixer, code, counts, pa.array(first), np.arange(len(first)), np.zeros(len(first), int))
-    assert 0 < p.sum() < 1
-    # the probability of a first byte is at least that of all words that begin with it
-    two = ["a" + chr(c) for c in range(1, 128) if chr(c) != " "]
-    q = 10 ** cm.score(mixer, code, counts, pa.array(two), np.arange(len(two)), np.zeros(len(two), int))
-    assert 0 < q.sum() + p.sum() < 1
+        assert math.isclose(r["base_score"], sum(math.log10((train[w] + 0.5) / (n + 0.5 * (v + 1))) for w in own), rel_tol=1e-9)
+        assert r["score"] < 0
+        fresh = -r["fresh_bits_per_byte"] * r["n_bytes"] / math.log2(10) if r["n_bytes"] else r["score"]
+        for i, x in enumerate((r["score"], r["base_score"], fresh)):
+            won[r["held_out"]][i] += x
+    for score, base, fresh in won.values():
+        assert score > base and fresh > 0.95 * base
+
+
+def test_same_scores_whatever_the_partitions(spark, docs):
+    some = docs.where("doc_id < 400")
+    got = []
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (4, 9):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            got.append(by_id(cm.score_documents(some.repartition(n), slice_bytes=200_000).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert got[0] == got[1]
+
+
+def test_levels_of_lists(spark, docs):
+    """Lists merged level by level give what one level gives."""
+    some = docs.where("doc_id < 200")
+    one, many = (by_id(cm.score_documents(some, slice_bytes=60_000, fan=fan).collect()) for fan in (128, 2))
+    for d, r in one.items():
+        assert (r["n_known"], r["base_score"]) == (many[d]["n_known"], many[d]["base_score"])
+        assert math.isclose(r["score"], many[d]["score"], rel_tol=1e-9)
 
 
 def test_long_words_and_odd_rows(spark):
-    texts = ["x" * 64, "y" * 63, "z" * 129 + " z", None, "", " ", "a a a. a", "a a a. a"]
-    docs = spark.createDataFrame([(i, t, 0.0) for i, t in enumerate(texts)] + [(None, "a b", 1.0), (None, None, None)], "doc_id long, text string, score double")
-    got = cm.score_documents(docs).collect()
-    assert len(got) == 10
-    by = {r["doc_id"]: r for r in got}
+    texts = ["x" * 64, "y" * 63, "z" * 5000 + " z", None, "", " ", "a a a. a", "a a a. a"]
+    rows = [(i, t, 0.0, 1) for i, t in enumerate(texts)] + [(None, "a b", 1.0, 1)] * 50 + [(None, None, None, 2), (12, "a " * 40_000, None, None)]
+    data = spark.createDataFrame(rows, "doc_id long, text string, score double, id long")
+    got = cm.score_documents(data).collect()
+    assert len(got) == 60
+    by = by_id(got)
     assert by[3]["n_tokens"] == by[4]["n_tokens"] == by[5]["n_tokens"] == 1 and by[3]["bits_per_byte"] is None
-    assert by[6]["score"] == by[7]["score"]
+    assert by[12]["n_tokens"] == 40_001
     assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in got)
-    assert cm.score_documents(docs.where("false")).count() == 0
-
-
-def test_every_long_context_counts():
-    """Cells of long contexts over parts of a vocabulary: every word's counts, rare ones too, none dropped or mixed up."""
-    rng = random.Random(4)
-    vocab = sorted({"".join(rng.choice("abcdeé") for _ in range(rng.randrange(14))) for _ in range(3000)} | {"x" * 70})
-    seen = [1 + (i % 900 == 0) * 10**5 for i in range(len(vocab))]
-    code = cm.Code(np.array([rng.randrange(999) for _ in range(256)]))
-    # counts by (context, byte decision), by hand: pieces of 64 bytes, the last six bytes, the prefix with its kind
-    want = Counter()
-    for w, n in zip(vocab, seen, strict=True):
-        raw = w.encode()
-        for at in range(0, len(raw) + 1, cm.PIECE):
-            piece = raw[at : at + cm.PIECE] + (b" " if len(raw) < at + cm.PIECE else b"")
-            for i, byte in enumerate(piece):
-                last = (b" " * 6 + piece[:i])
-                for context in ((4, last[-4:]), (6, last[-6:]), (9, at > 0, piece[:i])):
-                    for j in range(code.size[byte]):
-                        want[(*context, code.node[j, byte], code.bit[j, byte])] += n
-    none = pa.array([0] * len(vocab))
-    table = pa.table({"word": vocab, "t0": none, "t1": none, "t2": none, "t3": seen, "seen": seen, "used": [8] * len(vocab)})
-    parts = [table.slice(0, 1100), table.slice(1100)]
-    met = [cm._cells(code, 3)((pa.scalar(i),), t) for i, t in enumerate(parts)]
-    every = pa.concat_tables(met)
-    totals = pa.concat_tables([cm._totals((pa.scalar(b),), every.filter(pa.compute.equal(every.column("block"), b))) for b in range(3)])
-    exact, got = {}, {}
-    for i, part in enumerate(parts):
-        *_, keys, _, counts = cm._met(code, part.combine_chunks().to_batches()[0], totals.filter(pa.compute.equal(totals.column("part"), i)))
-        assert len(keys) == len(counts)
-        got.update(zip(keys.tolist(), counts.tolist(), strict=True))
-        own = Counter()
-        for row in met[i].to_pylist():
-            for k, z, o in zip(np.cumsum(cm.unpack(row["keys"], "<u8"), dtype=np.uint64).tolist(), cm.unpack(row["zeros"], "<i8").tolist(), cm.unpack(row["ones"], "<i8").tolist(), strict=True):
-                exact[k] = tuple(np.add(exact.get(k, (0, 0)), (z, o)).tolist())
-                own[k] += 1
-        assert max(own.values()) == 1
-    pairs = {}
-    for key, n in want.items():
-        pairs.setdefault(key[:-1], [0, 0])[key[-1]] += n
-    assert Counter(exact.values()) == Counter(map(tuple, pairs.values()))
-    assert got == {k: int(cm.packed(np.array([v]))[0]) for k, v in exact.items()}
+    assert cm.score_documents(data.where("false")).count() == 0
+
+
+# A scalar model: the same definitions, one token and one bit at a time, counts from plain dictionaries.
+
+
+def scalar_state(seen, took, own):
+    """(logit, class) of a bit, as a predictor knows it."""
+    if seen <= cm.SMALL:
+        seen, took = max(seen - own, 0), max(took - own, 0)
+        logit = math.log((took + cm.PRIOR) / (seen - took + cm.PRIOR))
+        kind = 0 if seen == 0 else 1 if seen == 1 else (2 if seen < 4 else 4) + (0 < took < seen)
+        return logit, kind
+    if took in (0, seen):
+        return (6.0 if took else -6.0), 6
+    return (min(99, max(0, math.floor(math.log((took + cm.PRIOR) / (seen - took + cm.PRIOR)) * 5) + 50)) - 49.5) / 5, 7
+
+
+def scalar_share(seen, took, own):
+    if seen <= cm.SMALL:
+        seen, took = max(seen - own, 0), max(took - own, 0)
+        return took / max(seen, 1), seen > 0
+    return (2.0 ** (-min(100, max(0, math.ceil(-6 * math.log2(took / seen)))) / 6) if took else 0.0), True
+
+
+def cut(n, *cuts):
+    return sum(n >= c for c in cuts)
+
+
+class Scalar:
+    def __init__(self, texts):
+        import xxhash
+
+        self.h = lambda w: xxhash.xxh64_intdigest(w.encode(), 7)
+        mix = lambda x: int(cm.spread(np.array([x % 2**64], np.uint64))[0])
+        self.one = lambda p: mix(p + 11) >> cm.CODE
+        self.two = lambda p, q: mix(p * int(cm._B) + mix(q + 23)) >> cm.CODE
+        self.root, self.cell, self.count, self.letters = Counter(), Counter(), Counter(), Counter()
+        types = set()
+        for t in texts:
+            for h, w, c1, c2 in self.walk(words(t)):
+                self.count[w] += 1
+                types.add(w)
+                for j in range(cm.DEPTH + 1):
+                    self.root[j, h >> 64 - j] += 1
+                    for o, c in ((1, c1), (2, c2)):
+                        self.cell[o, c, j, h >> 64 - j] += 1
+                for o, c in ((1, c1), (2, c2)):
+                    self.cell[o, c, "w", h >> 64 - cm.CODE] += 1
+        for w in types:
+            for contexts, byte in self.spell(w):
+                for c in contexts:
+                    for j in range(9):
+                        self.letters[c, j, byte >> 8 - j] += 1
+
+    def walk(self, own):
+        hs = [self.h(w) for w in own]
+        for i, (h, w) in enumerate(zip(hs, own, strict=True)):
+            p, q = hs[i - 1] if i else 1, hs[i - 2] if i > 1 else 2
+            yield h, w, self.one(p), self.two(p, q)
+
+    @staticmethod
+    def spell(w):
+        raw = b" " * 6 + w.encode() + b" "
+        for i in range(6, len(raw)):
+            yield [raw[i - k : i] for k in cm.LETTERS], raw[i]
+
+    @staticmethod
+    def mixed(mixer, rate, x, gate):
+        logit = min(12, max(-12, sum(float(np.float32(w)) * v for w, v in zip(mixer.weights[:, gate], x, strict=True))))
+        step = int((logit + 12) * (cm.STEPS - 1) / 24 + 0.5)
+        return math.log(min(1 - 1e-6, max(1e-6, 0.5 / (1 + math.exp(-logit)) + 0.5 * float(rate[gate * cm.STEPS + step]))))
+
+    def score(self, model, text, own):
+        """Natural log of the text's probability; own: its occurrences are left out."""
+        total, fresh_so_far, run, seen_words = 0.0, 0, 0, Counter()
+        for i, (h, w, c1, c2) in enumerate(self.walk(words(text))):
+            cell = lambda o, j: self.cell[o, (c1, c2)[o - 1], j, h >> 64 - j]  # noqa: E731, B023
+            kinds = [scalar_state(cell(o, 0), cell(o, 1), own)[1] for o in (1, 2)]
+            r, place = cut(run, 1, 3, 16), cut(i, 8, 64, 512)
+            new = self.count[w] - own <= 0
+            g1, g2 = kinds[0], 8 + kinds[1] * 4 + r
+            odds = lambda g: math.log(model.rates[g, 1] / model.rates[g, 0])
+            sign = 1 if new else -1
+            got = self.mixed(model.new, model.refined[2], [sign * odds(g1), sign * odds(g2), sign * math.log((fresh_so_far + 0.3) / (i - fresh_so_far + 1.5))], place)
+            if new:
+                for contexts, byte in self.spell(w):
+                    for j in range(8):
+                        s = [scalar_state(self.letters[c, j, byte >> 8 - j], self.letters[c, j + 1, byte >> 7 - j], own) for c in contexts]
+                        got += self.mixed(model.letter, model.refined[1], [x for x, _ in s], (s[2][1] * 8 + s[1][1]) * 4 + min(s[0][1] >> 1, 3))
+            else:
+                for j in range(cm.DEPTH):
+                    s = [scalar_state(cell(o, j), cell(o, j + 1), own) for o in (1, 2)]
+                    took = self.root[j + 1, h >> 63 - j]
+                    root = math.log((max(took - own, 0) + cm.PRIOR) / (self.root[j, h >> 64 - j] - took + cm.PRIOR))
+                    gate = (s[1][1] * 8 + s[0][1]) * 4 + r
+                    got += self.mixed(model.word, model.refined[0], [root, s[0][0], s[1][0]], gate)
+                shares = [(min(1, (self.count[w] - own) / max(1, self.root[cm.DEPTH, h >> 64 - cm.DEPTH] - own)), True)]
+                shares += [scalar_share(cell(o, cm.DEPTH), self.cell[o, (c1, c2)[o - 1], "w", h >> 64 - cm.CODE], own) for o in (1, 2)]
+                weight = [m * ok for m, (_, ok) in zip(model.among[gate], shares, strict=True)]
+                got += math.log(max(1e-300, sum(m * x for m, (x, _) in zip(weight, shares, strict=True)) / sum(weight)))
+            gate = ((kinds[1] * 8 + kinds[0]) * 4 + r) * 4 + place
+            a = model.own[gate, 0] / model.own[gate].sum() if i else 0.0
+            total += math.log(a * seen_words[w] / max(i, 1) + (1 - a) * math.exp(got))
+            fresh_so_far += new
+            seen_words[w] += 1
+            triple = scalar_share(cell(2, cm.DEPTH), self.cell[2, c2, "w", h >> 64 - cm.CODE], own)[0]
+            run = run + 1 if triple > 0 else 0
+        return total
+
+
+def test_scalar_model(spark, sf):
+    """The vectors' scores against the scalar model with the same learned weights, and weights that learning has moved."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 60")
+    texts = dict(docs.select("doc_id", "text").collect())
+    kept, real = [], cm._scored
+    try:
+        cm._scored = lambda bottom, state, n, v: kept.append(state) or real(bottom, state, n, v)
+        got = cm.score_documents(docs).collect()
+    finally:
+        cm._scored = real
+    model = cm.Model.of(kept[0])
+    assert np.abs(model.word.weights - 0.4).max() > 0.1
+    plain = Scalar([t for d, t in texts.items() if not out(d)])
+    for r in got:
+        if len(words(texts[r["doc_id"]])) > 900:
+            continue
+        assert math.isclose(r["score"], plain.score(model, texts[r["doc_id"]], 0) / math.log(10), rel_tol=1e-4)
+        if not r["held_out"] and r["n_bytes"]:
+            assert math.isclose(r["fresh_bits_per_byte"], -plain.score(model, texts[r["doc_id"]], 1) / math.log(2) / r["n_bytes"], rel_tol=1e-4)
+
+
+def test_bits_of_a_context_sum_to_one():
+    """Both ways a bit can go mirror each other, for every state, and shares of a bucket sum to one at most."""
+    for seen in (0, 1, 2, 5, 16, 17, 40, 1000, 10**6):
+        took = np.unique(np.minimum(seen, np.array([0, 1, 2, 3, seen // 3, seen // 2, seen - 1, seen]).clip(0)))
+        one, other = (cm.state(np.full(len(took), seen), x) for x in (took, seen - took))
+        flat = (seen > cm.SMALL) & (np.abs((cm._LOGIT[one] + cm._LOGIT[other])) > 1e-5)
+        assert (np.abs(cm._LOGIT[one] + cm._LOGIT[other])[flat] <= 0.2001).all()
+        assert (cm._CLASS[one] == cm._CLASS[other]).all()
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        took = rng.integers(1, rng.choice([2, 10, 1000]), rng.integers(1, 30))
+        assert cm._SHARE[cm.share_state(np.full(len(took), took.sum()), took)].sum() <= 1 + 1e-9
