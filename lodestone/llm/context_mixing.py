@@ -1,12 +1,12 @@
 """Language-model scoring by online logistic context mixing.
 
 A text is a run of tokens (words, then an end). A token is coded bit by bit: whether it is new to the
-corpus, then for a known one the 12 leading bits of its hash, for a new one the eight bits of each of
+corpus, then for a known one the 8 leading bits of its hash, for a new one the eight bits of each of
 its letters. Each bit is predicted from several hashed contexts: for known words no context, the word
 before, and the two words before; for letters the last 2, 4 and 6 of the word. The predictors' logits
 are combined with weights picked by a gate (how often each context was seen, whether it ever went both
 ways, how long the text has been following known triples of words), learned online; an adaptive map
-from the mixed logit to the observed rate refines the result. Words that share the 12 bits are told
+from the mixed logit to the observed rate refines the result. Words that share the 8 bits are told
 apart by averaging the contexts' shares, and the text's own words so far, counted as it is read, are
 averaged in. Every step is a distribution, so the score is a true log probability, and total bits per
 byte follow.
@@ -20,7 +20,7 @@ Spark moves: rows are dealt by hash to slices of about ``SLICE_BYTES``, so what
 from, on its own, before weights are averaged) follows from the rows, not from how the session cuts
 them. A slice sends its distinct keys with their counts to ranges of keys, at most ``FAN`` lists to a
 task (more are merged level by level), and gets back one byte for each bit to be predicted. Only the
-weights and the totals of 4,096 buckets are sent to every task.
+weights and the totals of 256 buckets are sent to every task.
 """
 
 from __future__ import annotations
@@ -37,9 +37,9 @@ from pyspark.sql import functions as F
 
 from .common import discard, materialise, table
 
-SLICE_BYTES, RANGE_BYTES, FAN = 8 << 20, 16 << 20, 128
+SLICE_BYTES, RANGE_BYTES, FAN = 6 << 20, 16 << 20, 128
 #: Bits mixed for a known word, and bits that tell it apart within a context; bits of a letter.
-DEPTH, CODE, LETTER = 12, 20, 8
+DEPTH, CODE, LETTER = 8, 20, 8
 #: Letters before, for each context of a letter.
 LETTERS = (2, 4, 6)
 CHUNK = 1 << 15
@@ -95,24 +95,16 @@ class Slice:
         self.at = np.arange(len(self.row)) - self.first[self.row]  # place in the text
         self.trained = np.bincount(self.word[self.train], minlength=len(self.words))
 
-    def by_word(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        order = np.argsort(self.hash, kind="stable")
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        return self.hash[order], self.trained[order], place[self.word]
-
-    def by_words(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For contexts of one and two words: sorted keys, training counts, the key of each token."""
+    def by_words(self) -> list[np.ndarray]:
+        """The key of each token after one and after two words."""
         h = self.hash[self.word]
         one = np.where(self.at > 0, np.roll(h, 1), np.uint64(1))
         two = np.where(self.at > 1, np.roll(h, 2), np.uint64(2))
-        for context in (spread(one + np.uint64(11)), spread(one * _B + spread(two + np.uint64(23)))):
-            keys, which = np.unique((context & ~_LOW) | (h >> np.uint64(64 - CODE)), return_inverse=True)
-            yield keys, np.bincount(which[self.train], minlength=len(keys)), which
+        code = h >> np.uint64(64 - CODE)
+        return [(c & ~_LOW) | code for c in (spread(one + np.uint64(11)), spread(one * _B + spread(two + np.uint64(23))))]
 
-    def by_letters(self) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
-        """For contexts of letters: sorted keys, how many training words of the slice have each, the key of each place
-        (longest context last); then the word of each place, and where the places of each word begin."""
+    def by_letters(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each letter of each word and the six before it, the word of each, and where each word begins."""
         stops = np.frombuffer(self.words.buffers()[1], np.int64)[self.words.offset : self.words.offset + len(self.words) + 1]
         size = np.diff(stops)
         begin = np.concatenate([[0], np.cumsum(size + 1)])
@@ -126,20 +118,35 @@ class Slice:
         raw = data.copy()
         for k in range(1, max(LETTERS) + 1):
             raw |= np.where(nth >= k, np.roll(data, k), np.uint64(32)) << np.uint64(8 * k)
-        mine = (self.trained > 0)[of]
-        found, which = np.unique(raw, return_inverse=True)
-        seen = np.bincount(which[mine], minlength=len(found))
-        out = []
-        for k in reversed(LETTERS):
-            if out:  # a shorter context's keys come from the distinct keys of the longer one
-                found, merged = np.unique(found & np.uint64((1 << 8 * (k + 1)) - 1), return_inverse=True)
-                which, seen = merged[which], np.bincount(merged, seen, len(found)).astype(np.int64)
-            keys = (found >> np.uint64(8)) * _A << np.uint64(16) | (found & np.uint64(255)) << np.uint64(8)
-            order = np.argsort(keys)
-            place = np.empty(len(order), np.int64)
-            place[order] = np.arange(len(order))
-            out.append((keys[order], seen[order], place[which]))
-        return out[::-1], of, begin
+        return raw, of, begin
+
+    def lists(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """By order of context: sorted distinct keys and their counts in training texts (letters: in distinct training words)."""
+        order = np.argsort(self.hash)
+        yield self.hash[order], self.trained[order]
+        for keys in self.by_words():
+            yield distinct(keys, keys[self.train])
+        raw, of, _ = self.by_letters()
+        taught, by = raw[(self.trained > 0)[of]], []
+        for k in LETTERS:
+            keep = np.uint64((1 << 8 * (k + 1)) - 1)
+            by.append(distinct(letter_keys(raw & keep), letter_keys(taught & keep)))
+        yield from by
+
+
+def distinct(keys: np.ndarray, taught: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct ``keys``, and how often each is among ``taught``."""
+    keys = np.sort(keys)
+    keys = keys[np.diff(keys, prepend=~keys[:1]) != 0]
+    taught = np.sort(taught)
+    begins = np.flatnonzero(np.diff(taught, prepend=~taught[:1]) != 0)
+    counts = np.zeros(len(keys), np.int64)
+    counts[np.searchsorted(keys, taught[begins])] = np.diff(np.append(begins, len(taught)))
+    return keys, counts
+
+
+def letter_keys(raw: np.ndarray) -> np.ndarray:
+    return (raw >> np.uint64(8)) * _A << np.uint64(16) | (raw & np.uint64(255)) << np.uint64(8)
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -164,7 +171,7 @@ def _listed(ranges: int):
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         """Distinct keys of a slice with their training counts, by range; a context's keys are in one range."""
         own, out = Slice(rows), []
-        for o, (keys, counts, _) in enumerate([own.by_word(), *own.by_words(), *own.by_letters()[0]]):
+        for o, (keys, counts) in enumerate(own.lists()):
             at = [*np.searchsorted(keys, cuts).tolist(), len(keys)]
             out += [(o, r, pack(np.diff(keys[a:b], prepend=np.uint64(0))), pack(counts[a:b].astype("<i8"))) for r, (a, b) in enumerate(zip(at, at[1:], strict=False)) if b > a]
         o, r, k, c = zip(*out, strict=True)
@@ -197,21 +204,26 @@ _EXACT, _WIDE = len(_SEEN), 100
 _ALWAYS, _NEVER = _EXACT + _WIDE, _EXACT + _WIDE + 1
 
 
+def exact(seen: np.ndarray, took: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """States of counts up to SMALL, and where the others are."""
+    a = np.minimum(seen, SMALL + 1).astype(np.uint16)
+    return (a * (a + np.uint16(1)) // np.uint16(2) + np.minimum(took, a).astype(np.uint16)).astype(np.uint8), np.flatnonzero(seen > SMALL)
+
+
 def state(seen: np.ndarray, took: np.ndarray) -> np.ndarray:
-    small = seen <= SMALL
-    a = np.where(small, seen, 0)
-    with np.errstate(divide="ignore"):
-        logit = np.log((took + PRIOR) / (seen - took + PRIOR))
-    wide = np.where(took == seen, _ALWAYS, np.where(took == 0, _NEVER, _EXACT + np.clip(np.floor(logit * 5) + 50, 0, 99))).astype(np.int64)
-    return np.where(small, a * (a + 1) // 2 + np.where(small, took, 0), wide).astype(np.uint8)
+    out, wide = exact(seen, took)
+    a, b = seen[wide], took[wide]
+    logit = np.floor(np.log((b + PRIOR) / (a - b + PRIOR)) * 5) + 50
+    out[wide] = np.where(b == a, _ALWAYS, np.where(b == 0, _NEVER, _EXACT + np.clip(logit, 0, 99)))
+    return out
 
 
 def share_state(seen: np.ndarray, took: np.ndarray) -> np.ndarray:
     """The same for a share of a bucket: above SMALL rounded down, so that shares sum to one at most."""
-    small = seen <= SMALL
-    a = np.where(small, seen, 0)
-    wide = _EXACT + np.clip(np.ceil(-6 * np.log2(np.maximum(took, 1e-9) / np.maximum(seen, 1))), 0, 100)
-    return np.where(small, a * (a + 1) // 2 + np.where(small, took, 0), np.where(took == 0, 255, wide)).astype(np.uint8)
+    out, wide = exact(seen, took)
+    a, b = seen[wide], took[wide]
+    out[wide] = np.where(b == 0, 255, _EXACT + np.clip(np.ceil(-6 * np.log2(np.maximum(b, 0.5) / a)), 0, 100))
+    return out
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -386,11 +398,11 @@ class Told:
             held.setdefault(o, []).append((r, d))
         bytes_of = lambda o: [d for _, d in sorted(held.get(o, []))]
         planes = lambda o, k: np.concatenate([np.frombuffer(zstandard.decompress(d), np.uint8).reshape(k, -1) for d in bytes_of(o)], axis=1)
-        _, _, at = own.by_word()
-        self.count = np.concatenate([unpack(d, "<i8") for d in bytes_of(0)])[at]
-        self.words = [(planes(o, DEPTH + 1), which) for o, (*_, which) in zip((1, 2), own.by_words(), strict=True)]
-        by, self.letter_word, self.letter_begin = own.by_letters()
-        self.letters = [(planes(3 + i, LETTER), which) for i, (*_, which) in enumerate(by)]
+        count = np.empty(len(own.words), np.int64)
+        count[np.argsort(own.hash)] = np.concatenate([unpack(d, "<i8") for d in bytes_of(0)])
+        self.count = count[own.word]
+        self.words = [(planes(o, DEPTH + 1), np.unique(keys, return_inverse=True)[1]) for o, keys in zip((1, 2), own.by_words(), strict=True)]
+        self.letters = [planes(3 + i, LETTER) for i in range(len(LETTERS))]
         h = own.hash[own.word]
         self.node = (h >> np.uint64(64 - DEPTH)).astype(np.int64)
         # how often the text has had the word before
@@ -408,7 +420,8 @@ class Told:
 
     def spelled(self, model: Model, words: np.ndarray, left_out: bool, learn: bool) -> np.ndarray:
         """Natural log of the probability of each of ``words`` (indices) from its letters."""
-        begin, out = self.letter_begin, np.zeros(len(words))
+        (raw, _, begin), out = self.own.by_letters(), np.zeros(len(words))
+        sorted_keys = [distinct(letter_keys(raw & np.uint64((1 << 8 * (k + 1)) - 1)), raw[:0])[0] for k in LETTERS]
         size = begin[words + 1] - begin[words]
         ends = np.cumsum(size)
         rate = model.refined[1] if model.refined else None
@@ -418,7 +431,8 @@ class Told:
             some = size[at:upto]
             owner = np.repeat(np.arange(at, upto), some)
             place = np.repeat(begin[words[at:upto]] - (np.cumsum(some) - some), some) + np.arange(len(owner))
-            planes = [p[:, w[place]] for p, w in self.letters]
+            some = raw[place]
+            planes = [p[:, np.searchsorted(keys, letter_keys(some & np.uint64((1 << 8 * (k + 1)) - 1)))] for p, keys, k in zip(self.letters, sorted_keys, LETTERS, strict=True)]
             shift = 256 * left_out
             got = np.zeros(len(owner), np.float32)
             for j in range(LETTER):
@@ -446,7 +460,8 @@ class Told:
             # a training word whose one occurrence is left out; those of held-out texts have none
             mine = own.trained[needed] > 0
             for part, less in ((needed[mine], True), (needed[~mine], False)):
-                spell[part] = self.spelled(model, part, less, learn and less)
+                if len(part):
+                    spell[part] = self.spelled(model, part, less, learn and less)
         refined = model.refined or [None] * 3
         for a in range(0, len(which), CHUNK):
             t = which[a : a + CHUNK]
@@ -525,12 +540,11 @@ def bottoms(buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _learned(bottom):
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table, totals: pa.Table) -> pa.Table:
         """What a slice's training texts teach, each token left out of the counts that foretell it."""
-        model = Model()
-        if rows.num_rows and totals.num_rows:
-            told_ = Told(Slice(rows), totals)
-            train = told_.own.train
-            told_.chances(model, bottom, train, np.flatnonzero(train), True)
-        return pa.table({"id": pa.array([key[0].as_py()], pa.int64()), "state": pa.array([model.pack()], pa.binary())})
+        model, own = Model(), Slice(rows)
+        which = np.flatnonzero(own.train)
+        got = Told(own, totals).chances(model, bottom, own.train, which, True) if len(which) else np.zeros(0)
+        fresh = np.bincount(own.row[which], got, own.n)
+        return pa.table({"id": pa.array([key[0].as_py()], pa.int64()), "state": pa.array([model.pack()], pa.binary()), "fresh": pa.array([fresh.tobytes()], pa.binary())})
 
     return run
 
@@ -541,6 +555,7 @@ def _averaged(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
     return pa.table({"id": pa.array([key[0].as_py()], pa.int64()), "state": pa.array([total.tobytes()], pa.binary())})
 
 
+_FRESH = 9  # beside the orders of keys: what texts scored while they were learned from
 _DOC = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double, fresh_bits_per_byte double"
 
 
@@ -548,22 +563,17 @@ def _scored(bottom, state: bytes | None, n: int, v: int):
     ready: list[Model] = []
 
     def run(rows: pa.Table, totals: pa.Table) -> pa.Table:
-        if not rows.num_rows:
-            return pa.table({f.split()[0]: [] for f in _DOC.split(", ")})
         if not ready:
             ready.append(Model.of(state))
         own = Slice(rows)
-        held = Told(own, totals)
-        every = np.arange(len(own.word))
+        learned = pc.equal(totals.column("ord"), _FRESH)
+        held = Told(own, totals.filter(pc.invert(learned)))
         per = lambda x: np.bincount(own.row, x, own.n)
-        none = np.zeros(len(every), bool)
-        got = held.chances(ready[0], bottom, none, every, False) / np.log(10)
-        apart = got.copy()
-        which = np.flatnonzero(own.train)
-        if len(which):
-            apart[which] = held.chances(ready[0], bottom, own.train, which, False) / np.log(10)
+        got = held.chances(ready[0], bottom, np.zeros(len(own.word), bool), np.arange(len(own.word)), False) / np.log(10)
         size = pc.fill_null(pc.binary_length(own.rows.column("text")), 0).to_numpy().astype(np.int64)
-        score, fresh = per(got), per(apart)
+        score = per(got)
+        taught = ~own.rows.column("held_out").to_numpy(zero_copy_only=False)
+        fresh = np.where(taught, np.frombuffer(totals.filter(learned).column("data")[0].as_py()) / np.log(10), score)
         bits = lambda s: pa.array(-s * np.log2(10) / np.maximum(size, 1), mask=size == 0)
         return pa.table([
             own.rows.column("doc_id"), own.rows.column("held_out"), pa.array(np.bincount(own.row, minlength=own.n)), pa.array(per(held.count > 0).astype(np.int64)), pa.array(np.full(own.n, n)),
@@ -577,8 +587,9 @@ def score_documents(docs: DataFrame, slice_bytes: int = SLICE_BYTES, fan: int =
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte, fresh_bits_per_byte) of each row.
 
     Learns from rows that aren't held out (crc32 of doc_id as text, mod 5, is not 1; a null doc_id is
-    learned from). bits_per_byte is the score's; fresh_bits_per_byte takes a training token's own occurrence
-    out of the counts, so that a text met once in training reads like a new one and a repeated one doesn't.
+    learned from). bits_per_byte is the score's; fresh_bits_per_byte is what a training text took while weights
+    were learned from it, each token's own occurrence taken out of the counts, so that a text met once in
+    training reads like a new one and a repeated one doesn't.
     Null text counts as empty: one token, the end. Repeated rows count and are answered each; rows
     without an id are dealt by their place as well, so that copies of one don't meet in a slice. Both are
     null for texts without bytes. An empty table gives no rows."""
@@ -598,11 +609,14 @@ def score_documents(docs: DataFrame, slice_bytes: int = SLICE_BYTES, fan: int =
     for r in totals.where("id = -1").select("data").mapInArrow(_by_bucket, "bucket long, n long, v long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
         buckets[r["bucket"]], n, v = r["n"], n + r["n"], v + r["v"]
     bottom = bottoms(buckets)
-    pairs = lambda: dealt.groupBy("id").cogroup(totals.where("id >= 0").groupBy("id"))
-    states, left = materialise(pairs().applyInArrow(_learned(bottom), "id long, state binary"), "states"), slices
+    counts = totals.where("id >= 0")
+    pairs = lambda: dealt.groupBy("id").cogroup(counts.groupBy("id"))
+    taught = materialise(pairs().applyInArrow(_learned(bottom), "id long, state binary, fresh binary"), "states")
+    states, left = taught.select("id", "state"), slices
     while left > 1:
         states, left = states.groupBy(F.expr(f"id div {fan}").alias("node")).applyInArrow(_averaged, "id long, state binary"), -(-left // fan)
     found = states.first()
+    counts = counts.union(taught.select(F.lit(_FRESH), F.lit(0), "id", F.col("fresh")))
     return pairs().applyInArrow(_scored(bottom, bytes(found["state"]) if found else None, n, v), _DOC)
 
 
