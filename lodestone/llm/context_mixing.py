@@ -3,7 +3,7 @@
 A text is a run of tokens (words, then an end). A token is coded bit by bit: whether it is new to the
 corpus, then for a known one the 8 leading bits of its hash, for a new one the eight bits of each of
 its letters. Each bit is predicted from several hashed contexts: for known words no context, the word
-before, and the two words before; for letters the last 2, 4 and 6 of the word. The predictors' logits
+before, and the two words before; for letters the last 3 and 6 of the word. The predictors' logits
 are combined with weights picked by a gate (how often each context was seen, whether it ever went both
 ways, how long the text has been following known triples of words), learned online; an adaptive map
 from the mixed logit to the observed rate refines the result. Words that share the 8 bits are told
@@ -41,9 +41,9 @@ SLICE_BYTES, RANGE_BYTES, FAN = 6 << 20, 16 << 20, 128
 #: Bits mixed for a known word, and bits that tell it apart within a context; bits of a letter.
 DEPTH, CODE, LETTER = 8, 20, 8
 #: Letters before, for each context of a letter.
-LETTERS = (2, 4, 6)
+LETTERS = (3, 6)
 CHUNK = 1 << 15
-PRIOR, STEPS = 0.4, 33
+PRIOR, STEPS, SURE = 0.4, 33, 0.99
 GATES = 8 * 8 * 4  # of the longer context, the shorter, and the run of known triples
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _LOW = np.uint64((1 << CODE) - 1)
@@ -80,7 +80,7 @@ def spread(x: np.ndarray) -> np.ndarray:
 
 class Slice:
     """Rows of a slice in an order that follows from their content, their tokens, and keys by order of context:
-    0 words, 1 and 2 words after one and two words before, 3 to 5 letters after those of LETTERS."""
+    0 words, 1 and 2 words after one and two words before, then letters after those of LETTERS."""
 
     def __init__(self, rows: pa.Table):
         rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
@@ -245,7 +245,10 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return logit, kind, share, hits
 
 
-_LOGIT, _CLASS, _SHARE, _HIT = _tables()
+_LOGIT, _KIND, _SHARE, _HIT = _tables()
+#: Classes as parts of a gate's number.
+_CLASS = {k: _KIND.astype(np.intp) * k for k in (1, 4, 32)}
+_HALF = np.minimum(_KIND >> 1, 3).astype(np.intp)
 
 
 def told(keys: np.ndarray, total: np.ndarray, code: int, depth: int, ends: bool) -> np.ndarray:
@@ -310,7 +313,7 @@ class Mixer:
 
     def __init__(self, inputs: int, gates: int):
         self.weights = np.full((inputs, gates), 0.4)
-        self.heat = np.full((inputs, gates), 40.0)
+        self.heat = np.full(gates, 40.0)
         self.hits, self.ones = np.zeros((gates, STEPS)), np.zeros((gates, STEPS))
 
     def parts(self) -> list[np.ndarray]:
@@ -333,29 +336,32 @@ class Mixer:
         for i in range(1, len(x)):
             logit += w[i].take(gate) * x[i]
         np.clip(logit, -12, 12, out=logit)
-        p = 1 / (1 + np.exp(-logit))
         step = ((logit + np.float32(12)) * np.float32((STEPS - 1) / 24) + np.float32(0.5)).astype(np.int64)
+        np.exp(np.negative(logit, out=logit), out=logit)
+        logit += np.float32(1)
+        p = np.reciprocal(logit, out=logit)
         if learn:
-            wrong, curve, n = 1 - p, p * (1 - p), self.weights.shape[1]
-            for i in range(len(x)):
-                push = wrong * x[i]
-                self.heat[i] += np.bincount(gate, curve * x[i] * x[i], n)
-                self.weights[i] += np.bincount(gate, push, n) / self.heat[i]
+            # bits foretold all but surely teach nothing
+            some, n = np.flatnonzero(p < SURE), self.weights.shape[1]
+            wrong, g, y = 1 - p[some], gate[some], [v[some] for v in x]
+            self.heat += np.bincount(g, p[some] * wrong * sum(v * v for v in y), n) / len(x)
+            for i, v in enumerate(y):
+                self.weights[i] += np.bincount(g, wrong * v, n) / self.heat
             # either way a bit might have gone, so that the map of one way mirrors that of the other
-            at = gate.astype(np.int64) * STEPS + step
-            came = np.bincount(at, minlength=self.hits.size).reshape(-1, STEPS)
+            came = np.bincount(gate * STEPS + step, minlength=self.hits.size).reshape(-1, STEPS)
             self.ones += came
             self.hits += came + came[:, ::-1]
         if rate is not None:
-            p = np.float32(0.5) * (p + rate.take(gate.astype(np.int64) * STEPS + step))
-        return np.log(np.clip(p, np.float32(1e-6), np.float32(1 - 1e-6)))
+            p += rate.take(gate * STEPS + step)
+            p *= np.float32(0.5)
+        return np.log(np.clip(p, np.float32(1e-6), np.float32(1 - 1e-6), out=p), out=p)
 
 
 class Model:
     """All that is learned: mixers for words' bits, for letters' bits and for new words; shares in averages."""
 
     def __init__(self) -> None:
-        self.word, self.letter, self.new = Mixer(3, GATES), Mixer(3, GATES), Mixer(3, 4)
+        self.word, self.letter, self.new = Mixer(3, GATES), Mixer(len(LETTERS), GATES), Mixer(3, 4)
         self.rates = np.ones((64, 2))  # known, new, by classes of the contexts
         self.among = np.ones((GATES, 3))  # shares of the contexts within a bucket
         self.own = np.tile([1.0, 9.0], (GATES * 4, 1))  # the text's own words, the corpus
@@ -433,11 +439,10 @@ class Told:
             place = np.repeat(begin[words[at:upto]] - (np.cumsum(some) - some), some) + np.arange(len(owner))
             some = raw[place]
             planes = [p[:, np.searchsorted(keys, letter_keys(some & np.uint64((1 << 8 * (k + 1)) - 1)))] for p, keys, k in zip(self.letters, sorted_keys, LETTERS, strict=True)]
-            shift = 256 * left_out
-            got = np.zeros(len(owner), np.float32)
+            got, shift = np.zeros(len(owner), np.float32), 256 * left_out
             for j in range(LETTER):
-                states = [p[j].astype(np.int64) + shift for p in planes]
-                gate = (_CLASS.take(states[2]).astype(np.int64) * 8 + _CLASS.take(states[1])) * 4 + np.minimum(_CLASS.take(states[0]) >> 1, 3)
+                states = [p[j].astype(np.intp) + shift for p in planes]
+                gate = _CLASS[32].take(states[1]) + _CLASS[4].take(states[0])
                 got += model.letter.chances([_LOGIT.take(s) for s in states], gate, learn, rate)
             out += np.bincount(owner, got, len(words))
             at = upto
@@ -468,7 +473,7 @@ class Told:
             shift, new = shift_all[t], fresh[t]
             planes = [p[:, w[t]] for p, w in self.words]
             seen = own.at[t]
-            kinds = [_CLASS.take(p[0].astype(np.int64) + shift).astype(np.int64) for p in planes]
+            kinds = [_CLASS[1].take(p[0].astype(np.intp) + shift) for p in planes]
             # is the word new?
             g1, g2 = kinds[0], 8 + kinds[1] * 4 + run[t]
             odds = np.log(model.rates[:, 1] / model.rates[:, 0]).astype(np.float32)
@@ -485,11 +490,11 @@ class Told:
                 planes = [p[:, kept] for p in planes]
                 r = run[t[kept]]
                 bits = np.zeros(len(kept), np.float32)
-                less = left_out[t[kept]].astype(np.int64) * len(bottom[0]) // 2
+                less = left_out[t[kept]] * (len(bottom[0]) // 2)
                 for j in range(DEPTH):
-                    states = [p[j].astype(np.int64) + s for p in planes]
-                    gate = (_CLASS.take(states[1]).astype(np.int64) * 8 + _CLASS.take(states[0])) * 4 + r
-                    root = bottom[0].take(((1 << (j + 1)) | (node >> (DEPTH - 1 - j))) + less)
+                    states = [p[j].astype(np.intp) + s for p in planes]
+                    gate = _CLASS[32].take(states[1]) + _CLASS[4].take(states[0]) + r
+                    root = bottom[0].take((node >> (DEPTH - 1 - j)) + (less + (2 << j)))
                     bits += model.word.chances([root, *(_LOGIT.take(x) for x in states)], gate, learn, refined[0])
                 # among the words of the bucket
                 states = [p[DEPTH].astype(np.int64) + s for p in planes]
