@@ -257,7 +257,7 @@ def test_bits_of_a_context_sum_to_one():
         one, other = (cm.state(np.full(len(took), seen), x) for x in (took, seen - took))
         flat = (seen > cm.SMALL) & (np.abs((cm._LOGIT[one] + cm._LOGIT[other])) > 1e-5)
         assert (np.abs(cm._LOGIT[one] + cm._LOGIT[other])[flat] <= 0.2001).all()
-        assert (cm._CLASS[one] == cm._CLASS[other]).all()
+        assert (cm._KIND[one] == cm._KIND[other]).all()
     rng = np.random.default_rng(1)
     for _ in range(200):
         took = rng.integers(1, rng.choice([2, 10, 1000]), rng.integers(1, 30))
