@@ -13,8 +13,8 @@ byte follow.
 
 Counts of a context are those of all training text, held as sorted 64-bit keys: context first, then
 the leading bits of what followed it, so a bit's counts are those of a stretch of neighbouring keys.
-Nothing has a fixed size: keys grow with the corpus. Words and contexts are told apart by 64 and 44
-bits of hash; two that meet share their counts.
+Nothing has a fixed size: keys grow with the corpus. Words are told apart by 64 bits of hash, contexts by
+40 (48 in a corpus above 64 GB); two that meet share their counts.
 
 Spark moves: rows are dealt by hash to slices of about ``SLICE_BYTES``, so what a slice holds (and learns
 from, on its own, before weights are averaged) follows from the rows, not from how the session cuts
@@ -35,37 +35,36 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, table
+from .common import discard, materialise, slices, table
 
-SLICE_BYTES, RANGE_BYTES, FAN = 6 << 20, 16 << 20, 128
+SLICE_BYTES, RANGE_BYTES, FAN = 6 << 20, 16 << 20, 256
 #: Bits mixed for a known word, and bits that tell it apart within a context; bits of a letter.
-DEPTH, CODE, LETTER = 8, 20, 8
+DEPTH, CODE, LETTER = 8, 16, 8
 #: Letters before, for each context of a letter.
 LETTERS = (3, 6)
 CHUNK = 1 << 15
 PRIOR, STEPS, SURE = 0.4, 33, 0.99
 GATES = 8 * 8 * 4  # of the longer context, the shorter, and the run of known triples
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-_LOW = np.uint64((1 << CODE) - 1)
 
 # Tokens -----------------------------------------------------------------------------------------
 
 
-def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """Tokens of all texts in order (the end is the empty string) and the row of each; null counts as empty."""
+def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct tokens (the end is the empty string, the last), which each token of all texts is, in order, and the row of each; null counts as empty."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     words = pc.ascii_split_whitespace(pc.ascii_lower(texts))
     row = pc.list_parent_indices(words).to_numpy(zero_copy_only=False)
     flat = pc.list_flatten(words)
     real = pc.greater(pc.binary_length(flat), 0)
     row, flat = row[real.to_numpy(zero_copy_only=False)], flat.filter(real)
+    coded = flat.dictionary_encode()
     counts = np.bincount(row, minlength=len(texts))
-    source = np.full(int(counts.sum()) + len(texts), len(flat))
-    mine = np.ones(len(source), bool)
+    which = np.full(len(flat) + len(texts), len(coded.dictionary))
+    mine = np.ones(len(which), bool)
     mine[np.cumsum(counts + 1) - 1] = False
-    source[mine] = np.arange(len(flat))
-    out = pa.concat_arrays([flat, pa.array([""], pa.large_string())]).take(pa.array(source))
-    return out, np.repeat(np.arange(len(texts)), counts + 1)
+    which[mine] = coded.indices.to_numpy()
+    return pa.concat_arrays([coded.dictionary, pa.array([""], pa.large_string())]), which, np.repeat(np.arange(len(texts)), counts + 1)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -78,17 +77,36 @@ def spread(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def low_bits(bits: int) -> np.uint64:
+    return np.uint64((1 << (64 - bits)) - 1)
+
+
+def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by slice, packed: what is shuffled is smaller and has fewer rows."""
+    for batch in batches:
+        for part in slices(batch, most=16 << 20):
+            ids = part.column("id").to_numpy()
+            order = np.argsort(ids, kind="stable")
+            begins = np.flatnonzero(np.diff(ids[order], prepend=-1))
+            part, out = part.drop_columns(["id"]).take(pa.array(order)), []
+            for a, b in zip(begins, [*begins[1:], len(order)], strict=True):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema) as stream:
+                    stream.write_batch(part.slice(a, b - a))
+                out.append(zstandard.compress(sink.getvalue(), 1))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[order][begins]), pa.array(out, pa.binary())], ["id", "rows"])
+
+
 class Slice:
     """Rows of a slice in an order that follows from their content, their tokens, and keys by order of context:
     0 words, 1 and 2 words after one and two words before, then letters after those of LETTERS."""
 
-    def __init__(self, rows: pa.Table):
+    def __init__(self, parts: pa.Table, bits: int):
+        rows = pa.concat_tables([pa.ipc.open_stream(zstandard.decompress(x)).read_all() for x in parts.column("rows").to_pylist()])
         rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
-        self.rows, self.n = rows, rows.num_rows
-        text = rows.column("text").combine_chunks() if isinstance(rows.column("text"), pa.ChunkedArray) else rows.column("text")
-        words, self.row = tokens(text)
-        coded = words.dictionary_encode()
-        self.word, self.words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.cast(pa.large_binary())
+        self.rows, self.n, self.bits = rows, rows.num_rows, bits
+        words, self.word, self.row = tokens(rows.column("text").chunk(0) if rows.num_rows else pa.array([], pa.large_string()))
+        self.words = words.cast(pa.large_binary())
         self.hash = np.array([xxhash.xxh64_intdigest(w, 7) for w in self.words.to_pylist()], np.uint64)
         self.train = ~rows.column("held_out").to_numpy(zero_copy_only=False)[self.row]
         self.first = np.flatnonzero(np.diff(self.row, prepend=-1))
@@ -100,8 +118,8 @@ class Slice:
         h = self.hash[self.word]
         one = np.where(self.at > 0, np.roll(h, 1), np.uint64(1))
         two = np.where(self.at > 1, np.roll(h, 2), np.uint64(2))
-        code = h >> np.uint64(64 - CODE)
-        return [(c & ~_LOW) | code for c in (spread(one + np.uint64(11)), spread(one * _B + spread(two + np.uint64(23))))]
+        code = (h >> np.uint64(64 - CODE)) << np.uint64(64 - CODE - self.bits)
+        return [(c & ~low_bits(self.bits)) | code for c in (spread(one + np.uint64(11)), spread(one * _B + spread(two + np.uint64(23))))]
 
     def by_letters(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Each letter of each word and the six before it, the word of each, and where each word begins."""
@@ -165,12 +183,12 @@ _LISTS = "ord int, rng int, id long, keys binary, counts binary"
 _TOTALS = "ord int, rng int, id long, data binary"
 
 
-def _listed(ranges: int):
-    cuts = np.array([(i * 2**64 // ranges) & ~int(_LOW) for i in range(ranges)], np.uint64)
+def _listed(ranges: int, bits: int):
+    cuts = np.array([(i * 2**64 // ranges) & ~int(low_bits(bits)) for i in range(ranges)], np.uint64)
 
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         """Distinct keys of a slice with their training counts, by range; a context's keys are in one range."""
-        own, out = Slice(rows), []
+        own, out = Slice(rows, bits), []
         for o, (keys, counts) in enumerate(own.lists()):
             at = [*np.searchsorted(keys, cuts).tolist(), len(keys)]
             out += [(o, r, pack(np.diff(keys[a:b], prepend=np.uint64(0))), pack(counts[a:b].astype("<i8"))) for r, (a, b) in enumerate(zip(at, at[1:], strict=False)) if b > a]
@@ -184,9 +202,12 @@ def _joined(rows: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, list[np.n
     """Lists in order of their ids, the keys of all, sums of their counts, and which key each list's are."""
     rows = rows.sort_by("id")
     keys = [np.cumsum(unpack(x, "<u8"), dtype=np.uint64) for x in rows.column("keys").to_pylist()]
-    found, which = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(which, np.concatenate([unpack(x, "<i8") for x in rows.column("counts").to_pylist()]), len(found)).astype(np.int64)
-    return rows, found, total, np.split(which, np.cumsum([len(x) for x in keys])[:-1])
+    found = np.sort(np.concatenate(keys))
+    found = found[np.diff(found, prepend=~found[:1]) != 0]
+    which, total = [np.searchsorted(found, x) for x in keys], np.zeros(len(found), np.int64)
+    for w, x in zip(which, rows.column("counts").to_pylist(), strict=True):
+        total[w] += unpack(x, "<i8")  # a list's keys are distinct
+    return rows, found, total, which
 
 
 def _merged(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
@@ -261,23 +282,25 @@ def told(keys: np.ndarray, total: np.ndarray, code: int, depth: int, ends: bool)
     return np.stack([*out, share_state(levels[-1], total)] if ends else out)
 
 
-def _known(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-    """All lists of a range of keys: what each slice or group of them is told, in the order of its keys. Words
-    get their counts; a further row (id -1) has words and tokens by bucket."""
-    rows, found, total, which = _joined(rows)
-    o, r = (k.as_py() for k in key)
-    if o == 0:
-        data = [pack(total[w]) for w in which]
-    else:
-        states = told(found, total, CODE, DEPTH, True) if o < 3 else told(found, total, 16, LETTER, False)
-        data = [zstandard.compress(np.ascontiguousarray(states[:, w]).tobytes(), 1) for w in which]
-    ids = rows.column("id").to_pylist()
-    if o == 0:
-        bucket = (found >> np.uint64(64 - DEPTH)).astype(np.int64)
-        low = bucket[:1]
-        data.append(np.concatenate([low, np.bincount(bucket - low, total), np.bincount(bucket - low, total > 0)]).astype("<i8").tobytes())
-        ids.append(-1)
-    return pa.table({"ord": pa.array([o] * len(ids), pa.int32()), "rng": pa.array([r] * len(ids), pa.int32()), "id": pa.array(ids, pa.int64()), "data": pa.array(data, pa.binary())})
+def _known(bits: int):
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        """All lists of a range of keys: what each slice or group of them is told, in the order of its keys. Words
+        get their counts; a further row (id -1) has words and tokens by bucket."""
+        rows, found, total, which = _joined(rows)
+        o, r = (k.as_py() for k in key)
+        ids = rows.column("id").to_pylist()
+        if o == 0:
+            data = [pack(total[w]) for w in which]
+            bucket = (found >> np.uint64(64 - DEPTH)).astype(np.int64)
+            low = bucket[:1]
+            data.append(np.concatenate([low, np.bincount(bucket - low, total), np.bincount(bucket - low, total > 0)]).astype("<i8").tobytes())
+            ids.append(-1)
+        else:
+            states = told(found, total, 64 - bits, DEPTH, True) if o < 3 else told(found, total, 16, LETTER, False)
+            data = [zstandard.compress(np.ascontiguousarray(states[:, w]).tobytes(), 1) for w in which]
+        return pa.table({"ord": pa.array([o] * len(ids), pa.int32()), "rng": pa.array([r] * len(ids), pa.int32()), "id": pa.array(ids, pa.int64()), "data": pa.array(data, pa.binary())})
+
+    return run
 
 
 def _handed(key: tuple[pa.Scalar, ...], rows: pa.Table, parent: pa.Table) -> pa.Table:
@@ -295,13 +318,13 @@ def _handed(key: tuple[pa.Scalar, ...], rows: pa.Table, parent: pa.Table) -> pa.
     return pa.table({"ord": rows.column("ord"), "rng": rows.column("rng"), "id": rows.column("id"), "data": pa.array(data, pa.binary())})
 
 
-def exchange(lists: DataFrame, width: int, fan: int = FAN) -> DataFrame:
+def exchange(lists: DataFrame, width: int, bits: int, fan: int = FAN) -> DataFrame:
     """(ord, rng, id, data) for each of ``lists``, whose ids are below ``width``; no task gets more than ``fan`` lists."""
     if width <= fan:
-        return lists.groupBy("ord", "rng").applyInArrow(_known, _TOTALS)
+        return lists.groupBy("ord", "rng").applyInArrow(_known(bits), _TOTALS)
     node = F.expr(f"if(id < 0, id, id div {fan})")
     up = materialise(lists.select("ord", "rng", node.alias("id"), "keys", "counts").groupBy("ord", "rng", "id").applyInArrow(_merged, _LISTS), "merged")
-    above = exchange(up, -(-width // fan), fan).withColumn("node", F.col("id"))
+    above = exchange(up, -(-width // fan), bits, fan).withColumn("node", F.col("id"))
     return lists.withColumn("node", node).groupBy("ord", "rng", "node").cogroup(above.groupBy("ord", "rng", "node")).applyInArrow(_handed, _TOTALS)
 
 
@@ -542,10 +565,10 @@ def bottoms(buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(logits).astype(np.float32), buckets
 
 
-def _learned(bottom):
+def _learned(bottom, bits: int):
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table, totals: pa.Table) -> pa.Table:
         """What a slice's training texts teach, each token left out of the counts that foretell it."""
-        model, own = Model(), Slice(rows)
+        model, own = Model(), Slice(rows, bits)
         which = np.flatnonzero(own.train)
         got = Told(own, totals).chances(model, bottom, own.train, which, True) if len(which) else np.zeros(0)
         fresh = np.bincount(own.row[which], got, own.n)
@@ -564,13 +587,13 @@ _FRESH = 9  # beside the orders of keys: what texts scored while they were learn
 _DOC = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double, fresh_bits_per_byte double"
 
 
-def _scored(bottom, state: bytes | None, n: int, v: int):
+def _scored(bottom, bits: int, state: bytes | None, n: int, v: int):
     ready: list[Model] = []
 
     def run(rows: pa.Table, totals: pa.Table) -> pa.Table:
         if not ready:
             ready.append(Model.of(state))
-        own = Slice(rows)
+        own = Slice(rows, bits)
         learned = pc.equal(totals.column("ord"), _FRESH)
         held = Told(own, totals.filter(pc.invert(learned)))
         per = lambda x: np.bincount(own.row, x, own.n)
@@ -579,10 +602,10 @@ def _scored(bottom, state: bytes | None, n: int, v: int):
         score = per(got)
         taught = ~own.rows.column("held_out").to_numpy(zero_copy_only=False)
         fresh = np.where(taught, np.frombuffer(totals.filter(learned).column("data")[0].as_py()) / np.log(10), score)
-        bits = lambda s: pa.array(-s * np.log2(10) / np.maximum(size, 1), mask=size == 0)
+        by_byte = lambda s: pa.array(-s * np.log2(10) / np.maximum(size, 1), mask=size == 0)
         return pa.table([
             own.rows.column("doc_id"), own.rows.column("held_out"), pa.array(np.bincount(own.row, minlength=own.n)), pa.array(per(held.count > 0).astype(np.int64)), pa.array(np.full(own.n, n)),
-            pa.array(per(np.log10(held.count + 0.5) - np.log10(n + 0.5 * (v + 1)))), pa.array(score), pa.array(size), bits(score), bits(fresh),
+            pa.array(per(np.log10(held.count + 0.5) - np.log10(n + 0.5 * (v + 1)))), pa.array(score), pa.array(size), by_byte(score), by_byte(fresh),
         ], [f.split()[0] for f in _DOC.split(", ")])
 
     return run
@@ -600,15 +623,17 @@ def score_documents(docs: DataFrame, slice_bytes: int = SLICE_BYTES, fan: int =
     null for texts without bytes. An empty table gives no rows."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("held_out", held_out(F.col("doc_id")))
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]
-    slices = max(1, -(-size // slice_bytes))
+    size, bare = rows.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1), F.lit(0)), F.count_if(F.col("doc_id").isNull())).first()
+    slices_, bits = max(1, -(-size // slice_bytes)), 40 if size < 1 << 36 else 48
     salt = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(0)
-    dealt = rows.withColumn("id", F.pmod(F.xxhash64("doc_id", "text", salt), F.lit(slices)))
-    lists = dealt.groupBy("id").applyInArrow(_listed(max(1, -(-size // RANGE_BYTES))), _LISTS)
-    if slices > fan:
+    dealt = rows.withColumn("id", F.pmod(F.xxhash64("doc_id", "text", salt), F.lit(slices_))).mapInArrow(_dealt, "id long, rows binary")
+    if bare:  # their places are read once
+        dealt = materialise(dealt, "dealt")
+    lists = dealt.groupBy("id").applyInArrow(_listed(max(1, -(-size // RANGE_BYTES)), bits), _LISTS)
+    if slices_ > fan:
         lists = materialise(lists, "lists")
-    totals = materialise(exchange(lists, slices, fan), "totals")
-    if slices > fan:
+    totals = materialise(exchange(lists, slices_, bits, fan), "totals")
+    if slices_ > fan:
         discard(lists)
     buckets, n, v = np.zeros(1 << DEPTH), 0, 0
     for r in totals.where("id = -1").select("data").mapInArrow(_by_bucket, "bucket long, n long, v long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
@@ -616,13 +641,13 @@ def score_documents(docs: DataFrame, slice_bytes: int = SLICE_BYTES, fan: int =
     bottom = bottoms(buckets)
     counts = totals.where("id >= 0")
     pairs = lambda: dealt.groupBy("id").cogroup(counts.groupBy("id"))
-    taught = materialise(pairs().applyInArrow(_learned(bottom), "id long, state binary, fresh binary"), "states")
-    states, left = taught.select("id", "state"), slices
+    taught = materialise(pairs().applyInArrow(_learned(bottom, bits), "id long, state binary, fresh binary"), "states")
+    states, left = taught.select("id", "state"), slices_
     while left > 1:
         states, left = states.groupBy(F.expr(f"id div {fan}").alias("node")).applyInArrow(_averaged, "id long, state binary"), -(-left // fan)
     found = states.first()
     counts = counts.union(taught.select(F.lit(_FRESH), F.lit(0), "id", F.col("fresh")))
-    return pairs().applyInArrow(_scored(bottom, bytes(found["state"]) if found else None, n, v), _DOC)
+    return pairs().applyInArrow(_scored(bottom, bits, bytes(found["state"]) if found else None, n, v), _DOC)
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

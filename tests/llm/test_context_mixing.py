@@ -24,10 +24,10 @@ def out(d):
 def test_tokens():
     rng = random.Random(1)
     texts = ["", None, " a", "B\x0bc\x1cd\x85 e\xa0f  ", "Ñ É x.", "\n"] + ["".join(rng.choice("aB é.,\n\t") for _ in range(rng.randrange(20))) for _ in range(200)]
-    got, rows = cm.tokens(pa.array(texts))
+    got, which, rows = cm.tokens(pa.array(texts))
     by = [[] for _ in texts]
-    for w, r in zip(got.to_pylist(), rows, strict=True):
-        by[r].append(w)
+    for w, r in zip(which, rows, strict=True):
+        by[r].append(got[w].as_py())
     assert by == [words(t) for t in texts]
 
 
@@ -36,9 +36,9 @@ def test_tokens_of_later_slices():
     batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
     got = []
     for part in slices(batch, most=1000):
-        found, _ = cm.tokens(part.column("text"))
+        found, which, _ = cm.tokens(part.column("text"))
         found.validate(full=True)
-        got += found.to_pylist()
+        got += found.take(pa.array(which)).to_pylist()
     assert got == [w for t in texts for w in words(t)]
 
 
@@ -138,8 +138,8 @@ class Scalar:
 
         self.h = lambda w: xxhash.xxh64_intdigest(w.encode(), 7)
         mix = lambda x: int(cm.spread(np.array([x % 2**64], np.uint64))[0])
-        self.one = lambda p: mix(p + 11) >> cm.CODE
-        self.two = lambda p, q: mix(p * int(cm._B) + mix(q + 23)) >> cm.CODE
+        self.one = lambda p: mix(p + 11) >> 24
+        self.two = lambda p, q: mix(p * int(cm._B) + mix(q + 23)) >> 24
         self.root, self.cell, self.count, self.letters = Counter(), Counter(), Counter(), Counter()
         types = set()
         for t in texts:
@@ -214,11 +214,11 @@ class Scalar:
         return total
 
 
-def replayed(state, bottom):
+def replayed(state, bottom, bits):
     """In place of learning: training texts' scores by a model that has been learned, own occurrences left out."""
 
     def run(key, rows, totals):
-        own = cm.Slice(rows)
+        own = cm.Slice(rows, bits)
         which = np.flatnonzero(own.train)
         got = cm.Told(own, totals).chances(cm.Model.of(state), bottom, own.train, which, False)
         return pa.table({"id": pa.array([key[0].as_py()], pa.int64()), "state": pa.array([state]), "fresh": pa.array([np.bincount(own.row[which], got, own.n).tobytes()])})
@@ -232,10 +232,10 @@ def test_scalar_model(spark, sf):
     texts = dict(docs.select("doc_id", "text").collect())
     kept, real, learned = [], cm._scored, cm._learned
     try:
-        cm._scored = lambda bottom, state, n, v: kept.append(state) or real(bottom, state, n, v)
+        cm._scored = lambda bottom, bits, state, n, v: kept.append(state) or real(bottom, bits, state, n, v)
         cm.score_documents(docs).collect()
-        cm._scored = lambda bottom, state, n, v: real(bottom, kept[0], n, v)
-        cm._learned = lambda bottom: replayed(kept[0], bottom)
+        cm._scored = lambda bottom, bits, state, n, v: real(bottom, bits, kept[0], n, v)
+        cm._learned = lambda bottom, bits: replayed(kept[0], bottom, bits)
         got = cm.score_documents(docs).collect()
     finally:
         cm._scored, cm._learned = real, learned
