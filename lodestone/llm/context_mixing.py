@@ -177,6 +177,22 @@ def unpack(x: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.decompress(x), np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
+def pack_states(states: np.ndarray) -> bytes:
+    """States, bits by keys: those of the first bit, which keys have the same for all bits, and the others' for the other bits."""
+    same = (states == states[0]).all(axis=0)
+    return zstandard.compress(b"".join([np.uint32(states.shape[1]).tobytes(), states[0].tobytes(), np.packbits(same).tobytes(), states[1:, ~same].tobytes()]), 1)
+
+
+def unpack_states(x: bytes, depth: int) -> np.ndarray:
+    flat = np.frombuffer(zstandard.decompress(x), np.uint8)
+    n = int(flat[:4].view("<u4")[0])
+    after = 4 + n + -(-n // 8)
+    same = np.unpackbits(flat[4 + n : after], count=n).astype(bool)
+    out = np.repeat(flat[None, 4 : 4 + n], depth, axis=0)
+    out[1:, ~same] = flat[after:].reshape(depth - 1, -1)
+    return out
+
+
 # Counts by key ----------------------------------------------------------------------------------
 
 _LISTS = "ord int, rng int, id long, keys binary, counts binary"
@@ -297,7 +313,7 @@ def _known(bits: int):
             ids.append(-1)
         else:
             states = told(found, total, 64 - bits, DEPTH, True) if o < 3 else told(found, total, 16, LETTER, False)
-            data = [zstandard.compress(np.ascontiguousarray(states[:, w]).tobytes(), 1) for w in which]
+            data = [pack_states(states[:, w]) for w in which]
         return pa.table({"ord": pa.array([o] * len(ids), pa.int32()), "rng": pa.array([r] * len(ids), pa.int32()), "id": pa.array(ids, pa.int64()), "data": pa.array(data, pa.binary())})
 
     return run
@@ -313,8 +329,8 @@ def _handed(key: tuple[pa.Scalar, ...], rows: pa.Table, parent: pa.Table) -> pa.
         total = unpack(data, "<i8")
         data = [pack(total[w]) for w in which]
     else:
-        states = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(-1, len(found))
-        data = [zstandard.compress(np.ascontiguousarray(states[:, w]).tobytes(), 1) for w in which]
+        states = unpack_states(data, DEPTH + 1 if o < 3 else LETTER)
+        data = [pack_states(states[:, w]) for w in which]
     return pa.table({"ord": rows.column("ord"), "rng": rows.column("rng"), "id": rows.column("id"), "data": pa.array(data, pa.binary())})
 
 
@@ -426,7 +442,7 @@ class Told:
         for o, r, d in zip(totals.column("ord").to_pylist(), totals.column("rng").to_pylist(), totals.column("data").to_pylist(), strict=True):
             held.setdefault(o, []).append((r, d))
         bytes_of = lambda o: [d for _, d in sorted(held.get(o, []))]
-        planes = lambda o, k: np.concatenate([np.frombuffer(zstandard.decompress(d), np.uint8).reshape(k, -1) for d in bytes_of(o)], axis=1)
+        planes = lambda o, k: np.concatenate([unpack_states(d, k) for d in bytes_of(o)], axis=1)
         count = np.empty(len(own.words), np.int64)
         count[np.argsort(own.hash)] = np.concatenate([unpack(d, "<i8") for d in bytes_of(0)])
         self.count = count[own.word]
