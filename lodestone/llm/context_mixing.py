@@ -14,13 +14,13 @@ byte follow.
 Counts of a context are those of all training text, held as sorted 64-bit keys: context first, then
 the leading bits of what followed it, so a bit's counts are those of a stretch of neighbouring keys.
 Nothing has a fixed size: keys grow with the corpus. Words are told apart by 64 bits of hash, contexts by
-40 (48 in a corpus above 64 GB); two that meet share their counts.
+32, 40 or 48, two more at least than the corpus' size in bytes has; two that meet share their counts.
 
-Spark moves: rows are dealt by hash to slices of about ``SLICE_BYTES``, so what a slice holds (and learns
-from, on its own, before weights are averaged) follows from the rows, not from how the session cuts
-them. A slice sends its distinct keys with their counts to ranges of keys, at most ``FAN`` lists to a
+Spark moves: rows are dealt by hash to slices of about ``SLICE_BYTES``. A slice learns its weights from its own
+training texts (those of letters from new words as they are scored), so they follow from the rows, not from how
+the session cuts them. A slice sends its distinct keys with their counts to ranges of keys, at most ``FAN`` lists to a
 task (more are merged level by level), and gets back one byte for each bit to be predicted. Only the
-weights and the totals of 256 buckets are sent to every task.
+totals of 256 buckets are sent to every task.
 """
 
 from __future__ import annotations
@@ -355,13 +355,6 @@ class Mixer:
         self.heat = np.full(gates, 40.0)
         self.hits, self.ones = np.zeros((gates, STEPS)), np.zeros((gates, STEPS))
 
-    def parts(self) -> list[np.ndarray]:
-        return [self.weights * self.heat, self.heat, self.hits, self.ones]  # what can be summed
-
-    def take(self, parts: list[np.ndarray]) -> None:
-        product, self.heat, self.hits, self.ones = parts
-        self.weights = product / self.heat
-
     def refinement(self) -> np.ndarray:
         """By gate and step, what such logits turned out to be."""
         centre = 1 / (1 + np.exp(-((np.arange(STEPS) * 24 / (STEPS - 1)) - 12)))
@@ -406,27 +399,9 @@ class Model:
         self.own = np.tile([1.0, 9.0], (GATES * 4, 1))  # the text's own words, the corpus
         self.refined: list[np.ndarray] | None = None
 
-    def parts(self) -> list[np.ndarray]:
-        return [*self.word.parts(), *self.letter.parts(), *self.new.parts(), self.rates, self.among, self.own]
-
-    def pack(self) -> bytes:
-        return np.concatenate([x.ravel() for x in self.parts()]).tobytes()
-
-    @staticmethod
-    def of(state: bytes | None) -> Model:
-        """A model ready to score."""
-        out = Model()
-        if state is not None:
-            flat, at, parts = np.frombuffer(state), 0, []
-            for x in out.parts():
-                parts.append(flat[at : at + x.size].reshape(x.shape))
-                at += x.size
-            out.word.take(parts[:4])
-            out.letter.take(parts[4:8])
-            out.new.take(parts[8:12])
-            out.rates, out.among, out.own = parts[12:]
-        out.refined = [m.refinement() for m in (out.word, out.letter, out.new)]
-        return out
+    def settle(self) -> None:
+        """From learning to scoring."""
+        self.refined = [m.refinement() for m in (self.word, self.letter, self.new)]
 
 
 def _bucketed(n: np.ndarray, *cuts: int) -> np.ndarray:
@@ -463,13 +438,12 @@ class Told:
         last = np.concatenate([[-1], miss[:-1]])
         return n - 1 - np.maximum(last, n - self.own.at - 1)
 
-    def spelled(self, model: Model, words: np.ndarray, left_out: bool, learn: bool) -> np.ndarray:
-        """Natural log of the probability of each of ``words`` (indices) from its letters."""
+    def spelled(self, model: Model, words: np.ndarray) -> np.ndarray:
+        """Natural log of the probability of each of ``words`` (indices) from its letters; weights are learned on the way."""
         (raw, _, begin), out = self.own.by_letters(), np.zeros(len(words))
         sorted_keys = [distinct(letter_keys(raw & np.uint64((1 << 8 * (k + 1)) - 1)), raw[:0])[0] for k in LETTERS]
         size = begin[words + 1] - begin[words]
         ends = np.cumsum(size)
-        rate = model.refined[1] if model.refined else None
         at = 0
         while at < len(words):
             upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK)))
@@ -478,11 +452,11 @@ class Told:
             place = np.repeat(begin[words[at:upto]] - (np.cumsum(some) - some), some) + np.arange(len(owner))
             some = raw[place]
             planes = [p[:, np.searchsorted(keys, letter_keys(some & np.uint64((1 << 8 * (k + 1)) - 1)))] for p, keys, k in zip(self.letters, sorted_keys, LETTERS, strict=True)]
-            got, shift = np.zeros(len(owner), np.float32), 256 * left_out
+            got, rate = np.zeros(len(owner), np.float32), model.letter.refinement()
             for j in range(LETTER):
-                states = [p[j].astype(np.intp) + shift for p in planes]
+                states = [p[j].astype(np.intp) for p in planes]
                 gate = _CLASS[32].take(states[1]) + _CLASS[4].take(states[0])
-                got += model.letter.chances([_LOGIT.take(s) for s in states], gate, learn, rate)
+                got += model.letter.chances([_LOGIT.take(s) for s in states], gate, True, rate)
             out += np.bincount(owner, got, len(words))
             at = upto
         return out
@@ -498,14 +472,10 @@ class Told:
         run = _bucketed(self.run_of(_HIT.take(two[DEPTH].take(at_two).astype(np.int64) + shift_all)), 1, 3, 16)
         news = np.concatenate([[0], np.cumsum(fresh)])
         new_so_far = (news[:-1] - news[own.first[own.row]]).astype(np.float32)
-        spell = np.full(len(own.words), -np.inf)
-        needed = np.unique(own.word[which[fresh[which]]])
-        if len(needed):
-            # a training word whose one occurrence is left out; those of held-out texts have none
-            mine = own.trained[needed] > 0
-            for part, less in ((needed[mine], True), (needed[~mine], False)):
-                if len(part):
-                    spell[part] = self.spelled(model, part, less, learn and less)
+        spell = np.zeros(len(own.words))
+        if not learn:
+            needed = np.unique(own.word[which[fresh[which]]])
+            spell[needed] = self.spelled(model, needed)
         refined = model.refined or [None] * 3
         for a in range(0, len(which), CHUNK):
             t = which[a : a + CHUNK]
@@ -559,9 +529,9 @@ class Told:
             p = one + other
             out[a : a + CHUNK] = np.where(p > 1e-250, np.log(np.maximum(p, 1e-250)), got + np.log1p(-a1))
             if learn:
-                part = one / np.maximum(p, 1e-300)
-                model.own[:, 0] += np.bincount(gate, part, len(model.own))
-                model.own[:, 1] += np.bincount(gate, np.where(seen > 0, 1 - part, 0), len(model.own))
+                part, some = one / np.maximum(p, 1e-300), (seen > 0) & ~new  # new words aren't spelled out here
+                model.own[:, 0] += np.bincount(gate, part * some, len(model.own))
+                model.own[:, 1] += np.bincount(gate, (1 - part) * some, len(model.own))
         return out
 
 
@@ -581,66 +551,43 @@ def bottoms(buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(logits).astype(np.float32), buckets
 
 
-def _learned(bottom, bits: int):
-    def run(key: tuple[pa.Scalar, ...], rows: pa.Table, totals: pa.Table) -> pa.Table:
-        """What a slice's training texts teach, each token left out of the counts that foretell it."""
-        model, own = Model(), Slice(rows, bits)
-        which = np.flatnonzero(own.train)
-        got = Told(own, totals).chances(model, bottom, own.train, which, True) if len(which) else np.zeros(0)
-        fresh = np.bincount(own.row[which], got, own.n)
-        return pa.table({"id": pa.array([key[0].as_py()], pa.int64()), "state": pa.array([model.pack()], pa.binary()), "fresh": pa.array([fresh.tobytes()], pa.binary())})
-
-    return run
-
-
-def _averaged(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-    """Sums of what is learned, in the order of ids."""
-    total = sum(np.frombuffer(x) for x in rows.sort_by("id").column("state").to_pylist())
-    return pa.table({"id": pa.array([key[0].as_py()], pa.int64()), "state": pa.array([total.tobytes()], pa.binary())})
-
-
-_FRESH = 9  # beside the orders of keys: what texts scored while they were learned from
-_DOC = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double, fresh_bits_per_byte double"
-
+_DOC = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double, followed double"
 
-def _scored(bottom, bits: int, state: bytes | None, n: int, v: int):
-    ready: list[Model] = []
 
+def _scored(bottom, bits: int, n: int, v: int):
     def run(rows: pa.Table, totals: pa.Table) -> pa.Table:
-        if not ready:
-            ready.append(Model.of(state))
-        own = Slice(rows, bits)
-        learned = pc.equal(totals.column("ord"), _FRESH)
-        held = Told(own, totals.filter(pc.invert(learned)))
+        """A slice's scores: it learns from its training texts, each token left out of the counts that foretell it, and then
+        scores all its texts."""
+        own, model = Slice(rows, bits), Model()
+        held, taught = Told(own, totals), np.flatnonzero(own.train)
+        if len(taught):
+            held.chances(model, bottom, own.train, taught, True)
+        model.settle()
         per = lambda x: np.bincount(own.row, x, own.n)
-        got = held.chances(ready[0], bottom, np.zeros(len(own.word), bool), np.arange(len(own.word)), False) / np.log(10)
+        score = per(held.chances(model, bottom, np.zeros(len(own.word), bool), np.arange(len(own.word)), False) / np.log(10))
         size = pc.fill_null(pc.binary_length(own.rows.column("text")), 0).to_numpy().astype(np.int64)
-        score = per(got)
-        taught = ~own.rows.column("held_out").to_numpy(zero_copy_only=False)
-        fresh = np.where(taught, np.frombuffer(totals.filter(learned).column("data")[0].as_py()) / np.log(10), score)
-        by_byte = lambda s: pa.array(-s * np.log2(10) / np.maximum(size, 1), mask=size == 0)
+        two, at = held.words[1]
         return pa.table([
             own.rows.column("doc_id"), own.rows.column("held_out"), pa.array(np.bincount(own.row, minlength=own.n)), pa.array(per(held.count > 0).astype(np.int64)), pa.array(np.full(own.n, n)),
-            pa.array(per(np.log10(held.count + 0.5) - np.log10(n + 0.5 * (v + 1)))), pa.array(score), pa.array(size), by_byte(score), by_byte(fresh),
+            pa.array(per(np.log10(held.count + 0.5) - np.log10(n + 0.5 * (v + 1)))), pa.array(score), pa.array(size), pa.array(-score * np.log2(10) / np.maximum(size, 1), mask=size == 0),
+            pa.array(per(_HIT.take(two[DEPTH].take(at).astype(np.intp) + 256 * own.train)) / np.bincount(own.row, minlength=own.n)),
         ], [f.split()[0] for f in _DOC.split(", ")])
 
     return run
 
 
 def score_documents(docs: DataFrame, slice_bytes: int = SLICE_BYTES, fan: int = FAN) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte, fresh_bits_per_byte) of each row.
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte, followed) of each row.
 
     Learns from rows that aren't held out (crc32 of doc_id as text, mod 5, is not 1; a null doc_id is
-    learned from). bits_per_byte is the score's; fresh_bits_per_byte is what a training text took while weights
-    were learned from it, each token's own occurrence taken out of the counts, so that a text met once in
-    training reads like a new one and a repeated one doesn't.
+    learned from). followed is the share of tokens that follow the same two words in some other place of the training text too.
     Null text counts as empty: one token, the end. Repeated rows count and are answered each; rows
-    without an id are dealt by their place as well, so that copies of one don't meet in a slice. Both are
-    null for texts without bytes. An empty table gives no rows."""
+    without an id are dealt by their place as well, so that copies of one don't meet in a slice. bits_per_byte
+    is null for texts without bytes. An empty table gives no rows."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("held_out", held_out(F.col("doc_id")))
     size, bare = rows.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1), F.lit(0)), F.count_if(F.col("doc_id").isNull())).first()
-    slices_, bits = max(1, -(-size // slice_bytes)), 40 if size < 1 << 36 else 48
+    slices_, bits = max(1, -(-size // slice_bytes)), next((b for b in (32, 40) if size < 1 << (b - 2)), 48)
     salt = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(0)
     dealt = rows.withColumn("id", F.pmod(F.xxhash64("doc_id", "text", salt), F.lit(slices_))).mapInArrow(_dealt, "id long, rows binary")
     if bare:  # their places are read once
@@ -655,15 +602,7 @@ def score_documents(docs: DataFrame, slice_bytes: int = SLICE_BYTES, fan: int =
     for r in totals.where("id = -1").select("data").mapInArrow(_by_bucket, "bucket long, n long, v long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
         buckets[r["bucket"]], n, v = r["n"], n + r["n"], v + r["v"]
     bottom = bottoms(buckets)
-    counts = totals.where("id >= 0")
-    pairs = lambda: dealt.groupBy("id").cogroup(counts.groupBy("id"))
-    taught = materialise(pairs().applyInArrow(_learned(bottom, bits), "id long, state binary, fresh binary"), "states")
-    states, left = taught.select("id", "state"), slices_
-    while left > 1:
-        states, left = states.groupBy(F.expr(f"id div {fan}").alias("node")).applyInArrow(_averaged, "id long, state binary"), -(-left // fan)
-    found = states.first()
-    counts = counts.union(taught.select(F.lit(_FRESH), F.lit(0), "id", F.col("fresh")))
-    return pairs().applyInArrow(_scored(bottom, bits, bytes(found["state"]) if found else None, n, v), _DOC)
+    return dealt.groupBy("id").cogroup(totals.where("id >= 0").groupBy("id")).applyInArrow(_scored(bottom, bits, n, v), _DOC)
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
