@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, materialise, slices, table
 
-SLICE_BYTES, RANGE_BYTES, FAN = 6 << 20, 16 << 20, 256
+SLICE_BYTES, RANGE_BYTES, FAN = 6 << 20, 12 << 20, 256
 #: Bits mixed for a known word, and bits that tell it apart within a context; bits of a letter.
 DEPTH, CODE, LETTER = 8, 16, 8
 #: Letters before, for each context of a letter.
@@ -138,18 +138,19 @@ class Slice:
             raw |= np.where(nth >= k, np.roll(data, k), np.uint64(32)) << np.uint64(8 * k)
         return raw, of, begin
 
-    def lists(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """By order of context: sorted distinct keys and their counts in training texts (letters: in distinct training words)."""
+    def lists(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """By order of context: sorted distinct keys, their counts in training texts (letters: in distinct training words), and
+        the keys asked for (letters: those of words that no training text of the slice has)."""
         order = np.argsort(self.hash)
-        yield self.hash[order], self.trained[order]
+        yield self.hash[order], self.trained[order], self.hash[order]
         for keys in self.by_words():
-            yield distinct(keys, keys[self.train])
+            found, counts = distinct(keys, keys[self.train])
+            yield found, counts, found
         raw, of, _ = self.by_letters()
-        taught, by = raw[(self.trained > 0)[of]], []
+        mine = (self.trained > 0)[of]
         for k in LETTERS:
-            keep = np.uint64((1 << 8 * (k + 1)) - 1)
-            by.append(distinct(letter_keys(raw & keep), letter_keys(taught & keep)))
-        yield from by
+            keys, new = letter_keys(raw[mine], k), letter_keys(raw[~mine], k)
+            yield *distinct(np.concatenate([keys, new]), keys), distinct(new, new)[0]
 
 
 def distinct(keys: np.ndarray, taught: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,7 +164,9 @@ def distinct(keys: np.ndarray, taught: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return keys, counts
 
 
-def letter_keys(raw: np.ndarray) -> np.ndarray:
+def letter_keys(raw: np.ndarray, k: int) -> np.ndarray:
+    """Keys of letters after the ``k`` before."""
+    raw = raw & np.uint64((1 << 8 * (k + 1)) - 1)
     return (raw >> np.uint64(8)) * _A << np.uint64(16) | (raw & np.uint64(255)) << np.uint64(8)
 
 
@@ -195,41 +198,50 @@ def unpack_states(x: bytes, depth: int) -> np.ndarray:
 
 # Counts by key ----------------------------------------------------------------------------------
 
-_LISTS = "ord int, rng int, id long, keys binary, counts binary"
+_LISTS = "ord int, rng int, id long, keys binary, counts binary, asked binary"
 _TOTALS = "ord int, rng int, id long, data binary"
 
 
+_LIST = pa.schema([("ord", pa.int32()), ("rng", pa.int32()), ("id", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("asked", pa.binary())])
+
+
+def list_row(o: int, r: int, i: int, keys: np.ndarray, counts: np.ndarray, asked: np.ndarray) -> dict:
+    return {"ord": o, "rng": r, "id": i, "keys": pack(np.diff(keys, prepend=np.uint64(0))), "counts": pack(counts.astype("<i8")), "asked": zstandard.compress(np.packbits(asked).tobytes(), 1)}
+
+
 def _listed(ranges: int, bits: int):
     cuts = np.array([(i * 2**64 // ranges) & ~int(low_bits(bits)) for i in range(ranges)], np.uint64)
 
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         """Distinct keys of a slice with their training counts, by range; a context's keys are in one range."""
         own, out = Slice(rows, bits), []
-        for o, (keys, counts) in enumerate(own.lists()):
+        for o, (keys, counts, asked) in enumerate(own.lists()):
             at = [*np.searchsorted(keys, cuts).tolist(), len(keys)]
-            out += [(o, r, pack(np.diff(keys[a:b], prepend=np.uint64(0))), pack(counts[a:b].astype("<i8"))) for r, (a, b) in enumerate(zip(at, at[1:], strict=False)) if b > a]
-        o, r, k, c = zip(*out, strict=True)
-        return pa.table({"ord": pa.array(o, pa.int32()), "rng": pa.array(r, pa.int32()), "id": pa.array([key[0].as_py()] * len(o), pa.int64()), "keys": pa.array(k, pa.binary()), "counts": pa.array(c, pa.binary())})
+            mask = np.isin(keys, asked, assume_unique=True) if len(asked) < len(keys) else np.ones(len(keys), bool)
+            out += [list_row(o, r, key[0].as_py(), keys[a:b], counts[a:b], mask[a:b]) for r, (a, b) in enumerate(zip(at, at[1:], strict=False)) if b > a]
+        return pa.Table.from_pylist(out, _LIST)
 
     return run
 
 
-def _joined(rows: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Lists in order of their ids, the keys of all, sums of their counts, and which key each list's are."""
+def _joined(rows: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+    """Lists in order of their ids, the keys of all, sums of their counts, which keys each list asks for, and all asked for."""
     rows = rows.sort_by("id")
     keys = [np.cumsum(unpack(x, "<u8"), dtype=np.uint64) for x in rows.column("keys").to_pylist()]
     found = np.sort(np.concatenate(keys))
     found = found[np.diff(found, prepend=~found[:1]) != 0]
-    which, total = [np.searchsorted(found, x) for x in keys], np.zeros(len(found), np.int64)
-    for w, x in zip(which, rows.column("counts").to_pylist(), strict=True):
-        total[w] += unpack(x, "<i8")  # a list's keys are distinct
-    return rows, found, total, which
+    total, asked, any_ = np.zeros(len(found), np.int64), [], np.zeros(len(found), bool)
+    for k, c, a in zip(keys, rows.column("counts").to_pylist(), rows.column("asked").to_pylist(), strict=True):
+        at = np.searchsorted(found, k)
+        total[at] += unpack(c, "<i8")  # a list's keys are distinct
+        asked.append(at[np.unpackbits(np.frombuffer(zstandard.decompress(a), np.uint8), count=len(k)).astype(bool)])
+        any_[asked[-1]] = True
+    return rows, found, total, asked, any_
 
 
 def _merged(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-    _, found, total, _ = _joined(rows)
-    o, r, i = (k.as_py() for k in key)
-    return pa.table({"ord": pa.array([o], pa.int32()), "rng": pa.array([r], pa.int32()), "id": pa.array([i], pa.int64()), "keys": pa.array([pack(np.diff(found, prepend=np.uint64(0)))], pa.binary()), "counts": pa.array([pack(total)], pa.binary())})
+    _, found, total, _, asked = _joined(rows)
+    return pa.Table.from_pylist([list_row(*(k.as_py() for k in key), found, total, asked)], _LIST)
 
 
 # What a predictor knows of a bit, in one byte: counts (seen, of them the way taken) up to SMALL exactly, above
@@ -302,7 +314,7 @@ def _known(bits: int):
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         """All lists of a range of keys: what each slice or group of them is told, in the order of its keys. Words
         get their counts; a further row (id -1) has words and tokens by bucket."""
-        rows, found, total, which = _joined(rows)
+        rows, found, total, which, _ = _joined(rows)
         o, r = (k.as_py() for k in key)
         ids = rows.column("id").to_pylist()
         if o == 0:
@@ -323,7 +335,8 @@ def _handed(key: tuple[pa.Scalar, ...], rows: pa.Table, parent: pa.Table) -> pa.
     """What a group of lists was told, handed on to each of them."""
     if not rows.num_rows:  # the buckets' row
         return parent.select(["ord", "rng", "id", "data"])
-    rows, found, _, which = _joined(rows)
+    rows, found, _, which, asked = _joined(rows)
+    which = [(np.cumsum(asked) - 1)[w] for w in which]  # among the keys that the group asked for
     data, o = parent.column("data").to_pylist()[0], key[0].as_py()
     if o == 0:
         total = unpack(data, "<i8")
@@ -339,7 +352,7 @@ def exchange(lists: DataFrame, width: int, bits: int, fan: int = FAN) -> DataFra
     if width <= fan:
         return lists.groupBy("ord", "rng").applyInArrow(_known(bits), _TOTALS)
     node = F.expr(f"if(id < 0, id, id div {fan})")
-    up = materialise(lists.select("ord", "rng", node.alias("id"), "keys", "counts").groupBy("ord", "rng", "id").applyInArrow(_merged, _LISTS), "merged")
+    up = materialise(lists.select("ord", "rng", node.alias("id"), "keys", "counts", "asked").groupBy("ord", "rng", "id").applyInArrow(_merged, _LISTS), "merged")
     above = exchange(up, -(-width // fan), bits, fan).withColumn("node", F.col("id"))
     return lists.withColumn("node", node).groupBy("ord", "rng", "node").cogroup(above.groupBy("ord", "rng", "node")).applyInArrow(_handed, _TOTALS)
 
@@ -417,7 +430,7 @@ class Told:
         for o, r, d in zip(totals.column("ord").to_pylist(), totals.column("rng").to_pylist(), totals.column("data").to_pylist(), strict=True):
             held.setdefault(o, []).append((r, d))
         bytes_of = lambda o: [d for _, d in sorted(held.get(o, []))]
-        planes = lambda o, k: np.concatenate([unpack_states(d, k) for d in bytes_of(o)], axis=1)
+        planes = lambda o, k: np.concatenate([np.zeros((k, 0), np.uint8), *(unpack_states(d, k) for d in bytes_of(o))], axis=1)
         count = np.empty(len(own.words), np.int64)
         count[np.argsort(own.hash)] = np.concatenate([unpack(d, "<i8") for d in bytes_of(0)])
         self.count = count[own.word]
@@ -440,8 +453,9 @@ class Told:
 
     def spelled(self, model: Model, words: np.ndarray) -> np.ndarray:
         """Natural log of the probability of each of ``words`` (indices) from its letters; weights are learned on the way."""
-        (raw, _, begin), out = self.own.by_letters(), np.zeros(len(words))
-        sorted_keys = [distinct(letter_keys(raw & np.uint64((1 << 8 * (k + 1)) - 1)), raw[:0])[0] for k in LETTERS]
+        (raw, of, begin), out = self.own.by_letters(), np.zeros(len(words))
+        new = raw[(self.own.trained == 0)[of]]
+        asked = [distinct(keys, keys)[0] for keys in (letter_keys(new, k) for k in LETTERS)]
         size = begin[words + 1] - begin[words]
         ends = np.cumsum(size)
         at = 0
@@ -451,7 +465,7 @@ class Told:
             owner = np.repeat(np.arange(at, upto), some)
             place = np.repeat(begin[words[at:upto]] - (np.cumsum(some) - some), some) + np.arange(len(owner))
             some = raw[place]
-            planes = [p[:, np.searchsorted(keys, letter_keys(some & np.uint64((1 << 8 * (k + 1)) - 1)))] for p, keys, k in zip(self.letters, sorted_keys, LETTERS, strict=True)]
+            planes = [p[:, np.searchsorted(keys, letter_keys(some, k))] for p, keys, k in zip(self.letters, asked, LETTERS, strict=True)]
             got, rate = np.zeros(len(owner), np.float32), model.letter.refinement()
             for j in range(LETTER):
                 states = [p[j].astype(np.intp) for p in planes]
