@@ -1,12 +1,12 @@
 """Language-model scoring by online logistic context mixing.
 
 A text is a run of tokens (words, then an end). A token is coded bit by bit: whether it is new to the
-corpus, then for a known one the 8 leading bits of its hash, for a new one the eight bits of each of
+corpus, then for a known one the 6 leading bits of its hash, for a new one the eight bits of each of
 its letters. Each bit is predicted from several hashed contexts: for known words no context, the word
 before, and the two words before; for letters the last 3 and 6 of the word. The predictors' logits
 are combined with weights picked by a gate (how often each context was seen, whether it ever went both
 ways, how long the text has been following known triples of words), learned online; an adaptive map
-from the mixed logit to the observed rate refines the result. Words that share the 8 bits are told
+from the mixed logit to the observed rate refines the result. Words that share the 6 bits are told
 apart by averaging the contexts' shares, and the text's own words so far, counted as it is read, are
 averaged in. Every step is a distribution, so the score is a true log probability, and total bits per
 byte follow.
@@ -20,7 +20,7 @@ Spark moves: rows are dealt by hash to slices of about ``SLICE_BYTES``. A slice
 training texts (those of letters from new words as they are scored), so they follow from the rows, not from how
 the session cuts them. A slice sends its distinct keys with their counts to ranges of keys, at most ``FAN`` lists to a
 task (more are merged level by level), and gets back one byte for each bit to be predicted. Only the
-totals of 256 buckets are sent to every task.
+totals of 64 buckets are sent to every task.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ from .common import discard, materialise, slices, table
 
 SLICE_BYTES, RANGE_BYTES, FAN = 6 << 20, 12 << 20, 256
 #: Bits mixed for a known word, and bits that tell it apart within a context; bits of a letter.
-DEPTH, CODE, LETTER = 8, 16, 8
+DEPTH, CODE, LETTER = 6, 16, 8
 #: Letters before, for each context of a letter.
 LETTERS = (3, 6)
 CHUNK = 1 << 15
