@@ -56,13 +56,16 @@ def bucket(score: Column, low: str, middle: str, high: str) -> Column:
 
 
 def json_verdict(raw: Column) -> Column:
-    """Struct (correctness, faithfulness, explanation) of a judge's answer: code fences off, the outer braces
-    taken, trailing commas mended; an unknown label becomes the worst; null where no object can be read."""
-    body = F.nullif(F.regexp_extract(F.regexp_replace(raw, "```(json)?", ""), r"(?s)\{.*\}", 0), F.lit(""))
-    got = F.from_json(F.regexp_replace(body, r",\s*([}\]])", "$1"), "correctness string, faithfulness string, explanation string")
-    known = lambda c, worst, *rest: F.when(c.isin(worst, *rest), c).otherwise(worst)
+    """Struct (correctness, faithfulness, explanation) of a judge's answer: code fences at line ends off, the outer
+    braces taken, trailing commas mended only where the object cannot be read as it is. Labels are trimmed and
+    lower-cased, a missing or unknown one becomes the worst; null where no object can be read."""
+    body = F.nullif(F.regexp_extract(F.regexp_replace(strip(raw), "(?m)^```(json)?|```$", ""), r"(?s)\{.*\}", 0), F.lit(""))
+    read = lambda text: F.from_json(text, "map<string,string>")
+    fields = F.coalesce(read(body), read(F.regexp_replace(body, r",(\s*[}\]])", "$1")))
+    got = {k: F.try_element_at(fields, F.lit(k)) for k in ("correctness", "faithfulness", "explanation")}
+    known = lambda c, worst, *rest: F.when(F.lower(strip(c)).isin(*rest), F.lower(strip(c))).otherwise(worst)
     return F.when(
-        got["correctness"].isNotNull() | got["faithfulness"].isNotNull() | got["explanation"].isNotNull(),
+        fields.isNotNull(),
         F.struct(
             known(got["correctness"], "incorrect", "partially-correct", "correct").alias("correctness"),
             known(got["faithfulness"], "unfaithful", "partially-faithful", "faithful").alias("faithfulness"),
@@ -72,7 +75,8 @@ def json_verdict(raw: Column) -> Column:
 
 
 def retry_after(message: Column) -> Column:
-    """Seconds to wait, from '1m2.5s' or '3s' in a rate-limit message (half a second is added); null without one."""
-    minutes = F.regexp_extract(message, r"(\d+)m[\d.]+s", 1)
-    seconds = F.regexp_extract(message, r"([\d.]+)s", 1)
-    return F.when(seconds != "", F.coalesce(F.nullif(minutes, F.lit("")).cast("double"), F.lit(0.0)) * 60 + seconds.cast("double") + 0.5)
+    """Seconds to wait, from "try again in 1m2.5s" or "try again in 3s" in a rate-limit message (half a second is
+    added to the latter); null without one."""
+    number = lambda pattern, i: F.regexp_extract(message, pattern, i).try_cast("double")
+    both, alone = r"try again in ([0-9.]+)m([0-9.]+)s", r"try again in ([0-9.]+)s"
+    return F.coalesce(number(both, 1) * 60 + number(both, 2), number(alone, 1) + 0.5)

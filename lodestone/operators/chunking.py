@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +14,8 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as tx
 
 SHAPE = "doc_id long, char_start int, char_end int, content string"
-_BREAKS = (re.compile(r"(?m)^(?=#{1,6}\s)"), re.compile(r"\n\s*\n"), re.compile(r"(?<=[.!?])\s+"))
+#: Where texts are cut, in turn (line starts before a heading, blank lines, ends of sentences), and what parts sentences.
+_BREAKS = (re.compile(r"^(?=#{1,6}\s)", re.M), re.compile(r"\n\s*\n"), re.compile(r"(?<=[.!?])\s+"))
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n{2,}")
 
 
@@ -41,26 +44,42 @@ def _per_text(docs: DataFrame, spans: Callable[[str], list[tuple[int, int]]], st
     return _finish(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, SHAPE), strategy)
 
 
+def split_ranges(text: str, ranges: np.ndarray, boundary: re.Pattern, size: int) -> np.ndarray:
+    """``ranges`` (start, end) with those longer than ``size`` cut after each place that ``boundary`` matches in them."""
+    long = ranges[:, 1] - ranges[:, 0] > size
+    cuts = [m.end() for a, b in ranges[long].tolist() for m in boundary.finditer(text, a, b)]
+    edges = np.unique(np.concatenate([ranges.ravel(), np.array(cuts, np.int64)]))
+    return np.stack([edges[:-1], edges[1:]], axis=1)
+
+
+def hard_cut(ranges: np.ndarray, size: int, step: int) -> np.ndarray:
+    """``ranges`` with those longer than ``size`` as windows of ``size``, each ``step`` after the last."""
+    length = ranges[:, 1] - ranges[:, 0]
+    times = np.where(length > size, -(-length // step), 1)
+    of = np.repeat(np.arange(len(ranges)), times)
+    nth = np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times)
+    start = ranges[of, 0] + nth * step
+    return np.stack([start, np.where(times[of] > 1, np.minimum(start + size, ranges[of, 1]), ranges[of, 1])], axis=1)
+
+
+def join_ranges(ranges: np.ndarray, size: int) -> list[tuple[int, int]]:
+    """Neighbours joined from the left while they fit in ``size``. A range may end before its predecessor, a window's tail."""
+    starts, ends, out, at = ranges[:, 0].tolist(), ranges[:, 1], [], 0
+    reach = np.maximum.accumulate(ends)
+    while at < len(starts):
+        upto = max(at + 1, int(np.searchsorted(reach, starts[at] + size, side="right")))
+        out.append((starts[at], int(ends[at:upto].max())))
+        at = upto
+    return out
+
+
 def recursive_spans(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
-    """Ranges of at most ``size`` characters, cut at the largest boundary that helps: headings, blank lines,
-    sentences, then hard cuts; neighbours are joined again while they fit. Separators stay on the left."""
-
-    def cut(a: int, b: int, depth: int) -> list[tuple[int, int]]:
-        if b - a <= size:
-            return [(a, b)]
-        if depth == len(_BREAKS):
-            return [(i, min(i + size, b)) for i in range(a, b, size - overlap)]
-        marks = sorted({m.end() for m in _BREAKS[depth].finditer(text, a, b) if a < m.end() < b})
-        edges = [a, *marks, b]
-        return [piece for x, y in zip(edges, edges[1:], strict=False) for piece in cut(x, y, depth + 1)]
-
-    out: list[list[int]] = []
-    for a, b in cut(0, len(text), 0):
-        if out and b - out[-1][0] <= size:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+    """Ranges of at most ``size`` characters: passes over all ranges cut those too long at headings, then at blank lines,
+    then at sentences, then anywhere; what fits together is joined again. Separators stay on the left."""
+    ranges = np.array([[0, len(text)]], np.int64)
+    for boundary in _BREAKS:
+        ranges = split_ranges(text, ranges, boundary, size)
+    return join_ranges(hard_cut(ranges, size, size - overlap), size) if text else []
 
 
 def recursive(docs: DataFrame, size: int = 800, overlap: int = 120) -> DataFrame:
@@ -71,48 +90,44 @@ def recursive(docs: DataFrame, size: int = 800, overlap: int = 120) -> DataFrame
 
 def sentence_spans(text: str) -> list[tuple[int, int]]:
     """Ranges of sentences, what stands between them left out; blank ones dropped."""
-    edges, at = [], 0
-    for m in _SENTENCE.finditer(text):
-        edges.append((at, m.start()))
-        at = m.end()
-    return [(a, b) for a, b in [*edges, (at, len(text))] if text[a:b].strip()]
+    gaps = [m.span() for m in _SENTENCE.finditer(text)]
+    ranges = zip([0, *(b for _, b in gaps)], [*(a for a, _ in gaps), len(text)], strict=True)
+    return [(a, b) for a, b in ranges if text[a:b].strip()]
 
 
 def semantic_spans(text: str, embed: Callable[[list[str]], list[list[float]]], threshold: float, size: int, least: int) -> list[tuple[int, int]]:
-    """Runs of sentences; a new one starts when the next sentence is unlike the run's mean vector and the run
-    is long enough, or when the run would grow too long."""
-    spans = sentence_spans(text)
-    if len(spans) <= 1:
+    """Runs of sentences; a new one starts when the next sentence is unlike the run's mean vector and the run is long
+    enough, or when the run would grow too long. Means come from sums up to each sentence, so that all places where a
+    run might end are weighed at once."""
+    spans = np.array(sentence_spans(text), np.int64).reshape(-1, 2)
+    if len(spans) < 2:
         return [(0, len(text))]
-    vectors = embed([text[a:b] for a, b in spans])
-    out, (start, end), mean, n = [], spans[0], list(vectors[0]), 1
-    for (a, b), v in zip(spans[1:], vectors[1:], strict=True):
-        scale = (sum(x * x for x in mean) * sum(x * x for x in v)) ** 0.5
-        like = sum(x * y for x, y in zip(mean, v, strict=True)) / scale if scale else 0.0
-        if (like < threshold and end - start >= least) or b - start > size:
-            out.append((start, end))
-            start, mean, n = a, list(v), 1
-        else:
-            mean = [(x * n + y) / (n + 1) for x, y in zip(mean, v, strict=True)]
-            n += 1
-        end = b
-    return [*out, (start, end)]
-
-
-def hash_embed(texts: list[str], dim: int = 64) -> list[list[float]]:
-    """Bags of lower-case words in ``dim`` md5 buckets, at length one."""
-    import hashlib
-
-    out = []
-    for t in texts:
-        v = [0.0] * dim
-        for w in t.lower().split():
-            v[int(hashlib.md5(w.encode()).hexdigest(), 16) % dim] += 1.0
-        n = sum(x * x for x in v) ** 0.5
-        out.append([x / n for x in v] if n else v)
+    vectors = np.asarray(embed([text[a:b] for a, b in spans.tolist()]), np.float64)
+    upto = np.concatenate([np.zeros((1, vectors.shape[1])), np.cumsum(vectors, axis=0)])
+    norms, first, out = np.linalg.norm(vectors, axis=1), 0, []
+    while first < len(spans):
+        start = spans[first, 0]
+        # the run is over at the latest where it would be too long
+        stop = max(first + 1, int(np.searchsorted(spans[:, 1], start + size, side="right")))
+        mean = upto[first + 1 : stop] - upto[first]
+        scale = np.linalg.norm(mean, axis=1) * norms[first + 1 : stop]
+        like = np.divide((mean * vectors[first + 1 : stop]).sum(axis=1), scale, out=np.zeros(len(scale)), where=scale > 0)
+        over = np.flatnonzero((np.round(like, 9) < threshold) & (spans[first : stop - 1, 1] - start >= least))
+        last = first + int(over[0]) if len(over) else stop - 1
+        out.append((int(start), int(spans[last, 1])))
+        first = last + 1
     return out
 
 
+def hash_embed(texts: list[str], dim: int = 64) -> np.ndarray:
+    """A row of bucket counts for each text, at length one (zero without words): lower-case words by the last bits of their md5."""
+    words = [t.lower().split() for t in texts]
+    row = np.repeat(np.arange(len(texts)), [len(w) for w in words])
+    bucket = np.array([int.from_bytes(hashlib.md5(w.encode()).digest()[-8:]) % dim for ws in words for w in ws], np.int64)
+    counts = np.bincount(row * dim + bucket, minlength=len(texts) * dim).reshape(len(texts), dim).astype(np.float64)
+    return counts / np.maximum(np.linalg.norm(counts, axis=1, keepdims=True), 1e-300)
+
+
 def semantic(docs: DataFrame, embed: Callable[[list[str]], list[list[float]]] = hash_embed, threshold: float = 0.62, size: int = 1200, least: int = 200) -> DataFrame:
     return _per_text(docs, lambda t: semantic_spans(t, embed, threshold, size, least), "semantic")
 

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
+from lodestone.functions import vectors as vx
+from lodestone.sources.staging import staged
 
 K1, B, RRF_K = 1.5, 0.75, 60
 DIGITS = 6
@@ -32,16 +34,21 @@ def idf(n: Column, df: Column) -> Column:
 
 def term_stats(units: DataFrame) -> DataFrame:
     """(term, df, idf) of all terms."""
-    n = units.agg(F.count("*").alias("n"))
+    n = units.agg(F.count("*").alias("n"))  # reads no column
     df = units.select(F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     return df.crossJoin(F.broadcast(n)).select("term", "df", F.round(idf(F.col("n"), F.col("df")), DIGITS).alias("idf"))
 
 
+def lexical_index(units: DataFrame) -> DataFrame:
+    """(unit_id, len, tokens) of each unit, a written table: :func:`bm25` and :func:`rerank` read it as often as they need."""
+    return staged(units.select("unit_id", tx.tokens(F.col("text")).alias("tokens")).withColumn("len", F.size("tokens")), "tokens")
+
+
 def bm25(units: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """BM25 top-k. Only postings of terms that some query has are grouped and joined; a term that a query
-    repeats counts each time. Units of equal score come by id."""
+    """BM25 top-k of units (or of a :func:`lexical_index` of them). Only postings of terms that some query has are
+    grouped and joined; a term that a query repeats counts each time. Units of equal score come by id."""
     terms = query_terms(queries)
-    cut = units.select("unit_id", tx.tokens(F.col("text")).alias("tokens")).withColumn("len", F.size("tokens"))
+    cut = units if "tokens" in units.columns else lexical_index(units)
     # per-corpus totals: one row
     totals = cut.agg(F.count("*").alias("n"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("avg"))
     wanted = terms.select("term").distinct()
@@ -55,25 +62,35 @@ def bm25(units: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     return top(scored.where("score > 0"), k, F.desc("score"), F.col("unit_id"))
 
 
-def hash_vectors(rows: DataFrame, key: str, dim: int = 64) -> DataFrame:
-    """(key, bucket, weight): sparse hash embedding of ``text``, weights at length one, by row and bucket."""
-    low = F.conv(F.substring(F.md5(F.col("word")), 31, 2), 16, 10).cast("int") if dim <= 256 else F.conv(F.substring(F.md5(F.col("word")), 25, 8), 16, 10).cast("long")
-    if dim & (dim - 1):
+def hash_vector(text: Column, dim: int = 64) -> Column:
+    """Hash embedding of a text: how many of its words fall in each of ``dim`` buckets of md5, at length one; all zero without words.
+
+    It depends on its row alone, so it is worked out there: the buckets of the words are sorted together with a mark for
+    each bucket, and what stands between two marks is counted. What is used more than once is bound by an array of one."""
+    if dim & (dim - 1) or dim > 1 << 28:
         raise ValueError("the dimension is a power of two: buckets are the last bits of the digest")
-    cells = rows.select(key, F.explode(tx.words(F.col("text"))).alias("word")).groupBy(key, F.pmod(low, F.lit(dim)).cast("long").alias("bucket")).agg(F.count("*").cast("double").alias("c"))
-    length = cells.groupBy(key).agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("length"))
-    return cells.join(length, key).select(key, "bucket", (F.col("c") / F.col("length")).alias("weight"))
+    bind = lambda value, use: F.transform(F.array(value), use)[0]
+    bucket = lambda w: (F.conv(F.right(F.md5(w), F.lit(7)), 16, 10).cast("long") % F.lit(dim)).cast("int")
+    marked = F.array_sort(F.concat(F.transform(tx.words(text), bucket), F.sequence(F.lit(0), F.lit(dim))))
+    counts = bind(marked, lambda m: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (F.array_position(m, i + 1) - F.array_position(m, i) - 1).cast("double")))
+    return bind(counts, lambda c: bind(vx.norm(c), lambda n: F.when(n > 0, F.transform(c, lambda x: x / n)).otherwise(c)))
 
 
-def sparse_top(units: DataFrame, queries: DataFrame, k: int = 5, dim: int = 64) -> DataFrame:
-    """Cosine top-k of hash embeddings: queries become one row of dense vectors each, and go to :func:`dense_top`."""
-    return dense_top(dense(hash_vectors(units, "unit_id", dim), "unit_id", dim), dense(hash_vectors(queries, "query_id", dim), "query_id", dim), k)
+def vectors_of(rows: DataFrame, key: str, dim: int = 64) -> DataFrame:
+    """(key, vector) of rows with a word."""
+    found = rows.select(key, hash_vector(F.col("text"), dim).alias("vector"))
+    return found.where(F.exists("vector", lambda x: x > 0))
 
 
-def dense(sparse: DataFrame, key: str, dim: int) -> DataFrame:
-    """(key, vector) of sparse rows (key, bucket, weight)."""
-    cells = sparse.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(F.col("bucket").cast("int"), "weight"))).alias("m"))
-    return cells.select(key, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("vector"))
+def hash_vectors(rows: DataFrame, key: str, dim: int = 64) -> DataFrame:
+    """(key, bucket, weight): the cells of :func:`vectors_of` that aren't zero."""
+    cells = vectors_of(rows, key, dim).select(key, F.posexplode("vector").alias("bucket", "weight"))
+    return cells.where("weight > 0").select(key, F.col("bucket").cast("long").alias("bucket"), "weight")
+
+
+def sparse_top(units: DataFrame, queries: DataFrame, k: int = 5, dim: int = 64) -> DataFrame:
+    """Cosine top-k of hash embeddings, worked out row by row, by :func:`dense_top`."""
+    return dense_top(vectors_of(units, "unit_id", dim), vectors_of(queries, "query_id", dim), k)
 
 
 def _unit_rows(x: np.ndarray) -> np.ndarray:
@@ -137,7 +154,8 @@ def fuse(vector: DataFrame, lexical: DataFrame, k: int = 5) -> DataFrame:
 def rerank(ranked: DataFrame, units: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """Offline reranker: share of the query's distinct terms that the unit has; ties keep the earlier rank."""
     q = queries.select("query_id", F.array_distinct(tx.tokens(F.col("text"))).alias("qt"))
-    u = units.select("unit_id", F.array_distinct(tx.tokens(F.col("text"))).alias("ut"))
+    wanted = units.join(ranked.select("unit_id").distinct(), "unit_id", "left_semi")  # tokens of ranked units alone
+    u = wanted.select("unit_id", F.array_distinct(F.col("tokens") if "tokens" in units.columns else tx.tokens(F.col("text"))).alias("ut"))
     rows = ranked.withColumnRenamed("rank", "before").join(q, "query_id").join(u, "unit_id")
     score = F.coalesce(F.try_divide(F.size(F.array_intersect("qt", "ut")).cast("double"), F.size("qt")), F.lit(0.0))
     return top(rows.select("query_id", "unit_id", "before", F.round(score, DIGITS).alias("rerank_score")), k, F.desc("rerank_score"), F.col("before"))
@@ -177,11 +195,11 @@ RETRIEVERS = {"bm25": bm25, "vector": sparse_top}
 def retrieve(units: DataFrame, queries: DataFrame, retriever: str = "hybrid", k: int = 5, reranked: bool = False) -> DataFrame:
     """(query_id, unit_id, rank, semantic_score) by name; a reranker gets 20 candidates, hybrid three times as many of each list."""
     fetch = 20 if reranked else k
+    if retriever not in (*RETRIEVERS, "hybrid"):
+        raise ValueError(f"unknown retriever {retriever!r}")
     if retriever == "hybrid":
         found = fuse(sparse_top(units, queries, 3 * fetch), bm25(units, queries, 3 * fetch), fetch)
-    elif retriever in RETRIEVERS:
-        found = RETRIEVERS[retriever](units, queries, fetch).withColumn("semantic_score", F.lit(None).cast("double"))
     else:
-        raise ValueError(f"unknown retriever {retriever!r}")
+        found = RETRIEVERS[retriever](units, queries, fetch).withColumn("semantic_score", F.lit(None).cast("double"))
     found = found.select("query_id", "unit_id", "rank", "semantic_score")
     return rerank(found, units, queries, k).select("query_id", "unit_id", "rank", F.lit(None).cast("double").alias("semantic_score")) if reranked else found

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as tx
 from lodestone.operators import chunking, evaluation, retrieval
 from lodestone.sources import corpus
+from lodestone.sources.staging import staged
 from lodestone.streaming import incremental
 
 K = 5
@@ -93,7 +94,7 @@ def rrf_fuse(s, d):
 
 
 def lexical_rerank(s, d):
-    u, q = units(s, d), questions(s, d)
+    u, q = retrieval.lexical_index(units(s, d)), questions(s, d)
     return named(retrieval.rerank(retrieval.bm25(u, q, 20), u, q, K).select("query_id", "unit_id", "rerank_score", "rank"))
 
 
@@ -131,11 +132,12 @@ def retrieval_metrics(s, d):
 
 
 def config_metrics(s, d):
-    u, q = units(s, d), questions(s, d)
-    off, on = retrieval.bm25(u, q, K).select("query_id", "unit_id", "rank"), retrieval.rerank(retrieval.bm25(u, q, 20), u, q, K).select("query_id", "unit_id", "rank")
+    u, q = retrieval.lexical_index(units(s, d)), questions(s, d)
+    wide = staged(retrieval.bm25(u, q, 20), "ranked")  # ranked once for both
+    off, on = wide.where(F.col("rank") <= K).select("query_id", "unit_id", "rank"), retrieval.rerank(wide, u, q, K).select("query_id", "unit_id", "rank")
     slug = lambda rows, name: rows.withColumn("slug", F.lit(name))
     ranked = slug(off, "doc__bm25__norerank").unionByName(slug(on, "doc__bm25__lexical"))
-    labels, asked = doc_labels(s, d), q.select("query_id")
+    labels, asked = staged(doc_labels(s, d), "labels"), q.select("query_id")
     both = lambda rows: slug(rows, "doc__bm25__norerank").unionByName(slug(rows, "doc__bm25__lexical"))
     return evaluation.ranking_metrics(ranked, both(labels), both(asked), K, extra=("slug",))
 

@@ -1,6 +1,7 @@
 """Hand values and invariants of chunkers, metrics, gate, judging, sources and streaming."""
 
 import math
+import random
 import re
 
 import pytest
@@ -46,6 +47,58 @@ def test_recursive_and_semantic(spark):
         chunking.chunk(docs(spark, HEADED), "none")
 
 
+def plain_recursive(text, size, overlap):
+    """By recursion, one boundary at a time."""
+
+    def cut(part, at, depth):
+        if len(part) <= size:
+            return [(at, at + len(part))]
+        if depth == 3:
+            return [(at + i, at + min(i + size, len(part))) for i in range(0, len(part), size - overlap)]
+        pattern = (r"(?m)^(?=#{1,6}\s)", r"\n\s*\n", r"(?<=[.!?])\s+")[depth]
+        cuts = sorted({0, *(m.end() for m in re.finditer(pattern, part)), len(part)})
+        return [x for a, b in zip(cuts, cuts[1:], strict=False) for x in cut(part[a:b], at + a, depth + 1)]
+
+    out = []
+    for a, b in cut(text, 0, 0):
+        if out and b - out[-1][0] <= size:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def plain_semantic(text, threshold, size, least):
+    """By a running mean, one sentence at a time."""
+    parts, at = [], 0
+    for m in re.finditer(r"(?<=[.!?])\s+|\n{2,}", text):
+        parts.append((at, m.start()))
+        at = m.end()
+    parts = [(a, b) for a, b in [*parts, (at, len(text))] if text[a:b].strip()]
+    if len(parts) < 2:
+        return [(0, len(text))]
+    groups = [[parts[0]]]
+    for a, b in parts[1:]:
+        run = [chunking.hash_embed([text[x:y]])[0] for x, y in groups[-1]]
+        mean, own = sum(run) / len(run), chunking.hash_embed([text[a:b]])[0]
+        scale = float((mean @ mean) ** 0.5 * (own @ own) ** 0.5)
+        like, start, end = (float(mean @ own) / scale if scale else 0.0), groups[-1][0][0], groups[-1][-1][1]
+        if (round(like, 9) < threshold and end - start >= least) or b - start > size:
+            groups.append([])
+        groups[-1].append((a, b))
+    return [(g[0][0], g[-1][1]) for g in groups]
+
+
+def test_chunkers_equal_plain_forms():
+    rng = random.Random(5)
+    bits = ["# Head\n", "\n\n", "\n \n\n", "word ", "Ends. ", "Why?\n", "x" * 70, "one two three! ", "\n## Sub\n", "  ", "é ü. "]
+    for _ in range(300):
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(1, 60)))
+        for size, overlap in ((60, 10), (200, 40), (30, 0)):
+            assert chunking.recursive_spans(text, size, overlap) == plain_recursive(text, size, overlap)
+        assert chunking.semantic_spans(text, chunking.hash_embed, 0.5, 120, 30) == plain_semantic(text, 0.5, 120, 30)
+
+
 def test_metrics(spark):
     ranked = spark.createDataFrame([(q, u, r) for q, us in ((1, "abcde"), (2, "xay"), (3, "b"), (4, "zzz"[:1])) for r, u in enumerate(us, 1)], "query_id long, unit_id string, rank long")
     labels = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (2, "q"), (3, "b"), (5, "m")], "query_id long, unit_id string")
@@ -93,14 +146,19 @@ def test_text_functions(spark):
     good = value(tx.json_verdict(F.lit('```json\n{"correctness": "correct", "faithfulness": "odd", "explanation": "fine",}\n```')))
     assert tuple(good) == ("correct", "unfaithful", "fine")
     assert value(tx.json_verdict(F.lit("no object here"))) is None
-    assert value(tx.retry_after(F.lit("try again in 1m2.5s"))) == 63.0 and value(tx.retry_after(F.lit("in 3s"))) == 3.5
+    for said, want in (('{"correctness": " Correct", "faithfulness": "FAITHFUL\\n", "explanation": "a,}"}', ("correct", "faithful", "a,}")), ("{}", ("incorrect", "unfaithful", "")), ('{"correctness": 1, "x": [1, 2,],}', ("incorrect", "unfaithful", ""))):
+        assert tuple(value(tx.json_verdict(F.lit(said)))) == want
+    assert value(tx.json_verdict(F.lit("{broken"))) is None and value(tx.json_verdict(F.lit("{not: json}"))) is None
+    assert value(tx.retry_after(F.lit("429: try again in 1m2.5s"))) == 62.5 and value(tx.retry_after(F.lit("try again in 3s"))) == 3.5
+    assert value(tx.retry_after(F.lit("took 3s"))) is None
     assert value(vectors.cosine(F.array(F.lit(0.0), F.lit(0.0)), F.array(F.lit(1.0), F.lit(0.0)))) == 0
     assert value(evaluation.echo(F.lit("x [1] (source: 3)\nhello\n\n[2] more"))) == "(source: 3)\nhello"
 
 
 def test_hash_vectors_equal_the_python_form(spark):
     texts = ["Refund the refund", "ein Wort", "a b c d e"]
-    cells = retrieval.dense(retrieval.hash_vectors(docs(spark, *texts).withColumnRenamed("doc_id", "unit_id"), "unit_id"), "unit_id", 64)
+    cells = retrieval.vectors_of(docs(spark, *texts, "", None).withColumnRenamed("doc_id", "unit_id"), "unit_id", 64)
+    assert cells.count() == len(texts)
     got = {r["unit_id"]: r["vector"] for r in cells.collect()}
     for i, v in enumerate(chunking.hash_embed(texts)):
         assert all(math.isclose(a, b, abs_tol=1e-12) for a, b in zip(got[i], v, strict=True))
