@@ -2,7 +2,9 @@
 
 A region of a text within e edits of an item of m characters shares at least m - q + 1 - q*e of
 its q-grams, and they lie on diagonals (text place minus item place) at most e apart. Shared
-q-grams are counted in overlapping bands of diagonals; bands that reach the bound are aligned.
+q-grams are counted in overlapping bands of diagonals; in bands that reach the bound the item is
+aligned, over the band's diagonals and e to either side alone. Texts are gone through in stretches
+and pairs of places in runs, so that memory doesn't grow with how often a q-gram repeats.
 
 Items are the stated query set: they are read in blocks of bounded size, and each block's q-grams
 (size proportional to the block) go with one narrow pass over all texts. No document is shuffled.
@@ -22,7 +24,9 @@ from .common import row_key, slices, table
 Q, EDIT_RATE = 8, 0.1
 #: Characters of items that one pass over the texts carries.
 BLOCK_CHARS = 4 << 20
-_SIEVE_BITS = 22
+#: Characters of a text looked at together, pairs of places met at once, diagonals aligned at once (a band may be wider).
+STRETCH, PAIRS, WIDEST = 1 << 16, 1 << 19, 4096
+_SIEVE_BITS, _FAR = 22, 1 << 33
 
 
 def normalise(text: str | None) -> str:
@@ -53,30 +57,33 @@ def budget(m: int) -> int:
     return max(0, min(int(m * EDIT_RATE), (m - Q) // Q if m >= Q else 0))
 
 
-def align(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int, int] | None:
-    """Fewest edits (start, end, edits) of the whole item against a part of ``text``, if at most ``most``.
-
-    ``text`` is the band's own stretch, so its length bounds the width of each row."""
-    n = len(text)
-    ramp = np.arange(n + 1)
-    row, origin = np.zeros(n + 1, np.int64), ramp.copy()
+def align(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int) -> tuple[int, int, int] | None:
+    """Fewest edits (start, end, edits) of the whole item against a part of ``text``, if at most ``most``, over the
+    diagonals (text place minus item place) low to high alone: a row of their costs for each character of the item."""
+    low, high = max(low, -len(item)), min(high, len(text))
+    diagonal = np.arange(low, high + 1)
+    wide, far = len(diagonal), most + 1
+    if not wide:
+        return None
+    none = np.full(max(0, -low), 0xFFFFFFFF, text.dtype)
+    a = max(0, low)
+    held = np.concatenate([none, text[a : high + len(item)], np.full(max(0, high + len(item) - len(text)), 0xFFFFFFFF, text.dtype)])
+    ramp = np.arange(wide)
+    row, origin = np.where(diagonal < 0, far, 0), diagonal.copy()
     for i, c in enumerate(item, 1):
-        cost = np.empty(n + 1, np.int64)
-        begun = np.empty(n + 1, np.int64)
-        change = row[:-1] + (text != c)
-        drop = row[1:] + 1
+        change = row + (held[i - 1 : i - 1 + wide] != c)
+        drop = np.append(row[1:] + 1, far)
         better = change <= drop
-        cost[0], begun[0] = i, 0
-        cost[1:] = np.where(better, change, drop)
-        begun[1:] = np.where(better, origin[:-1], origin[1:])
+        cost, begun = np.where(better, change, drop), np.where(better, origin, np.append(origin[1:], 0))
         # a run of added characters: the least cost - place so far, carried on
-        score = (cost - ramp) * (n + 1) + ramp
-        at = np.minimum.accumulate(score) % (n + 1)
-        row, origin = cost[at] - at + ramp, begun[at]
+        at = np.minimum.accumulate((cost - ramp) * (wide + 1) + ramp) % (wide + 1)
+        row, origin = np.minimum(cost[at] - at + ramp, far), begun[at]
+        row[: max(0, -low - i)] = far
+        row[max(0, len(text) - i - low + 1) :] = far
         if row.min() > most:
             return None
     end = int(np.argmin(row))
-    return (int(origin[end]), end, int(row[end])) if row[end] <= most else None
+    return int(origin[end]), int(diagonal[end]) + len(item), int(row[end])
 
 
 class Items:
@@ -87,8 +94,9 @@ class Items:
         self.ids = [k for k, _ in kept]
         self.points = [codes(t) for _, t in kept]
         self.texts = [t for _, t in kept]
-        self.budgets = [budget(len(p)) for p in self.points]
-        self.need = np.array([max(1, len(p) - Q + 1 - Q * e) for p, e in zip(self.points, self.budgets, strict=True)], np.int64)
+        self.sizes = np.array([len(p) for p in self.points], np.int64)
+        self.budgets = np.array([budget(n) for n in self.sizes], np.int64)
+        self.need = np.maximum(1, self.sizes - Q + 1 - Q * self.budgets)
         self.short = [(k, t) for k, t in kept if len(t) < Q]
         by = [grams(p) for p in self.points]
         self.gram = np.concatenate([np.zeros(0, np.uint64), *by])
@@ -100,73 +108,80 @@ class Items:
         self.sieve = np.zeros(1 << _SIEVE_BITS, bool)
         self.sieve[_spread(self.values)] = True
 
-    def candidates(self, g: np.ndarray) -> list[tuple[int, int, int]]:
-        """(item, lowest and highest text place) of bands of shared q-grams that reach the bound."""
-        if not len(self.values) or not len(g):
-            return []
-        at = np.flatnonzero(self.sieve[_spread(g)])
-        k = np.minimum(np.searchsorted(self.values, g[at]), len(self.values) - 1)
-        hit = self.values[k] == g[at]
-        at, k = at[hit], k[hit]
-        if len(at) < self.need.min():
-            return []
-        # an item whose q-grams the whole text doesn't hold often enough has no band that does
-        times = self.times[k]
-        many = np.repeat(np.arange(len(at)), times)
-        entry = self.first[k][many] + np.arange(len(many)) - (np.cumsum(times) - times)[many]
-        item = self.item[entry]
-        enough = (np.bincount(item, minlength=len(self.need)) >= self.need)[item]
-        if not enough.any():
-            return []
-        item, where, place = item[enough], at[many[enough]], self.place[entry[enough]]
-        out: dict[int, list[list[int]]] = {}
-        diagonal = where - place
-        width = 2 * np.maximum(1, 2 * np.array(self.budgets)[item])  # bands of twice the span, every half width: any span lies in one
-        base = diagonal + (1 << 20)
-        found = []
-        for shift in (0, 1):
-            band = (base + shift * (width // 2)) // width
-            key = item * (1 << 40) + band
-            order = np.argsort(key, kind="stable")
-            key = key[order]
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
-            for c in np.flatnonzero(np.diff(cuts) >= self.need[item[order[cuts[:-1]]]]):
-                rows = order[cuts[c] : cuts[c + 1]]
-                d = diagonal[rows]
-                found.append((int(item[rows[0]]), int(d.min()), int(d.max())))
-        for i, lo, hi in sorted(found):
-            m, e = len(self.points[i]), self.budgets[i]
-            spans = out.setdefault(i, [])
-            a, b = lo - e, hi + m + e
-            if spans and a <= spans[-1][1]:
-                spans[-1][1] = max(spans[-1][1], b)
-            else:
-                spans.append([a, b])
-        return [(i, a, b) for i, spans in out.items() for a, b in spans]
+    def bands(self, at: np.ndarray, k: np.ndarray, open_: np.ndarray) -> list[tuple[int, int, int]]:
+        """(item, lowest, highest diagonal) of bands whose shared q-grams reach the bound. at, k: places of a stretch
+        of text and the q-gram at each; open_: items still looked for.
+
+        Diagonals are counted in cells of budget + 1, a band is two neighbouring cells: any span within the budget lies
+        in one. Pairs of places are met PAIRS at a time; what is held are counts by cell."""
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        ends = np.cumsum(self.times[k])
+        a = 0
+        while a < len(k):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + PAIRS, side="right")))
+            times = self.times[k[a:b]]
+            many = np.repeat(np.arange(a, b), times)
+            entry = self.first[k[many]] + np.arange(len(many)) - np.repeat(np.cumsum(times) - times, times)
+            mine = open_[self.item[entry]]
+            entry, many = entry[mine], many[mine]
+            item = self.item[entry]
+            cell = (at[many] - self.place[entry] + _FAR) // (self.budgets[item] + 1)
+            found, seen = np.unique(item << 34 | cell, return_counts=True)
+            merged, which = np.unique(np.concatenate([keys, found]), return_inverse=True)
+            keys, counts = merged, np.bincount(which, np.concatenate([counts, seen]), len(merged)).astype(np.int64)
+            a = b
+        next_ = np.append(np.where(np.diff(keys) == 1, counts[1:], 0), 0)[: len(keys)]
+        item, cell = keys >> 34, keys & ((1 << 34) - 1)
+        reach = np.flatnonzero(counts + next_ >= self.need[item])
+        step = self.budgets[item[reach]] + 1
+        low = cell[reach] * step - _FAR
+        return list(zip(item[reach].tolist(), low.tolist(), (low + 2 * step - 1).tolist(), strict=True))
 
     def matches(self, text: str | None) -> list[tuple[int, int, int, int, int]]:
-        """(item id, start, end, edits, item characters) in the normalised text: the best place of each item."""
+        """(item id, start, end, edits, item characters) in the normalised text: the best place of each item.
+
+        The text is gone through in stretches that overlap by the longest match, so each match lies in one."""
         clean = normalise(text)
         points = codes(clean)
         best: dict[int, tuple] = {}
-        for i, a, b in self.candidates(grams(points)):
-            m, e = len(self.points[i]), self.budgets[i]
-            if i in best and not best[i][3]:
-                continue
-            if (whole := clean.find(self.texts[i], max(0, a), b)) >= 0:
-                best[i] = (self.ids[i], whole, whole + m, 0, m)
-                continue
-            # long stretches (an item repeated on end) in pieces that overlap by a whole match
-            for at in range(max(0, a), min(len(points), b), 4 * m):
-                got = align(self.points[i], points[at : min(b, at + 4 * m + m + e)], e)
-                if got and (i not in best or got[2] < best[i][3]):
-                    best[i] = (self.ids[i], at + got[0], at + got[1], got[2], m)
+        g = grams(points)
+        if len(self.values) and len(g):
+            at = np.flatnonzero(self.sieve[_spread(g)])
+            k = np.minimum(np.searchsorted(self.values, g[at]), len(self.values) - 1)
+            hit = self.values[k] == g[at]
+            at, k, least = at[hit], k[hit], self.need.min()
+            open_ = np.ones(len(self.need), bool)
+            overlap = int((self.sizes + self.budgets).max())
+            wide = max(STRETCH, 2 * overlap)
+            for begin in range(0, len(points), wide - overlap):
+                x, y = np.searchsorted(at, [begin, begin + wide])
+                if y - x >= least and open_.any():
+                    self._verify(clean, points, self.bands(at[x:y], k[x:y], open_), best, open_)
         for k, t in self.short:
             if clean and f" {t} " in f" {clean} ":
                 p = f" {clean} ".index(f" {t} ")
                 best[-1 - k] = (k, p, p + len(t), 0, len(t))
         return list(best.values())
 
+    def _verify(self, clean: str, points: np.ndarray, bands: list[tuple[int, int, int]], best: dict[int, tuple], open_: np.ndarray) -> None:
+        """Align the items of ``bands``, overlapping ones of an item at once while they are narrow; exact items are done."""
+        joined: list[list[int]] = []
+        for i, low, high in bands:
+            if joined and joined[-1][0] == i and low <= joined[-1][2] and high - joined[-1][1] < WIDEST:
+                joined[-1][2] = high
+            else:
+                joined.append([i, low, high])
+        for i, low, high in joined:
+            m, e = len(self.points[i]), int(self.budgets[i])
+            if not open_[i]:
+                continue
+            if (whole := clean.find(self.texts[i], max(0, low - e), max(0, high + e + m))) >= 0:
+                best[i], open_[i] = (self.ids[i], whole, whole + m, 0, m), False
+                continue
+            got = align(self.points[i], points, low - e, high + e, e)
+            if got and (i not in best or got[2] < best[i][3]):
+                best[i] = (self.ids[i], *got, m)
+
 
 def _matched(blocks: list[tuple[int, str]]):
     held: list[Items] = []

@@ -102,6 +102,45 @@ def test_qgram_matches_brute_force():
         assert got == want
 
 
+def test_qgram_stretches(monkeypatch):
+    """Short stretches and runs of pairs find what whole texts find, and every place reported is one."""
+    rng = random.Random(9)
+    monkeypatch.setattr(qd, "STRETCH", 128)
+    monkeypatch.setattr(qd, "PAIRS", 40)
+    item = "".join(rng.choice("abcd ") for _ in range(90)).strip()
+    block = qd.Items([(1, item), (2, "ab" * 40)])
+    for _ in range(60):
+        noisy = list(block.texts[0])
+        for _ in range(rng.randrange(0, 12)):
+            p = rng.randrange(len(noisy))
+            noisy[p : p + rng.randrange(2)] = rng.choice(["", "x", "yz"])
+        text = "".join(rng.choice("efg ") for _ in range(rng.randrange(400))) + "".join(noisy) + "ab" * rng.randrange(60) + "".join(rng.choice("efg ") for _ in range(rng.randrange(200)))
+        clean = qd.normalise(text)
+        got = {m[0]: m for m in block.matches(text)}
+        want = {k: d for k, x in zip((1, 2), block.texts, strict=True) if (d := fewest(x, clean)) <= qd.budget(len(x))}
+        assert {k: m[3] for k, m in got.items()} == want
+        for k, a, b, edits, _ in got.values():
+            assert fewest(block.texts[k - 1], clean[a:b]) == edits
+
+
+def test_qgram_repetitive_and_long_texts():
+    """Periodic texts of megabytes against periodic and long items, in bounded memory."""
+    import resource
+
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    rng = random.Random(3)
+    block = qd.Items([(1, "ab" * 500)])
+    assert block.matches("ab" * 2_500_000) == [(1, 0, 1000, 0, 1000)]
+    (_, a, b, edits, _) = block.matches("".join("ab" * 20 + rng.choice("xyz") for _ in range(400)))[0]
+    assert 20 <= edits <= 25 and 970 <= b - a <= 1030
+    long = "".join(rng.choice("abcdefgh ") for _ in range(6000))
+    noisy = list(long)
+    for _ in range(400):
+        noisy[rng.randrange(len(noisy))] = "z"
+    assert qd.Items([(1, long)]).matches("q " * 999 + "".join(noisy) + " q" * 999)[0][3] <= 400
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1 << 20  # KB
+
+
 def test_decontaminate(spark, sf):
     docs, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
     found = {(r["doc_id"], r["item_id"]) for r in qd.op7_qgram_lemma(spark, sf).collect()}
