@@ -4,7 +4,9 @@ Suffixes are put in buckets by their first bytes, and a bucket is refined by the
 at later offsets: an identifier of 2L bytes is made from those of L bytes at i and i + L, and each
 level reuses the one below (1, 2, 4 .. 128, then 200 from two of 128). Identifiers are 64-bit
 values of the content, so tasks agree on them without an exchange; what has to be exchanged is
-which buckets hold more than one place. Buckets with one place leave at each level:
+which buckets hold more than one place. Levels up to 64 bytes are worked out for all places where they
+are; from there on buckets with one place leave at each step (and no suffix is sorted: only equality is
+asked). What is removed agreed in two 64-bit identifiers at least; bytes aren't compared again:
 
 1. Every 200-byte string belongs to one place inside it, the least 64-byte bucket among its 137
    (about one place in 69). Equal strings have equal places. Buckets met once in the corpus are done.
@@ -216,7 +218,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         apart = materialise(rows.join(ranges, ["k1", "k2"]).mapInArrow(_parts(run), PARTS), "parts")
         copied, edge = refine(apart, ["core1", "core2"], ["whole"], "classes")
         spans = spans.union(materialise(copied, "spans"))
-    return materialise(spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans")
+    # equal rows found the same spans: each once, so that a text's list is bounded by the text
+    return materialise(spans.distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:

@@ -75,3 +75,17 @@ def test_empty_and_repeated_rows(spark):
     docs = spark.createDataFrame([(1, "word " * 20 + "q" * 90 + "w" * 30), (1, "word " * 20 + "q" * 90 + "w" * 30), (None, None), (None, "z" * 150)], "doc_id long, text string")
     got = sorted((r["doc_id"] or 0, r["n_removed"], r["n_bytes"]) for r in sb.remove_repeats(docs).collect())
     assert got == [(0, 0, 0), (0, 0, 150), (1, 220, 220), (1, 220, 220)]
+
+
+def test_many_repeated_rows(spark):
+    """Rows equal in id and text: each loses all, a text's spans are listed once, a text that shares a part loses that part."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(3000))
+    other = "".join(rng.choice("abcdefgh ") for _ in range(500)) + text[700:1300]
+    docs = spark.range(2000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    docs = docs.union(spark.createDataFrame([(7, other)], "doc_id long, text string"))
+    assert sb.repeated_spans(docs).select(F.max(F.size("spans"))).first()[0] < 600
+    got = {tuple(r)[:4]: r["n"] for r in sb.remove_repeats(docs).groupBy("doc_id", "n_bytes", "n_removed", "n_spans").agg(F.count("*").alias("n")).collect()}
+    assert got == {(None, 3000, 3000, 1): 2000, (7, 1100, 600, 1): 1}
