@@ -94,7 +94,7 @@ def with_shards(sized: DataFrame, stats: DataFrame, max_shards: int) -> DataFram
     total = stats.agg(F.sum("rows")).first()[0] or 1  # a local table
     per = max(DOCS_PER_SHARD, -(-total // max_shards))
     by = stats.select("src", F.ceil(F.col("rows") / per).cast("long").alias("shards"))
-    return sized.join(by, "src").withColumn("shard", F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.col("shards"))).drop("shards")
+    return sized.join(by, "src").withColumn("shard", F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "tie"), F.col("shards"))).drop("shards")
 
 
 def plan(sized: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP, block_words=BLOCK_WORDS, max_shards=MAX_SHARDS) -> tuple[DataFrame, DataFrame]:
@@ -120,7 +120,7 @@ def plan(sized: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP, block_words=BL
 
 def place(sized: DataFrame, stats: DataFrame, quotas: DataFrame, block_words=BLOCK_WORDS, max_shards=MAX_SHARDS) -> DataFrame:
     """``sized`` (doc_id, src, size, tie and any others) with source_size, target, start, taken and the
-    draw (base, extra, blocks, offset) of its shard. ``tie``: orders rows equal in id and size."""
+    draw (base, extra, blocks, offset) of its shard. ``tie``: a key of the text; rows equal in id are dealt and ordered by it."""
     order = Window.partitionBy("src", "shard").orderBy(F.xxhash64(F.lit(SEED + 1), "doc_id"), "doc_id", "size", "tie")
     # dealt by shard: the window would else be content with a deal by source, and a hot source with one task
     rows = with_shards(sized, stats, max_shards).repartition("src", "shard").withColumn("end", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
@@ -145,7 +145,7 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     Null texts have size 0 and nothing is taken of them; null is a source of its own, last in
     order; repeated rows each hold their own place; an empty table gives no rows. Equal inputs
     give equal results whatever their partitioning."""
-    sized = materialise(sized_rows(docs, F.lit(0).alias("tie")), "sized")
+    sized = materialise(sized_rows(docs, F.xxhash64("text").alias("tie")), "sized")
     stats, quotas = plan(sized, **how)
     return place(sized, stats, quotas).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -154,7 +154,7 @@ def mix_texts(docs: DataFrame, **how) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a row for each time a row is drawn from, its text
     cut to the words drawn (white space between them stays); rows drawn whole keep their text unchanged."""
     names = docs.columns
-    sized = materialise(sized_rows(docs, F.lit(0).alias("tie")), "sized")
+    sized = materialise(sized_rows(docs, F.xxhash64("text").alias("tie")), "sized")
     stats, quotas = plan(sized, **how)
     row = F.struct(*names).alias("r")
     placed = place(sized_rows(docs, F.xxhash64("text").alias("tie"), row), stats, quotas).where("taken > 0")
