@@ -22,7 +22,7 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import byte_texts, materialise, row_key, slices, table
@@ -191,10 +191,24 @@ def near_duplicates(docs: DataFrame, radius: int = 4) -> DataFrame:
     if radius % 2:
         raise ValueError("the radius is even: values within half of it are met")
     fps = materialise(fingerprints(docs), "fingerprints")
-    labels = components(ball_links(fps.select("fp").distinct(), radius))
-    placed = fps.join(labels.withColumnRenamed("v", "fp"), "fp", "left").withColumn("root", F.coalesce("label", "fp"))
-    least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return placed.join(least, "root").select("doc_id", "k1", "k2", "fp", "component_id", "root")
+    by = materialise(fps.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")), "distinct")
+    labels = components(ball_links(by.select("fp"), radius))
+    rooted = materialise(by.join(labels.withColumnRenamed("v", "fp"), "fp", "left").withColumn("root", F.coalesce("label", "fp")).drop("label"), "rooted")
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("m"))
+    placed = join_hot(rooted.drop("least"), least, "root", "m")
+    return join_hot(fps, placed, "fp", "n").select("doc_id", "k1", "k2", "fp", "component_id", "root")
+
+
+#: A key with more than one in HOT of all rows is hot: there are fewer than HOT of them.
+HOT = 1000
+
+
+def join_hot(rows: DataFrame, by: DataFrame, key: str, n: str) -> DataFrame:
+    """``rows`` joined to ``by``, which has each ``key`` once with ``n``, how many rows have it. The rows of hot keys, fewer
+    than HOT keys, meet theirs where they are; only the others are dealt by key."""
+    limit = max(HOT, (by.agg(F.sum(n)).first()[0] or 0) // HOT)
+    hot, rest = F.broadcast(by.where(F.col(n) > limit)), by.where(F.col(n) <= limit)
+    return rows.join(hot, key).drop(n).unionByName(rows.join(hot.select(key), key, "left_anti").join(rest, key).drop(n))
 
 
 def keep_one(docs: DataFrame, radius: int = 4) -> DataFrame:
@@ -206,8 +220,7 @@ def keep_one(docs: DataFrame, radius: int = 4) -> DataFrame:
     names = docs.columns
     keyed = docs.select(F.struct(*names).alias("r"), k1, k2)
     once = keyed.join(stay, ["k1", "k2"], "left_semi")
-    nth = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("k1"))
-    return once.withColumn("nth", nth).where("nth = 1").select("r.*")
+    return once.groupBy("k1", "k2").agg(F.first("r").alias("r")).select("r.*")  # of equal rows one, picked before they are dealt
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
