@@ -17,9 +17,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a new local one only where it is unset."""
+    """The folder all executors share (``spark.checkpoint.dir``). Where it is unset, a new local one, but only where
+    driver and executors are one machine: a cluster would lose what is written there."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

@@ -56,38 +56,46 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(c.isalpha() for c in text)
 
 
-def svm(x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, cost: float = COST) -> np.ndarray:
-    """Weights of a linear SVM (squared hinge loss) by coordinate descent on the dual; y is -1 or 1."""
-    rng, w = np.random.default_rng(0), np.zeros(x.shape[1], np.float32)
-    alpha, norm = np.zeros(len(x)), np.einsum("ij,ij->i", x, x) + 0.5 / cost
+def svm(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = EPOCHS, cost: float = COST) -> np.ndarray:
+    """Weights of a linear SVM (squared hinge loss) and its bias, the last, by coordinate descent on the dual. x: slots that
+    aren't zero and their values; y is -1 or 1."""
+    rng, w = np.random.default_rng(0), np.zeros(DIM + 1, np.float32)
+    alpha, norm = np.zeros(len(x)), np.array([float(v @ v) for _, v in x]) + 1 + 0.5 / cost
     for _ in range(epochs):
         for i in rng.permutation(len(x)):
-            step = max(0.0, alpha[i] - (y[i] * float(x[i] @ w) - 1 + alpha[i] * 0.5 / cost) / norm[i]) - alpha[i]
+            slots, values = x[i]
+            step = max(0.0, alpha[i] - (y[i] * float(values @ w[slots] + w[-1]) - 1 + alpha[i] * 0.5 / cost) / norm[i]) - alpha[i]
             if step:
                 alpha[i] += step
-                w += np.float32(step * y[i]) * x[i]
+                w[slots] += np.float32(step * y[i]) * values
+                w[-1] += np.float32(step * y[i])
     return w
 
 
 class Tree:
     """Family classifiers (one against the rest) and, in each family, a classifier for each pair of languages."""
 
-    def __init__(self, x: np.ndarray, langs: list[str]):
+    def __init__(self, x: list[tuple[np.ndarray, np.ndarray]], langs: list[str]):
         self.langs = sorted(set(langs))
         self.families = sorted({family(k) for k in self.langs})
         self.members = [[i for i, k in enumerate(self.langs) if family(k) == f] for f in self.families]
         of = np.array([self.langs.index(k) for k in langs])
         kin = np.array([self.families.index(family(k)) for k in langs])
-        scale = 1 / (x.std(axis=0) + 1e-4)
-        z = np.hstack([x * scale / np.sqrt(DIM) * 4, np.ones((len(x), 1), np.float32)]).astype(np.float32)
+        sums, squares = np.zeros(DIM), np.zeros(DIM)
+        for slots, shares in x:
+            sums[slots] += shares
+            squares[slots] += shares.astype(np.float64) ** 2
+        spread = np.sqrt(np.maximum(0, squares / len(x) - (sums / len(x)) ** 2))
+        scale = (4 / np.sqrt(DIM) / (spread + 1e-4)).astype(np.float32)
+        z = [(slots, shares * scale[slots]) for slots, shares in x]
         planes = [svm(z, np.where(kin == f, 1.0, -1.0)) for f in range(len(self.families))] if len(self.families) > 1 else []
         self.pairs = [(f, a, b) for f, own in enumerate(self.members) for a, b in combinations(own, 2)]
         for _, a, b in self.pairs:
             some = (of == a) | (of == b)
-            planes.append(svm(z[some], np.where(of[some] == a, 1.0, -1.0)))
+            planes.append(svm([z[i] for i in np.flatnonzero(some)], np.where(of[some] == a, 1.0, -1.0)))
         w = np.array(planes, np.float32).reshape(len(planes), DIM + 1)
         self.bias = w[:, -1].copy()
-        self.weights = np.ascontiguousarray((w[:, :-1] * scale / np.sqrt(DIM) * 4).T)  # slot by plane
+        self.weights = np.ascontiguousarray((w[:, :-1] * scale).T)  # slot by plane
 
     def predict(self, texts: list[bytes]) -> list[tuple[str, float]]:
         out = []
@@ -140,9 +148,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Tree | None:
     draw = F.pmod(F.xxhash64(F.lit(4), F.coalesce("doc_id", F.lit(0)), F.col("text")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = rows.where(draw < share[F.col("lang")]).select("lang", "text").mapInArrow(_features, "lang string, slots binary, shares binary").collect()
     sample.sort(key=lambda r: (r["lang"], bytes(r["slots"]), bytes(r["shares"])))
-    x = np.zeros((len(sample), DIM), np.float32)
-    for i, r in enumerate(sample):
-        x[i, np.frombuffer(r["slots"], "<u2")] = np.frombuffer(r["shares"], "<f4")
+    x = [(np.frombuffer(r["slots"], "<u2"), np.frombuffer(r["shares"], "<f4")) for r in sample]
     return Tree(x, [r["lang"] for r in sample]) if len(sample) else None
 
 

@@ -263,3 +263,30 @@ def test_simhash_odd(spark):
     kept = simhash_ball.keep_one(docs)
     assert kept.columns == docs.columns
     assert kept.count() == len({r["root"] for r in got})
+
+
+def test_rows_without_ids_are_dealt(spark):
+    """Rows without an id, or with one id, don't meet in one shard; their mix is what the blocks' draw gives."""
+    from pyspark.sql import functions as F
+
+    for ids in (F.lit(None), F.lit(4)):
+        docs = spark.range(3000).select(ids.cast("long").alias("doc_id"), F.concat(F.lit("w "), F.col("id").cast("string")).alias("text"), F.lit("s").alias("source"))
+        sized = apportionment.sized_rows(docs, F.xxhash64("text").alias("tie"))
+        stats, quotas = apportionment.plan(sized)
+        shards = apportionment.with_shards(sized, stats, apportionment.MAX_SHARDS).groupBy("shard").count().agg(F.max("count"), F.count("*")).first()
+        assert shards[0] < 300 and shards[1] > 15
+        taken, aim = apportionment.mix(docs).agg(F.sum("taken"), F.max("target")).first()
+        assert abs(taken - aim) < 0.1 * aim  # the last block of a small shard is a part of one
+
+
+def test_hot_fingerprints(spark, monkeypatch):
+    """Copies, with and without hot keys told apart, get the same components, and one of each stays."""
+    from pyspark.sql import functions as F
+
+    docs = spark.range(400).select("id", F.when(F.col("id") % 3 == 0, "the same words again and again here").otherwise(F.concat(F.lit("some other words "), (F.col("id") % 50).cast("string"))).alias("text"))
+    docs = docs.withColumnRenamed("id", "doc_id").union(spark.createDataFrame([(None, "the same words again and again here")] * 40, "doc_id long, text string"))
+    plain = sorted(map(tuple, simhash_ball.near_duplicates(docs).select("fp", "component_id").collect()))
+    monkeypatch.setattr(simhash_ball, "HOT", 5)
+    assert sorted(map(tuple, simhash_ball.near_duplicates(docs).select("fp", "component_id").collect())) == plain
+    kept = simhash_ball.keep_one(docs).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted({c for _, c in plain})
