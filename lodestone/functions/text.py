@@ -55,13 +55,18 @@ def bucket(score: Column, low: str, middle: str, high: str) -> Column:
     return F.when(score >= 0.75, high).when(score >= 0.35, middle).otherwise(low)
 
 
-def json_verdict(raw: Column) -> Column:
-    """Struct (correctness, faithfulness, explanation) of a judge's answer: code fences at line ends off, the outer
-    braces taken, trailing commas mended only where the object cannot be read as it is. Labels are trimmed and
-    lower-cased, a missing or unknown one becomes the worst; null where no object can be read."""
+def json_object(raw: Column) -> Column:
+    """Fields of the object in an answer, as strings: code fences at line ends off, the outer braces taken, trailing
+    commas mended only where the object cannot be read as it is; null where none can be read."""
     body = F.nullif(F.regexp_extract(F.regexp_replace(strip(raw), "(?m)^```(json)?|```$", ""), r"(?s)\{.*\}", 0), F.lit(""))
     read = lambda text: F.from_json(text, "map<string,string>")
-    fields = F.coalesce(read(body), read(F.regexp_replace(body, r",(\s*[}\]])", "$1")))
+    return F.coalesce(read(body), read(F.regexp_replace(body, r",(\s*[}\]])", "$1")))
+
+
+def json_verdict(raw: Column) -> Column:
+    """Struct (correctness, faithfulness, explanation) of a judge's answer, from its :func:`json_object`. Labels are
+    trimmed and lower-cased, a missing or unknown one becomes the worst; null where no object can be read."""
+    fields = json_object(raw)
     got = {k: F.try_element_at(fields, F.lit(k)) for k in ("correctness", "faithfulness", "explanation")}
     known = lambda c, worst, *rest: F.when(F.lower(strip(c)).isin(*rest), F.lower(strip(c))).otherwise(worst)
     return F.when(

@@ -53,6 +53,36 @@ def evidence_spans(examples: DataFrame, docs: DataFrame, block_chars: int = 4 <<
     return out
 
 
+def resolve_evidence(examples: DataFrame, docs: DataFrame) -> DataFrame:
+    """(item_id, doc_id, part, char_start, char_end, problem): each snippet's first place in its labelled document.
+
+    examples: (item_id, doc_id, evidence), snippets parted by a double bar. A snippet that isn't there word for word is
+    looked for with any white space between its words; its end then counts one blank between words. ``problem`` says
+    what is wrong, null for resolved snippets; :func:`require_resolved` refuses rows that have one. Examples without a
+    snippet give no row. A document id that occurs twice gives rows for both."""
+    parts = examples.select("item_id", "doc_id", F.posexplode(tx.evidence_parts(F.col("evidence"))).alias("part", "needle"))
+    pages = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text_"), F.lit(True).alias("there_"))
+    rows = parts.join(pages, "doc_id", "left")
+    terms = F.filter(F.split("needle", r"(?U)\s+"), lambda t: t != "")
+    quoted = F.transform(terms, lambda t: F.concat(F.lit("\\Q"), F.replace(t, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")))
+    loose = F.array_join(quoted, r"\s+")
+    # the text before the match, in code points
+    front = F.call_function("regexp_extract", F.col("text_"), F.concat(F.lit("(?Us)^(.*?)"), loose), F.lit(1))
+    exact = F.expr("locate(needle, text_)")
+    start = F.when(exact > 0, exact - 1).when(F.regexp("text_", F.concat(F.lit("(?U)"), loose)), F.char_length(front))
+    length = F.when(exact > 0, F.char_length("needle")).otherwise(F.char_length(F.array_join(terms, " ")))
+    problem = F.when(F.col("there_").isNull(), "no document").when(F.col("char_start").isNull(), "not found")
+    rows = rows.withColumn("char_start", start.cast("long")).withColumn("char_end", F.col("char_start") + length)
+    return rows.select("item_id", "doc_id", F.col("part").cast("long").alias("part"), "char_start", "char_end", problem.alias("problem"))
+
+
+def require_resolved(spans: DataFrame, shown: int = 20) -> DataFrame:
+    """``spans`` unless one has a problem: a label that no longer fits its document must not go unnoticed."""
+    if bad := spans.where("problem IS NOT NULL").limit(shown).collect():
+        raise ValueError("labels could not be resolved: " + "; ".join(f"{r.item_id} in {r.doc_id}: {r.problem}" for r in bad))
+    return spans
+
+
 def overlap_labels(spans: DataFrame, chunks: DataFrame) -> DataFrame:
     """(item_id, chunk_id): chunks of the span's document whose half-open range meets it."""
     s, c = spans.alias("s"), chunks.alias("c")
@@ -112,7 +142,10 @@ def ordinal(label: Column) -> Column:
 
 
 def needs_judging(measured: Column, correctness: Column, explanation: Column) -> Column:
-    return ~F.coalesce(measured, F.lit(False)) & (correctness.isNull() | F.coalesce(F.lower(explanation).contains("error"), F.lit(False)))
+    """No verdict yet, or one that only records that the judge failed."""
+    told = F.lower(explanation)
+    failed = F.coalesce(told.contains("judge error") | told.contains("judge unavailable"), F.lit(False))
+    return ~F.coalesce(measured, F.lit(False)) & (correctness.isNull() | failed)
 
 
 def coverage(rows: DataFrame, by: str, measured: Column, score: Column, least: float = 0.9) -> DataFrame:
@@ -128,11 +161,13 @@ def leaderboard(summary: DataFrame, by: str) -> DataFrame:
 
 
 def context(ranked: DataFrame, units: DataFrame) -> DataFrame:
-    """(query_id, context): numbered passages with their source, blank lines between."""
-    rows = ranked.join(units.select("unit_id", "text"), "unit_id")
-    block = F.array_sort(F.collect_list(F.struct("rank", "unit_id", "text")))
-    shown = F.transform(block, lambda x: F.concat(F.lit("["), x["rank"].cast("string"), F.lit("] (source: "), x["unit_id"].cast("string"), F.lit(")\n"), x["text"]))
-    return rows.groupBy("query_id").agg(F.array_join(shown, "\n\n").alias("context"))
+    """(query_id, context, n_passages): numbered passages with their source (the unit's id where ``units`` has no column of that
+    name), blank lines between. A query has at most k passages."""
+    source = F.col("source" if "source" in units.columns else "unit_id")
+    rows = ranked.join(units.select("unit_id", source.cast("string").alias("source"), "text"), "unit_id")
+    block = F.array_sort(F.collect_list(F.struct("rank", "source", "text")))
+    shown = F.transform(block, lambda x: F.concat(F.lit("["), x["rank"].cast("string"), F.lit("] (source: "), x["source"], F.lit(")\n"), x["text"]))
+    return rows.groupBy("query_id").agg(F.array_join(shown, "\n\n").alias("context"), F.count("*").alias("n_passages"))
 
 
 def echo(context: Column) -> Column:
@@ -150,6 +185,56 @@ def threshold(scores: DataFrame) -> DataFrame:
     return got.select(F.round("worst_in", 6).alias("worst_in"), F.round("best_out", 6).alias("best_out"), apart.alias("separable"), F.round(F.when(apart, point), 4).alias("min_top_score"), F.round(F.when(apart, point - 0.05), 4).alias("min_score"))
 
 
+def distribution(scores: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, n, low, p10, middle, p90, high) by places in the sorted list: n // 10 - 1 (at least 0), n // 2 and
+    9 n // 10 (at most n - 1), counted from 0. Equal values are counted first, so a window holds distinct values
+    alone: scores of six digits have a million at most. Rows without a value are left out."""
+    w = Window.partitionBy(by)
+    counts = scores.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("c"))
+    rows = counts.withColumn("upto", F.sum("c").over(w.orderBy(value))).withColumn("n", F.sum("c").over(w))
+    tenth = F.expr("n div 10")
+    at = lambda i: F.min(F.when(F.col("upto") > i, F.col(value)))
+    return rows.groupBy(by).agg(
+        F.max("n").alias("n"),
+        F.min(value).alias("low"),
+        at(F.greatest(F.lit(0), tenth - 1)).alias("p10"),
+        at(F.expr("n div 2")).alias("middle"),
+        at(F.least(F.col("n") - 1, F.expr("9 * n div 10"))).alias("p90"),
+        F.max(value).alias("high"),
+    )
+
+
+def overlapping(scores: DataFrame) -> DataFrame:
+    """(query_id, best): queries out of scope that score no less than the worst in scope; none if there is none in scope."""
+    worst = scores.where("in_scope").agg(F.min("best").alias("worst_in"))  # one row
+    return scores.where("NOT in_scope").crossJoin(F.broadcast(worst)).where("best >= worst_in").select("query_id", "best")
+
+
+def rolling_mean(samples: DataFrame, by: str, at: str, tie: str, value: str, n: int = 1000, block: int = 50_000) -> DataFrame:
+    """``samples`` with ``mean``, that of the newest n samples of their group up to each, in order of ``at`` and ``tie``.
+
+    A group may hold a third of all rows, so it is not sorted in one task: hours are counted and numbered first, which
+    gives each row its place, and blocks of places get the n - 1 rows before them as well. Means come from running
+    sums in a block, so the work doesn't grow with n; values are taken at ten decimals, so that sums are exact."""
+    if not 1 <= n <= block:
+        raise ValueError("n must be in [1, block]")
+    rows = samples.withColumn("hour_", F.date_trunc("hour", at))
+    hours = rows.groupBy(F.col(by).alias("by_"), F.col("hour_").alias("of_")).agg(F.count("*").alias("c_"))
+    before = F.coalesce(F.sum("c_").over(Window.partitionBy("by_").orderBy("of_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    hours = hours.select("by_", "of_", before.alias("before_"))
+    nth = F.row_number().over(Window.partitionBy(by, "hour_").orderBy(at, tie)) - 1
+    rows = rows.withColumn("nth_", nth).join(hours, F.col(by).eqNullSafe(F.col("by_")) & F.col("hour_").eqNullSafe(F.col("of_")))
+    rows = rows.withColumn("place_", F.col("before_") + F.col("nth_")).withColumn("own_", F.expr(f"place_ div {block}"))
+    also = F.when(F.col("place_") % block > block - n, F.array(F.col("own_"), F.col("own_") + 1)).otherwise(F.array("own_"))
+    rows = rows.withColumn("part_", F.explode(also))
+    w = Window.partitionBy(by, "part_").orderBy("place_")
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("sum_", F.coalesce(F.sum(F.col(value).cast("decimal(28,10)")).over(run), F.lit(0).cast("decimal(38,10)"))).withColumn("n_", F.count(value).over(run))
+    last = lambda c: F.col(c) - F.coalesce(F.lag(c, n).over(w), F.lit(0))
+    rows = rows.withColumn("mean", F.try_divide(last("sum_").cast("double"), last("n_")))
+    return rows.where("part_ = own_").select(*samples.columns, "mean")
+
+
 def rolling_latest(samples: DataFrame, by: str, order: list[str], n: int = 1000) -> DataFrame:
     """The newest n samples of each group."""
     w = Window.partitionBy(by).orderBy(*[F.desc(c) for c in order])

@@ -108,7 +108,7 @@ def _nearest(ids: list[int], queries: np.ndarray, k: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                unit = part.column("unit_id").to_numpy()
+                unit = np.asarray(part.column("unit_id").to_pylist())
                 sims = np.round(queries @ _unit_rows(_matrix(part.column("vector"))).T, DIGITS) + 0.0
                 q, u = [], []
                 for i, row in enumerate(sims):
@@ -123,13 +123,14 @@ def _nearest(ids: list[int], queries: np.ndarray, k: int):
 
 
 def dense_top(units: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """Exact cosine top-k. Queries are a stated set: they are read in blocks of bounded size, each block makes
+    """Exact cosine top-k; ids of units are integers or strings. Queries are a stated set: they are read in blocks of bounded size, each block makes
     one pass over the vectors, and each batch hands on its own k best, so the shuffle holds k rows a batch."""
-    out, block, size = None, [], 0
+    kind = "string" if dict(units.dtypes)["unit_id"] == "string" else "long"
+    out, block, size, shape = None, [], 0, f"query_id long, unit_id {kind}, sim double"
 
     def flush() -> None:
         nonlocal out, block, size
-        found = units.select(F.col("unit_id").cast("long").alias("unit_id"), "vector").mapInArrow(_nearest([i for i, _ in block], _unit_rows(np.array([v for _, v in block], np.float64)), k), "query_id long, unit_id long, sim double")
+        found = units.select(F.col("unit_id").cast(kind).alias("unit_id"), "vector").mapInArrow(_nearest([i for i, _ in block], _unit_rows(np.array([v for _, v in block], np.float64)), k), shape)
         out, block, size = found if out is None else out.union(found), [], 0
 
     for q, v in queries.select("query_id", "vector").toLocalIterator():
@@ -139,7 +140,7 @@ def dense_top(units: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
             flush()
     if block or out is None:
         if not block:
-            return units.sparkSession.createDataFrame([], "query_id long, unit_id long, sim double, rank long")
+            return units.sparkSession.createDataFrame([], f"{shape}, rank long")
         flush()
     return top(out, k, F.desc("sim"), F.col("unit_id"))
 

@@ -197,7 +197,7 @@ def dedup_triples(s, d):
 def cache_probe(s, d):
     docs = read(s, d, "documents")
     wanted = docs.select(tx.cache_key("hash-64", F.col("text")).alias("key"))
-    cached = docs.where("doc_id % 3 = 0").select(tx.cache_key("hash-64", F.col("text")).alias("key")).distinct()
+    cached = docs.join(read(s, d, "labels").select("doc_id"), "doc_id", "left_semi").select(tx.cache_key("hash-64", F.col("text")).alias("key")).distinct()
     return corpus.cache_stats(corpus.probe(wanted, cached))
 
 
@@ -343,7 +343,7 @@ ORACLES = {
     "never_correct": f"WITH {_SAID} SELECT conv_id, count(*) AS n, max(CASE WHEN cs >= 0.75 THEN 1.0::DOUBLE WHEN cs >= 0.35 THEN 0.5 ELSE 0 END) AS best FROM scores GROUP BY conv_id HAVING max(cs) < 0.75",
     "echo_answer": f"WITH {_bm25('documents', 'doc_id', "coalesce(text, '')", 1)} SELECT item_id, CASE WHEN unit_id IS NULL THEN 'no context' ELSE substr(regexp_replace(split_part(' (source: ' || unit_id || ')' || chr(10) || d.text, chr(10) || chr(10), 1), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g'), 1, 500) END AS answer FROM benchmark LEFT JOIN bm25 USING (item_id) LEFT JOIN documents d ON d.doc_id = unit_id",
     "dedup_triples": "SELECT sha1(concat_ws('|', coalesce(lang, ''), coalesce(text, ''))) AS key, count(*) AS copies FROM documents GROUP BY 1",
-    "cache_probe": "WITH c AS (SELECT DISTINCT text FROM documents WHERE doc_id % 3 = 0), p AS (SELECT c.text IS NOT NULL AS found FROM documents d LEFT JOIN c ON d.text = c.text) SELECT count(*) FILTER (found) AS hits, count(*) FILTER (NOT found) AS misses, round(count(*) FILTER (found) / count(*)::DOUBLE, 4) AS hit_rate FROM p",
+    "cache_probe": "WITH c AS (SELECT DISTINCT text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)), p AS (SELECT c.text IS NOT NULL AS found FROM documents d LEFT JOIN c ON d.text = c.text) SELECT count(*) FILTER (found) AS hits, count(*) FILTER (NOT found) AS misses, round(count(*) FILTER (found) / count(*)::DOUBLE, 4) AS hit_rate FROM p",
     "resume_pending": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "latency_by_type": "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99, min(value) AS low, max(value) AS high FROM events GROUP BY event_type",
     "latest_samples": "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS nth FROM events) WHERE nth <= 1000 GROUP BY event_type",

@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import copy
+import hashlib
+import json
+import traceback
+from collections.abc import Callable
 from itertools import product
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,9 +18,13 @@ LABEL_COLUMNS = ("id", "document_id", "query", "expected_answer", "evidence_text
 
 
 def scan_folder(spark: SparkSession, path: str) -> DataFrame:
-    """(id, source, content) of all .md, .txt and .markdown files below a folder; id is the file's name."""
+    """(id, source, content) of all .md, .txt and .markdown files below a folder; id is the file's name. No such file is
+    an error. Rows come in no order: sort by ``source`` where one is needed."""
     raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select("value", F.col("_metadata.file_path").alias("source"))
-    return raw.where(F.lower("source").rlike(r"\.(md|txt|markdown)$")).select(F.element_at(F.split("source", "/"), -1).alias("id"), "source", F.col("value").alias("content"))
+    raw = raw.where(F.lower("source").rlike(r"\.(md|txt|markdown)$"))
+    if raw.select("source").isEmpty():
+        raise FileNotFoundError(f"no document below {path}")
+    return raw.select(F.element_at(F.split("source", "/"), -1).alias("id"), "source", F.col("value").alias("content"))
 
 
 def repeated_ids(docs: DataFrame) -> DataFrame:
@@ -34,6 +42,16 @@ def scan_labels(spark: SparkSession, path: str) -> DataFrame:
     return trimmed.where("id <> ''")
 
 
+def write_labels(rows: DataFrame, docs: DataFrame, path: str) -> None:
+    """Labelled questions (id, document_id, query, expected_answer, evidence_text) as CSV, fields quoted where needed.
+    Each snippet of the evidence must stand word for word in its document (id, content), else nothing is written."""
+    parts = rows.select("id", "document_id", F.explode(tx.evidence_parts(F.col("evidence_text"))).alias("snippet"))
+    there = parts.join(docs.select(F.col("id").alias("document_id"), "content"), "document_id", "left")
+    if bad := there.where("NOT coalesce(contains(content, snippet), false)").select("id", "snippet").limit(20).collect():
+        raise ValueError("not in their documents: " + "; ".join(f"{r.id}: {r.snippet[:60]!r}" for r in bad))
+    rows.write.option("header", True).option("escape", '"').mode("overwrite").csv(path)
+
+
 def scan_summaries(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).json(f"{path}/*/summary.json")
 
@@ -42,6 +60,32 @@ def write_artifacts(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").partitionBy("slug").json(path)
 
 
+def index_write(chunks: DataFrame, path: str) -> None:
+    """Chunks added to the index at ``path``, one folder for each strategy."""
+    chunks.write.mode("append").partitionBy("strategy").parquet(path)
+
+
+def index_dump(spark: SparkSession, path: str, strategy: str | None = None) -> DataFrame:
+    """All chunks of an index, or those of one strategy, whose folder alone is read."""
+    rows = spark.read.parquet(path)
+    return rows if strategy is None else rows.where(F.col("strategy") == strategy)
+
+
+def index_reset(spark: SparkSession, path: str, strategy: str) -> None:
+    """Drop all chunks of a strategy; the others stay."""
+    empty = spark.read.parquet(path).drop("strategy").limit(0)
+    empty.write.mode("overwrite").parquet(f"{path}/strategy={strategy}")
+
+
+def index_count(spark: SparkSession, path: str, strategy: str | None = None) -> int:
+    return index_dump(spark, path, strategy).count()
+
+
+def evict(cache: DataFrame, key: str, used: str, n: int = 2048) -> DataFrame:
+    """The n rows used last, ties by key; Spark keeps n of each partition."""
+    return cache.orderBy(F.desc_nulls_last(used), key).limit(n)
+
+
 def upsert(new: DataFrame, path: str, key: str) -> int:
     """Append rows whose key the table at ``path`` doesn't have; gives how many were submitted."""
     spark, rows = new.sparkSession, new.dropDuplicates([key])
@@ -70,6 +114,34 @@ def pending(wanted: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return wanted.join(done.select(key), key, "left_anti")
 
 
+def first_of(rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """One row of each key, the first in ``order``."""
+    rest = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("row")).select(key, *[F.col("row")[c].alias(c) for c in rest])
+
+
+def run_each(spark: SparkSession, slugs: list[str], work: Callable[[str], None], errors: str, only: list[str] | None = None) -> list[str]:
+    """Run ``work`` for each configuration, or those in ``only``; gives the slugs that went through. One that fails is
+    written to ``errors`` (slug, error) and the others go on."""
+    done, failed = [], []
+    for slug in slugs:
+        if only is not None and slug not in only:
+            continue
+        try:
+            work(slug)
+            done.append(slug)
+        except Exception:
+            failed.append((slug, traceback.format_exc()))
+    if failed:
+        spark.createDataFrame(failed, "slug string, error string").write.mode("append").json(errors)
+    return done
+
+
+def fingerprint(config: dict) -> str:
+    """Twelve hex digits that name a configuration by all its values, so that resumed work isn't mixed up with other settings."""
+    return hashlib.sha256(json.dumps(config, sort_keys=True).encode()).hexdigest()[:12]
+
+
 def merge(base: dict, over: dict) -> dict:
     """Deep merge of configurations: nested dicts merge, other values replace."""
     out = copy.deepcopy(base)

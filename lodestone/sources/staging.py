@@ -5,18 +5,22 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def staged(rows: DataFrame, tag: str) -> DataFrame:
-    """``rows`` written into the folder that all executors share (``spark.checkpoint.dir``) and read back: worked out
-    once, whatever reads them, and there after an executor is lost. A local folder serves only a local session."""
-    spark = rows.sparkSession
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new path in the folder that all executors share (``spark.checkpoint.dir``). A local folder serves only a local session."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-    path = f"{folder.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def staged(rows: DataFrame, tag: str) -> DataFrame:
+    """``rows`` written to a :func:`scratch` path and read back: worked out once, whatever reads them, and there after
+    an executor is lost."""
+    spark, path = rows.sparkSession, scratch(rows.sparkSession, tag)
     rows.write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
