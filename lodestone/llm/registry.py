@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import apportionment, chat_grammar, compression_rules, context_mixing, language_tree, line_spread, qgram_decontam, simhash_ball, substring_buckets, wavelet_tokens
+from . import apportionment, chat_grammar, chebyshev_whitening, compression_rules, context_mixing, language_tree, line_spread, qgram_decontam, simhash_ball, substring_buckets, wavelet_tokens
 
 QUERIES = {
     "op1_wavelet": wavelet_tokens.op1_wavelet,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_bucket_pointer": substring_buckets.op8_bucket_pointer,
     "op9_simhash": simhash_ball.op9_simhash,
     "op10_line_spread": line_spread.op10_line_spread,
+    "op11_chebyshev_whitening": chebyshev_whitening.op11_chebyshev_whitening,
 }
 ORACLES = {"op5_chat_grammar": chat_grammar.ORACLE_SQL, "op10_line_spread": line_spread.ORACLE_SQL}
