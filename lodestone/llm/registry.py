@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import apportionment, chat_grammar, chebyshev_whitening, compression_rules, context_mixing, language_tree, line_spread, qgram_decontam, simhash_ball, substring_buckets, wavelet_tokens
+from . import apportionment, chat_grammar, chebyshev_whitening, compression_rules, context_mixing, html_crf, language_tree, line_spread, multi_index_negatives, qgram_decontam, simhash_ball, substring_buckets, wavelet_tokens
 
 QUERIES = {
     "op1_wavelet": wavelet_tokens.op1_wavelet,
@@ -16,5 +16,7 @@ QUERIES = {
     "op9_simhash": simhash_ball.op9_simhash,
     "op10_line_spread": line_spread.op10_line_spread,
     "op11_chebyshev_whitening": chebyshev_whitening.op11_chebyshev_whitening,
+    "op12_multi_index": multi_index_negatives.op12_multi_index,
+    "op13_html_crf": html_crf.op13_html_crf,
 }
-ORACLES = {"op5_chat_grammar": chat_grammar.ORACLE_SQL, "op10_line_spread": line_spread.ORACLE_SQL}
+ORACLES = {"op5_chat_grammar": chat_grammar.ORACLE_SQL, "op10_line_spread": line_spread.ORACLE_SQL, "op12_multi_index": multi_index_negatives.ORACLE_SQL}
