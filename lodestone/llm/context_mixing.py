@@ -1,26 +1,29 @@
 """Language-model scoring by online logistic context mixing.
 
 A text is a run of tokens (words, then an end). A token is coded bit by bit: whether it is new to the
-corpus, then for a known one the 6 leading bits of its hash, for a new one the eight bits of each of
+corpus, then for a known one the 8 leading bits of its hash, for a new one the eight bits of each of
 its letters. Each bit is predicted from several hashed contexts: for known words no context, the word
-before, and the two words before; for letters the last 3 and 6 of the word. The predictors' logits
+before, and the two words before; for letters the last 2, 4 and 6 of the word. The predictors' logits
 are combined with weights picked by a gate (how often each context was seen, whether it ever went both
 ways, how long the text has been following known triples of words), learned online; an adaptive map
-from the mixed logit to the observed rate refines the result. Words that share the 6 bits are told
+from the mixed logit to the observed rate refines the result. Words that share the 8 bits are told
 apart by averaging the contexts' shares, and the text's own words so far, counted as it is read, are
 averaged in. Every step is a distribution, so the score is a true log probability, and total bits per
 byte follow.
 
-Counts of a context are those of all training text, held as sorted 64-bit keys: context first, then
-the leading bits of what followed it, so a bit's counts are those of a stretch of neighbouring keys.
-Nothing has a fixed size: keys grow with the corpus. Words are told apart by 64 bits of hash, contexts by
-32, 40 or 48, two more at least than the corpus' size in bytes has; two that meet share their counts.
+Counts of a context are those of all training text, held as sorted 64-bit keys: 40 bits of the context
+first, then the 24 leading bits of the hash of what followed it, so a bit's counts are those of a stretch of neighbouring
+keys. Known words that share 24 bits share what such a key is worth in equal parts, so a context's shares never sum above
+one; contexts that share 40 bits share their counts. Both widths are the same at every size of corpus.
 
-Spark moves: rows are dealt by hash to slices of about ``SLICE_BYTES``. A slice learns its weights from its own
-training texts (those of letters from new words as they are scored), so they follow from the rows, not from how
-the session cuts them. A slice sends its distinct keys with their counts to ranges of keys, at most ``FAN`` lists to a
-task (more are merged level by level), and gets back one byte for each bit to be predicted. Only the
-totals of 64 buckets are sent to every task.
+A training token is left out of the counts that foretell it: shares and whether a context met the word exactly; a bit's
+counts up to ``SMALL`` exactly, above that where its way was taken once, else they are as they are, in steps of the logit.
+
+Spark moves: rows are dealt by hash to slices of about ``SLICE_BYTES``; very many equal rows by their number as well. A
+slice learns its weights from its own training texts (those of letters from new words as they are scored), so they follow from the
+rows, not from how the session cuts them. A slice sends its distinct keys with their counts to ranges of keys, at most
+``FAN`` lists to a task (more are merged level by level), and gets back one byte for each bit to be predicted and two for
+each share. Only the totals of 256 buckets are sent to every task.
 """
 
 from __future__ import annotations
@@ -39,11 +42,13 @@ from .common import discard, materialise, slices, table
 
 SLICE_BYTES, RANGE_BYTES, FAN = 6 << 20, 12 << 20, 256
 #: Bits mixed for a known word, and bits that tell it apart within a context; bits of a letter.
-DEPTH, CODE, LETTER = 6, 16, 8
+DEPTH, CODE, LETTER = 8, 24, 8
+#: Bits of a context in a key.
+BITS = 40
 #: Letters before, for each context of a letter.
-LETTERS = (3, 6)
+LETTERS = (2, 4, 6)
 CHUNK = 1 << 15
-PRIOR, STEPS, SURE = 0.4, 33, 0.99
+PRIOR, STEPS = 0.4, 33
 GATES = 8 * 8 * 4  # of the longer context, the shorter, and the run of known triples
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -101,10 +106,10 @@ class Slice:
     """Rows of a slice in an order that follows from their content, their tokens, and keys by order of context:
     0 words, 1 and 2 words after one and two words before, then letters after those of LETTERS."""
 
-    def __init__(self, parts: pa.Table, bits: int):
+    def __init__(self, parts: pa.Table):
         rows = pa.concat_tables([pa.ipc.open_stream(zstandard.decompress(x)).read_all() for x in parts.column("rows").to_pylist()])
         rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
-        self.rows, self.n, self.bits = rows, rows.num_rows, bits
+        self.rows, self.n = rows, rows.num_rows
         words, self.word, self.row = tokens(rows.column("text").chunk(0) if rows.num_rows else pa.array([], pa.large_string()))
         self.words = words.cast(pa.large_binary())
         self.hash = np.array([xxhash.xxh64_intdigest(w, 7) for w in self.words.to_pylist()], np.uint64)
@@ -118,8 +123,8 @@ class Slice:
         h = self.hash[self.word]
         one = np.where(self.at > 0, np.roll(h, 1), np.uint64(1))
         two = np.where(self.at > 1, np.roll(h, 2), np.uint64(2))
-        code = (h >> np.uint64(64 - CODE)) << np.uint64(64 - CODE - self.bits)
-        return [(c & ~low_bits(self.bits)) | code for c in (spread(one + np.uint64(11)), spread(one * _B + spread(two + np.uint64(23))))]
+        code = (h >> np.uint64(64 - CODE)) << np.uint64(64 - CODE - BITS)
+        return [(c & ~low_bits(BITS)) | code for c in (spread(one + np.uint64(11)), spread(one * _B + spread(two + np.uint64(23))))]
 
     def by_letters(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Each letter of each word and the six before it, the word of each, and where each word begins."""
@@ -180,19 +185,22 @@ def unpack(x: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.decompress(x), np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
-def pack_states(states: np.ndarray) -> bytes:
-    """States, bits by keys: those of the first bit, which keys have the same for all bits, and the others' for the other bits."""
-    same = (states == states[0]).all(axis=0)
-    return zstandard.compress(b"".join([np.uint32(states.shape[1]).tobytes(), states[0].tobytes(), np.packbits(same).tobytes(), states[1:, ~same].tobytes()]), 1)
+def pack_states(states: np.ndarray, depth: int) -> bytes:
+    """States by keys: of the first ``depth`` rows that of the first bit, which keys have the same for all bits, and the others' for
+    the other bits; the further rows whole."""
+    bits = states[:depth]
+    same = (bits == bits[0]).all(axis=0)
+    return zstandard.compress(b"".join([np.uint32(states.shape[1]).tobytes(), bits[0].tobytes(), np.packbits(same).tobytes(), states[depth:].tobytes(), bits[1:, ~same].tobytes()]), 1)
 
 
-def unpack_states(x: bytes, depth: int) -> np.ndarray:
+def unpack_states(x: bytes, depth: int, further: int) -> np.ndarray:
     flat = np.frombuffer(zstandard.decompress(x), np.uint8)
     n = int(flat[:4].view("<u4")[0])
-    after = 4 + n + -(-n // 8)
-    same = np.unpackbits(flat[4 + n : after], count=n).astype(bool)
-    out = np.repeat(flat[None, 4 : 4 + n], depth, axis=0)
-    out[1:, ~same] = flat[after:].reshape(depth - 1, -1)
+    whole = 4 + n + -(-n // 8)
+    same = np.unpackbits(flat[4 + n : whole], count=n).astype(bool)
+    out = np.repeat(flat[None, 4 : 4 + n], depth + further, axis=0)
+    out[depth:] = flat[whole : whole + further * n].reshape(further, n)
+    out[1:depth, ~same] = flat[whole + further * n :].reshape(depth - 1, -1)
     return out
 
 
@@ -209,12 +217,13 @@ def list_row(o: int, r: int, i: int, keys: np.ndarray, counts: np.ndarray, asked
     return {"ord": o, "rng": r, "id": i, "keys": pack(np.diff(keys, prepend=np.uint64(0))), "counts": pack(counts.astype("<i8")), "asked": zstandard.compress(np.packbits(asked).tobytes(), 1)}
 
 
-def _listed(ranges: int, bits: int):
-    cuts = np.array([(i * 2**64 // ranges) & ~int(low_bits(bits)) for i in range(ranges)], np.uint64)
+def _listed(ranges: int):
+    # neither a context nor words of one code are in two ranges
+    cuts = np.array([(i * 2**64 // ranges) & ~int(low_bits(min(BITS, CODE))) for i in range(ranges)], np.uint64)
 
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         """Distinct keys of a slice with their training counts, by range; a context's keys are in one range."""
-        own, out = Slice(rows, bits), []
+        own, out = Slice(rows), []
         for o, (keys, counts, asked) in enumerate(own.lists()):
             at = [*np.searchsorted(keys, cuts).tolist(), len(keys)]
             mask = np.isin(keys, asked, assume_unique=True) if len(asked) < len(keys) else np.ones(len(keys), bool)
@@ -245,61 +254,73 @@ def _merged(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
 
 
 # What a predictor knows of a bit, in one byte: counts (seen, of them the way taken) up to SMALL exactly, above
-# that the logit, or that it always went one way. Both ways' bytes mirror each other, so they sum to one.
+# that the logit, or that it always, never, once or but once went this way. Both ways' bytes mirror each other, so they sum to one.
 SMALL = 16
 _SEEN = np.concatenate([np.full(a + 1, a) for a in range(SMALL + 1)])
 _TOOK = np.concatenate([np.arange(a + 1) for a in range(SMALL + 1)])
-_EXACT, _WIDE = len(_SEEN), 100
-_ALWAYS, _NEVER = _EXACT + _WIDE, _EXACT + _WIDE + 1
-
-
-def exact(seen: np.ndarray, took: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """States of counts up to SMALL, and where the others are."""
-    a = np.minimum(seen, SMALL + 1).astype(np.uint16)
-    return (a * (a + np.uint16(1)) // np.uint16(2) + np.minimum(took, a).astype(np.uint16)).astype(np.uint8), np.flatnonzero(seen > SMALL)
+_EXACT, _WIDE = len(_SEEN), 98
+_ALWAYS, _NEVER, _ONCE, _BUT_ONCE = (_EXACT + _WIDE + i for i in range(4))
 
 
 def state(seen: np.ndarray, took: np.ndarray) -> np.ndarray:
-    out, wide = exact(seen, took)
+    a = np.minimum(seen, SMALL + 1).astype(np.uint16)
+    out = (a * (a + np.uint16(1)) // np.uint16(2) + np.minimum(took, a).astype(np.uint16)).astype(np.uint8)
+    wide = np.flatnonzero(seen > SMALL)
     a, b = seen[wide], took[wide]
-    logit = np.floor(np.log((b + PRIOR) / (a - b + PRIOR)) * 5) + 50
-    out[wide] = np.where(b == a, _ALWAYS, np.where(b == 0, _NEVER, _EXACT + np.clip(logit, 0, 99)))
+    logit = np.floor(np.log((b + PRIOR) / (a - b + PRIOR)) * 5) + _WIDE // 2
+    out[wide] = np.select([b == a, b == 0, b == 1, b == a - 1], [_ALWAYS, _NEVER, _ONCE, _BUT_ONCE], _EXACT + np.clip(logit, 0, _WIDE - 1))
     return out
 
 
-def share_state(seen: np.ndarray, took: np.ndarray) -> np.ndarray:
-    """The same for a share of a bucket: above SMALL rounded down, so that shares sum to one at most."""
-    out, wide = exact(seen, took)
-    a, b = seen[wide], took[wide]
-    out[wide] = np.where(b == 0, 255, _EXACT + np.clip(np.ceil(-6 * np.log2(np.maximum(b, 0.5) / a)), 0, 100))
-    return out
+#: Counts of a bucket that a share keeps exactly; steps of an octave beyond.
+SURELY, OCTAVE = 40, 6
+
 
+def share_planes(seen: np.ndarray, took: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A share of a bucket in two bytes: how often it was met, up to 254, and of how many, exactly up to SURELY and then rounded up; from 255
+    on the share itself, rounded down. So shares sum to one at most."""
+    b = np.minimum(took, 255).astype(np.uint8)
+    a = np.where(seen <= SURELY, seen, SURELY + np.ceil(OCTAVE * np.log2(np.maximum(seen, 1) / SURELY)))
+    a = np.where(took >= 255, np.ceil(-OCTAVE * np.log2(np.maximum(took, 1) / np.maximum(seen, 1))), a)
+    return b, np.minimum(a, 255).astype(np.uint8)
 
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Logit, class (for the gate), share and whether any, by state; the second 256 with one occurrence of the way taken left out."""
-    logit, kind, share = np.zeros(512, np.float32), np.zeros(512, np.uint8), np.zeros(512)
-    hits = np.zeros(512, bool)
+
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logit and class (for the gate) by state, and share by its two bytes; the second half with one occurrence of the way taken left out."""
+    logit, kind = np.zeros(512, np.float32), np.zeros(512, np.uint8)
     for own in (0, 1):
         a, b = np.maximum(_SEEN - own, 0), np.maximum(_TOOK - own, 0)
         at = slice(256 * own, 256 * own + _EXACT)
         logit[at] = np.log((b + PRIOR) / (a - b + PRIOR))
         kind[at] = np.where(a == 0, 0, np.where(a == 1, 1, np.where(a < 4, 2, 4) + ((b > 0) & (b < a))))
-        share[at], hits[at] = b / np.maximum(a, 1), b > 0
         wide = 256 * own + _EXACT
-        logit[wide : wide + _WIDE] = (np.arange(_WIDE) - 49.5) / 5
-        logit[wide + _WIDE : wide + _WIDE + 2] = 6, -6
-        kind[wide : wide + _WIDE], kind[wide + _WIDE : wide + _WIDE + 2] = 7, 6
-        share[wide : wide + 101] = 2.0 ** (-np.arange(101) / 6)
-        hits[wide : 256 * own + 255] = True
-    return logit, kind, share, hits
-
-
-_LOGIT, _KIND, _SHARE, _HIT = _tables()
+        logit[wide : wide + _WIDE] = (np.arange(_WIDE) - (_WIDE - 1) / 2) / 5
+        logit[wide + _WIDE : wide + _WIDE + 4] = 6, -6, (-4, -6)[own], 4
+        kind[wide : wide + _WIDE + 4] = 7
+        kind[[wide + _WIDE, wide + _WIDE + 1]] = 6
+    kind[256 + _ONCE] = 6
+    b, code = np.arange(255)[:, None], np.arange(256)[None, :]
+    of = np.where(code <= SURELY, code, SURELY * 2.0 ** ((code - SURELY) / OCTAVE))
+    share = np.zeros((2, 256, 256))
+    share[0, :255] = np.minimum(1, b / np.maximum(of, 1))
+    share[1, :255] = np.minimum(1, np.maximum(b - 1, 0) / np.maximum(of - 1, 1))
+    share[1, :255, SURELY + 1 :] = np.maximum(b - 1, 0) / of[:, SURELY + 1 :]
+    share[0, 255] = 2.0 ** (-code[0] / OCTAVE)
+    share[1, 255] = share[0, 255] * 254 / 255
+    return logit, kind, share.ravel()
+
+
+_LOGIT, _KIND, _SHARE = _tables()
 #: Classes as parts of a gate's number.
 _CLASS = {k: _KIND.astype(np.intp) * k for k in (1, 4, 32)}
 _HALF = np.minimum(_KIND >> 1, 3).astype(np.intp)
 
 
+def shares(own: np.ndarray, met: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Shares by their two bytes; ``own``: whether an occurrence is left out."""
+    return _SHARE.take((own.astype(np.intp) << 16) + (met.astype(np.intp) << 8) + of)
+
+
 def told(keys: np.ndarray, total: np.ndarray, code: int, depth: int, ends: bool) -> np.ndarray:
     """States (bits by keys) of each sorted key's bits, from the stretches of keys that agree so far; with ``ends`` its share of the last stretch."""
     levels = []
@@ -307,28 +328,33 @@ def told(keys: np.ndarray, total: np.ndarray, code: int, depth: int, ends: bool)
         begins = np.flatnonzero(np.diff(keys >> np.uint64(code - j), prepend=keys[:1] >> np.uint64(code - j) ^ np.uint64(1)))
         levels.append(np.repeat(np.add.reduceat(total, begins), np.diff(np.append(begins, len(keys)))))
     out = [state(a, b) for a, b in zip(levels, levels[1:], strict=False)]
-    return np.stack([*out, share_state(levels[-1], total)] if ends else out)
+    return np.stack([*out, *share_planes(levels[-1], total)] if ends else out)
 
 
-def _known(bits: int):
-    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        """All lists of a range of keys: what each slice or group of them is told, in the order of its keys. Words
-        get their counts; a further row (id -1) has words and tokens by bucket."""
-        rows, found, total, which, _ = _joined(rows)
-        o, r = (k.as_py() for k in key)
-        ids = rows.column("id").to_pylist()
-        if o == 0:
-            data = [pack(total[w]) for w in which]
-            bucket = (found >> np.uint64(64 - DEPTH)).astype(np.int64)
-            low = bucket[:1]
-            data.append(np.concatenate([low, np.bincount(bucket - low, total), np.bincount(bucket - low, total > 0)]).astype("<i8").tobytes())
-            ids.append(-1)
-        else:
-            states = told(found, total, 64 - bits, DEPTH, True) if o < 3 else told(found, total, 16, LETTER, False)
-            data = [pack_states(states[:, w]) for w in which]
-        return pa.table({"ord": pa.array([o] * len(ids), pa.int32()), "rng": pa.array([r] * len(ids), pa.int32()), "id": pa.array(ids, pa.int64()), "data": pa.array(data, pa.binary())})
+def sharing(hashes: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """For each of the sorted hashes of words, how many known words have its code."""
+    code = hashes >> np.uint64(64 - CODE)
+    begins = np.flatnonzero(np.diff(code, prepend=code[:1] ^ np.uint64(1)))
+    return np.repeat(np.add.reduceat((total > 0).astype(np.int64), begins), np.diff(np.append(begins, len(code))))
 
-    return run
+
+def _known(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+    """All lists of a range of keys: what each slice or group of them is told, in the order of its keys. Words
+    get their counts and how many known words share their code; a further row (id -1) has words and tokens by bucket."""
+    rows, found, total, which, _ = _joined(rows)
+    o, r = (k.as_py() for k in key)
+    ids = rows.column("id").to_pylist()
+    if o == 0:
+        both = np.stack([total, sharing(found, total)])
+        data = [pack(both[:, w].ravel()) for w in which]
+        bucket = (found >> np.uint64(64 - DEPTH)).astype(np.int64)
+        low = bucket[:1]
+        data.append(np.concatenate([low, np.bincount(bucket - low, total), np.bincount(bucket - low, total > 0)]).astype("<i8").tobytes())
+        ids.append(-1)
+    else:
+        states = told(found, total, 64 - BITS, DEPTH, True) if o < 3 else told(found, total, 16, LETTER, False)
+        data = [pack_states(states[:, w], DEPTH if o < 3 else LETTER) for w in which]
+    return pa.table({"ord": pa.array([o] * len(ids), pa.int32()), "rng": pa.array([r] * len(ids), pa.int32()), "id": pa.array(ids, pa.int64()), "data": pa.array(data, pa.binary())})
 
 
 def _handed(key: tuple[pa.Scalar, ...], rows: pa.Table, parent: pa.Table) -> pa.Table:
@@ -339,21 +365,22 @@ def _handed(key: tuple[pa.Scalar, ...], rows: pa.Table, parent: pa.Table) -> pa.
     which = [(np.cumsum(asked) - 1)[w] for w in which]  # among the keys that the group asked for
     data, o = parent.column("data").to_pylist()[0], key[0].as_py()
     if o == 0:
-        total = unpack(data, "<i8")
-        data = [pack(total[w]) for w in which]
+        both = unpack(data, "<i8").reshape(2, -1)
+        data = [pack(both[:, w].ravel()) for w in which]
     else:
-        states = unpack_states(data, DEPTH + 1 if o < 3 else LETTER)
-        data = [pack_states(states[:, w]) for w in which]
+        depth, further = (DEPTH, 2) if o < 3 else (LETTER, 0)
+        states = unpack_states(data, depth, further)
+        data = [pack_states(states[:, w], depth) for w in which]
     return pa.table({"ord": rows.column("ord"), "rng": rows.column("rng"), "id": rows.column("id"), "data": pa.array(data, pa.binary())})
 
 
-def exchange(lists: DataFrame, width: int, bits: int, fan: int = FAN) -> DataFrame:
+def exchange(lists: DataFrame, width: int, fan: int = FAN) -> DataFrame:
     """(ord, rng, id, data) for each of ``lists``, whose ids are below ``width``; no task gets more than ``fan`` lists."""
     if width <= fan:
-        return lists.groupBy("ord", "rng").applyInArrow(_known(bits), _TOTALS)
+        return lists.groupBy("ord", "rng").applyInArrow(_known, _TOTALS)
     node = F.expr(f"if(id < 0, id, id div {fan})")
     up = materialise(lists.select("ord", "rng", node.alias("id"), "keys", "counts", "asked").groupBy("ord", "rng", "id").applyInArrow(_merged, _LISTS), "merged")
-    above = exchange(up, -(-width // fan), bits, fan).withColumn("node", F.col("id"))
+    above = exchange(up, -(-width // fan), fan).withColumn("node", F.col("id"))
     return lists.withColumn("node", node).groupBy("ord", "rng", "node").cogroup(above.groupBy("ord", "rng", "node")).applyInArrow(_handed, _TOTALS)
 
 
@@ -386,12 +413,10 @@ class Mixer:
         logit += np.float32(1)
         p = np.reciprocal(logit, out=logit)
         if learn:
-            # bits foretold all but surely teach nothing
-            some, n = np.flatnonzero(p < SURE), self.weights.shape[1]
-            wrong, g, y = 1 - p[some], gate[some], [v[some] for v in x]
-            self.heat += np.bincount(g, p[some] * wrong * sum(v * v for v in y), n) / len(x)
-            for i, v in enumerate(y):
-                self.weights[i] += np.bincount(g, wrong * v, n) / self.heat
+            wrong, n = 1 - p, self.weights.shape[1]
+            self.heat += np.bincount(gate, p * wrong * sum(v * v for v in x), n) / len(x)
+            for i, v in enumerate(x):
+                self.weights[i] += np.bincount(gate, wrong * v, n) / self.heat
             # either way a bit might have gone, so that the map of one way mirrors that of the other
             came = np.bincount(gate * STEPS + step, minlength=self.hits.size).reshape(-1, STEPS)
             self.ones += came
@@ -430,12 +455,12 @@ class Told:
         for o, r, d in zip(totals.column("ord").to_pylist(), totals.column("rng").to_pylist(), totals.column("data").to_pylist(), strict=True):
             held.setdefault(o, []).append((r, d))
         bytes_of = lambda o: [d for _, d in sorted(held.get(o, []))]
-        planes = lambda o, k: np.concatenate([np.zeros((k, 0), np.uint8), *(unpack_states(d, k) for d in bytes_of(o))], axis=1)
-        count = np.empty(len(own.words), np.int64)
-        count[np.argsort(own.hash)] = np.concatenate([unpack(d, "<i8") for d in bytes_of(0)])
-        self.count = count[own.word]
-        self.words = [(planes(o, DEPTH + 1), np.unique(keys, return_inverse=True)[1]) for o, keys in zip((1, 2), own.by_words(), strict=True)]
-        self.letters = [planes(3 + i, LETTER) for i in range(len(LETTERS))]
+        planes = lambda o, k, more: np.concatenate([np.zeros((k + more, 0), np.uint8), *(unpack_states(d, k, more) for d in bytes_of(o))], axis=1)
+        both = np.empty((2, len(own.words)), np.int64)
+        both[:, np.argsort(own.hash)] = np.concatenate([unpack(d, "<i8").reshape(2, -1) for d in bytes_of(0)], axis=1)
+        self.count, self.sharers = both[0][own.word], np.maximum(1, both[1])[own.word]
+        self.words = [(planes(o, DEPTH, 2), np.unique(keys, return_inverse=True)[1]) for o, keys in zip((1, 2), own.by_words(), strict=True)]
+        self.letters = [planes(3 + i, LETTER, 0) for i in range(len(LETTERS))]
         h = own.hash[own.word]
         self.node = (h >> np.uint64(64 - DEPTH)).astype(np.int64)
         # how often the text has had the word before
@@ -469,7 +494,7 @@ class Told:
             got, rate = np.zeros(len(owner), np.float32), model.letter.refinement()
             for j in range(LETTER):
                 states = [p[j].astype(np.intp) for p in planes]
-                gate = _CLASS[32].take(states[1]) + _CLASS[4].take(states[0])
+                gate = _CLASS[32].take(states[2]) + _CLASS[4].take(states[1]) + _HALF.take(states[0])
                 got += model.letter.chances([_LOGIT.take(s) for s in states], gate, True, rate)
             out += np.bincount(owner, got, len(words))
             at = upto
@@ -483,7 +508,7 @@ class Told:
         fresh = count <= 0
         shift_all = np.where(left_out, 256, 0)
         two, at_two = self.words[1]
-        run = _bucketed(self.run_of(_HIT.take(two[DEPTH].take(at_two).astype(np.int64) + shift_all)), 1, 3, 16)
+        run = _bucketed(self.run_of(two[DEPTH].take(at_two) > left_out), 1, 3, 16)
         news = np.concatenate([[0], np.cumsum(fresh)])
         new_so_far = (news[:-1] - news[own.first[own.row]]).astype(np.float32)
         spell = np.zeros(len(own.words))
@@ -520,11 +545,10 @@ class Told:
                     root = bottom[0].take((node >> (DEPTH - 1 - j)) + (less + (2 << j)))
                     bits += model.word.chances([root, *(_LOGIT.take(x) for x in states)], gate, learn, refined[0])
                 # among the words of the bucket
-                states = [p[DEPTH].astype(np.int64) + s for p in planes]
                 less = left_out[t[kept]]
-                parts = [np.minimum(1.0, count[t[kept]] / np.maximum(1, bottom[1][node] - less)), *(_SHARE.take(x) for x in states)]
+                parts = [np.minimum(1.0, count[t[kept]] / np.maximum(1, bottom[1][node] - less)), *(shares(less, p[DEPTH], p[DEPTH + 1]) / self.sharers[t[kept]] for p in planes)]
                 # a context that never met the bucket has no say in it
-                there = [np.ones(len(kept)), *(_MET.take(x) for x in states)]
+                there = [np.ones(len(kept)), *((p[DEPTH] == 255) | (p[DEPTH + 1] > less) for p in planes)]
                 w = [model.among[:, i].take(gate) * x for i, x in enumerate(there)]
                 whole = sum(w)
                 within = [wi * pi / whole for wi, pi in zip(w, parts, strict=True)]
@@ -549,10 +573,6 @@ class Told:
         return out
 
 
-#: Whether a context has counts left in the bucket, by the state of its share.
-_MET = np.concatenate([_SEEN > 0, np.ones(256 - _EXACT, bool), _SEEN > 1, np.ones(256 - _EXACT, bool)])
-
-
 def bottoms(buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Logits of the way to each node of the tree of buckets (node 1 is the root), as they are and then with one token of
     that node left out; and tokens by bucket."""
@@ -568,11 +588,11 @@ def bottoms(buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _DOC = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double, followed double"
 
 
-def _scored(bottom, bits: int, n: int, v: int):
+def _scored(bottom, n: int, v: int):
     def run(rows: pa.Table, totals: pa.Table) -> pa.Table:
         """A slice's scores: it learns from its training texts, each token left out of the counts that foretell it, and then
         scores all its texts."""
-        own, model = Slice(rows, bits), Model()
+        own, model = Slice(rows), Model()
         held, taught = Told(own, totals), np.flatnonzero(own.train)
         if len(taught):
             held.chances(model, bottom, own.train, taught, True)
@@ -584,7 +604,7 @@ def _scored(bottom, bits: int, n: int, v: int):
         return pa.table([
             own.rows.column("doc_id"), own.rows.column("held_out"), pa.array(np.bincount(own.row, minlength=own.n)), pa.array(per(held.count > 0).astype(np.int64)), pa.array(np.full(own.n, n)),
             pa.array(per(np.log10(held.count + 0.5) - np.log10(n + 0.5 * (v + 1)))), pa.array(score), pa.array(size), pa.array(-score * np.log2(10) / np.maximum(size, 1), mask=size == 0),
-            pa.array(per(_HIT.take(two[DEPTH].take(at).astype(np.intp) + 256 * own.train)) / np.bincount(own.row, minlength=own.n)),
+            pa.array(per(two[DEPTH].take(at) > own.train) / np.bincount(own.row, minlength=own.n)),
         ], [f.split()[0] for f in _DOC.split(", ")])
 
     return run
@@ -595,28 +615,46 @@ def score_documents(docs: DataFrame, slice_bytes: int = SLICE_BYTES, fan: int =
 
     Learns from rows that aren't held out (crc32 of doc_id as text, mod 5, is not 1; a null doc_id is
     learned from). followed is the share of tokens that follow the same two words in some other place of the training text too.
-    Null text counts as empty: one token, the end. Repeated rows count and are answered each; rows
-    without an id are dealt by their place as well, so that copies of one don't meet in a slice. bits_per_byte
+    Null text counts as empty: one token, the end. Repeated rows count and are answered each; where
+    rows equal in id and text would fill an eighth of a slice, they are dealt to several by their number. Texts of any length are
+    read whole, by one task each; ties do not arise; other columns, whatever their names, are not looked at. bits_per_byte
     is null for texts without bytes. An empty table gives no rows."""
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("held_out", held_out(F.col("doc_id")))
-    size, bare = rows.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1), F.lit(0)), F.count_if(F.col("doc_id").isNull())).first()
-    slices_, bits = max(1, -(-size // slice_bytes)), next((b for b in (32, 40) if size < 1 << (b - 2)), 48)
-    salt = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(0)
-    dealt = rows.withColumn("id", F.pmod(F.xxhash64("doc_id", "text", salt), F.lit(slices_))).mapInArrow(_dealt, "id long, rows binary")
-    if bare:  # their places are read once
-        dealt = materialise(dealt, "dealt")
-    lists = dealt.groupBy("id").applyInArrow(_listed(max(1, -(-size // RANGE_BYTES)), bits), _LISTS)
+    size = rows.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1), F.lit(0))).first()[0]
+    slices_ = max(1, -(-size // slice_bytes))
+    dealt = dealt_rows(rows, slices_, slice_bytes).mapInArrow(_dealt, "id long, rows binary")
+    lists = dealt.groupBy("id").applyInArrow(_listed(max(1, -(-size // RANGE_BYTES))), _LISTS)
     if slices_ > fan:
         lists = materialise(lists, "lists")
-    totals = materialise(exchange(lists, slices_, bits, fan), "totals")
+    totals = materialise(exchange(lists, slices_, fan), "totals")
     if slices_ > fan:
         discard(lists)
     buckets, n, v = np.zeros(1 << DEPTH), 0, 0
     for r in totals.where("id = -1").select("data").mapInArrow(_by_bucket, "bucket long, n long, v long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
         buckets[r["bucket"]], n, v = r["n"], n + r["n"], v + r["v"]
     bottom = bottoms(buckets)
-    return dealt.groupBy("id").cogroup(totals.where("id >= 0").groupBy("id")).applyInArrow(_scored(bottom, bits, n, v), _DOC)
+    return dealt.groupBy("id").cogroup(totals.where("id >= 0").groupBy("id")).applyInArrow(_scored(bottom, n, v), _DOC)
+
+
+def dealt_rows(rows: DataFrame, slices_: int, slice_bytes: int) -> DataFrame:
+    """``rows`` with the slice (id) of each, which follows from what the rows hold alone.
+
+    Rows equal in id and text that together exceed an eighth of a slice are counted (they meet as one row and a number, so
+    they need no task of their own) and written out again in runs of that size, each run to a slice of its own choice."""
+    slot = lambda *more: F.pmod(F.xxhash64("doc_id", "text", *more), F.lit(slices_))
+    part = max(1, slice_bytes // 8)
+    length = F.octet_length(F.coalesce("text", F.lit(""))) + 1
+    key = F.xxhash64("doc_id", "text", F.lit(3))
+    many = rows.select(key.alias("key"), length.alias("length")).groupBy("key").agg(F.count("*").alias("n"), F.max("length").alias("length")).where(F.col("n") * F.col("length") > part).where("n > 1").select("key")
+    if slices_ == 1 or (hot := many.count()) == 0:
+        return rows.withColumn("id", slot())
+    many = F.broadcast(many) if hot <= 100_000 else many
+    marked = rows.withColumn("key", key)
+    few = marked.join(many, "key", "left_anti").select("doc_id", "text", "held_out", slot().alias("id"))
+    counted = marked.join(many, "key", "left_semi").groupBy("doc_id", "text", "held_out").agg(F.count("*").alias("n")).withColumn("each", F.greatest(F.lit(1), F.expr(f"{part} div (octet_length(coalesce(text, '')) + 1)")))
+    runs = counted.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(n - 1) div each"))))
+    runs = runs.withColumn("id", slot("run")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.expr("least(each, n - run * each)"))))
+    return few.unionByName(runs.select("doc_id", "text", "held_out", "id"))
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
