@@ -414,7 +414,8 @@ class Mixer:
         p = np.reciprocal(logit, out=logit)
         if learn:
             wrong, n = 1 - p, self.weights.shape[1]
-            self.heat += np.bincount(gate, p * wrong * sum(v * v for v in x), n) / len(x)
+            # predictors go together, so a step is as short as if all their curvature were one's own
+            self.heat += np.bincount(gate, p * wrong * sum(v * v for v in x), n)
             for i, v in enumerate(x):
                 self.weights[i] += np.bincount(gate, wrong * v, n) / self.heat
             # either way a bit might have gone, so that the map of one way mirrors that of the other
