@@ -21,23 +21,27 @@ Rules:
 - Be concise. Two or three sentences unless the question needs more."""
 
 
-def prompts(queries: DataFrame, ranked: DataFrame, units: DataFrame) -> DataFrame:
+def prompts(queries: DataFrame, ranked: DataFrame, units: DataFrame, system: str = SYSTEM) -> DataFrame:
     """(query_id, n_passages, system, user): the messages of each query, also of those that found nothing."""
     shown = evaluation.context(ranked, units)
     rows = queries.join(shown, "query_id", "left")
     user = F.concat(F.lit("Context passages:\n\n"), F.coalesce("context", F.lit(NOTHING)), F.lit("\n\nQuestion: "), F.coalesce("text", F.lit("")))
-    return rows.select("query_id", F.coalesce("n_passages", F.lit(0)).cast("long").alias("n_passages"), F.lit(SYSTEM).alias("system"), user.alias("user"))
+    return rows.select("query_id", F.coalesce("n_passages", F.lit(0)).cast("long").alias("n_passages"), F.lit(system).alias("system"), user.alias("user"))
 
 
-def answer(units: DataFrame, queries: DataFrame, retriever: str = "hybrid", k: int = 5, reranked: bool = False, gate: dict | None = None, generator: Callable[[Column], Column] = evaluation.echo) -> DataFrame:
+def answer(
+    units: DataFrame, queries: DataFrame, retriever: str = "hybrid", k: int = 5, reranked: bool = False, gate: dict | None = None, generator: Callable[[Column], Column] = evaluation.echo,
+    embedder: retrieval.Embedder = retrieval.vectors_of, scorer: retrieval.Scorer | None = None, refusal: str = REFUSAL,
+) -> DataFrame:
     """(query_id, n_passages, refused, answer): retrieve, gate, and generate from the user message.
 
     ``gate`` holds the arguments of :func:`retrieval.gate`, None turns it off. With a gate, a query without passages
     is refused and the generator's answer isn't used; without one, the generator is told that nothing was found.
-    ``generator`` maps a column of messages to one of answers, a Pandas UDF for instance."""
-    found = retrieval.retrieve(units, queries, retriever, k, reranked)
+    ``generator`` maps a column of messages to one of answers, :func:`lodestone.functions.models.answers` for instance;
+    ``embedder`` and ``scorer`` are those of :func:`retrieval.retrieve`."""
+    found = retrieval.retrieve(units, queries, retriever, k, reranked, embedder, scorer)
     if gate is not None:
         found = retrieval.gate_passages(retrieval.gate(found, **gate))
     rows = prompts(queries, found, units)
     refused = F.lit(gate is not None) & (F.col("n_passages") == 0)
-    return rows.select("query_id", "n_passages", refused.alias("refused"), F.when(refused, REFUSAL).otherwise(generator(F.col("user"))).alias("answer"))
+    return rows.select("query_id", "n_passages", refused.alias("refused"), F.when(refused, refusal).otherwise(generator(F.col("user"))).alias("answer"))

@@ -2,55 +2,51 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
+from itertools import islice
+from operator import or_
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
+from lodestone.operators.selection import nearest, order_statistics
 
+#: Anchors that a scan of documents carries as a literal, and short items that one looks for.
+ANCHORS, SHORT = 20_000, 256
 
-def _found(items: list[tuple[int, str]]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import ahocorasick
 
-        by: dict[str, list[int]] = {}
-        for i, t in items:
-            by.setdefault(t, []).append(i)
-        finder = ahocorasick.Automaton()
-        for t in by:
-            finder.add_word(t, t)
-        finder.make_automaton()
-        for batch in batches:
-            rows = []
-            for d, text in zip(batch.doc_id, batch.text, strict=True):
-                first: dict[str, int] = {}
-                for end, t in finder.iter(text or ""):
-                    first.setdefault(t, end + 1)
-                rows += [(i, d, end - len(t), end) for t, end in first.items() for i in by[t]]
-            yield pd.DataFrame(rows, columns=["item_id", "doc_id", "char_start", "char_end"])
+def _anchor(text: Column) -> Column:
+    """What stands as whole words in every text that holds ``text``: of its inner words (those with white space on both sides) the
+    longest two that follow each other, or the only one; null without any. White space is that of regular expressions."""
+    inner = F.filter(F.slice(F.split(text, r"\s+"), 2, F.greatest(F.size(F.split(text, r"\s+")) - 2, F.lit(0))), lambda w: w != "")
+    pairs = F.zip_with(F.slice(inner, 1, F.greatest(F.size(inner) - 1, F.lit(0))), F.slice(inner, 2, F.greatest(F.size(inner) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+    longest = F.array_max(F.transform(pairs, lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w"))))["w"]
+    return F.when(F.size(inner) >= 2, longest).when(F.size(inner) == 1, inner[0])
 
-    return run
 
-
-def evidence_spans(examples: DataFrame, docs: DataFrame, block_chars: int = 4 << 20) -> DataFrame:
+def evidence_spans(examples: DataFrame, docs: DataFrame) -> DataFrame:
     """(item_id, doc_id, char_start, char_end): first place of each item's text in each document that holds it.
 
-    Items are a stated set, read in blocks of bounded size; a block is one automaton and one pass over the documents."""
-    shape = "item_id long, doc_id long, char_start long, char_end long"
-    out, block, size = None, [], 0
-    pages = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    for i, t in examples.where("text <> ''").select("item_id", "text").toLocalIterator():
-        block.append((i, t))
-        size += len(t)
-        if size >= block_chars:
-            found = pages.mapInPandas(_found(block), shape)
-            out, block, size = found if out is None else out.union(found), [], 0
-    if block or out is None:
-        found = pages.mapInPandas(_found(block), shape) if block else docs.sparkSession.createDataFrame([], shape)
-        out = found if out is None else out.union(found)
-    return out
+    A document is asked only for items one of whose pairs of words it has: the anchors of all items are looked up among its words, and
+    what is met is joined with its items and located. Items are a stated set: their anchors are a literal up to ANCHORS, beyond that a
+    join. Items too short for an anchor are looked for in every document, ``SHORT`` at a time in one pass."""
+    items = examples.where("text <> ''").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("needle"), _anchor(F.col("text")).alias("anchor"))
+    pages = docs.where("text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    pairs = F.zip_with("words", F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+    keys = [r["anchor"] for r in items.select("anchor").where("anchor IS NOT NULL").distinct().limit(ANCHORS + 1).collect()]
+    met = F.concat("words", F.filter(pairs, lambda w: w.isNotNull()))
+    if len(keys) <= ANCHORS:
+        met = F.filter(met, lambda w: w.isin(keys)) if keys else F.array().cast("array<string>")
+    asked = pages.withColumn("words", words).select("doc_id", "text", F.explode(F.array_distinct(met)).alias("anchor"))
+    found = asked.join(items, "anchor").select("item_id", "doc_id", F.expr("locate(needle, text)").alias("at"), F.char_length("needle").alias("n"))
+    short = items.where("anchor IS NULL").select("item_id", "needle").toLocalIterator()
+    while block := list(islice(short, SHORT)):
+        each = F.explode(F.array(*[F.struct(F.lit(r["item_id"]).alias("item_id"), F.lit(r["needle"]).alias("needle")) for r in block])).alias("item")
+        some = pages.where(reduce(or_, [F.contains("text", F.lit(r["needle"])) for r in block])).select("doc_id", "text", each)
+        found = found.unionByName(some.select("item.item_id", "doc_id", F.expr("locate(item.needle, text)").alias("at"), F.char_length("item.needle").alias("n")))
+    return found.where("at > 0").select("item_id", "doc_id", (F.col("at") - 1).cast("long").alias("char_start"), (F.col("at") - 1 + F.col("n")).cast("long").alias("char_end"))
 
 
 def resolve_evidence(examples: DataFrame, docs: DataFrame) -> DataFrame:
@@ -83,11 +79,16 @@ def require_resolved(spans: DataFrame, shown: int = 20) -> DataFrame:
     return spans
 
 
-def overlap_labels(spans: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(item_id, chunk_id): chunks of the span's document whose half-open range meets it."""
-    s, c = spans.alias("s"), chunks.alias("c")
-    on = (F.col("s.doc_id") == F.col("c.doc_id")) & (F.col("s.char_start") < F.col("c.char_end")) & (F.col("s.char_end") > F.col("c.char_start"))
-    return s.join(c, on).select("s.item_id", "c.chunk_id").distinct()
+def overlap_labels(spans: DataFrame, chunks: DataFrame, width: int = 4096) -> DataFrame:
+    """(item_id, chunk_id): chunks of the span's document whose half-open range meets it.
+
+    Ranges are joined by document and stretch of ``width`` characters, so a document with very many chunks is many tasks' work; a pair is
+    taken in the stretch where the later of its two ranges begins, once."""
+    stretches = lambda a, b: F.sequence(F.expr(f"{a} div {width}"), F.expr(f"greatest({a}, {b} - 1) div {width}"))
+    s = spans.select("item_id", "doc_id", F.col("char_start").cast("long").alias("a"), F.col("char_end").cast("long").alias("b")).withColumn("at", F.explode(stretches("a", "b")))
+    c = chunks.select("chunk_id", "doc_id", F.col("char_start").cast("long").alias("c"), F.col("char_end").cast("long").alias("d")).withColumn("at", F.explode(stretches("c", "d")))
+    both = s.join(c, ["doc_id", "at"]).where(F.expr(f"a < d AND b > c AND at = greatest(a, c) div {width}"))
+    return both.select("item_id", "chunk_id").distinct()
 
 
 def ranking_metrics(ranked: DataFrame, labels: DataFrame, queries: DataFrame, k: int = 5, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -187,21 +188,16 @@ def threshold(scores: DataFrame) -> DataFrame:
 
 def distribution(scores: DataFrame, by: str, value: str) -> DataFrame:
     """(by, n, low, p10, middle, p90, high) by places in the sorted list: n // 10 - 1 (at least 0), n // 2 and
-    9 n // 10 (at most n - 1), counted from 0. Equal values are counted first, so a window holds distinct values
-    alone: scores of six digits have a million at most. Rows without a value are left out."""
-    w = Window.partitionBy(by)
-    counts = scores.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("c"))
-    rows = counts.withColumn("upto", F.sum("c").over(w.orderBy(value))).withColumn("n", F.sum("c").over(w))
-    tenth = F.expr("n div 10")
-    at = lambda i: F.min(F.when(F.col("upto") > i, F.col(value)))
-    return rows.groupBy(by).agg(
-        F.max("n").alias("n"),
-        F.min(value).alias("low"),
-        at(F.greatest(F.lit(0), tenth - 1)).alias("p10"),
-        at(F.expr("n div 2")).alias("middle"),
-        at(F.least(F.col("n") - 1, F.expr("9 * n div 10"))).alias("p90"),
-        F.max(value).alias("high"),
-    )
+    9 n // 10 (at most n - 1), counted from 0. Rows without a value are left out. No group is brought into one task."""
+    n = lambda form: lambda c: F.expr(form)
+    places = {"p10": n("greatest(0, n div 10 - 1)"), "middle": n("n div 2"), "p90": n("least(n - 1, 9 * n div 10)")}
+    return order_statistics(scores, [by], value, places).select(by, "n", "low", "p10", "middle", "p90", "high")
+
+
+def latency_stats(samples: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, n, mean, p50, p95, p99, low, high): nearest-rank percentiles of each group, by :func:`order_statistics`."""
+    got = order_statistics(samples, [by], value, {f"p{p}": nearest(p) for p in (50, 95, 99)}, mean=F.round(F.avg(value), 6))
+    return got.select(by, "n", "mean", "p50", "p95", "p99", "low", "high")
 
 
 def overlapping(scores: DataFrame) -> DataFrame:

@@ -2,14 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions import text as tx
 from lodestone.operators import evaluation as ev
 
 VERDICT = ("correctness", "faithfulness", "explanation")
 
 
+def judge(rows: DataFrame, model: Callable[[Column], Column], ask: Callable[[Column, Column, Column], Column] | None = None) -> DataFrame:
+    """``rows`` (expected, generated, context, others) with key, measured, correctness, faithfulness and explanation.
+
+    Triples that are the same are judged once, whatever the rows that hold them. ``ask`` makes the message of a triple's columns, and
+    ``model`` answers it (:func:`lodestone.functions.models.answers`); its JSON is read by :func:`lodestone.functions.text.json_verdict`. A null
+    answer, or one without a verdict, leaves the row pending, with the reason in its explanation."""
+    parts = ("expected", "generated", "context")
+    text = {c: F.coalesce(F.col(c), F.lit("")) for c in parts}
+    keyed = rows.withColumn("key", tx.triple_key(*text.values()))
+    asked = ask or (lambda e, g, c: F.concat(F.lit("Expected answer:\n"), e, F.lit("\n\nGiven answer:\n"), g, F.lit("\n\nPassages:\n"), c))
+    one = keyed.groupBy("key").agg(*[F.min(text[c]).alias(c) for c in parts])
+    said = one.select("key", model(asked(*[F.col(c) for c in parts])).alias("said"))
+    told = said.select("key", tx.json_verdict(F.col("said")).alias("v"), F.col("said").isNull().alias("silent"))
+    why = F.when(F.col("silent"), "judge error: no answer").when(F.col("v").isNull(), "judge error: no verdict").otherwise(F.col("v.explanation"))
+    verdicts = told.select("key", F.col("v").isNotNull().alias("measured"), F.col("v.correctness").alias("correctness"), F.col("v.faithfulness").alias("faithfulness"), why.alias("explanation"))
+    return keyed.join(verdicts, "key")
+
+
 def write_back(evaluations: DataFrame, verdicts: DataFrame, key: str = "key") -> DataFrame:
     """``evaluations`` (key, measured, correctness, faithfulness, explanation, ...) with the verdicts that were pending.
 

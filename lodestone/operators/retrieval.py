@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
-from lodestone.functions import vectors as vx
-from lodestone.sources.staging import staged
+from lodestone.sources.staging import settled, staged
 
 K1, B, RRF_K = 1.5, 0.75, 60
 DIGITS = 6
 #: Floats of query vectors that one pass over the vectors carries.
 QUERY_FLOATS = 1 << 22
+#: Terms of queries that a scan of units carries as a literal.
+VOCABULARY = 20_000
 
 
 def top(rows: DataFrame, k: int, *order: Column) -> DataFrame:
@@ -39,22 +41,35 @@ def term_stats(units: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(n)).select("term", "df", F.round(idf(F.col("n"), F.col("df")), DIGITS).alias("idf"))
 
 
-def lexical_index(units: DataFrame) -> DataFrame:
-    """(unit_id, len, tokens) of each unit, a written table: :func:`bm25` and :func:`rerank` read it as often as they need."""
-    return staged(units.select("unit_id", tx.tokens(F.col("text")).alias("tokens")).withColumn("len", F.size("tokens")), "tokens")
+def lexical_index(units: DataFrame, queries: DataFrame) -> DataFrame:
+    """(unit_id, len, hits) of each unit, a written table: its length in terms, and the occurrences of terms that some query has.
+
+    One scan of the units, and as large as the queries' terms are frequent: their vocabulary is a literal up to ``VOCABULARY``
+    terms; with more, all terms of the units are kept. :func:`bm25` and :func:`rerank` read it as often as they need."""
+    terms = [r["term"] for r in query_terms(queries).select("term").distinct().limit(VOCABULARY + 1).collect()]
+    hits = F.col("tokens")
+    if len(terms) <= VOCABULARY:  # terms are letters and digits
+        hits = F.expr("filter(tokens, t -> t IN (" + ", ".join(f"'{t}'" for t in sorted(terms)) + "))") if terms else F.array().cast("array<string>")
+    cut = units.select("unit_id", tx.tokens(F.col("text")).alias("tokens"))
+    return staged(cut.select("unit_id", F.size("tokens").alias("len"), hits.alias("hits")), "hits")
 
 
 def bm25(units: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """BM25 top-k of units (or of a :func:`lexical_index` of them). Only postings of terms that some query has are
-    grouped and joined; a term that a query repeats counts each time. Units of equal score come by id."""
+    """BM25 top-k of units (or of a :func:`lexical_index` of them); a term that a query repeats counts each time. Units of equal score come by id."""
+    if "hits" not in units.columns:
+        index = lexical_index(units, queries)
+        return settled(bm25(index, queries, k), "ranked", index)
     terms = query_terms(queries)
-    cut = units if "tokens" in units.columns else lexical_index(units)
     # per-corpus totals: one row
-    totals = cut.agg(F.count("*").alias("n"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("avg"))
-    wanted = terms.select("term").distinct()
-    hits = cut.select("unit_id", "len", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
+    totals = units.agg(F.count("*").alias("n"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("avg"))
+    hits = units.select("unit_id", "len", F.explode("hits").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
     postings = hits.groupBy("unit_id", "len", "term").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(totals))
+    return score_postings(postings, postings.groupBy("term").agg(F.count("*").alias("df")), totals, terms, k)
+
+
+def score_postings(postings: DataFrame, df: DataFrame, totals: DataFrame, terms: DataFrame, k: int) -> DataFrame:
+    """BM25 top-k from postings (unit_id, len, term, tf), df (term, df), totals (n, avg; one row) and the queries' terms (query_id, term, qtf)."""
+    df = df.crossJoin(F.broadcast(totals))
     # a posting's weight doesn't depend on the query: it is worked out once, before queries multiply the rows
     part = idf(F.col("n"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg")))
     weighted = postings.join(df, "term").select("unit_id", "term", part.alias("w"))
@@ -62,24 +77,32 @@ def bm25(units: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     return top(scored.where("score > 0"), k, F.desc("score"), F.col("unit_id"))
 
 
-def hash_vector(text: Column, dim: int = 64) -> Column:
-    """Hash embedding of a text: how many of its words fall in each of ``dim`` buckets of md5, at length one; all zero without words.
+def array_of(x: np.ndarray) -> pa.Array:
+    """Rows of a matrix as an array column."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
 
-    It depends on its row alone, so it is worked out there: the buckets of the words are sorted together with a mark for
-    each bucket, and what stands between two marks is counted. What is used more than once is bound by an array of one."""
-    if dim & (dim - 1) or dim > 1 << 28:
-        raise ValueError("the dimension is a power of two: buckets are the last bits of the digest")
-    bind = lambda value, use: F.transform(F.array(value), use)[0]
-    bucket = lambda w: (F.conv(F.right(F.md5(w), F.lit(7)), 16, 10).cast("long") % F.lit(dim)).cast("int")
-    marked = F.array_sort(F.concat(F.transform(tx.words(text), bucket), F.sequence(F.lit(0), F.lit(dim))))
-    counts = bind(marked, lambda m: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (F.array_position(m, i + 1) - F.array_position(m, i) - 1).cast("double")))
-    return bind(counts, lambda c: bind(vx.norm(c), lambda n: F.when(n > 0, F.transform(c, lambda x: x / n)).otherwise(c)))
+
+def _counted(dim: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                part = part.filter(pc.fill_null(pc.greater(pc.list_value_length(part.column(1)), 0), False))
+                row, bucket = pc.list_parent_indices(part.column(1)).to_numpy(), pc.list_flatten(part.column(1)).to_numpy()
+                counts = np.bincount(row * dim + bucket, minlength=part.num_rows * dim).reshape(-1, dim).astype(np.float64)
+                yield pa.RecordBatch.from_arrays([part.column(0), array_of(counts / np.sqrt((counts * counts).sum(axis=1, keepdims=True)))], [part.schema.names[0], "vector"])
+
+    return run
 
 
 def vectors_of(rows: DataFrame, key: str, dim: int = 64) -> DataFrame:
-    """(key, vector) of rows with a word."""
-    found = rows.select(key, hash_vector(F.col("text"), dim).alias("vector"))
-    return found.where(F.exists("vector", lambda x: x > 0))
+    """(key, vector) of rows with a word: how many of its words fall in each of ``dim`` buckets of md5, at length one.
+
+    Words and their buckets are worked out in the JVM, once a row; numbers alone go to Python, which counts a batch at once."""
+    if dim & (dim - 1) or dim > 1 << 28:
+        raise ValueError("the dimension is a power of two: buckets are the last bits of the digest")
+    bucket = F.transform(tx.words(F.col("text")), lambda w: (F.conv(F.right(F.md5(w), F.lit(7)), 16, 10).cast("long") % F.lit(dim)).cast("int"))
+    return rows.select(key, bucket.alias("buckets")).mapInArrow(_counted(dim), f"{key} {dict(rows.dtypes)[key]}, vector array<double>")
 
 
 def hash_vectors(rows: DataFrame, key: str, dim: int = 64) -> DataFrame:
@@ -88,9 +111,15 @@ def hash_vectors(rows: DataFrame, key: str, dim: int = 64) -> DataFrame:
     return cells.where("weight > 0").select(key, F.col("bucket").cast("long").alias("bucket"), "weight")
 
 
-def sparse_top(units: DataFrame, queries: DataFrame, k: int = 5, dim: int = 64) -> DataFrame:
-    """Cosine top-k of hash embeddings, worked out row by row, by :func:`dense_top`."""
-    return dense_top(vectors_of(units, "unit_id", dim), vectors_of(queries, "query_id", dim), k)
+#: From (key, text) rows and the key's name to (key, vector); rows without a vector are left out.
+Embedder = Callable[[DataFrame, str], DataFrame]
+#: From columns of a question's and a unit's text to a column of scores, higher is better.
+Scorer = Callable[[Column, Column], Column]
+
+
+def sparse_top(units: DataFrame, queries: DataFrame, k: int = 5, embedder: Embedder = vectors_of) -> DataFrame:
+    """Cosine top-k of what ``embedder`` makes of texts (by default hash embeddings, worked out row by row), by :func:`dense_top`."""
+    return dense_top(embedder(units.select("unit_id", "text"), "unit_id"), embedder(queries.select("query_id", "text"), "query_id"), k)
 
 
 def _unit_rows(x: np.ndarray) -> np.ndarray:
@@ -108,16 +137,18 @@ def _nearest(ids: list[int], queries: np.ndarray, k: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                unit = np.asarray(part.column("unit_id").to_pylist())
+                part = part.take(pc.sort_indices(part.column("unit_id")))  # ties by id, as in the final ranking
                 sims = np.round(queries @ _unit_rows(_matrix(part.column("vector"))).T, DIGITS) + 0.0
                 q, u = [], []
                 for i, row in enumerate(sims):
-                    best = np.lexsort((unit, -row))[:k]  # ties by id, as in the final ranking
-                    q.append(np.full(len(best), ids[i]))
+                    some = np.arange(len(row))
+                    if len(row) > 4 * k:
+                        some = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k])
+                    best = some[np.argsort(-row[some], kind="stable")[:k]]
+                    q.append(np.full(len(best), i))
                     u.append(best)
                 q, u = np.concatenate(q), np.concatenate(u)
-                pos = np.repeat(np.arange(len(ids)), [len(x) for x in np.split(u, np.flatnonzero(np.diff(q)) + 1)]) if len(q) else q
-                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(unit[u]), pa.array(sims[pos, u])], ["query_id", "unit_id", "sim"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.asarray(ids)[q]), part.column("unit_id").take(pa.array(u)), pa.array(sims[q, u])], ["query_id", "unit_id", "sim"])
 
     return run
 
@@ -152,55 +183,70 @@ def fuse(vector: DataFrame, lexical: DataFrame, k: int = 5) -> DataFrame:
     return top(fused, k, F.desc("fused"), F.col("unit_id"))
 
 
-def rerank(ranked: DataFrame, units: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """Offline reranker: share of the query's distinct terms that the unit has; ties keep the earlier rank."""
-    q = queries.select("query_id", F.array_distinct(tx.tokens(F.col("text"))).alias("qt"))
-    wanted = units.join(ranked.select("unit_id").distinct(), "unit_id", "left_semi")  # tokens of ranked units alone
-    u = wanted.select("unit_id", F.array_distinct(F.col("tokens") if "tokens" in units.columns else tx.tokens(F.col("text"))).alias("ut"))
-    rows = ranked.withColumnRenamed("rank", "before").join(q, "query_id").join(u, "unit_id")
-    score = F.coalesce(F.try_divide(F.size(F.array_intersect("qt", "ut")).cast("double"), F.size("qt")), F.lit(0.0))
-    return top(rows.select("query_id", "unit_id", "before", F.round(score, DIGITS).alias("rerank_score")), k, F.desc("rerank_score"), F.col("before"))
+def rerank(ranked: DataFrame, units: DataFrame, queries: DataFrame, k: int = 5, scorer: Scorer | None = None) -> DataFrame:
+    """(query_id, unit_id, before, rerank_score, rank): ``ranked`` ordered anew, ties by the earlier rank.
+
+    Without a ``scorer`` the score is the share of the query's distinct terms that the unit has; ``units`` may then be a
+    :func:`lexical_index` for these queries. A scorer sees the texts of each pair that was ranked; a null score comes last."""
+    wanted = units.join(ranked.select("unit_id").distinct(), "unit_id", "left_semi")  # ranked units alone
+    rows = ranked.withColumnRenamed("rank", "before")
+    if scorer:
+        rows = rows.join(queries.select("query_id", F.coalesce("text", F.lit("")).alias("asked_")), "query_id").join(wanted.select("unit_id", F.coalesce("text", F.lit("")).alias("shown_")), "unit_id")
+        score = scorer(F.col("asked_"), F.col("shown_"))
+    else:
+        rows = rows.join(queries.select("query_id", F.array_distinct(tx.tokens(F.col("text"))).alias("qt")), "query_id")
+        rows = rows.join(wanted.select("unit_id", F.array_distinct(F.col("hits") if "hits" in units.columns else tx.tokens(F.col("text"))).alias("ut")), "unit_id")
+        score = F.coalesce(F.try_divide(F.size(F.array_intersect("qt", "ut")).cast("double"), F.size("qt")), F.lit(0.0))
+    return top(rows.select("query_id", "unit_id", "before", F.round(score, DIGITS).alias("rerank_score")), k, F.desc_nulls_last("rerank_score"), F.col("before"))
 
 
 def gate(ranked: DataFrame, min_score: float = 0.60, min_top: float = 0.66, keep_at_least: int = 0, enabled: bool = True) -> DataFrame:
-    """``ranked`` (query_id, unit_id, rank, semantic_score) with best, abstain, passed and keep.
+    """``ranked`` (query_id, unit_id, rank, semantic_score) with best, abstain, below, keep, passed and place.
 
-    Without any similarity the gate abstains and passes all; below ``min_top`` it drops the whole query;
-    else it drops units below ``min_score`` (a null similarity counts as 0)."""
+    Without any similarity, or not ``enabled``, the gate abstains and passes all; with the best below ``min_top`` (``below``) it drops
+    the whole query; else it drops units below ``min_score`` (a null similarity counts as 0), and where fewer than
+    ``keep_at_least`` are left, keeps that many by similarity instead. ``passed``: something of the query is left.
+    ``place`` orders what is kept: by rank, or by similarity where units were filled up."""
     w = Window.partitionBy("query_id")
+    sim = F.coalesce("semantic_score", F.lit(0.0))
     rows = ranked.withColumn("best", F.max("semantic_score").over(w))
     abstain = F.col("best").isNull() if enabled else F.lit(True)
-    over = F.coalesce("semantic_score", F.lit(0.0)) >= min_score
-    rows = rows.withColumn("over", over).withColumn("n_over", F.count_if(F.col("over")).over(w))
-    rows = rows.withColumn("by_sim", F.row_number().over(w.orderBy(F.desc(F.coalesce("semantic_score", F.lit(0.0))), "rank")))
-    passed = abstain | (F.col("best") >= min_top)
-    few = (F.col("n_over") < keep_at_least) & (F.col("by_sim") <= keep_at_least)
-    keep = abstain | (passed & F.when(F.col("n_over") < keep_at_least, few).otherwise(F.col("over")))
-    return rows.withColumn("abstain", abstain).withColumn("passed", passed).withColumn("keep", keep).drop("over")
+    rows = rows.withColumn("over_", sim >= min_score).withColumn("n_over_", F.count_if("over_").over(w))
+    rows = rows.withColumn("by_sim_", F.row_number().over(w.orderBy(F.desc(sim), "rank")))
+    below, few = ~abstain & (F.col("best") < min_top), F.col("n_over_") < keep_at_least
+    rows = rows.withColumns({"abstain": abstain, "below": below, "keep": abstain | (~below & F.when(few, F.col("by_sim_") <= keep_at_least).otherwise(F.col("over_")))})
+    place = F.when(~F.col("abstain") & few, F.col("by_sim_")).otherwise(F.col("rank"))
+    return rows.withColumn("passed", F.max("keep").over(w)).withColumn("place", place).drop("over_", "n_over_", "by_sim_")
 
 
-def gate_report(gated: DataFrame, min_score: float = 0.60, min_top: float = 0.66) -> DataFrame:
-    """(query_id, kept, dropped, best, threshold, passed); a query that fails reports the query threshold."""
-    rows = gated.groupBy("query_id").agg(F.count_if("keep").alias("kept"), F.count_if(~F.col("keep")).alias("dropped"), F.max("best").alias("best"), F.bool_and("passed").alias("passed"))
-    return rows.select("query_id", "kept", "dropped", F.round("best", 4).alias("best"), F.when(F.col("passed"), min_score).otherwise(min_top).alias("threshold"), "passed")
+def gate_report(gated: DataFrame, min_score: float = 0.60, min_top: float = 0.66, queries: DataFrame | None = None) -> DataFrame:
+    """(query_id, kept, dropped, best, threshold, passed); a query whose best is below ``min_top`` reports that, all others ``min_score``.
+    With ``queries`` (query_id), those without results have a row as well: nothing kept, none passed."""
+    rows = gated.groupBy("query_id").agg(F.count_if("keep").alias("kept"), F.count_if(~F.col("keep")).alias("dropped"), F.max("best").alias("best"), F.bool_or("below").alias("below"))
+    if queries is not None:
+        rows = queries.select("query_id").distinct().join(rows, "query_id", "left").na.fill(0, ["kept", "dropped"])
+    threshold = F.when(F.coalesce("below", F.lit(False)), min_top).otherwise(min_score)
+    return rows.select("query_id", "kept", "dropped", F.round("best", 4).alias("best"), threshold.alias("threshold"), (F.col("kept") > 0).alias("passed"))
 
 
 def gate_passages(gated: DataFrame) -> DataFrame:
     """Units that stay, ranks from 1 without gaps."""
-    return top(gated.where("keep").withColumnRenamed("rank", "before"), 2**31 - 1, F.col("before")).select("query_id", "unit_id", "rank")
+    return top(gated.where("keep").withColumnRenamed("rank", "before"), 2**31 - 1, F.col("place"), F.col("before")).select("query_id", "unit_id", "rank")
 
 
-RETRIEVERS = {"bm25": bm25, "vector": sparse_top}
+RETRIEVERS = ("bm25", "vector", "hybrid")
 
 
-def retrieve(units: DataFrame, queries: DataFrame, retriever: str = "hybrid", k: int = 5, reranked: bool = False) -> DataFrame:
-    """(query_id, unit_id, rank, semantic_score) by name; a reranker gets 20 candidates, hybrid three times as many of each list."""
+def retrieve(units: DataFrame, queries: DataFrame, retriever: str = "hybrid", k: int = 5, reranked: bool = False, embedder: Embedder = vectors_of, scorer: Scorer | None = None) -> DataFrame:
+    """(query_id, unit_id, rank, semantic_score) by name; a reranker (``reranked``, or a ``scorer``) gets 20 candidates, hybrid three times as many of each list."""
+    reranked = reranked or scorer is not None
     fetch = 20 if reranked else k
-    if retriever not in (*RETRIEVERS, "hybrid"):
+    if retriever not in RETRIEVERS:
         raise ValueError(f"unknown retriever {retriever!r}")
     if retriever == "hybrid":
-        found = fuse(sparse_top(units, queries, 3 * fetch), bm25(units, queries, 3 * fetch), fetch)
+        found = fuse(sparse_top(units, queries, 3 * fetch, embedder), bm25(units, queries, 3 * fetch), fetch)
     else:
-        found = RETRIEVERS[retriever](units, queries, fetch).withColumn("semantic_score", F.lit(None).cast("double"))
+        found = bm25(units, queries, fetch) if retriever == "bm25" else sparse_top(units, queries, fetch, embedder)
+        found = found.withColumn("semantic_score", F.lit(None).cast("double"))
     found = found.select("query_id", "unit_id", "rank", "semantic_score")
-    return rerank(found, units, queries, k).select("query_id", "unit_id", "rank", F.lit(None).cast("double").alias("semantic_score")) if reranked else found
+    return rerank(found, units, queries, k, scorer).select("query_id", "unit_id", "rank", F.lit(None).cast("double").alias("semantic_score")) if reranked else found

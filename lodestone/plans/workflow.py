@@ -6,19 +6,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
-from lodestone.operators import answering, chunking, evaluation, judging, retrieval
+from lodestone.operators import ann, answering, chunking, evaluation, judging, retrieval
+from lodestone.operators.collection import Collection
 from lodestone.plans import catalogue as cat
 from lodestone.plans.catalogue import K, named, questions, read, units
 from lodestone.sources import corpus
-from lodestone.sources.staging import scratch, staged
+from lodestone.sources.keyed_cache import KeyedCache
+from lodestone.sources.staging import scratch, settled, staged
+from lodestone.streaming import stateful
 
 FETCH = 20
 RETRIEVERS = ("vector", "bm25", "hybrid")
 
 
 def ranked_lists(chunks: DataFrame, asked: DataFrame) -> DataFrame:
-    """(retriever, fetch, query_id, unit_id, rank): each retriever's k and candidate lists, from one search of each kind."""
-    index = retrieval.lexical_index(chunks)
+    """(retriever, fetch, query_id, unit_id, rank): each retriever's k and candidate lists, from one search of each kind; a written table."""
+    index = retrieval.lexical_index(chunks, asked)
     lists = {
         "vector": staged(retrieval.sparse_top(chunks, asked, 3 * FETCH), "vector"),
         "bm25": staged(retrieval.bm25(index, asked, 3 * FETCH), "bm25"),
@@ -31,18 +34,20 @@ def ranked_lists(chunks: DataFrame, asked: DataFrame) -> DataFrame:
         for name in RETRIEVERS:
             rows = found[name].select(F.lit(name).alias("retriever"), F.lit(fetch).alias("fetch"), "query_id", "unit_id", "rank")
             out = rows if out is None else out.unionByName(rows)
-    return out
+    return settled(out, "lists", index, *lists.values())
 
 
 def sweep_metrics(s, d, chunkers) -> DataFrame:
-    """(slug, query_id, metrics) of chunkers x retrievers x with and without reranker, gate off. A chunk is relevant
+    """(slug, query_id, metrics) of chunkers x retrievers x with and without reranker, gate off; a written table. A chunk is relevant
     where it meets the question's evidence."""
     asked, spans = questions(s, d), staged(cat.evidence_spans(s, d), "spans")
     grid = corpus.grid(s, list(chunkers), list(RETRIEVERS), [None, "lexical"])
     ranked = labels = None
+    spent = [spans]
     for name in chunkers:
         chunks = staged(chunking.chunk(read(s, d, "documents"), name), f"chunks-{name}")
-        found = staged(ranked_lists(chunks.select(F.col("chunk_id").alias("unit_id"), F.col("content").alias("text")), asked), "lists")
+        found = ranked_lists(chunks.select(F.col("chunk_id").alias("unit_id"), F.col("content").alias("text")), asked)
+        spent += [chunks, found]
         shown = found.where(F.col("fetch") == K).select("retriever", F.lit("norerank").alias("reranker"), "query_id", "unit_id", "rank")
         # the reranker sees all retrievers' candidates at once, keyed by retriever and question
         wide = found.where(F.col("fetch") == FETCH).withColumn("query_id", F.struct("retriever", "query_id"))
@@ -56,7 +61,7 @@ def sweep_metrics(s, d, chunkers) -> DataFrame:
     slug = F.concat_ws("__", "chunker", "retriever", "reranker")
     some = F.broadcast(grid.select("chunker", "slug"))  # at most 18 rows
     every = grid.select("slug").crossJoin(asked.select("query_id"))  # one row for each configuration and question
-    return evaluation.ranking_metrics(ranked.withColumn("slug", slug), labels.join(some, "chunker"), every, K, extra=("slug",))
+    return settled(evaluation.ranking_metrics(ranked.withColumn("slug", slug), labels.join(some, "chunker"), every, K, extra=("slug",)), "metrics", *spent)
 
 
 def sweep(chunkers):
@@ -167,11 +172,92 @@ def rolling_latency(s, d):
     return rows.select("event_id", F.round("mean", 6).alias("mean_last_1000"))
 
 
+def sweep_slices(s, d):
+    """Means over the sweep of fixed chunks by retriever, by reranker, by both, and over all, in one aggregation."""
+    rows = sweep_metrics(s, d, ("fixed",))
+    part = lambda i: F.split("slug", "__")[i]
+    rows = rows.withColumns({"chunker": part(0), "retriever": part(1), "reranker": part(2)})
+    sets = [["chunker"], ["retriever"], ["reranker"], ["retriever", "reranker"], []]
+    got = rows.groupingSets([[F.col(c) for c in own] for own in sets], "chunker", "retriever", "reranker")
+    return got.agg(F.grouping_id().cast("long").alias("level"), F.count("*").alias("n"), *[F.round(F.avg(c), 6).alias(c) for c in ("precision", "recall", "rr", "ndcg", "hit")])
+
+
+def list_index(s, d):
+    rows = read(s, d, "embeddings").select(F.col("vec_id").alias("unit_id"), F.col("embedding").alias("vector"))
+    return ann.build(rows), rows.where(F.col("unit_id") % 20 == 0).withColumnRenamed("unit_id", "query_id")
+
+
+def ivf_topk(s, d):
+    """Approximate neighbours: as many lists probed as the index was measured to need."""
+    index, asked = list_index(s, d)
+    return settled(ann.search(index, asked, 10, ann.calibrate(index, 10)).withColumnsRenamed({"query_id": "q_id", "unit_id": "vec_id"}), "near", index.rows)
+
+
+def ivf_all_lists(s, d):
+    """With all lists probed the search is exact: every row is in the index, once."""
+    index, asked = list_index(s, d)
+    return settled(ann.search(index, asked, 10, len(index.means)).withColumnsRenamed({"query_id": "q_id", "unit_id": "vec_id"}), "near", index.rows)
+
+
+def ivf_recall(s, d):
+    """How much of the exact lists of :func:`vector_topk` the approximate search finds."""
+    back = {"q_id": "query_id", "vec_id": "unit_id"}
+    return ann.recall(ivf_topk(s, d).withColumnsRenamed(back), cat.vector_topk(s, d).withColumnsRenamed(back))
+
+
+def ingested(s, d) -> Collection:
+    """Documents ingested in three batches: a third of them with their text cut off, then all, then the first batch once more, which is done already."""
+    made = Collection(s, scratch(s, "collection"))
+    docs = read(s, d, "documents").select("doc_id", "text")
+    first = docs.where(F.col("doc_id") % 3 == 0).withColumn("text", F.substring("text", 1, 1000))
+    for n, rows in enumerate((first, docs)):
+        made.ingest(rows, n)
+    made.ingest(first, 0)
+    return made
+
+
+def ingested_bm25(s, d):
+    return ingested(s, d).bm25(questions(s, d), K).withColumnsRenamed({"query_id": "item_id", "unit_id": "chunk_id"})
+
+
+def ingested_terms(s, d):
+    """How many chunks have each term, from the counters that ingest keeps."""
+    made = ingested(s, d)
+    made.compact()
+    return made.ledger.read("counters").select("term", "df")
+
+
+def cache_probe_bucketed(s, d):
+    """Hits of documents' texts in a bucketed cache of the labelled ones."""
+    docs = read(s, d, "documents")
+    cached = docs.join(read(s, d, "labels").select("doc_id"), "doc_id", "left_semi")
+    cache = KeyedCache(s)
+    cache.put_many(retrieval.vectors_of(cached.select(tx.cache_key("hash-64", F.col("text")).alias("key"), "text"), "key"), 1)
+    out = staged(corpus.cache_stats(cache.probe(docs.select(tx.cache_key("hash-64", F.col("text")).alias("key")))), "stats")
+    cache.drop()
+    return out
+
+
+def stream_latest_samples(s, d):
+    """The newest 1,000 samples of each type and their mean, from a stream with state over the table's rows, dealt by hash to four
+    batches in no order of time; the last figures of each type."""
+    at, events = scratch(s, "latest"), read(s, d, "events")
+    for n in range(4):
+        events.where(F.pmod(F.xxhash64("event_id"), F.lit(4)) == n).write.mode("append").parquet(f"{at}/in")
+    files = s.read.parquet(f"{at}/in").inputFiles()
+    events = stateful.with_state(s).readStream.schema(events.schema).option("maxFilesPerTrigger", max(1, len(files) // 4)).parquet(f"{at}/in")
+    rows = stateful.newest(events, "event_type", "ts", "event_id", "value")
+    write = lambda part, n: part.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{at}/rows/part={n}")
+    rows.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    last = s.read.parquet(f"{at}/rows").groupBy("key").agg(F.max_by(F.struct("n", "mean"), "batch").alias("r"))
+    return last.select(F.col("key").alias("event_type"), "r.n", F.round("r.mean", 6).alias("mean"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         evidence_resolution, answer_or_refuse, prompt_rows, score_distribution, value_distribution, threshold_overlap, verdict_write_back, rebuilt_summary, ordered_dedup, index_dump,
-        cache_newest, leaderboard, json_repair, rolling_latency,
+        cache_newest, leaderboard, json_repair, rolling_latency, sweep_slices, ivf_topk, ivf_all_lists, ivf_recall, ingested_bm25, ingested_terms, cache_probe_bucketed, stream_latest_samples,
     )
 }
 QUERIES |= {"sweep_summary": sweep(("fixed", "recursive", "semantic")), "sweep_fixed_summary": sweep(("fixed",))}
@@ -260,4 +346,12 @@ FROM benchmark b LEFT JOIN bm25 USING (item_id) LEFT JOIN documents d ON d.doc_i
     "leaderboard": f"WITH c AS ({cat.ORACLES['judge_coverage']}) SELECT row_number() OVER (ORDER BY quality_avg DESC NULLS LAST, source NULLS FIRST) AS place, source, CASE WHEN quality_avg IS NULL THEN '--' ELSE printf('%.3f', round(quality_avg, 3)) END AS cell FROM c",
     "json_repair": "SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events",
     "rolling_latency": "SELECT event_id, round(sum(value::DECIMAL(18, 4)) OVER w::DOUBLE / count(value) OVER w, 6) AS mean_last_1000 FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 999 PRECEDING AND CURRENT ROW)",
+    "sweep_slices": f"""WITH {_SWEEP}, p AS (SELECT *, split_part(slug, '__', 1) AS chunker, split_part(slug, '__', 2) AS retriever, split_part(slug, '__', 3) AS reranker FROM per)
+SELECT chunker, retriever, reranker, grouping(chunker, retriever, reranker)::BIGINT AS level, count(*) AS n, {', '.join(f'round(avg({c}), 6) AS {c}' for c in ('precision', 'recall', 'rr', 'ndcg', 'hit'))}
+FROM p GROUP BY GROUPING SETS ((chunker), (retriever), (reranker), (retriever, reranker), ())""",
+    "ivf_all_lists": cat.ORACLES["vector_topk"],
+    "ingested_bm25": cat.ORACLES["bm25_chunk_topk"],
+    "ingested_terms": f"WITH {cat._CHUNKS} SELECT term, count(*) AS df FROM (SELECT chunk_id, unnest(list_distinct({cat._terms('content')})) AS term FROM ided) GROUP BY term",
+    "cache_probe_bucketed": cat.ORACLES["cache_probe"],
+    "stream_latest_samples": cat.ORACLES["latest_samples"],
 }

@@ -13,7 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
+from lodestone.sources.ledger import Ledger
+from lodestone.sources.staging import dropped, staged
 
+#: The column of a record that could not be read.
+BAD = "_corrupt_record"
 LABEL_COLUMNS = ("id", "document_id", "query", "expected_answer", "evidence_text")
 
 
@@ -32,16 +36,37 @@ def repeated_ids(docs: DataFrame) -> DataFrame:
     return docs.groupBy("id").count().where("count > 1")
 
 
-def scan_labels(spark: SparkSession, path: str) -> DataFrame:
-    """Labelled questions from CSV: needed columns are checked, rows without an id dropped, fields but the evidence trimmed."""
-    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    if missing := sorted(set(LABEL_COLUMNS) - set(rows.columns)):
+def scan_labels(spark: SparkSession, path: str, quarantine: str | None = None) -> DataFrame:
+    """Labelled questions from CSV: needed columns are checked, rows without an id dropped, fields but the evidence trimmed.
+
+    Rows that don't fit the header (too many or too few fields) are left out; with ``quarantine`` they are kept there as they
+    stand, with the file they came from, and :func:`quarantined` counts them."""
+    source = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    columns = source.csv(path).columns
+    if missing := sorted(set(LABEL_COLUMNS) - set(columns)):
         raise ValueError(f"missing columns: {', '.join(missing)}")
-    kind = tx.strip(F.col("query_type")) if "query_type" in rows.columns else F.lit(None).cast("string")
+    shape = ", ".join(f"`{c}` string" for c in [*columns, BAD])
+    rows = source.schema(shape).option("columnNameOfCorruptRecord", BAD).csv(path).withColumn("file_", F.col("_metadata.file_path"))
+    if quarantine:
+        rows = _set_aside(rows, quarantine)
+    rows = rows.where(F.col(BAD).isNull())
+    kind = tx.strip(F.col("query_type")) if "query_type" in columns else F.lit(None).cast("string")
     trimmed = rows.select(*[tx.strip(F.col(c)).alias(c) for c in LABEL_COLUMNS if c != "evidence_text"], "evidence_text", F.coalesce(F.nullif(kind, F.lit("")), F.lit("factual")).alias("query_type"))
     return trimmed.where("id <> ''")
 
 
+def _set_aside(rows: DataFrame, quarantine: str) -> DataFrame:
+    """Write the rows that could not be read, and give all rows back as one read, so that both sides saw the same."""
+    seen = staged(rows, "read")
+    seen.where(F.col(BAD).isNotNull()).select(F.col(BAD).alias("record"), F.col("file_").alias("file"), F.current_timestamp().alias("at")).write.mode("append").json(quarantine)
+    return seen
+
+
+def quarantined(spark: SparkSession, path: str) -> DataFrame:
+    """(file, n): how many records of each file were set aside."""
+    return spark.read.schema("record string, file string, at timestamp").json(path).groupBy("file").agg(F.count("*").alias("n"))
+
+
 def write_labels(rows: DataFrame, docs: DataFrame, path: str) -> None:
     """Labelled questions (id, document_id, query, expected_answer, evidence_text) as CSV, fields quoted where needed.
     Each snippet of the evidence must stand word for word in its document (id, content), else nothing is written."""
@@ -52,12 +77,21 @@ def write_labels(rows: DataFrame, docs: DataFrame, path: str) -> None:
     rows.write.option("header", True).option("escape", '"').mode("overwrite").csv(path)
 
 
-def scan_summaries(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("multiLine", True).json(f"{path}/*/summary.json")
+def scan_summaries(spark: SparkSession, path: str, shape: str | None = None, quarantine: str | None = None) -> DataFrame:
+    """Result summaries below ``path``, one JSON document in each folder. With a ``shape`` (columns as DDL) documents that can't be
+    read in it are left out, and kept in ``quarantine`` if that is given."""
+    files = f"{path}/*/summary.json"
+    if shape is None:
+        return spark.read.option("multiLine", True).json(files)
+    rows = spark.read.schema(f"{shape}, {BAD} string").option("multiLine", True).option("columnNameOfCorruptRecord", BAD).json(files).withColumn("file_", F.col("_metadata.file_path"))
+    if quarantine:
+        rows = _set_aside(rows, quarantine)
+    return rows.where(F.col(BAD).isNull()).drop(BAD, "file_")
 
 
 def write_artifacts(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").partitionBy("slug").json(path)
+    """Rows by ``slug``, a folder each, as JSON: a slug that is written again replaces its rows, the others stay."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("slug").json(path)
 
 
 def index_write(chunks: DataFrame, path: str) -> None:
@@ -86,17 +120,25 @@ def evict(cache: DataFrame, key: str, used: str, n: int = 2048) -> DataFrame:
     return cache.orderBy(F.desc_nulls_last(used), key).limit(n)
 
 
-def upsert(new: DataFrame, path: str, key: str) -> int:
-    """Append rows whose key the table at ``path`` doesn't have; gives how many were submitted."""
-    spark, rows = new.sparkSession, new.dropDuplicates([key])
-    try:
-        old = spark.read.parquet(path).select(key)
-    except Exception as e:  # a table that isn't there yet has no keys
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        old = None
-    (rows if old is None else rows.join(old, key, "left_anti")).write.mode("append").parquet(path)
-    return new.count()
+def upsert(new: DataFrame, path: str, key: str, batch: int) -> int:
+    """Rows of ``new`` whose key the table at ``path`` doesn't have, added as ``batch``; gives how many were submitted.
+
+    The table is a :class:`Ledger`: the rows count when the batch is committed, a batch that is run again adds nothing, and of several
+    batches that hold a key the first one counts (:func:`upserted`), also where two writers didn't see each other."""
+    shape = ", ".join(f"{n} {t}" for n, t in new.dtypes)
+    ledger = Ledger(new.sparkSession, path, {"rows": shape})
+    seen = staged(new, "submitted")
+    submitted = seen.count()
+    if not ledger.done(batch):
+        ledger.write("rows", batch, first_of(seen, key, *[c for c in new.columns if c != key]).join(ledger.read("rows").select(key), key, "left_anti"))
+        ledger.commit(batch, {"submitted": submitted})
+    dropped(seen)
+    return submitted
+
+
+def upserted(spark: SparkSession, path: str, key: str, shape: str) -> DataFrame:
+    """The table that :func:`upsert` keeps: one row of each key, from its first batch."""
+    return first_of(Ledger(spark, path, {"rows": shape}).read("rows"), key, "batch").drop("batch")
 
 
 def probe(wanted: DataFrame, cache: DataFrame, key: str = "key") -> DataFrame:
@@ -109,9 +151,11 @@ def cache_stats(probed: DataFrame) -> DataFrame:
     return probed.agg(hits.alias("hits"), misses.alias("misses"), F.round(F.coalesce(F.try_divide(hits.cast("double"), hits + misses), F.lit(0.0)), 4).alias("hit_rate"))
 
 
-def pending(wanted: DataFrame, done: DataFrame, key: str) -> DataFrame:
-    """Work that isn't finished: an anti-join by key."""
-    return wanted.join(done.select(key), key, "left_anti")
+def pending(wanted: DataFrame, done: DataFrame, key: str | list[str]) -> DataFrame:
+    """Work that isn't finished: an anti-join by key, or by several columns. With the slug and the :func:`fingerprint` of its configuration,
+    what was done under other settings is done again."""
+    keys = [key] if isinstance(key, str) else key
+    return wanted.join(done.select(*keys), keys, "left_anti")
 
 
 def first_of(rows: DataFrame, key: str, *order: str) -> DataFrame:

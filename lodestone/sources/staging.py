@@ -20,7 +20,30 @@ def scratch(spark: SparkSession, tag: str) -> str:
 
 def staged(rows: DataFrame, tag: str) -> DataFrame:
     """``rows`` written to a :func:`scratch` path and read back: worked out once, whatever reads them, and there after
-    an executor is lost."""
+    an executor is lost. :func:`dropped` deletes it."""
     spark, path = rows.sparkSession, scratch(rows.sparkSession, tag)
     rows.write.parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
+    out = spark.read.schema(rows.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path as it names it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables that :func:`staged` wrote and nothing will read again."""
+    for rows in tables:
+        if path := getattr(rows, "staged_at", None):
+            fs, at = file_system(rows.sparkSession, path)
+            fs.delete(at, True)
+
+
+def settled(rows: DataFrame, tag: str, *spent: DataFrame) -> DataFrame:
+    """``rows`` written, after which the tables it was made of can go."""
+    out = staged(rows, tag)
+    dropped(*spent)
+    return out

@@ -1,4 +1,4 @@
-"""Structured Streaming forms of the incremental work: ingest by content key, and latency windows."""
+"""Structured Streaming forms of the incremental work: ingest into a collection, and latency windows."""
 
 from __future__ import annotations
 
@@ -6,17 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lodestone.operators import chunking
-from lodestone.sources import corpus
+from lodestone.operators.collection import Collection
 
 
-def ingest(docs: DataFrame, table: str, checkpoint: str, chunker: str = "fixed") -> StreamingQuery:
-    """Chunk a stream of documents into a table; a chunk that is there already is not written again."""
+def ingest(docs: DataFrame, collection: Collection, checkpoint: str) -> StreamingQuery:
+    """Ingest a stream of documents (doc_id, text), a batch of the collection for each micro-batch.
 
-    def batch(rows: DataFrame, _: int) -> None:
-        corpus.upsert(chunking.chunk(rows, chunker), table, "chunk_id")
-
-    return docs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    A batch that Spark runs again after a failure is written over if it didn't come to its end, and left alone if it did; a document's
+    last text counts, and what it had before goes."""
+    return docs.writeStream.foreachBatch(lambda rows, n: collection.ingest(rows, n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def latency_windows(events: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:

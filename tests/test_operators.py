@@ -186,19 +186,7 @@ def test_sources(spark, tmp_path):
         corpus.scan_labels(spark, str(tmp_path / "bad.csv"))
     table = str(tmp_path / "t")
     new = spark.createDataFrame([("a", 1), ("a", 1), ("b", 2)], "key string, v long")
-    assert corpus.upsert(new, table, "key") == 3 and corpus.upsert(new, table, "key") == 3
-    assert spark.read.parquet(table).count() == 2
+    assert corpus.upsert(new, table, "key", 0) == 3 and corpus.upsert(new, table, "key", 1) == 3
+    assert corpus.upserted(spark, table, "key", "key string, v long").count() == 2
     assert corpus.merge({"a": {"b": 1, "c": 2}}, {"a": {"b": 3}}) == {"a": {"b": 3, "c": 2}}
     assert corpus.grid(spark, ["f", "r", "s"], ["v", "b", "h"], ["x", None]).count() == 18
-
-
-def test_streaming_equals_batch(spark, sf, tmp_path):
-    schema = spark.read.parquet(f"{sf}/documents.parquet").schema.simpleString()[7:-1].replace(":", " ")
-    for _ in range(2):
-        folder = tmp_path / "in"
-        folder.mkdir(exist_ok=True)
-        (folder / "documents.parquet").write_bytes(open(f"{sf}/documents.parquet", "rb").read())
-        rows = incremental.stream(spark, str(folder), ", ".join(re.split(r",", schema)))
-        incremental.ingest(rows, str(tmp_path / "chunks"), str(tmp_path / f"state{_}")).awaitTermination()
-    want = chunking.fixed(spark.read.parquet(f"{sf}/documents.parquet")).select("chunk_id").distinct().count()
-    assert spark.read.parquet(str(tmp_path / "chunks")).count() == want
