@@ -19,6 +19,8 @@ DIGITS = 6
 QUERY_FLOATS = 1 << 22
 #: Terms of queries that a scan of units carries as a literal.
 VOCABULARY = 20_000
+#: Rows of queries' terms that are broadcast at most.
+TERM_ROWS = 200_000
 
 
 def top(rows: DataFrame, k: int, *order: Column) -> DataFrame:
@@ -51,25 +53,38 @@ def lexical_index(units: DataFrame, queries: DataFrame) -> DataFrame:
     if len(terms) <= VOCABULARY:  # terms are letters and digits
         hits = F.expr("filter(tokens, t -> t IN (" + ", ".join(f"'{t}'" for t in sorted(terms)) + "))") if terms else F.array().cast("array<string>")
     cut = units.select("unit_id", tx.tokens(F.col("text")).alias("tokens"))
-    return staged(cut.select("unit_id", F.size("tokens").alias("len"), hits.alias("hits")), "hits")
+    out = staged(cut.select("unit_id", F.size("tokens").alias("len"), hits.alias("hits")), "hits")
+    out.few_terms = len(terms) <= VOCABULARY
+    return out
 
 
 def bm25(units: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """BM25 top-k of units (or of a :func:`lexical_index` of them); a term that a query repeats counts each time. Units of equal score come by id."""
+    """BM25 top-k of units (or of a :func:`lexical_index` of them); a term that a query repeats counts each time. Units of equal score come by id.
+
+    Where the queries have few terms (``VOCABULARY``), what is known of these is broadcast and a unit's score is summed where its
+    hits are: rows are dealt by unit once, and only each task's k best of a query move again."""
     if "hits" not in units.columns:
         index = lexical_index(units, queries)
         return settled(bm25(index, queries, k), "ranked", index)
-    terms = query_terms(queries)
+    terms, few = query_terms(queries), getattr(units, "few_terms", False)
     # per-corpus totals: one row
     totals = units.agg(F.count("*").alias("n"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("avg"))
-    hits = units.select("unit_id", "len", F.explode("hits").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
+    hits = units.repartition("unit_id").select("unit_id", "len", F.explode("hits").alias("term"))
+    df = units.select("unit_id", F.explode(F.array_distinct("hits")).alias("term"))
+    if not few:
+        wanted = terms.select("term").distinct()
+        hits, df = hits.join(wanted, "term", "left_semi"), df.join(wanted, "term", "left_semi")
     postings = hits.groupBy("unit_id", "len", "term").agg(F.count("*").alias("tf"))
-    return score_postings(postings, postings.groupBy("term").agg(F.count("*").alias("df")), totals, terms, k)
+    return score_postings(postings, df.groupBy("term").agg(F.count("*").alias("df")), totals, terms, k, few)
 
 
-def score_postings(postings: DataFrame, df: DataFrame, totals: DataFrame, terms: DataFrame, k: int) -> DataFrame:
-    """BM25 top-k from postings (unit_id, len, term, tf), df (term, df), totals (n, avg; one row) and the queries' terms (query_id, term, qtf)."""
+def score_postings(postings: DataFrame, df: DataFrame, totals: DataFrame, terms: DataFrame, k: int, few: bool = False) -> DataFrame:
+    """BM25 top-k from postings (unit_id, len, term, tf), df (term, df), totals (n, avg; one row) and the queries' terms (query_id, term, qtf).
+    ``few``: there are at most VOCABULARY terms, so df is broadcast, and terms by query are if they are at most TERM_ROWS."""
     df = df.crossJoin(F.broadcast(totals))
+    if few:
+        df = F.broadcast(df)
+        terms = F.broadcast(terms) if terms.count() <= TERM_ROWS else terms
     # a posting's weight doesn't depend on the query: it is worked out once, before queries multiply the rows
     part = idf(F.col("n"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg")))
     weighted = postings.join(df, "term").select("unit_id", "term", part.alias("w"))

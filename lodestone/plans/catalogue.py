@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as tx
 from lodestone.operators import chunking, evaluation, retrieval
 from lodestone.sources import corpus
-from lodestone.sources.staging import settled, staged
+from lodestone.sources.staging import settled, spread, staged
 from lodestone.streaming import incremental
 
 K = 5
 
 
 def read(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    rows = spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(rows) if name == "documents" else rows
 
 
 def units(s: SparkSession, d: str) -> DataFrame:

@@ -47,3 +47,10 @@ def settled(rows: DataFrame, tag: str, *spent: DataFrame) -> DataFrame:
     out = staged(rows, tag)
     dropped(*spent)
     return out
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt evenly, where Spark would read them in fewer tasks than it has cores: the texts of one small file are one task's work
+    otherwise. Splits are of bounded size, so what is dealt is, too; tables of more splits are left as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
