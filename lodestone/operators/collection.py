@@ -21,13 +21,14 @@ from lodestone.sources.staging import dropped, staged
 
 SCHEMAS = {
     "docs": "doc_id long, content string",
-    "chunks": "chunk_id string, doc_id long, char_start int, char_end int, content string, strategy string, len int, vector array<double>",
+    "chunks": "chunk_id string, doc_id long, char_start int, char_end int, content string, strategy string, len int",
+    "vectors": "chunk_id string, vector array<double>",
     "postings": "term string, unit_id string, doc_id long, len int, tf long, bucket int",
     "counters": "term string, df long, bucket int",
     "totals": "units long, length long",
     "dead": "doc_id long, of long",
 }
-BUCKETS = 64
+BUCKETS, PARTS = 64, 16
 #: From (key, text) rows and the key's name to (key, vector); rows without a vector are left out.
 Embedder = Callable[[DataFrame, str], DataFrame]
 
@@ -51,6 +52,14 @@ class Collection:
     def chunks(self) -> DataFrame:
         return self._live("chunks").drop("batch")
 
+    def vectors(self) -> DataFrame:
+        """(chunk_id, vector) of live chunks."""
+        return self._vectors().drop("batch")
+
+    def _vectors(self) -> DataFrame:
+        # a chunk of a replaced text may have the id of one that stayed: the batch tells them apart
+        return self.ledger.read("vectors").join(self._live("chunks").select("chunk_id", "batch"), ["chunk_id", "batch"], "left_semi")
+
     def ingest(self, docs: DataFrame, batch: int) -> dict | None:
         """Bring in a batch of ``docs`` (doc_id, text); gives a report, or None where the batch was done before.
 
@@ -64,11 +73,15 @@ class Collection:
         live = self.docs()
         fresh = staged(one.join(live.select("doc_id", "content"), ["doc_id", "content"], "left_anti"), "fresh")
         dead = write("dead", live.join(fresh.select("doc_id"), "doc_id", "left_semi").select("doc_id", F.col("batch").alias("of")))
-        cut = staged(chunking.chunk(fresh.select("doc_id", "text"), self.chunker, **self.how), "cut")
-        vectors = self.embedder(cut.select("chunk_id", F.col("content").alias("text")), "chunk_id")
-        chunks = write("chunks", cut.withColumn("len", F.size(tx.tokens(F.col("content")))).join(vectors, "chunk_id", "left"))
+        new = write("docs", fresh)
+        chunks = write("chunks", chunking.chunk(fresh.select("doc_id", "text"), self.chunker, **self.how).withColumn("len", F.size(tx.tokens(F.col("content")))))
+        dropped(fresh)
+        vectors = write("vectors", self.embedder(chunks.select("chunk_id", F.col("content").alias("text")), "chunk_id"))
         terms = chunks.select(F.col("chunk_id").alias("unit_id"), "doc_id", "len", F.explode(tx.tokens(F.col("content"))).alias("term"))
-        postings = write("postings", terms.groupBy("term", "unit_id", "doc_id", "len").agg(F.count("*").alias("tf")).withColumn("bucket", bucket(F.col("term"))))
+        # dealt by folder and some parts of it, so that a task writes few files and a folder is many tasks' work
+        terms = terms.withColumn("bucket", bucket(F.col("term"))).withColumn("part", F.pmod(F.xxhash64("unit_id"), F.lit(PARTS)))
+        dealt = terms.repartition("bucket", "part").groupBy("bucket", "part", "term", "unit_id", "doc_id", "len")
+        postings = write("postings", dealt.agg(F.count("*").alias("tf")))
         gone = dead.select("doc_id", F.col("of").alias("batch"))
         old = self.ledger.read("postings").join(gone, ["doc_id", "batch"], "left_semi")
         counted = postings.select("term", F.lit(1).alias("n")).unionByName(old.select("term", F.lit(-1).alias("n"))).groupBy("term").agg(F.sum("n").alias("df"))
@@ -77,11 +90,8 @@ class Collection:
         lengths = chunks.select(F.lit(1).alias("n"), "len").unionByName(old_chunks.select(F.lit(-1).alias("n"), (-F.col("len")).alias("len")))
         whole = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
         write("totals", lengths.agg(whole("n").alias("units"), whole("len").alias("length")))
-        write("docs", fresh)
-        n = chunks.agg(F.count("*"), F.count("vector")).first()
-        report = {"documents": one.count(), "new": fresh.count(), "replaced": dead.select("doc_id").distinct().count(), "chunks": n[0], "vectors": n[1], "chunker": self.chunker}
+        report = {"documents": given.select("doc_id").distinct().count(), "new": new.count(), "replaced": dead.select("doc_id").distinct().count(), "chunks": chunks.count(), "vectors": vectors.count(), "chunker": self.chunker}
         self.ledger.commit(batch, report)
-        dropped(fresh, cut)
         return report
 
     def reset(self) -> None:
@@ -92,7 +102,7 @@ class Collection:
         """Write what is live as one base that replaces all batches so far; counters and totals become plain sums."""
         counters = self.ledger.read("counters").groupBy("term", "bucket").agg(F.sum("df").alias("df")).where("df <> 0")
         totals = self.ledger.read("totals").agg(F.sum("units").alias("units"), F.sum("length").alias("length"))
-        rows = {"counters": counters, "totals": totals, "dead": self.ledger.spark.createDataFrame([], SCHEMAS["dead"])}
+        rows = {"counters": counters, "totals": totals, "dead": self.ledger.spark.createDataFrame([], SCHEMAS["dead"]), "vectors": self._vectors()}
         self._rebase(lambda table: rows[table] if table in rows else self._live(table))
 
     def _rebase(self, rows: Callable[[str], DataFrame]) -> None:
@@ -123,7 +133,7 @@ class Collection:
 
     def nearest(self, queries: DataFrame, k: int = 5) -> DataFrame:
         """Exact cosine top-k of the live chunks' vectors for ``queries`` (query_id, text)."""
-        return retrieval.dense_top(self.chunks().where("vector IS NOT NULL").select(F.col("chunk_id").alias("unit_id"), "vector"), self.embedder(queries.select("query_id", "text"), "query_id"), k)
+        return retrieval.dense_top(self.vectors().withColumnRenamed("chunk_id", "unit_id"), self.embedder(queries.select("query_id", "text"), "query_id"), k)
 
     def health(self) -> DataFrame:
         """One row (documents, chunks, batches, chunker): live counts from the totals and the configuration."""

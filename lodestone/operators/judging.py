@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
 from lodestone.operators import evaluation as ev
+from lodestone.operators.selection import nearest, order_statistics
 
 VERDICT = ("correctness", "faithfulness", "explanation")
 
@@ -64,7 +65,9 @@ def rebuilt_summary(rows: DataFrame, by: str) -> DataFrame:
         F.count_if(measured & (F.col("faithfulness") == "faithful")).alias("faithful_count"),
         F.round(ev.mean(F.col("prompt_tokens")), 6).alias("prompt_tokens_mean"),
         F.round(ev.mean(F.col("completion_tokens")), 6).alias("completion_tokens_mean"),
-        ev.nearest_rank(95, "completion_tokens").alias("completion_tokens_p95"),
     )
+    # no group is brought into one task for its percentile
+    high = order_statistics(rows, [by], "completion_tokens", {"high_": nearest(95)}).select(F.col(by).alias("by_"), "high_")
+    got = got.join(high, F.col(by).eqNullSafe(F.col("by_")), "left").withColumn("completion_tokens_p95", F.coalesce(F.col("high_").cast("double"), F.lit(0.0)))
     coverage = F.round(F.col("judged") / F.col("total"), 6).alias("judge_coverage")
     return got.select(by, "total", "judged", coverage, F.round("c", 6).alias("correctness"), F.round("f", 6).alias("faithfulness"), F.round(F.col("c") - F.col("f"), 6).alias("gap"), "correct_count", "faithful_count", "prompt_tokens_mean", "completion_tokens_mean", "completion_tokens_p95")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,11 +20,26 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{folder.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Writes in here delete their shuffle files when they end: nothing reads them again."""
+    was = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEAN, was)
+
+
 def staged(rows: DataFrame, tag: str) -> DataFrame:
     """``rows`` written to a :func:`scratch` path and read back: worked out once, whatever reads them, and there after
     an executor is lost. :func:`dropped` deletes it."""
     spark, path = rows.sparkSession, scratch(rows.sparkSession, tag)
-    rows.write.parquet(path)
+    with shuffles_dropped(spark):
+        rows.write.parquet(path)
     out = spark.read.schema(rows.schema).parquet(path)
     out.staged_at = path
     return out
