@@ -293,6 +293,22 @@ def test_known_words_of_a_context_sum_to_one_at_most(monkeypatch, code):
         assert min(by[f"w{i}"] for i in range(7)) > max(x for w, x in by.items() if w not in {f"w{i}" for i in range(7)})
 
 
+def test_known_words_of_documents_apart(docs):
+    """Held-out documents that share no passage with training text: on their known words the model is above the base, in sum and nearly each."""
+    texts = dict(docs.select("doc_id", "text").collect())
+    own, held, model, bottom = learned(texts, out)
+    held.spelled = lambda model, words: np.zeros(len(words))
+    got = held.chances(model, bottom, np.zeros(len(own.word), bool), np.arange(len(own.word)), False) / np.log(10)
+    train = own.trained.sum()
+    base = np.log10(held.count + 0.5) - np.log10(train + 0.5 * ((own.trained > 0).sum() + 1))
+    followed = np.bincount(own.row, held.words[1][0][cm.DEPTH].take(held.words[1][1]) > 0) / np.bincount(own.row)
+    some = ~own.train & (held.count > 0)
+    score, plain = (np.bincount(own.row[some], x[some], own.n) for x in (got, base))
+    apart = own.rows["held_out"].to_numpy(zero_copy_only=False) & (followed < 0.05) & (np.bincount(own.row[some], minlength=own.n) > 20)
+    print(apart.sum(), score[apart].sum(), plain[apart].sum(), (score < plain)[apart].sum())
+    assert apart.sum() > 30 and score[apart].sum() > plain[apart].sum() and (score > plain)[apart].mean() > 0.9
+
+
 def test_bits_of_a_context_sum_to_one():
     """Both ways a bit can go mirror each other, for every state, and shares of a bucket sum to one at most, own occurrences left out or not."""
     for seen in (0, 1, 2, 5, 16, 17, 40, 1000, 10**6):
