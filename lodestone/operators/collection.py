@@ -8,8 +8,11 @@ with another text marks its old rows dead: they are left out on reading, and gon
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +31,7 @@ SCHEMAS = {
     "totals": "units long, length long",
     "dead": "doc_id long, of long",
 }
-BUCKETS, PARTS = 64, 16
+BUCKETS = 64
 #: From (key, text) rows and the key's name to (key, vector); rows without a vector are left out.
 Embedder = Callable[[DataFrame, str], DataFrame]
 
@@ -37,6 +40,19 @@ def bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings of each chunk: its distinct terms and how often it has each. A chunk is one row, so nothing is shuffled."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 2048):
+            part = batch.slice(at, 2048)
+            terms = pc.list_flatten(part.column("tokens")).dictionary_encode()
+            row = pc.list_parent_indices(part.column("tokens")).to_numpy().astype(np.int64)
+            width = max(1, len(terms.dictionary))
+            pairs, times = np.unique(row * width + terms.indices.to_numpy(), return_counts=True)
+            of = pa.array(pairs // width)
+            yield pa.RecordBatch.from_arrays([terms.dictionary.take(pa.array(pairs % width)), *(part.column(c).take(of) for c in ("unit_id", "doc_id", "len")), pa.array(times.astype(np.int64))], ["term", "unit_id", "doc_id", "len", "tf"])
+
+
 class Collection:
     def __init__(self, spark: SparkSession, path: str, chunker: str = "fixed", embedder: Embedder = retrieval.vectors_of, **how):
         self.ledger, self.chunker, self.embedder, self.how = Ledger(spark, path, SCHEMAS, {"postings": "bucket", "counters": "bucket"}), chunker, embedder, how
@@ -77,11 +93,8 @@ class Collection:
         chunks = write("chunks", chunking.chunk(fresh.select("doc_id", "text"), self.chunker, **self.how).withColumn("len", F.size(tx.tokens(F.col("content")))))
         dropped(fresh)
         vectors = write("vectors", self.embedder(chunks.select("chunk_id", F.col("content").alias("text")), "chunk_id"))
-        terms = chunks.select(F.col("chunk_id").alias("unit_id"), "doc_id", "len", F.explode(tx.tokens(F.col("content"))).alias("term"))
-        # dealt by folder and some parts of it, so that a task writes few files and a folder is many tasks' work
-        terms = terms.withColumn("bucket", bucket(F.col("term"))).withColumn("part", F.pmod(F.xxhash64("unit_id"), F.lit(PARTS)))
-        dealt = terms.repartition("bucket", "part").groupBy("bucket", "part", "term", "unit_id", "doc_id", "len")
-        postings = write("postings", dealt.agg(F.count("*").alias("tf")))
+        terms = chunks.select(F.col("chunk_id").alias("unit_id"), "doc_id", "len", tx.tokens(F.col("content")).alias("tokens"))
+        postings = write("postings", terms.mapInArrow(_counted, "term string, unit_id string, doc_id long, len int, tf long").withColumn("bucket", bucket(F.col("term"))))
         gone = dead.select("doc_id", F.col("of").alias("batch"))
         old = self.ledger.read("postings").join(gone, ["doc_id", "batch"], "left_semi")
         counted = postings.select("term", F.lit(1).alias("n")).unionByName(old.select("term", F.lit(-1).alias("n"))).groupBy("term").agg(F.sum("n").alias("df"))
