@@ -3,7 +3,8 @@
 1. Each source's share of the mix is its target, in words; targets stop at ``cap`` times what the
    source holds, and the excess is reshared by weight.
 2. Rows are dealt to shards of their source by a seeded hash and ordered in it by another; a
-   shard's words in that order are cut into blocks of ``block_words``.
+   shard's words in that order are cut into blocks of ``block_words``. Equal rows are counted first
+   and dealt in parts of at most ``DOCS_PER_SHARD``, so that many copies fill many shards.
 3. The highest quotients weight/(2k+1) give each source an integer number of blocks, and so each
    of its shards: quotas sum to the total at both levels.
 4. A shard with n blocks and quota q takes every block q // n times, and the q % n of a seeded
@@ -89,22 +90,28 @@ def small(rows: DataFrame, n: int) -> DataFrame:
     return F.broadcast(rows) if n <= SMALL_ROWS else rows
 
 
-def with_shards(sized: DataFrame, stats: DataFrame, max_shards: int) -> DataFrame:
-    """``sized`` with the shard of each row; ``stats``: (src, rows, ...) of each source."""
+def in_parts(counted: DataFrame) -> DataFrame:
+    """Rows that stand for ``n`` equal ones as rows (n, part) of at most DOCS_PER_SHARD each."""
+    parts = counted.withColumn("part", F.explode(F.expr(f"sequence(0L, (n - 1) div {DOCS_PER_SHARD})")))
+    return parts.withColumn("n", F.least(F.lit(DOCS_PER_SHARD), F.col("n") - F.col("part") * DOCS_PER_SHARD))
+
+
+def with_shards(dealt: DataFrame, stats: DataFrame, max_shards: int) -> DataFrame:
+    """``dealt`` (from ``in_parts``) with the shard of each part; ``stats``: (src, rows, ...) of each source."""
     total = stats.agg(F.sum("rows")).first()[0] or 1  # a local table
     per = max(DOCS_PER_SHARD, -(-total // max_shards))
     by = stats.select("src", F.ceil(F.col("rows") / per).cast("long").alias("shards"))
-    return sized.join(by, "src").withColumn("shard", F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "tie"), F.col("shards"))).drop("shards")
+    return dealt.join(by, "src").withColumn("shard", F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "tie", "part"), F.col("shards"))).drop("shards")
 
 
-def plan(sized: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP, block_words=BLOCK_WORDS, max_shards=MAX_SHARDS) -> tuple[DataFrame, DataFrame]:
-    """From rows (doc_id, src, size): per-source (src, rows, source_size, target) and per-shard (src, shard, blocks, quota, offset)."""
-    spark = sized.sparkSession
-    found = sized.groupBy("src").agg(F.count("*").alias("rows"), F.sum("size").alias("size")).collect()
+def plan(counted: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP, block_words=BLOCK_WORDS, max_shards=MAX_SHARDS) -> tuple[DataFrame, DataFrame]:
+    """From rows of ``count_equal``: per-source (src, rows, source_size, target) and per-shard (src, shard, blocks, quota, offset)."""
+    spark, words_of = counted.sparkSession, F.sum(F.col("size") * F.col("n")).alias("size")
+    found = counted.groupBy("src").agg(F.sum("n").alias("rows"), words_of).collect()
     sizes = {r["src"]: r["size"] for r in found}
     aim = targets(sizes, weights, share, cap)
     stats = small(spark.createDataFrame([(r["src"], r["rows"], r["size"], aim[r["src"]]) for r in found], "src string, rows long, source_size long, target double"), len(found))
-    shards = with_shards(sized, stats, max_shards).groupBy("src", "shard").agg(F.sum("size").alias("size")).collect()
+    shards = with_shards(in_parts(counted), stats, max_shards).groupBy("src", "shard").agg(words_of).collect()
     by: dict[str, list[tuple[int, int, int]]] = {}
     for r in sorted(shards, key=lambda r: (r["src"], r["shard"])):
         by.setdefault(r["src"], []).append((r["shard"], r["size"], -(-r["size"] // block_words)))
@@ -118,12 +125,14 @@ def plan(sized: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP, block_words=BL
     return stats, small(spark.createDataFrame(rows, "src string, shard long, blocks long, quota long, offset long"), len(rows))
 
 
-def place(sized: DataFrame, stats: DataFrame, quotas: DataFrame, block_words=BLOCK_WORDS, max_shards=MAX_SHARDS) -> DataFrame:
-    """``sized`` (doc_id, src, size, tie and any others) with source_size, target, start, taken and the
-    draw (base, extra, blocks, offset) of its shard. ``tie``: a key of the text; rows equal in id are dealt and ordered by it."""
-    order = Window.partitionBy("src", "shard").orderBy(F.xxhash64(F.lit(SEED + 1), "doc_id"), "doc_id", "size", "tie")
+def place(counted: DataFrame, stats: DataFrame, quotas: DataFrame, block_words=BLOCK_WORDS, max_shards=MAX_SHARDS) -> DataFrame:
+    """``counted`` (doc_id, src, size, tie, n and any others) as a row for each of the n, with source_size, target, start, end,
+    taken and the draw (base, extra, blocks, offset) of its shard."""
+    order = Window.partitionBy("src", "shard").orderBy(F.xxhash64(F.lit(SEED + 1), "doc_id"), "doc_id", "size", "tie", "part")
     # dealt by shard: the window would else be content with a deal by source, and a hot source with one task
-    rows = with_shards(sized, stats, max_shards).repartition("src", "shard").withColumn("end", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = with_shards(in_parts(counted), stats, max_shards).repartition("src", "shard")
+    rows = rows.withColumn("all", F.sum(F.col("size") * F.col("n")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("after", F.explode(F.expr("sequence(0L, n - 1)"))).withColumn("end", F.col("all") - F.col("after") * F.col("size"))
     rows = rows.withColumn("start", F.col("end") - F.col("size"))
     rows = rows.join(quotas, ["src", "shard"]).join(stats.select("src", "source_size", "target"), "src")
     rows = rows.withColumn("base", F.expr("if(blocks = 0, 0L, quota div blocks)")).withColumn("extra", F.expr("if(blocks = 0, 0L, quota % blocks)"))
@@ -136,7 +145,34 @@ def place(sized: DataFrame, stats: DataFrame, quotas: DataFrame, block_words=BLO
 
 
 def sized_rows(docs: DataFrame, *more: Column) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), source_key(docs["source"]).alias("src"), words(docs["text"]).alias("size"), *more)
+    """(doc_id, src, size, tie) of each row; ``tie`` is a key of all its columns, and which of them are null."""
+    held = [F.map_entries(F.col(f"`{n}`")) if kind.startswith("map") else F.col(f"`{n}`") for n, kind in docs.dtypes]
+    tie = F.xxhash64(*held, *(c.isNull() for c in held))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), source_key(docs["source"]).alias("src"), words(docs["text"]).alias("size"), tie.alias("tie"), *more)
+
+
+KEY = ("doc_id", "src", "size", "tie")
+
+
+def count_equal(docs: DataFrame) -> DataFrame:
+    """(doc_id, src, size, tie, n): rows equal in all columns as one, with their number; a written table."""
+    return materialise(sized_rows(docs).groupBy(*KEY).agg(F.count("*").alias("n")), "sized")
+
+
+def with_rows(docs: DataFrame, counted: DataFrame) -> DataFrame:
+    """Rows (KEY, n, r) that together stand for those of ``docs``, r their columns: those with more than DOCS_PER_SHARD
+    copies once, picked before they are dealt, the others each by itself."""
+    rows = sized_rows(docs, F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("r"))
+    hot = counted.where(F.col("n") > DOCS_PER_SHARD)
+    found = hot.count()
+    if not found:
+        return rows.withColumn("n", F.lit(1).cast("long"))
+    other = small(hot.select(*[F.col(k).alias(f"hot_{k}") for k in KEY], "n"), found)
+    same = rows["doc_id"].eqNullSafe(other["hot_doc_id"])
+    for k in KEY[1:]:
+        same &= rows[k] == other[f"hot_{k}"]
+    once = rows.join(other, same).groupBy(*KEY, "n").agg(F.first("r").alias("r"))
+    return rows.join(other, same, "left_anti").withColumn("n", F.lit(1).cast("long")).unionByName(once)
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
@@ -144,20 +180,18 @@ def mix(docs: DataFrame, **how) -> DataFrame:
 
     Null texts have size 0 and nothing is taken of them; null is a source of its own, last in
     order; repeated rows each hold their own place; an empty table gives no rows. Equal inputs
-    give equal results whatever their partitioning."""
-    sized = materialise(sized_rows(docs, F.xxhash64("text").alias("tie")), "sized")
-    stats, quotas = plan(sized, **how)
-    return place(sized, stats, quotas).select("doc_id", "size", "source_size", "target", "taken")
+    give equal results whatever their partitioning. Other columns, whatever their names, only help to tell rows apart."""
+    counted = count_equal(docs)
+    stats, quotas = plan(counted, **how)
+    return place(counted, stats, quotas).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def mix_texts(docs: DataFrame, **how) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a row for each time a row is drawn from, its text
     cut to the words drawn (white space between them stays); rows drawn whole keep their text unchanged."""
-    names = docs.columns
-    sized = materialise(sized_rows(docs, F.xxhash64("text").alias("tie")), "sized")
-    stats, quotas = plan(sized, **how)
-    row = F.struct(*names).alias("r")
-    placed = place(sized_rows(docs, F.xxhash64("text").alias("tie"), row), stats, quotas).where("taken > 0")
+    names, counted = docs.columns, count_equal(docs)
+    stats, quotas = plan(counted, **how)
+    placed = place(with_rows(docs, counted), stats, quotas).where("taken > 0")
     # whole blocks come `base` times, drawn ones once more: at most cap passes over a row
     passes = placed.withColumn("pass", F.explode(F.expr("sequence(1, cast(base + if(extra > 0, 1, 0) as int))")))
     b = BLOCK_WORDS

@@ -271,9 +271,9 @@ def test_rows_without_ids_are_dealt(spark):
 
     for ids in (F.lit(None), F.lit(4)):
         docs = spark.range(3000).select(ids.cast("long").alias("doc_id"), F.concat(F.lit("w "), F.col("id").cast("string")).alias("text"), F.lit("s").alias("source"))
-        sized = apportionment.sized_rows(docs, F.xxhash64("text").alias("tie"))
-        stats, quotas = apportionment.plan(sized)
-        shards = apportionment.with_shards(sized, stats, apportionment.MAX_SHARDS).groupBy("shard").count().agg(F.max("count"), F.count("*")).first()
+        counted = apportionment.count_equal(docs)
+        stats, quotas = apportionment.plan(counted)
+        shards = apportionment.with_shards(apportionment.in_parts(counted), stats, apportionment.MAX_SHARDS).groupBy("shard").agg(F.sum("n").alias("n")).agg(F.max("n"), F.count("*")).first()
         assert shards[0] < 300 and shards[1] > 15
         taken, aim = apportionment.mix(docs).agg(F.sum("taken"), F.max("target")).first()
         assert abs(taken - aim) < 0.1 * aim  # the last block of a small shard is a part of one
@@ -290,3 +290,46 @@ def test_hot_fingerprints(spark, monkeypatch):
     assert sorted(map(tuple, simhash_ball.near_duplicates(docs).select("fp", "component_id").collect())) == plain
     kept = simhash_ball.keep_one(docs).collect()
     assert sorted(r["doc_id"] for r in kept) == sorted({c for _, c in plain})
+
+
+def brute_mix(rows, quotas, block=32):
+    """Words taken by an explicit draw of blocks: rows (key, size) in the order of their shard."""
+    taken = Counter()
+    for shard, own in rows.items():
+        n, q, offset = quotas[shard]
+        words = [k for k, size in own for _ in range(size)]
+        for i in range(n):
+            times = q // n + (1 if (i * (q % n) + offset) % n < q % n else 0)
+            for k in words[i * block : (i + 1) * block]:
+                taken[k] += times
+    return taken
+
+
+def test_taken_is_an_explicit_draw_of_blocks(spark):
+    """Every word of every block, drawn as often as its block: equal to the closed form, many equal rows included."""
+    rows = [(i % 40, f"s{i % 3}", "w " * (i % 23)) for i in range(900)] + [(None, "s1", "a b c"), (5, None, "x")] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    stats, quotas = apportionment.plan(counted := apportionment.count_equal(docs))
+    by = {(r["src"], r["shard"]): (r["blocks"], r["quota"], r["offset"]) for r in quotas.collect()}
+    placed, held = apportionment.place(counted, stats, quotas).select("src", "shard", "start", "end", "size", "taken").collect(), defaultdict(list)
+    for i, r in sorted(enumerate(placed), key=lambda x: (x[1]["start"], x[1]["end"])):
+        held[r["src"], r["shard"]].append((i, r["size"]))
+    assert all(r["end"] - r["start"] == r["size"] for r in placed) and len(placed) == len(rows)
+    want = brute_mix(held, by)
+    assert [want[i] for i in range(len(placed))] == [r["taken"] for r in placed]
+
+
+def test_equal_rows_fill_many_shards(spark):
+    """Rows equal in all columns are dealt by their number, and none is lost or made up; other columns may differ."""
+    from pyspark.sql import functions as F
+
+    docs = spark.range(5000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("some equal words").alias("text"), F.lit("s").alias("source"), (F.col("id") % 7 == 0).alias("size"), F.create_map(F.lit("k"), F.lit(1)).alias("r"))
+    counted = apportionment.count_equal(docs)
+    stats, _ = apportionment.plan(counted)
+    shards = apportionment.with_shards(apportionment.in_parts(counted), stats, apportionment.MAX_SHARDS).groupBy("shard").agg(F.sum("n").alias("n")).collect()
+    assert len(shards) > 15 and max(r["n"] for r in shards) < 1000
+    got = apportionment.mix(docs).collect()
+    assert len(got) == 5000 and sorted(got) == sorted(apportionment.mix(docs.repartition(3)).collect())
+    out = apportionment.mix_texts(docs)
+    assert out.columns == docs.columns
+    assert sum(len(split(r["text"])) for r in out.collect()) == sum(r["taken"] for r in got)
