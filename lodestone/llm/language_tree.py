@@ -3,23 +3,32 @@
 A text's language family is predicted first; inside a family of several languages, one-versus-one
 linear support vector machines vote. Features are relative frequencies of hashed byte 1- to 3-grams
 of the whole text. Training reads a bounded sample of labelled rows (``per_language`` each, drawn by
-a hash of doc_id); prediction is one narrow pass with fixed-size weights.
+a hash of doc_id): a written table, from which each machine is fitted in a group of its own. The others
+that a family's machine learns from are thinned to what REST languages have, so a group is bounded
+however many languages there are. Only weights reach the driver, 32 KB for each machine; prediction is
+one narrow pass with them.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_texts, slices, table
+from .common import byte_texts, discard, materialise, slices, table
 
 DIM_BITS, PER_LANGUAGE, EPOCHS, COST = 13, 800, 12, 1.0
 DIM = 1 << DIM_BITS
+#: As many languages' rows, at most, stand against a family in its machine's sample.
+REST = 24
+#: Languages of which the counts are sent to every task; more are joined by a shuffle.
+SMALL_ROWS = 100_000
 #: The family of each language code; a code not listed is a family of its own.
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is fy af lb yi",
@@ -73,29 +82,33 @@ def svm(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = EPO
 
 
 class Tree:
-    """Family classifiers (one against the rest) and, in each family, a classifier for each pair of languages."""
+    """Family classifiers (one against the rest) and, in each family, a classifier for each pair of languages. Machines are
+    numbered: families first, if there are several, then pairs."""
 
-    def __init__(self, x: list[tuple[np.ndarray, np.ndarray]], langs: list[str]):
+    def __init__(self, langs: list[str]):
         self.langs = sorted(set(langs))
         self.families = sorted({family(k) for k in self.langs})
-        self.members = [[i for i, k in enumerate(self.langs) if family(k) == f] for f in self.families]
-        of = np.array([self.langs.index(k) for k in langs])
-        kin = np.array([self.families.index(family(k)) for k in langs])
-        sums, squares = np.zeros(DIM), np.zeros(DIM)
-        for slots, shares in x:
-            sums[slots] += shares
-            squares[slots] += shares.astype(np.float64) ** 2
-        spread = np.sqrt(np.maximum(0, squares / len(x) - (sums / len(x)) ** 2))
-        scale = (4 / np.sqrt(DIM) / (spread + 1e-4)).astype(np.float32)
-        z = [(slots, shares * scale[slots]) for slots, shares in x]
-        planes = [svm(z, np.where(kin == f, 1.0, -1.0)) for f in range(len(self.families))] if len(self.families) > 1 else []
+        at = {f: i for i, f in enumerate(self.families)}
+        self.kin = {k: at[family(k)] for k in self.langs}
+        self.members: list[list[int]] = [[] for _ in self.families]
+        for i, k in enumerate(self.langs):
+            self.members[self.kin[k]].append(i)
+        self.n = len(self.families) if len(self.families) > 1 else 0
         self.pairs = [(f, a, b) for f, own in enumerate(self.members) for a, b in combinations(own, 2)]
-        for _, a, b in self.pairs:
-            some = (of == a) | (of == b)
-            planes.append(svm([z[i] for i in np.flatnonzero(some)], np.where(of[some] == a, 1.0, -1.0)))
+
+    def lessons(self) -> dict[str, list[tuple[int, int]]]:
+        """For each language its pairs' machines and the side, 1 or -1, on which it stands in them."""
+        out: dict[str, list[tuple[int, int]]] = {k: [] for k in self.langs}
+        for i, (_, a, b) in enumerate(self.pairs, self.n):
+            out[self.langs[a]].append((i, 1))
+            out[self.langs[b]].append((i, -1))
+        return out
+
+    def learned(self, planes: list[np.ndarray], scale: np.ndarray) -> Tree:
         w = np.array(planes, np.float32).reshape(len(planes), DIM + 1)
         self.bias = w[:, -1].copy()
         self.weights = np.ascontiguousarray((w[:, :-1] * scale).T)  # slot by plane
+        return self
 
     def predict(self, texts: list[bytes]) -> list[tuple[str, float]]:
         out = []
@@ -105,7 +118,7 @@ class Tree:
             for at in range(0, len(slots), 1 << 20):
                 sums += np.bincount(slots[at : at + (1 << 20)], minlength=DIM) @ self.weights
             margin = sums / len(slots) + self.bias
-            n = len(self.families) if len(self.families) > 1 else 0
+            n = self.n
             f = int(np.argmax(margin[:n])) if n else 0
             sure = 1 / (1 + np.exp(-2.0 * np.clip(margin[f] - np.max(np.delete(margin[:n], f)), -30, 30))) if n else 1.0
             own = self.members[f]
@@ -137,19 +150,84 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
+_ONE = 1 << 40
+
+
+def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each slot the sum of shares and of their squares in 1/_ONE, as integers, so that they add up alike in any order."""
+    sums, n = np.zeros((2, DIM), np.int64), 0
+    for batch in batches:
+        for slots, shares in zip(batch.column("slots").to_pylist(), batch.column("shares").to_pylist(), strict=True):
+            at, v = np.frombuffer(slots, "<u2"), np.frombuffer(shares, "<f4").astype(np.float64)
+            sums[0, at] += np.rint(v * _ONE).astype(np.int64)
+            sums[1, at] += np.rint(v * v * _ONE).astype(np.int64)
+            n += 1
+    yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([sums.tobytes()], pa.binary())], ["n", "sums"])
+
+
+def scale_of(n: int, sums: np.ndarray) -> np.ndarray:
+    """Weight of each slot: one over the spread of its share among the n rows of the sample."""
+    mean, square = sums / _ONE / n
+    return (4 / np.sqrt(DIM) / (np.sqrt(np.maximum(0, square - mean**2)) + 1e-4)).astype(np.float32)
+
+
+def _lessons(tree: Tree):
+    of, rest = tree.lessons(), min(1.0, REST / max(1, len(tree.langs)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "shares"):
+                row, plane, side = [], [], []
+                for i, (k, shares) in enumerate(zip(part.column("lang").to_pylist(), part.column("shares").to_pylist(), strict=True)):
+                    own = list(of[k])
+                    if tree.n:
+                        others = np.flatnonzero(np.random.default_rng(zlib.crc32(shares)).random(tree.n) < rest)
+                        own += [(tree.kin[k], 1), *((int(f), -1) for f in others if f != tree.kin[k])]
+                    row += [i] * len(own)
+                    plane += [m for m, _ in own]
+                    side += [s for _, s in own]
+                for at in range(0, len(row), 512):  # in small batches, as rows are repeated
+                    some = pa.array(row[at : at + 512], pa.int32())
+                    cols = [part.column(c).take(some) for c in ("slots", "shares")]
+                    yield pa.RecordBatch.from_arrays([pa.array(plane[at : at + 512], pa.int32()), pa.array(side[at : at + 512], pa.int32()), *cols], ["plane", "side", "slots", "shares"])
+
+    return run
+
+
+def _fitted(scale: np.ndarray):
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        order = pc.sort_indices(rows, [(c, "ascending") for c in ("side", "slots", "shares")])
+        x = []
+        for i in order.to_pylist():
+            slots = np.frombuffer(rows.column("slots")[i].as_py(), "<u2")
+            x.append((slots, np.frombuffer(rows.column("shares")[i].as_py(), "<f4") * scale[slots]))
+        w = svm(x, rows.column("side").to_numpy()[order.to_numpy()].astype(float))
+        return pa.table({"plane": pa.array([key[0].as_py()], pa.int32()), "w": pa.array([w.tobytes()], pa.binary())})
+
+    return run
+
+
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Tree | None:
     """A tree from at most about ``per_language`` rows of each language (by a hash of doc_id, so the
     sample is the same however rows are partitioned); None without labelled text."""
     rows = docs.where("lang IS NOT NULL AND text IS NOT NULL AND text <> ''")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    if not counts:
+    counts = materialise(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    names = [r["lang"] for r in counts.select("lang").collect()]
+    if not names:
         return None
-    share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, per_language / n))])
+    by = counts.select("lang", F.least(F.lit(1.0), per_language / F.col("n")).alias("share"))
     draw = F.pmod(F.xxhash64(F.lit(4), F.coalesce("doc_id", F.lit(0)), F.col("text")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.where(draw < share[F.col("lang")]).select("lang", "text").mapInArrow(_features, "lang string, slots binary, shares binary").collect()
-    sample.sort(key=lambda r: (r["lang"], bytes(r["slots"]), bytes(r["shares"])))
-    x = [(np.frombuffer(r["slots"], "<u2"), np.frombuffer(r["shares"], "<f4")) for r in sample]
-    return Tree(x, [r["lang"] for r in sample]) if len(sample) else None
+    drawn = rows.join(F.broadcast(by) if len(names) <= SMALL_ROWS else by, "lang").where(draw < F.col("share")).select("lang", "text")
+    sample = materialise(drawn.mapInArrow(_features, "lang string, slots binary, shares binary"), "sample")
+    parts = sample.select("slots", "shares").mapInArrow(_moments, "n long, sums binary").collect()
+    tree, n = Tree([r["lang"] for r in sample.select("lang").distinct().collect()]), sum(r["n"] for r in parts)
+    if not n:
+        return None
+    scale = scale_of(n, sum(np.frombuffer(r["sums"], np.int64).reshape(2, DIM) for r in parts))
+    fits = sample.mapInArrow(_lessons(tree), "plane int, side int, slots binary, shares binary").groupBy("plane").applyInArrow(_fitted(scale), "plane int, w binary")
+    planes = [np.frombuffer(r["w"], np.float32) for r in sorted(fits.collect(), key=lambda r: r["plane"])]
+    discard(counts, sample)
+    return tree.learned(planes, scale)
 
 
 def _predicted(tree: Tree | None):
@@ -171,7 +249,8 @@ def identify(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
 
     Learns from rows that aren't held out. Null texts and texts without a letter are ``und`` with
     score 0, and so is all text if no row is labelled; a null doc_id is never held out; repeated
-    rows are all answered; an empty table gives no rows."""
+    rows are all answered; an empty table gives no rows. Ties go to the language first by code point. Other
+    columns, whatever their names, are not read; texts are read whole, in pieces of bounded size."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
     rows = rows.withColumn("held_out", held_out(F.col("doc_id")))
     tree = train(rows.where(~F.col("held_out")), per_language)

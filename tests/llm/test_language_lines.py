@@ -1,6 +1,9 @@
 """Held-out accuracy of the language tree, and line spread against exact counts."""
 
+from collections import Counter
+
 import duckdb
+import numpy as np
 import pytest
 
 from lodestone.llm import language_tree as lt
@@ -27,18 +30,75 @@ def test_language_odd(spark):
     assert {r["lang_pred"] for r in lt.identify(docs.withColumn("lang", docs["lang"].substr(0, 0).try_cast("int"))).collect()} == {"und"}
 
 
-def test_three_languages_in_a_family():
-    import numpy as np
-
+def test_three_languages_in_a_family(spark):
     texts = {"en": "the cat sat with this thing", "de": "der hund und die katze nicht", "nl": "het een van de kat niet", "fr": "le chat est dans la maison"}
-    rows = [(k, " ".join(t.split()[i % 3 :])) for k, t in texts.items() for i in range(6)]
-    x = []
-    for _, t in rows:
-        slots, times = np.unique(lt.gram_slots(t.encode()), return_counts=True)
-        x.append((slots, (times / times.sum()).astype(np.float32)))
-    tree = lt.Tree(x, [k for k, _ in rows])
-    assert len(tree.pairs) == 3
+    rows = [(i, " ".join(t.split()[i % 3 :]), k) for k, t in texts.items() for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    tree = lt.train(docs)
+    assert len(tree.pairs) == 3 and tree.n == 2
     assert [k for k, _ in tree.predict([t.encode() for t in texts.values()])] == list(texts)
+    again = lt.train(docs.repartition(5, "text"))  # the same machines, however rows are dealt
+    assert (tree.weights == again.weights).all() and (tree.bias == again.bias).all()
+
+
+def test_machine_against_plain_descent():
+    """The primal objective that coordinate descent reaches is the least, which plain gradient descent finds."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 6)).astype(np.float32)
+    y = np.where(x[:, 0] + 0.5 * x[:, 1] + rng.normal(size=60) > 0, 1.0, -1.0)
+    one = np.hstack([x, np.ones((60, 1))])
+    objective = lambda w: 0.5 * w @ w + lt.COST * np.sum(np.maximum(0, 1 - y * (one @ w)) ** 2)
+    plain = np.zeros(7)
+    for _ in range(20000):
+        plain -= 1e-3 * (plain - 2 * lt.COST * (y * np.maximum(0, 1 - y * (one @ plain))) @ one)
+    for epochs, most in ((lt.EPOCHS, 1.1), (300, 1.000001)):  # the default stops early
+        w = lt.svm([(np.arange(6), v) for v in x], y, epochs)
+        assert objective(np.append(w[:6], w[-1]).astype(float)) <= most * objective(plain)
+
+
+def brute_slots(text):
+    """A count for each slot, gram by gram."""
+    folded = [c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in text.encode()]
+    b = [32]
+    for c in [*folded, 32]:
+        if c != 32 or b[-1] != 32:
+            b.append(c)
+    found = Counter(b)
+    found.update(((b[i] << 8 | b[i + 1]) * 0x9E3779B1 + 1) % 2**32 >> 32 - lt.DIM_BITS for i in range(len(b) - 1))
+    found.update(((b[i] << 16 | b[i + 1] << 8 | b[i + 2]) * 0x85EBCA6B + 7) % 2**32 >> 32 - lt.DIM_BITS for i in range(len(b) - 2))
+    return found
+
+
+def test_prediction_against_plain_votes(spark, sf):
+    """Family by greatest margin, then votes of the family's pairs, worked out gram by gram."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    tree = lt.train(docs.where(~lt.held_out(docs["doc_id"])))
+    lang = {r["doc_id"]: r["lang_pred"] for r in lt.identify(docs.withColumn("share", docs["doc_id"]).withColumn("n", docs["text"])).collect()}
+    for r in docs.select("doc_id", "text").collect():
+        if not lt.has_letter(r["text"]):
+            assert lang[r["doc_id"]] == "und"
+            continue
+        counts = brute_slots(r["text"])
+        total = sum(counts.values())
+        margin = [sum(n * float(tree.weights[s, m]) for s, n in counts.items()) / total + float(tree.bias[m]) for m in range(len(tree.bias))]
+        f = max(range(tree.n), key=lambda m: margin[m]) if tree.n else 0
+        votes = {k: [0, 0.0] for k in tree.members[f]}
+        for m, (g, a, b) in enumerate(tree.pairs, tree.n):
+            if g == f:
+                votes[a if margin[m] > 0 else b][0] += 1
+                votes[a][1] += margin[m]
+                votes[b][1] -= margin[m]
+        assert lang[r["doc_id"]] == tree.langs[max(votes, key=lambda k: votes[k])]
+
+
+def test_many_languages_stay_bounded(spark, monkeypatch):
+    """Against a family stand at most about REST languages' rows, whatever their number."""
+    monkeypatch.setattr(lt, "REST", 4)
+    rows = [(i, f"word{i % 40} tok{i % 40} {i}", f"q{i % 40}") for i in range(400)]
+    tree = lt.Tree([k for *_, k in rows])
+    feed = spark.createDataFrame(rows, "doc_id long, text string, lang string").select("lang", "text").mapInArrow(lt._features, "lang string, slots binary, shares binary")
+    sizes = [r["count"] for r in feed.mapInArrow(lt._lessons(tree), "plane int, side int, slots binary, shares binary").groupBy("plane").count().collect()]
+    assert len(sizes) == 40 and max(sizes) < 10 + 80 and sum(sizes) < 40 * 60
 
 
 @pytest.mark.parametrize("sites", [2, 10])
