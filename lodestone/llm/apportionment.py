@@ -125,14 +125,15 @@ def plan(counted: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP, block_words=
     return stats, small(spark.createDataFrame(rows, "src string, shard long, blocks long, quota long, offset long"), len(rows))
 
 
-def place(counted: DataFrame, stats: DataFrame, quotas: DataFrame, block_words=BLOCK_WORDS, max_shards=MAX_SHARDS) -> DataFrame:
+def place(counted: DataFrame, stats: DataFrame, quotas: DataFrame, block_words=BLOCK_WORDS, max_shards=MAX_SHARDS, many: bool = True) -> DataFrame:
     """``counted`` (doc_id, src, size, tie, n and any others) as a row for each of the n, with source_size, target, start, end,
-    taken and the draw (base, extra, blocks, offset) of its shard."""
+    taken and the draw (base, extra, blocks, offset) of its shard. Where not ``many``, each n is 1 and no row is repeated."""
     order = Window.partitionBy("src", "shard").orderBy(F.xxhash64(F.lit(SEED + 1), "doc_id"), "doc_id", "size", "tie", "part")
     # dealt by shard: the window would else be content with a deal by source, and a hot source with one task
-    rows = with_shards(in_parts(counted), stats, max_shards).repartition("src", "shard")
+    dealt = in_parts(counted) if many else counted.withColumn("part", F.lit(0).cast("long"))
+    rows = with_shards(dealt, stats, max_shards).repartition("src", "shard")
     rows = rows.withColumn("all", F.sum(F.col("size") * F.col("n")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("after", F.explode(F.expr("sequence(0L, n - 1)"))).withColumn("end", F.col("all") - F.col("after") * F.col("size"))
+    rows = rows.withColumn("after", F.explode(F.expr("sequence(0L, n - 1)")) if many else F.lit(0)).withColumn("end", F.col("all") - F.col("after") * F.col("size"))
     rows = rows.withColumn("start", F.col("end") - F.col("size"))
     rows = rows.join(quotas, ["src", "shard"]).join(stats.select("src", "source_size", "target"), "src")
     rows = rows.withColumn("base", F.expr("if(blocks = 0, 0L, quota div blocks)")).withColumn("extra", F.expr("if(blocks = 0, 0L, quota % blocks)"))
@@ -159,20 +160,20 @@ def count_equal(docs: DataFrame) -> DataFrame:
     return materialise(sized_rows(docs).groupBy(*KEY).agg(F.count("*").alias("n")), "sized")
 
 
-def with_rows(docs: DataFrame, counted: DataFrame) -> DataFrame:
+def with_rows(docs: DataFrame, counted: DataFrame) -> tuple[DataFrame, bool]:
     """Rows (KEY, n, r) that together stand for those of ``docs``, r their columns: those with more than DOCS_PER_SHARD
-    copies once, picked before they are dealt, the others each by itself."""
+    copies once, picked before they are dealt, the others each by itself; and whether there are any of the first kind."""
     rows = sized_rows(docs, F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("r"))
     hot = counted.where(F.col("n") > DOCS_PER_SHARD)
     found = hot.count()
     if not found:
-        return rows.withColumn("n", F.lit(1).cast("long"))
+        return rows.withColumn("n", F.lit(1).cast("long")), False
     other = small(hot.select(*[F.col(k).alias(f"hot_{k}") for k in KEY], "n"), found)
     same = rows["doc_id"].eqNullSafe(other["hot_doc_id"])
     for k in KEY[1:]:
         same &= rows[k] == other[f"hot_{k}"]
     once = rows.join(other, same).groupBy(*KEY, "n").agg(F.first("r").alias("r"))
-    return rows.join(other, same, "left_anti").withColumn("n", F.lit(1).cast("long")).unionByName(once)
+    return rows.join(other, same, "left_anti").withColumn("n", F.lit(1).cast("long")).unionByName(once), True
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
@@ -191,7 +192,8 @@ def mix_texts(docs: DataFrame, **how) -> DataFrame:
     cut to the words drawn (white space between them stays); rows drawn whole keep their text unchanged."""
     names, counted = docs.columns, count_equal(docs)
     stats, quotas = plan(counted, **how)
-    placed = place(with_rows(docs, counted), stats, quotas).where("taken > 0")
+    rows, many = with_rows(docs, counted)
+    placed = place(rows, stats, quotas, many=many).where("taken > 0")
     # whole blocks come `base` times, drawn ones once more: at most cap passes over a row
     passes = placed.withColumn("pass", F.explode(F.expr("sequence(1, cast(base + if(extra > 0, 1, 0) as int))")))
     b = BLOCK_WORDS
