@@ -178,10 +178,10 @@ def _lessons(tree: Tree):
         for batch in batches:
             for part in slices(batch, "shares"):
                 row, plane, side = [], [], []
-                for i, (k, shares) in enumerate(zip(part.column("lang").to_pylist(), part.column("shares").to_pylist(), strict=True)):
+                for i, (k, slots, shares) in enumerate(zip(*(part.column(c).to_pylist() for c in ("lang", "slots", "shares")), strict=True)):
                     own = list(of[k])
                     if tree.n:
-                        others = np.flatnonzero(np.random.default_rng(zlib.crc32(shares)).random(tree.n) < rest)
+                        others = np.flatnonzero(np.random.default_rng(zlib.crc32(k.encode() + slots + shares)).random(tree.n) < rest)
                         own += [(tree.kin[k], 1), *((int(f), -1) for f in others if f != tree.kin[k])]
                     row += [i] * len(own)
                     plane += [m for m, _ in own]
