@@ -33,18 +33,17 @@ from .common import new_path, slices, table
 MAGIC, END_ID = b"WVM1", 0
 SHARD_TOKENS = 1 << 21
 BLOCK_BITS = 1 << 16
-#: Pieces whose ids a worker remembers; beyond it they are forgotten together.
-REMEMBER = 500_000
+#: Pieces whose ids a worker remembers; beyond it, those used in the fewest batches are forgotten.
+REMEMBER = 300_000
+#: Bytes of text that a worker encodes at a time.
+AT_ONCE = 4 << 20
 
 # Encoding -------------------------------------------------------------------------------------
 
 #: White space other than single blanks and line ends, and special tokens: such texts go to the library whole.
-_ODD = ["  ", "\n\n", " \n ", "\n \n", "<|endoftext|>", *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f"]
-_ODD_WIDE = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-
-
-def is_odd(text: str) -> bool:
-    return any(x in text for x in _ODD) or (not text.isascii() and any(x in text for x in _ODD_WIDE)) or (len(text) > 1 and text[-2:].isspace())
+_ODD = r"  |\n\n| \n |\n \n|(?: \n|\n )\z|<\|endoftext\|>|[\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Marks that begin a piece of the pattern after a letter or digit (not the apostrophe, which may begin a contraction).
+_MARKS, _BEFORE_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~", r"[0-9A-Za-zÀ-ÖØ-öø-ÿ]\z"
 
 
 class Encoder:
@@ -52,7 +51,9 @@ class Encoder:
 
     A blank before a non-blank and a single line end always begin a new piece of the byte-level
     pattern. So a batch of texts is cut there, each distinct piece is encoded once, many in one
-    call, and remembered, and the ids of the batch are gathered from those of its pieces."""
+    call, and remembered, and the ids of the batch are gathered from those of its pieces. Marks that
+    end a piece after a letter or digit are a piece of the pattern too, and remembered on their own
+    (with a blank before them, which no other piece has)."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -63,21 +64,40 @@ class Encoder:
         self.width = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.opens = np.array([(self.library.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
         self.break_id = self.library.encode("\n", add_special_tokens=False).ids[0]
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[str, int] = {"": 0}  # piece: its row in first and size
+        self.known: dict[str, int] = {}  # piece: its row in first, size and used_in
         self.pool, self.used = np.zeros(1 << 20, self.width), 0
-        self.first, self.size = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
+        self.first, self.size, self.used_in = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
         blank = np.array(self.library.encode(" ", add_special_tokens=False).ids, self.width)
-        self._add([""], blank, np.array([len(blank)]))
+        self._add([" ", ""], blank, np.array([0, len(blank)]))
+
+    def _forget(self) -> None:
+        """Keep at most half of ``REMEMBER`` pieces, those used in the most batches of late, and the two always there."""
+        n = len(self.known)
+        used, half = self.used_in[:n], max(0, REMEMBER // 2)
+        least = max(2, int(np.partition(used, n - half)[n - half]) + 1 if 0 < half < n else 2)
+        keep = used >= least
+        keep[:2] = True
+        rows = np.flatnonzero(keep)
+        flat, sizes = self._gather(self.pool, self.first[rows], self.size[rows]), self.size[rows]
+        self.known = dict(zip([p for p, k in zip(self.known, keep.tolist(), strict=True) if k], range(len(rows)), strict=True))
+        self.pool[: len(flat)], self.used = flat, len(flat)
+        self.first[: len(rows)], self.size[: len(rows)], self.used_in[: len(rows)] = np.cumsum(sizes) - sizes, sizes, used[rows] // 2
+        self.used_in[len(rows) :] = 0
+
+    @staticmethod
+    def _gather(pool: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The stretches of ``pool``, one after the other."""
+        ends = np.cumsum(size, dtype=first.dtype)
+        at = np.repeat(first - ends + size, size)
+        at += np.arange(len(at), dtype=at.dtype)
+        return pool[at]
 
     def _add(self, pieces: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
-        row = len(self.known) - ("" in pieces)
+        row = len(self.known)
         while self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         while row + len(pieces) > len(self.first):
-            self.first, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size))
+            self.first, self.size, self.used_in = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size, self.used_in))
         self.pool[self.used : self.used + len(flat)] = flat
         self.first[row : row + len(pieces)] = self.used + np.cumsum(sizes) - sizes
         self.size[row : row + len(pieces)] = sizes
@@ -98,28 +118,54 @@ class Encoder:
                 ids = [np.array(self.library.encode(lead + p, add_special_tokens=False).ids, self.width) for p in some]
                 self._add(some, np.concatenate(ids), np.array([len(x) for x in ids]))
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+    def _learn_marks(self, marks: list[str]) -> None:
+        """Marks, each with a blank before it that isn't encoded."""
+        ids = [np.array(x.ids, self.width) for x in self.library.encode_batch_fast([m[1:] for m in marks], add_special_tokens=False)]
+        self._add(marks, np.concatenate(ids), np.array([len(x) for x in ids]))
+
+    def _rows(self, pieces: pa.Array) -> np.ndarray:
+        """Two rows for each distinct piece: without its last marks, and of these (none: the row of no ids)."""
+        cut = pc.ascii_rtrim(pieces, _MARKS)
+        marked = pc.and_(pc.less(pc.binary_length(cut), pc.binary_length(pieces)), pc.match_substring_regex(cut, _BEFORE_MARKS))
+        stems = pc.if_else(marked, cut, pieces).to_numpy(zero_copy_only=False).tolist()
+        marked = np.flatnonzero(marked.to_numpy(zero_copy_only=False))
+        whole = pieces.take(pa.array(marked)).to_numpy(zero_copy_only=False).tolist()
+        marks = [" " + p[len(stems[i]) :] for i, p in zip(marked.tolist(), whole, strict=True)]
+        if new := [p for p in dict.fromkeys(stems) if p not in self.known]:
+            self._learn(new)
+        if new := [p for p in dict.fromkeys(marks) if p not in self.known]:
+            self._learn_marks(new)
+        rows = np.zeros((len(stems), 2), np.int64)
+        rows[:, 0] = np.fromiter(map(self.known.__getitem__, stems), np.int64, len(stems))
+        rows[marked, 1] = np.fromiter(map(self.known.__getitem__, marks), np.int64, len(marks))
+        self.used_in[np.unique(rows)] += 1
+        return rows
+
+    def encode(self, texts: list[str | None] | pa.Array) -> list[np.ndarray]:
         """Ids of each text; null counts as empty."""
         if len(self.known) > REMEMBER:
             self._forget()
-        plain = [i for i, t in enumerate(texts) if t and not is_odd(t)]
+        texts = pc.fill_null(texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()), "")
+        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
         out = [np.zeros(0, self.width)] * len(texts)
-        for i, t in enumerate(texts):
-            if t and is_odd(t):
-                out[i] = np.array(self.library.encode(t, add_special_tokens=False).ids, self.width)
-        if not plain:
+        for i in np.flatnonzero(odd).tolist():
+            out[i] = np.array(self.library.encode(texts[i].as_py(), add_special_tokens=False).ids, self.width)
+        plain = np.flatnonzero(~odd & (pc.binary_length(texts).to_numpy() > 0))
+        if not len(plain):
             return out
-        cut = pc.split_pattern(pa.array(["\n" + texts[i].replace("\n", " \n") for i in plain], pa.large_string()), " ")
+        some = texts if len(plain) == len(texts) else texts.take(pa.array(plain))
+        no, line = pa.scalar("", pa.large_string()), pa.scalar("\n", pa.large_string())
+        cut = pc.split_pattern(pc.binary_join_element_wise(line, pc.replace_substring(some, "\n", " \n"), no), " ")
         pieces = pc.list_flatten(cut).dictionary_encode()
-        names = pieces.dictionary.to_pylist()
-        if new := [p for p in names if p not in self.known]:
-            self._learn(new)
-        rows = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))[pieces.indices.to_numpy()]
-        size = self.size[rows]
-        ends = np.cumsum(size)
-        flat = self.pool[np.repeat(self.first[rows] - ends + size, size) + np.arange(int(ends[-1]))]
-        stops = ends[cut.offsets.to_numpy()[1:] - 1]
-        for i, a, b in zip(plain, [0, *stops[:-1].tolist()], stops.tolist(), strict=True):
+        rows = self._rows(pieces.dictionary)
+        # ids of the batch's own distinct pieces, then of all its pieces
+        kind = np.int32 if some.nbytes < 1 << 29 else np.int64
+        pool, size = self._gather(self.pool, self.first[rows.ravel()], self.size[rows.ravel()]), self.size[rows].sum(axis=1).astype(kind)
+        first, which = np.cumsum(size, dtype=kind) - size, pieces.indices.to_numpy()
+        size = size[which]
+        flat = self._gather(pool, first[which], size)
+        stops = np.cumsum(size, dtype=kind)[cut.offsets.to_numpy()[1:] - 1]
+        for i, a, b in zip(plain.tolist(), [0, *stops[:-1].tolist()], stops.tolist(), strict=True):
             out[i] = flat[a + 1 : b]  # without the line end put before the text
         return out
 
@@ -306,8 +352,8 @@ def _write(folder: str, path: str, shard_tokens: int):
             return row
 
         for batch in batches:
-            for some in slices(batch, most=8 << 20):
-                found = own.encode(some.column("text").to_pylist())
+            for some in slices(batch, most=AT_ONCE):
+                found = own.encode(some.column("text"))
                 for doc, ids in zip(some.column("doc_id").to_pylist(), found, strict=True):
                     docs.append(doc)
                     held += [ids, end]

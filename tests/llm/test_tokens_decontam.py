@@ -33,6 +33,31 @@ def test_encoder_equals_library(spark, sf):
         wt.REMEMBER = monkey
 
 
+def test_marks_are_remembered_apart():
+    """Marks after a letter or digit are pieces of their own, so words with and without them share what is remembered."""
+    rng = random.Random(3)
+    texts = ["word, word. word! (word) word's, word'll. it.s 2.0. 2,5! a_b_ x'. é, ê) ß- ٣. 日. <|endoftext| a\nword,\nword.\n.\n,a"]
+    texts += ["".join(rng.choice("aé9٣日ʼ'.,!<_-|>$ \n\0") for _ in range(rng.randrange(60))) for _ in range(4000)]
+    own = wt.Encoder(wt.tokenizer_path())
+    for got, want, text in zip(own.encode(texts), library(texts), texts, strict=True):
+        assert got.tolist() == want, text
+    assert "word" in own.known and not {"word,", "word.", "word!", "2.0."} & set(own.known)
+
+
+def test_pieces_in_use_stay(monkeypatch):
+    """Pieces that batch after batch uses are encoded once, however many others pass by; what is remembered stays bounded."""
+    monkeypatch.setattr(wt, "REMEMBER", 200)
+    own, learned = wt.Encoder(wt.tokenizer_path()), []
+    learn = own._learn
+    monkeypatch.setattr(own, "_learn", lambda pieces: (learned.extend(pieces), learn(pieces)))
+    often = [f"often{i}" for i in range(40)]
+    for n in range(60):
+        texts = [" ".join(["x", *often]), " ".join(f"rare{n}x{i}" for i in range(50))]
+        assert [x.tolist() for x in own.encode(texts)] == library(texts)
+        assert len(own.known) <= 200 + 52 + 40
+    assert all(learned.count(p) == 1 for p in often)
+
+
 def test_wavelet_matrix():
     rng = np.random.default_rng(2)
     for n, high in ((0, 5), (1, 1), (7, 2), (5000, 300), (200_000, 50_000)):
