@@ -340,3 +340,20 @@ def test_equal_rows_are_dealt_by_their_number(spark, docs):
         assert dealt.where(where).groupBy("id").count().agg({"count": "max"}).first()[0] < 150
     got = [sorted((r.doc_id or -1, r.n_tokens, r.score) for r in cm.score_documents(rows.repartition(n), slice_bytes=40_000).collect()) for n in (2, 7)]
     assert got[0] == got[1] and len(got[0]) == rows.count()
+
+
+def test_keys_are_exchanged_by_passes(spark, docs, monkeypatch):
+    """No exchange holds the keys of all orders, each order is in just one, and scores are those of a single exchange."""
+    held, write = [], cm.materialise
+
+    def spy(df, tag):
+        out = write(df, tag)
+        if tag == "totals":
+            held.append({r[0] for r in out.select("ord").distinct().collect()})
+        return out
+
+    monkeypatch.setattr(cm, "materialise", spy)
+    got = sorted(cm.score_documents(docs, slice_bytes=50_000).collect())
+    assert len(held) > 1 and sorted(o for x in held for o in x) == list(range(6))
+    monkeypatch.setattr(cm, "PASSES", (tuple(range(6)),))
+    assert sorted(cm.score_documents(docs, slice_bytes=50_000).collect()) == got
