@@ -356,4 +356,5 @@ def test_keys_are_exchanged_by_passes(spark, docs, monkeypatch):
     got = sorted(cm.score_documents(docs, slice_bytes=50_000).collect())
     assert len(held) > 1 and sorted(o for x in held for o in x) == list(range(6))
     monkeypatch.setattr(cm, "PASSES", (tuple(range(6)),))
+    monkeypatch.setattr(cm, "HALVES", 1)
     assert sorted(cm.score_documents(docs, slice_bytes=50_000).collect()) == got
