@@ -358,3 +358,42 @@ def test_keys_are_exchanged_by_passes(spark, docs, monkeypatch):
     monkeypatch.setattr(cm, "PASSES", (tuple(range(6)),))
     monkeypatch.setattr(cm, "HALVES", 1)
     assert sorted(cm.score_documents(docs, slice_bytes=50_000).collect()) == got
+
+
+def test_slices_are_cut_once(spark, docs, monkeypatch):
+    """Texts are cut into words once, not by each pass and part: what is kept of a slice gives the same keys, and a part of the slices is told what is in a column of its own."""
+    texts = ["A b  ñ", None, "", "x" * 70_000 + " a b", "é A a\n b"]
+    batch = pa.RecordBatch.from_pydict({"doc_id": [3, None, 2, 1, 1], "text": texts, "held_out": [False, True, False, True, False], "id": [4] * 5})
+    parts = pa.Table.from_batches(list(cm._dealt([batch])))
+    own, kept = cm.Slice(parts), cm.Slice(cm._kept((pa.scalar(4),), parts))
+    assert kept.rows["doc_id"].to_pylist() == own.rows["doc_id"].to_pylist() == [1, 1, 2, 3, None]
+    for k in ("size", "word", "row", "train", "at", "trained", "hash"):
+        assert np.array_equal(getattr(own, k), getattr(kept, k)), k
+    for one, other in zip(own.lists(tuple(range(6))), kept.lists(tuple(range(6))), strict=True):
+        assert one[0] == other[0] and all(np.array_equal(x, y) for x, y in zip(one[1:], other[1:], strict=True))
+    written, write = [], cm.materialise
+
+    def spy(df, tag):
+        out = write(df, tag)
+        written.append(tag)
+        if tag == "totals":
+            data = [c for c in out.columns if c.startswith("data")]
+            assert len(data) == cm.HALVES
+            for r in out.collect():
+                assert [r[c] is not None for c in data] == [r["id"] % cm.HALVES == h for h in range(cm.HALVES)]
+        return out
+
+    monkeypatch.setattr(cm, "materialise", spy)
+    cm.score_documents(docs.where("doc_id < 200"), slice_bytes=60_000)
+    assert written == ["slices"] + ["totals"] * len(cm.PASSES) + ["scored"] * cm.HALVES
+
+
+def test_counts_of_stretches():
+    """States and shares against counts of every stretch of keys by itself, also where most contexts hold one key."""
+    rng = np.random.default_rng(3)
+    for contexts in (3, 5000):
+        keys = np.unique(rng.integers(0, contexts, 3000).astype(np.uint64) << np.uint64(24) | rng.integers(0, 2**24, 3000).astype(np.uint64) & np.uint64(0xFF0007))
+        total = rng.choice([0, 1, 2, 300], len(keys))
+        levels = [np.array([total[keys >> np.uint64(24 - j) == k >> np.uint64(24 - j)].sum() for k in keys]) for j in range(9)]
+        want = [cm.state(a, b) for a, b in zip(levels, levels[1:], strict=False)] + list(cm.share_planes(levels[8], total))
+        assert np.array_equal(cm.told(keys, total, 24, 8, True), np.stack(want))
