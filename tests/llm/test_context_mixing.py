@@ -397,3 +397,21 @@ def test_counts_of_stretches():
         levels = [np.array([total[keys >> np.uint64(24 - j) == k >> np.uint64(24 - j)].sum() for k in keys]) for j in range(9)]
         want = [cm.state(a, b) for a, b in zip(levels, levels[1:], strict=False)] + list(cm.share_planes(levels[8], total))
         assert np.array_equal(cm.told(keys, total, 24, 8, True), np.stack(want))
+
+
+def test_lists_joined_and_rows_weighed_in_one_scan(spark):
+    """Sums and what each list asks for, against plain counts; equal rows and bytes from one grouping."""
+    rng = np.random.default_rng(4)
+    lists = [(i, {int(k): int(rng.integers(0, 9)) for k in rng.integers(0, 60, 40)}) for i in (2, 0, 1)]
+    asks = {i: {k: rng.random() < 0.5 for k in x} for i, x in lists}
+    row = lambda i, x: cm.list_row(1, 0, i, np.array(sorted(x), np.uint64), np.array([x[k] for k in sorted(x)]), np.array([asks[i][k] for k in sorted(x)]))
+    rows, found, total, asked, some = cm._joined(pa.Table.from_pylist([row(i, x) for i, x in lists], cm._LIST))
+    plain = sum((Counter(x) for _, x in lists), Counter({k: 0 for _, x in lists for k in x}))
+    keys = sorted({k for _, x in lists for k in x})
+    assert rows["id"].to_pylist() == [0, 1, 2] and found.tolist() == keys and total.tolist() == [plain[k] for k in keys]
+    for i, mine in enumerate(asked):
+        assert found[mine].tolist() == sorted(k for k, a in asks[i].items() if a)
+    assert found[some].tolist() == sorted({k for x in asks.values() for k, a in x.items() if a})
+    data = spark.createDataFrame([(1, "ab")] * 4 + [(1, None), (None, None), (None, None), (2, "é" * 9)], "doc_id long, text string")
+    got = cm.equal_rows(data).agg({"bytes": "sum"}).first()[0], cm.equal_rows(data).where(cm.many_rows(80)).select("n", "bytes").collect()
+    assert got == (4 * 3 + 3 + 19, [(4, 12)])
