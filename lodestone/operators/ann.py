@@ -2,7 +2,7 @@
 
 Centroids are fitted by spherical k-means on a bounded sample; every row goes to the list of its nearest one. A search
 reads only the lists that some query probes (partition pruning) and scores a query against the rows of its own
-lists. A list is stored in parts of about ``PART_ROWS``, so one with many copies is many tasks' work. How
+lists, where they are read: neither rows nor queries are shuffled. A list is stored in parts of about ``PART_ROWS``, so one with many copies is many tasks' work. How
 many lists a query must probe for a wanted recall is measured on the data, not guessed: see :func:`calibrate`.
 """
 
@@ -16,14 +16,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lodestone.operators import retrieval
 from lodestone.sources.staging import dropped, scratch, staged
 
 #: Rows that centroids are fitted on, lists at most, and rows of a part of a list.
 SAMPLE, MOST_LISTS, PART_ROWS, ITERATIONS = 20_000, 4096, 8192, 12
-#: Queries that one task scores against a part at a time.
-QUERY_CHUNK = 1024
+#: Queries, and rows, that one task scores at a time.
+QUERY_CHUNK, BATCH = 1024, 1024
 HASH = 1 << 30
 
 
@@ -48,12 +49,14 @@ def share_of(rows: DataFrame, key: str, size: int, seed: int) -> DataFrame:
 
 
 def centroids(x: np.ndarray, lists: int, seed: int = 0) -> np.ndarray:
-    """Spherical k-means of unit rows; a centroid without rows moves to the row least like its own."""
+    """Spherical k-means of unit rows; a centroid without rows moves to the row least like its own. Holds the products of ``BATCH`` rows at a time."""
     rng, x = np.random.default_rng(seed), _unit(x)
     means = x[rng.permutation(len(x))[:lists]]
     for _ in range(ITERATIONS):
-        sims = x @ means.T
-        near, best = np.argmax(sims, axis=1), np.max(sims, axis=1)
+        near, best = np.zeros(len(x), np.int64), np.zeros(len(x))
+        for at in range(0, len(x), BATCH):
+            sims = x[at : at + BATCH] @ means.T
+            near[at : at + BATCH], best[at : at + BATCH] = np.argmax(sims, axis=1), np.max(sims, axis=1)
         sums = np.zeros_like(means)
         np.add.at(sums, near, x)
         count = np.bincount(near, minlength=len(means))
@@ -77,14 +80,21 @@ class ListIndex:
 
 
 def _nearest_lists(means: np.ndarray, n: int, column: str):
-    """Adds ``column``: the n nearest lists, nearest first (a single number if n is 0)."""
+    """Adds ``column``: the nearest list; with ``n``, the n nearest as bits, one for each list."""
+
+    def near(x: np.ndarray) -> pa.Array:
+        sims = _unit(x) @ means.T
+        if n == 0:
+            return pa.array(np.argmax(sims, axis=1).astype(np.int32))
+        bits = np.zeros(sims.shape, bool)
+        np.put_along_axis(bits, np.argsort(-sims, axis=1, kind="stable")[:, :n], True, 1)
+        return pa.array([row.tobytes() for row in np.packbits(bits, axis=1)], pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sims = _unit(_rows(batch.column("vector"))) @ means.T if batch.num_rows else np.zeros((0, len(means)))
-            order = np.argsort(-sims, axis=1, kind="stable")
-            found = pa.array(order[:, 0].astype(np.int32)) if n == 0 else pa.array(list(order[:, :n].astype(np.int32)), pa.list_(pa.int32()))
-            yield batch.append_column(column, found)
+            for at in range(0, batch.num_rows, BATCH):
+                part = batch.slice(at, BATCH)
+                yield part.append_column(column, near(_rows(part.column("vector"))))
 
     return run
 
@@ -123,23 +133,24 @@ def build(units: DataFrame, lists: int | None = None, sample: int = SAMPLE, path
     return ListIndex(out, at, means, parts, kind, n)
 
 
-def _scored(k: int):
-    def run(asked: pa.Table, held: pa.Table) -> pa.Table:
-        """The k best rows of a part for each query that probes it; ties by id."""
-        q, u, s = [], [], []
-        if held.num_rows and asked.num_rows:
-            held = held.sort_by("unit_id").combine_chunks()
-            x = _rows(held.column("vector").combine_chunks())
-            for start in range(0, asked.num_rows, 256):
-                some = asked.slice(start, 256)
-                sims = np.round(_unit(_rows(some.column("vector").combine_chunks())) @ x.T, retrieval.DIGITS) + 0.0
-                best = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-                q.append(np.repeat(some.column("query_id").to_numpy(), best.shape[1]))
-                u.append(best.ravel())
-                s.append(np.take_along_axis(sims, best, 1).ravel())
-        if not q:
-            return pa.table({"query_id": pa.array([], asked.schema.field("query_id").type), "unit_id": pa.array([], held.schema.field("unit_id").type), "sim": pa.array([], pa.float64())})
-        return pa.table({"query_id": pa.array(np.concatenate(q)), "unit_id": held.column("unit_id").take(pa.array(np.concatenate(u))), "sim": pa.array(np.concatenate(s))})
+def _scored(ids: list, kind: pa.DataType, vectors: np.ndarray, probed: np.ndarray, k: int):
+    """The k best rows of the task's for each query, of the lists that it probes; ``probed`` has a row of bits for each query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, last, which = retrieval.Best(len(ids), k), None, np.zeros(0, np.int64)
+        for batch in batches:
+            lists = batch.column("list").to_numpy(zero_copy_only=False)
+            cuts = [*np.flatnonzero(np.diff(lists, prepend=-1)), len(lists)]
+            for start, end in zip(cuts, cuts[1:]):  # rows of one list stand together, as its files do
+                if (at := lists[start]) != last:
+                    last, which = at, np.flatnonzero(probed[:, at >> 3] >> (7 - (at & 7)) & 1)
+                for row in range(start, end, BATCH) if len(which) else ():
+                    part = batch.slice(row, min(BATCH, end - row))
+                    x = _rows(part.column("vector")).T
+                    for first in range(0, len(which), QUERY_CHUNK):
+                        some = which[first : first + QUERY_CHUNK]
+                        best.add(some, vectors[some] @ x, part.column("unit_id"))
+        yield from best.rows(pa.array(ids, kind))
 
     return run
 
@@ -147,21 +158,23 @@ def _scored(k: int):
 def search(index: ListIndex, queries: DataFrame, k: int, probes: int) -> DataFrame:
     """(query_id, unit_id, sim, rank): the k best of the lists that are nearest to each query (query_id, vector).
 
-    Exact where ``probes`` is all lists. Queries meet the rows of a part in chunks, so a list that all queries probe is spread."""
+    Exact where ``probes`` is all lists. As in :func:`retrieval.dense_top`, queries are read in blocks of bounded size, and each block makes one pass over
+    the lists that it probes; a task holds the products of QUERY_CHUNK queries and BATCH rows at a time, and what is best so far."""
     asked = _usable(queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")))
     kind = dict(asked.dtypes)["query_id"]
-    if not index.n:
-        return queries.sparkSession.createDataFrame([], f"query_id {kind}, unit_id {index.kind}, sim double, rank long")
-    probed = asked.mapInArrow(_nearest_lists(index.means, max(1, min(probes, len(index.means))), "lists"), f"query_id {kind}, vector array<double>, lists array<int>")
-    chunks = max(1, -(-queries.count() // QUERY_CHUNK))
-    parts = F.element_at(F.array(*[F.lit(int(p)) for p in index.parts]), F.col("list") + 1)
-    visits = probed.withColumn("list", F.explode("lists")).drop("lists").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.lit(chunks)).cast("int"))
-    wanted = sorted(r["list"] for r in probed.select(F.explode("lists").alias("list")).distinct().collect())  # lists at most
-    rows = index.rows.where(F.col("list").isin(wanted)) if len(wanted) < len(index.means) else index.rows
-    rows = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    keys = ("list", "part", "chunk")
-    found = visits.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInArrow(_scored(k), f"query_id {kind}, unit_id {index.kind}, sim double")
-    return retrieval.top(found, k, F.desc("sim"), F.col("unit_id"))
+    out, shape = None, f"query_id {kind}, unit_id {index.kind}, sim double"
+    if index.n:
+        probed = asked.mapInArrow(_nearest_lists(index.means, max(1, min(probes, len(index.means))), "lists"), f"query_id {kind}, vector array<double>, lists binary")
+        for block in retrieval.blocks(probed, k, "lists"):
+            bits = np.array([np.frombuffer(b, np.uint8) for _, _, b in block])
+            wanted = np.flatnonzero(np.unpackbits(np.bitwise_or.reduce(bits, axis=0))).tolist()
+            rows = index.rows.where(F.col("list").isin(wanted)) if len(wanted) < len(index.means) else index.rows
+            ask = _scored([q for q, _, _ in block], to_arrow_type(asked.schema["query_id"].dataType), _unit(np.array([v for _, v, _ in block])), bits, k)
+            found = rows.select("unit_id", "vector", "list").mapInArrow(ask, shape)
+            out = found if out is None else out.union(found)
+    if out is None:
+        return queries.sparkSession.createDataFrame([], f"{shape}, rank long")
+    return retrieval.top(out, k, F.desc("sim"), F.col("unit_id"))
 
 
 def _places(means: np.ndarray):

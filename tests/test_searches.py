@@ -7,7 +7,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from lodestone.operators import retrieval
+from lodestone.operators import ann, retrieval
+from lodestone.plans import workflow
 
 
 def peak_mb(run, *batches):
@@ -29,6 +30,12 @@ def test_a_task_holds_few_products_and_hands_on_its_own_best():
     assert mb < 250 and sum(b.num_rows for b in out) == 5 * 12_000
 
 
+def test_lists_of_a_batch_are_ordered_in_parts():
+    rng = np.random.default_rng(5)
+    out, mb = peak_mb(ann._nearest_lists(rng.standard_normal((2000, 8)), 7, "lists"), vector_batch(rng, 8000, 8))
+    assert mb < 150 and sum(b.num_rows for b in out) == 8000
+
+
 def test_best_equals_a_plain_sort(spark, monkeypatch):
     """Ties by id, over several parts, blocks of queries and weighings; vectors that occur often."""
     monkeypatch.setattr(retrieval, "QUERY_FLOATS", 40)
@@ -48,3 +55,9 @@ def test_best_equals_a_plain_sort(spark, monkeypatch):
     assert got == want
     named = retrieval.dense_top(units.withColumn("unit_id", F.format_string("%04d", "unit_id")), queries, 7).collect()
     assert sorted((r.query_id, int(r.unit_id), r.sim) for r in named) == sorted((q, i, s) for q, rows in want.items() for i, s in rows)
+
+
+def test_a_search_of_lists_shuffles_its_best_alone(spark, sf):
+    index, asked = workflow.list_index(spark, sf)
+    plan = ann.search(index, asked, 10, 3)._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "CoGroups" not in plan
