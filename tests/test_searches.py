@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lodestone.operators import ann, retrieval
-from lodestone.plans import workflow
+from lodestone.plans import catalogue, workflow
 
 
 def peak_mb(run, *batches):
@@ -61,3 +61,10 @@ def test_a_search_of_lists_shuffles_its_best_alone(spark, sf):
     index, asked = workflow.list_index(spark, sf)
     plan = ann.search(index, asked, 10, 3)._jdf.queryExecution().toString()
     assert "MapInArrow" in plan and "CoGroups" not in plan
+
+
+def test_label_metrics_do_not_depend_on_blocks(spark, sf, monkeypatch):
+    whole = sorted(map(tuple, catalogue.vector_label_metrics(spark, sf).collect()))
+    monkeypatch.setattr(retrieval, "QUERY_FLOATS", 300)
+    monkeypatch.setattr(retrieval, "PRODUCTS", 4096)
+    assert whole == sorted(map(tuple, catalogue.vector_label_metrics(spark, sf).collect())) and len(whole) > 1
