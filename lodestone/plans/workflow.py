@@ -12,16 +12,16 @@ from lodestone.plans import catalogue as cat
 from lodestone.plans.catalogue import K, named, questions, read, units
 from lodestone.sources import corpus
 from lodestone.sources.keyed_cache import KeyedCache
-from lodestone.sources.staging import scratch, settled, staged
+from lodestone.sources.staging import dropped, scratch, settled, staged
 from lodestone.streaming import stateful
 
 FETCH = 20
 RETRIEVERS = ("vector", "bm25", "hybrid")
 
 
-def ranked_lists(chunks: DataFrame, asked: DataFrame) -> DataFrame:
-    """(retriever, fetch, query_id, unit_id, rank): each retriever's k and candidate lists, from one search of each kind; a written table."""
-    index = retrieval.lexical_index(chunks, asked)
+def ranked_lists(chunks: DataFrame, asked: DataFrame, index: DataFrame) -> DataFrame:
+    """(retriever, fetch, query_id, unit_id, rank): each retriever's k and candidate lists, from one search of each kind; a written table.
+    ``index``: the chunks' lexical index."""
     lists = {
         "vector": staged(retrieval.sparse_top(chunks, asked, 3 * FETCH), "vector"),
         "bm25": staged(retrieval.bm25(index, asked, 3 * FETCH), "bm25"),
@@ -34,7 +34,7 @@ def ranked_lists(chunks: DataFrame, asked: DataFrame) -> DataFrame:
         for name in RETRIEVERS:
             rows = found[name].select(F.lit(name).alias("retriever"), F.lit(fetch).alias("fetch"), "query_id", "unit_id", "rank")
             out = rows if out is None else out.unionByName(rows)
-    return settled(out, "lists", index, *lists.values())
+    return settled(out, "lists", *lists.values())
 
 
 def sweep_metrics(s, d, chunkers) -> DataFrame:
@@ -45,17 +45,20 @@ def sweep_metrics(s, d, chunkers) -> DataFrame:
     ranked = labels = None
     spent = [spans]
     for name in chunkers:
-        chunks = staged(chunking.chunk(read(s, d, "documents"), name), f"chunks-{name}")
-        found = ranked_lists(chunks.select(F.col("chunk_id").alias("unit_id"), F.col("content").alias("text")), asked)
-        spent += [chunks, found]
+        chunks = staged(chunking.chunk(read(s, d, "documents"), name).select("chunk_id", "doc_id", "char_start", "char_end", "content"), f"chunks-{name}")
+        texts = chunks.select(F.col("chunk_id").alias("unit_id"), F.col("content").alias("text"))
+        index = retrieval.lexical_index(texts, asked)
+        found = ranked_lists(texts, asked, index)
         shown = found.where(F.col("fetch") == K).select("retriever", F.lit("norerank").alias("reranker"), "query_id", "unit_id", "rank")
-        # the reranker sees all retrievers' candidates at once, keyed by retriever and question
+        # the reranker sees all retrievers' candidates at once, keyed by retriever and question; the index has what it asks of a chunk
         wide = found.where(F.col("fetch") == FETCH).withColumn("query_id", F.struct("retriever", "query_id"))
-        texts = wide.select("query_id").distinct().select("query_id", F.col("query_id.query_id").alias("item")).join(asked.select(F.col("query_id").alias("item"), "text"), "item")
-        best = retrieval.rerank(wide.select("query_id", "unit_id", "rank"), chunks.select(F.col("chunk_id").alias("unit_id"), F.col("content").alias("text")), texts.select("query_id", "text"), K)
+        each = wide.select("query_id").distinct().select("query_id", F.col("query_id.query_id").alias("item")).join(asked.select(F.col("query_id").alias("item"), "text"), "item")
+        best = retrieval.rerank(wide.select("query_id", "unit_id", "rank"), index, each.select("query_id", "text"), K)
         best = best.select("query_id.retriever", F.lit("lexical").alias("reranker"), F.col("query_id.query_id").alias("query_id"), "unit_id", "rank")
-        rows = shown.unionByName(best).withColumn("chunker", F.lit(name))
-        marks = evaluation.overlap_labels(spans, chunks).select(F.lit(name).alias("chunker"), F.col("item_id").alias("query_id"), F.col("chunk_id").alias("unit_id"))
+        rows = staged(shown.unionByName(best).withColumn("chunker", F.lit(name)), "ranked")
+        marks = staged(evaluation.overlap_labels(spans, chunks).select(F.lit(name).alias("chunker"), F.col("item_id").alias("query_id"), F.col("chunk_id").alias("unit_id")), "labels")
+        dropped(chunks, index, found)  # one chunker's texts are on disk at a time
+        spent += [rows, marks]
         ranked = rows if ranked is None else ranked.unionByName(rows)
         labels = marks if labels is None else labels.unionByName(marks)
     slug = F.concat_ws("__", "chunker", "retriever", "reranker")
