@@ -26,12 +26,14 @@ SCHEMAS = {
     "docs": "doc_id long, content string",
     "chunks": "chunk_id string, doc_id long, char_start int, char_end int, content string, strategy string, len int",
     "vectors": "chunk_id string, vector array<double>",
-    "postings": "term string, unit_id string, doc_id long, len int, tf long, bucket int",
+    "postings": "term string, doc_id long, char_start int, char_end int, len int, strategy string, tf long, bucket int",
     "counters": "term string, df long, bucket int",
     "totals": "units long, length long",
     "dead": "doc_id long, of long",
 }
 BUCKETS = 64
+#: What a posting has of its chunk. Its id is worked out of these on reading: ids are as good as random, so written once for each term they were most of the index.
+_PLACE = ("doc_id", "char_start", "char_end", "len", "strategy")
 #: From (key, text) rows and the key's name to (key, vector); rows without a vector are left out.
 Embedder = Callable[[DataFrame, str], DataFrame]
 
@@ -50,7 +52,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             width = max(1, len(terms.dictionary))
             pairs, times = np.unique(row * width + terms.indices.to_numpy(), return_counts=True)
             of = pa.array(pairs // width)
-            yield pa.RecordBatch.from_arrays([terms.dictionary.take(pa.array(pairs % width)), *(part.column(c).take(of) for c in ("unit_id", "doc_id", "len")), pa.array(times.astype(np.int64))], ["term", "unit_id", "doc_id", "len", "tf"])
+            yield pa.RecordBatch.from_arrays([terms.dictionary.take(pa.array(pairs % width)), *(part.column(c).take(of) for c in _PLACE), pa.array(times.astype(np.int64))], ["term", *_PLACE, "tf"])
 
 
 class Collection:
@@ -59,8 +61,10 @@ class Collection:
 
     def _live(self, table: str) -> DataFrame:
         """Rows of documents that no later batch replaced."""
-        rows, dead = self.ledger.read(table), self.ledger.read("dead").select("doc_id", F.col("of").alias("batch"))
-        return rows.join(dead, ["doc_id", "batch"], "left_anti")
+        return self._but_dead(self.ledger.read(table))
+
+    def _but_dead(self, rows: DataFrame) -> DataFrame:
+        return rows.join(self.ledger.read("dead").select("doc_id", F.col("of").alias("batch")), ["doc_id", "batch"], "left_anti")
 
     def docs(self) -> DataFrame:
         return self._live("docs")
@@ -93,8 +97,8 @@ class Collection:
         chunks = write("chunks", chunking.chunk(fresh.select("doc_id", "text"), self.chunker, **self.how).withColumn("len", F.size(tx.tokens(F.col("content")))))
         dropped(fresh)
         vectors = write("vectors", self.embedder(chunks.select("chunk_id", F.col("content").alias("text")), "chunk_id"))
-        terms = chunks.select(F.col("chunk_id").alias("unit_id"), "doc_id", "len", tx.tokens(F.col("content")).alias("tokens"))
-        postings = write("postings", terms.mapInArrow(_counted, "term string, unit_id string, doc_id long, len int, tf long").withColumn("bucket", bucket(F.col("term"))))
+        terms = chunks.select(*_PLACE, tx.tokens(F.col("content")).alias("tokens"))
+        postings = write("postings", terms.mapInArrow(_counted, "term string, doc_id long, char_start int, char_end int, len int, strategy string, tf long").withColumn("bucket", bucket(F.col("term"))))
         gone = dead.select("doc_id", F.col("of").alias("batch"))
         old = self.ledger.read("postings").join(gone, ["doc_id", "batch"], "left_semi")
         counted = postings.select("term", F.lit(1).alias("n")).unionByName(old.select("term", F.lit(-1).alias("n"))).groupBy("term").agg(F.sum("n").alias("df"))
@@ -136,12 +140,26 @@ class Collection:
         """BM25 top-k (query_id, unit_id, score, rank) of the live chunks for ``queries`` (query_id, text). Only the folders of the
         queries' terms are read; equal to :func:`retrieval.bm25` over :meth:`chunks`."""
         terms = retrieval.query_terms(queries)
+        totals = self.ledger.read("totals").agg(F.coalesce(F.sum("units"), F.lit(0)).alias("n"), F.coalesce(F.try_divide(F.sum("length"), F.sum("units")), F.lit(0.0)).alias("avg"))
+        if (found := retrieval.few_weights(terms)) is not None:
+            words, asked = found
+            codes = self.ledger.spark.createDataFrame(list(enumerate(words)), "code int, term string").withColumn("bucket", bucket(F.col("term")))
+            folders = [r["bucket"] for r in codes.select("bucket").distinct().collect()]  # BUCKETS at most
+            here = lambda rows: rows.where(F.col("bucket").isin(folders)).join(F.broadcast(codes), ["term", "bucket"])
+            df = {r["term"]: r["df"] for r in here(self.ledger.read("counters")).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0").collect()}
+            # postings are dealt once, by document, as numbers: there the dead are found and a chunk's terms brought together
+            span, hit = "shiftleft(cast(char_start AS long), 32) | char_end", "shiftleft(tf, 32) | code"
+            rows = here(self.ledger.read("postings")).select("doc_id", "batch", F.expr(span).alias("span"), "len", "strategy", F.expr(hit).alias("hit"))
+            rows = self._but_dead(rows).groupBy("doc_id", "batch", "span", "len", "strategy").agg(F.collect_list("hit").alias("hits"))
+            unit_id = tx.chunk_id(F.col("doc_id"), F.shiftright("span", 32), F.expr("span & 4294967295"), F.col("strategy")).alias("unit_id")
+            units = rows.select(unit_id, "len", F.flatten(F.transform("hits", lambda h: F.array_repeat(h.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"), F.shiftright(h, 32).cast("int")))).alias("hits"))
+            return retrieval.multiplied(units, terms, df, asked, totals.first(), k, {t: i for i, t in enumerate(words)})
+        unit_id = tx.chunk_id(F.col("doc_id"), F.col("char_start"), F.col("char_end"), F.col("strategy")).alias("unit_id")
         wanted = terms.select("term").distinct().withColumn("bucket", bucket(F.col("term")))
         folders = [r["bucket"] for r in wanted.select("bucket").distinct().collect()]  # BUCKETS at most
         of_terms = lambda rows: rows.where(F.col("bucket").isin(folders)).join(wanted, ["term", "bucket"], "left_semi")
-        postings = of_terms(self._live("postings"))
+        postings = self._but_dead(of_terms(self.ledger.read("postings"))).select(unit_id, "len", "term", "tf")
         df = of_terms(self.ledger.read("counters")).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
-        totals = self.ledger.read("totals").agg(F.coalesce(F.sum("units"), F.lit(0)).alias("n"), F.coalesce(F.try_divide(F.sum("length"), F.sum("units")), F.lit(0.0)).alias("avg"))
         return retrieval.score_postings(postings, df, totals, terms, k)
 
     def nearest(self, queries: DataFrame, k: int = 5) -> DataFrame:

@@ -56,7 +56,7 @@ class Ledger:
 
     def write(self, table: str, batch: int, rows: DataFrame) -> DataFrame:
         """Write a batch's rows of a table, over what an attempt that failed left; they don't count before :meth:`commit`. Gives them back as written."""
-        out = rows.select(*[f.split()[0] for f in self.schemas[table].split(", ")]).write.mode("overwrite")
+        out = rows.select(*[f.split()[0] for f in self.schemas[table].split(", ")]).write.mode("overwrite").option("compression", "zstd")
         with shuffles_dropped(self.spark):
             (out.partitionBy(self.parted[table]) if table in self.parted else out).parquet(self.folder(table, batch))
         return self._read(table, [batch]).drop("batch")

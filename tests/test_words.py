@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as tx
 from lodestone.functions.vectors import hashes_of, word_hashes
 from lodestone.operators import evaluation, retrieval
+from lodestone.operators.collection import Collection
 from lodestone.plans import workflow
 
 
@@ -68,3 +69,20 @@ def test_a_sweep_has_one_chunkers_texts_at_a_time(spark, sf, monkeypatch):
     workflow.sweep_metrics(spark, sf, ("fixed", "recursive"))
     chunks = [(columns, n) for tag, columns, n in kept if tag.startswith("chunks")]
     assert [n for _, n in chunks] == [0, 1] and all("token_count" not in columns for columns, _ in chunks)
+
+
+def test_a_collections_postings_hold_no_ids_and_score_alike(spark, tmp_path, monkeypatch):
+    """Ids of chunks are worked out on reading, by the chunker of their batch; replaced documents are left out by products and by joins."""
+    rng = random.Random(5)
+    texts = lambda n: spark.createDataFrame([(i, " ".join(rng.choices("abcdefgh", k=rng.randrange(0, 900)))) for i in range(n)], "doc_id long, text string")
+    made = Collection(spark, str(tmp_path / "c"))
+    made.ingest(texts(40), 0)
+    Collection(spark, str(tmp_path / "c"), chunker="recursive").ingest(texts(15), 1)
+    assert "unit_id" not in made.ledger.read("postings").columns
+    assert all(f.endswith(".zstd.parquet") for f in made.ledger.read("postings").inputFiles() + made.ledger.read("chunks").inputFiles())
+    asked = spark.createDataFrame([(1, "b c c"), (2, "h zz"), (3, "zz")], "query_id long, text string")
+    rows = lambda found: sorted(map(tuple, found.select("query_id", "unit_id", "score", "rank").collect()))
+    got, ids = rows(made.bm25(asked, 6)), {r.chunk_id for r in made.chunks().collect()}
+    assert len(got) == 12 and {g[1] for g in got} <= ids
+    monkeypatch.setattr(retrieval, "WEIGHTS", 0)
+    assert got == rows(made.bm25(asked, 6)) == rows(retrieval.bm25(made.chunks().select(F.col("chunk_id").alias("unit_id"), F.col("content").alias("text")), asked, 6))
